@@ -1,0 +1,46 @@
+"""Array-form element operations (vectors held as ``array<double>``).
+
+The long form ``(worker, dim, g)`` is the layout for reductions; these
+helpers cover callers that keep a whole vector per row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .fixed_point import col_of
+
+
+def element(vec, index) -> Column:
+    """0-based element read (``vec[i]``); fails on an out-of-range index."""
+    idx = F.lit(index) if isinstance(index, int) else col_of(index)
+    return F.element_at(col_of(vec), idx + 1)
+
+
+def overwrite(vec, index, value) -> Column:
+    """``vec[i] = value``: a new array with one element replaced."""
+    idx = F.lit(index) if isinstance(index, int) else col_of(index)
+    val = value if isinstance(value, Column) else F.lit(value)
+    return F.transform(col_of(vec), lambda x, j: F.when(j == idx, val).otherwise(x))
+
+
+def add_at(vec, index, value) -> Column:
+    """``vec[i] += value``."""
+    idx = F.lit(index) if isinstance(index, int) else col_of(index)
+    val = value if isinstance(value, Column) else F.lit(value)
+    return F.transform(col_of(vec), lambda x, j: F.when(j == idx, x + val).otherwise(x))
+
+
+def axpy(w, g, lr: float, n: float) -> Column:
+    """``w - lr * g / n`` element-wise, truncated to the shorter array."""
+    k = F.least(F.size(col_of(w)), F.size(col_of(g)))
+    ws = F.slice(col_of(w), 1, k)
+    gs = F.slice(col_of(g), 1, k)
+    return F.zip_with(ws, gs, lambda x, y: x - F.lit(float(lr)) * y / F.lit(float(n)))
+
+
+def ones(length) -> Column:
+    """``array<double>`` of ones (the reference's initial weights)."""
+    ln = F.lit(length) if isinstance(length, int) else col_of(length)
+    return F.array_repeat(F.lit(1.0), ln)
