@@ -43,14 +43,15 @@ def checked(c, on_invalid: str = "error") -> Column:
     value through (nulls are then skipped by ``sum``).
     """
     x = col_of(c).cast("double")
-    bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    # x - x is 0 exactly for finite x; NaN for NaN and +-inf; null for null.
+    finite = (x - x) == F.lit(0.0)
     if on_invalid == "keep":
         return x
     if on_invalid == "zero":
-        return F.when(bad, F.lit(0.0)).otherwise(x)
+        return F.when(finite, x).otherwise(F.lit(0.0))
     if on_invalid == "error":
-        return F.when(bad, F.raise_error(F.lit("vecreduce: null, NaN or infinite vector element"))
-                      ).otherwise(x)
+        return F.when(finite, x).otherwise(
+            F.raise_error(F.lit("vecreduce: null, NaN or infinite vector element")))
     raise ValueError(f"on_invalid must be error, zero or keep, not {on_invalid!r}")
 
 

@@ -9,7 +9,7 @@ from .reduce import (all_gather, all_reduce, all_reduce_wide, group_all_gather,
                      hierarchical_all_reduce, keyed_set, keyed_sum, merge_groups, scatter_reduce,
                      with_default)
 from .stats import mean_gradient, tree_stats, vector_stats
-from .train import event_gradients, gd_step, gd_trajectory, ls_fit, ls_gradient
+from .train import event_cells, event_gradients, gd_step, gd_trajectory, ls_fit, ls_gradient
 
 __all__ = [
     "assemble", "explode_vector", "local_sums", "to_long", "with_groups",
@@ -21,5 +21,5 @@ __all__ = [
     "hierarchical_all_reduce", "keyed_set", "keyed_sum", "merge_groups", "scatter_reduce",
     "with_default",
     "mean_gradient", "tree_stats", "vector_stats",
-    "event_gradients", "gd_step", "gd_trajectory", "ls_fit", "ls_gradient",
+    "event_cells", "event_gradients", "gd_step", "gd_trajectory", "ls_fit", "ls_gradient",
 ]

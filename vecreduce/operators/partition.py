@@ -14,9 +14,11 @@ before the barrier stage, so message size does not grow with row count.
 from __future__ import annotations
 
 import json
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ from .layout import local_sums
 _LONG_SCHEMA = "worker int, dim int, g long"
 _INT64_SAFE = 2 ** 62
 
+# The task-side functions below travel with the job (pickled by value), so
+# executors need numpy / pandas / pyarrow but not this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _fixed(values: np.ndarray, scale: int) -> np.ndarray:
     # Same IEEE steps as functions.fixed_point.to_fixed: floor(double(x) * scale + 0.5).

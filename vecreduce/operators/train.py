@@ -22,16 +22,20 @@ from .layout import assemble, explode_vector
 from .reduce import all_reduce
 
 
-def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
-    """Per-iteration, per-worker gradient cells from an event log.
+def event_cells(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
+    """One gradient cell per event: ``(iter, worker, event_type, g)``.
 
     ``iter`` = day of the event (days since 1970-01-01), ``worker`` = user id
-    mod ``n``, element = event type, ``g`` = summed value in fixed point.
-    Returns ``(iter, worker, event_type, g)``.
+    mod ``n``, element = event type, ``g`` = value in fixed point.
     """
-    cells = events.select(F.unix_date(F.to_date("ts")).alias("iter"),
-                          worker_of("user_id", n).alias("worker"), "event_type",
-                          to_fixed("value", scale).alias("g"))
+    return events.select(F.unix_date(F.to_date("ts")).alias("iter"),
+                         worker_of("user_id", n).alias("worker"), "event_type",
+                         to_fixed("value", scale).alias("g"))
+
+
+def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
+    """Per-iteration, per-worker gradients: :func:`event_cells` summed per worker."""
+    cells = event_cells(events, n, scale)
     return cells.groupBy("iter", "worker", "event_type").agg(F.sum("g").alias("g"))
 
 
@@ -52,9 +56,10 @@ def gd_trajectory(grads: DataFrame, lr: float, n: int, scale: int, w0: float = 1
                   it: str = "iter", dim: str = "dim", value: str = "g") -> DataFrame:
     """Weights after every iteration: ``(iter, dim, w)``.
 
-    ``grads`` holds per-worker cells ``(iter, worker, dim, g)`` in fixed point.
-    All-reduce per ``(iter, dim)``, then a running sum over ``iter`` per
-    ``dim`` (exact, BIGINT) and one division at the end.
+    ``grads`` holds cells ``(iter, [worker,] dim, g)`` in fixed point, summed
+    per worker or raw (raw cells skip one exchange).  All-reduce per
+    ``(iter, dim)``, then a running sum over ``iter`` per ``dim`` (exact,
+    BIGINT) and one division at the end.
     """
     totals = all_reduce(grads, by=[it], dim=dim, value=value, name="total")
     run = F.sum("total").over(Window.partitionBy(dim).orderBy(it)

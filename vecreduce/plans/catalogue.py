@@ -122,7 +122,7 @@ def q_event_gradients(spark, sf):
 
 def q_matrix_pivot(spark, sf):
     width = _width(_emb(spark, sf), "embedding")
-    return src.pivot_matrix(_local(spark, sf), range(width))
+    return src.pivot_matrix(_long(spark, sf), range(width))
 
 
 def q_ring_schedule(spark, sf):
@@ -163,11 +163,11 @@ def q_keyed_sum(spark, sf):
 
 
 def q_hierarchical_all_reduce(spark, sf):
-    return op.hierarchical_all_reduce(_local(spark, sf), GROUP_SIZE)
+    return op.hierarchical_all_reduce(_long(spark, sf), GROUP_SIZE)
 
 
 def q_hierarchical_all_reduce_rollup(spark, sf):
-    return op.hierarchical_all_reduce(_local(spark, sf), GROUP_SIZE, method="rollup")
+    return op.hierarchical_all_reduce(_long(spark, sf), GROUP_SIZE, method="rollup")
 
 
 def q_keyed_set(spark, sf):
@@ -203,8 +203,9 @@ def q_vector_stats(spark, sf):
 
 
 def q_gd_trajectory(spark, sf):
-    grads = q_event_gradients(spark, sf)
-    return op.gd_trajectory(grads, LR, WORKERS, CENTS, 1.0, dim="event_type")
+    ev = src.events(spark, sf, ["ts", "user_id", "event_type", "value"])
+    return op.gd_trajectory(op.event_cells(ev, WORKERS, CENTS), LR, WORKERS, CENTS, 1.0,
+                            dim="event_type")
 
 
 def q_least_squares_gradient(spark, sf):
