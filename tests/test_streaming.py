@@ -1,0 +1,26 @@
+"""Running all-reduce over a file stream equals the batch all-reduce."""
+
+import os
+
+from conftest import SF01
+from vecreduce import operators as op
+from vecreduce.session import scratch_path
+from vecreduce.sources import embeddings
+from vecreduce.streaming import start_running_all_reduce
+
+
+def test_running_all_reduce_matches_batch(spark):
+    emb = embeddings(spark, SF01)
+    src = scratch_path(spark, "t-stream-src")
+    # three files, consumed one per micro-batch
+    emb.repartition(3, "vec_id").write.parquet(src)
+    sink = scratch_path(spark, "t-stream-sink")
+    q = start_running_all_reduce(spark, src, emb.schema, sink, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    epochs = sorted(int(name.split("=")[1]) for name in os.listdir(sink) if name.startswith("epoch="))
+    assert len(epochs) >= 2
+    last = spark.read.parquet(f"{sink}/epoch={epochs[-1]}")
+    got = {r.dim: r.total for r in last.collect()}
+    want = {r.dim: r.total for r in op.all_reduce(op.to_long(emb, "embedding", "vec_id", 8)).collect()}
+    assert got == want

@@ -1,0 +1,5 @@
+"""Streaming use of the batch operators (the reference itself has no streams)."""
+
+from .running import running_all_reduce, start_running_all_reduce
+
+__all__ = ["running_all_reduce", "start_running_all_reduce"]

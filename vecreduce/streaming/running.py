@@ -1,0 +1,52 @@
+"""The all-reduce over a Structured Streaming source.
+
+Nothing new is computed here: :func:`running_all_reduce` is the batch
+operator applied to a streaming DataFrame.  Spark keeps one running total
+per element in its state store (the role of the reference's accumulator
+across rounds) and each micro-batch only folds in new rows.  Because the
+totals are exact fixed-point integers, the running result after any number
+of micro-batches equals the batch all-reduce over the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..functions.fixed_point import EMBEDDING_SCALE
+from ..operators.layout import to_long
+from ..operators.reduce import all_reduce
+from ..session import scratch_path
+
+
+def running_all_reduce(stream: DataFrame, vec: str = "embedding", key: str = "vec_id", n: int = 8,
+                       scale: int = EMBEDDING_SCALE) -> DataFrame:
+    """``(dim, total)`` over everything the stream has delivered so far."""
+    return all_reduce(to_long(stream, vec, key, n, scale=scale))
+
+
+def start_running_all_reduce(spark: SparkSession, source: str, schema: StructType | str,
+                             sink: str, checkpoint: str | None = None,
+                             max_files_per_trigger: int | None = None,
+                             available_now: bool = True, vec: str = "embedding",
+                             key: str = "vec_id", n: int = 8):
+    """Run :func:`running_all_reduce` on parquet files arriving in ``source``.
+
+    Each epoch's totals are written to ``{sink}/epoch={id}`` (overwrite of
+    that epoch only, so a replayed epoch rewrites the same folder).  The
+    checkpoint goes under the session's shared checkpoint folder unless given.
+    Returns the started ``StreamingQuery``.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    totals = running_all_reduce(reader.parquet(source), vec, key, n)
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch_id}")
+
+    writer = (totals.writeStream.outputMode("complete")
+              .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-checkpoint"))
+              .foreachBatch(write_epoch))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
