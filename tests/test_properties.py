@@ -106,6 +106,11 @@ def test_invalid_elements(spark):
         op.all_reduce(op.to_long(df, "vec", worker="worker")).collect()
     z = op.all_reduce(op.to_long(df, "vec", worker="worker", on_invalid="zero")).collect()
     assert sorted((r.dim, r.total) for r in z) == [(0, 1_000_000), (1, 0)]
+    nulls = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "worker int, vec array<double>")
+    with pytest.raises(Exception, match="null vector"):
+        op.all_reduce(op.to_long(nulls, "vec", worker="worker")).collect()
+    skipped = op.all_reduce(op.to_long(nulls, "vec", worker="worker", on_invalid="zero")).collect()
+    assert sorted((r.dim, r.total) for r in skipped) == [(0, 1_000_000), (1, 2_000_000)]
 
 
 def test_keyed_sum_default_and_set(spark):

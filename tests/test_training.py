@@ -65,7 +65,7 @@ def test_least_squares_gradient_matches_numpy(spark):
     w = [1, -2, 3]
     row = op.ls_gradient(df, ["a", "b", "c"], "y", w, exact=True).first()
     err = x @ np.array(w) - y
-    assert [row.g0, row.g1, row.g2] == (x * err[:, None]).sum(axis=0).tolist()
+    assert [row.g0, row.g1, row.g2] == [float(v) for v in (x * err[:, None]).sum(axis=0)]
     assert row.sse == float((err ** 2).sum()) and row.cnt == 200
 
 

@@ -27,7 +27,11 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
     rows may belong to one worker (they are summed later).
     """
     w = F.col(worker).cast("int") if worker else worker_of(key, n)
-    cells = df.select(*keep, w.alias("worker"), F.posexplode(vec).alias("dim", "x"))
+    v = F.col(vec)
+    if on_invalid == "error":
+        # a null vector is an error too; with "zero" / "keep" it contributes nothing
+        v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
+    cells = df.select(*keep, w.alias("worker"), F.posexplode(v).alias("dim", "x"))
     return cells.select(*keep, "worker", "dim",
                         to_fixed(checked("x", on_invalid), scale).alias("g"))
 

@@ -72,9 +72,10 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
                 w: Sequence, exact: bool = False, names: Sequence[str] | None = None) -> DataFrame:
     """Least-squares gradient ``sum x * (x.w - y)``, squared error and count, one row.
 
-    ``exact=True`` needs integer features, target and weights: everything is
-    then BIGINT arithmetic (gradients) and a DECIMAL(38,0) accumulator
-    (squared error), so the result does not depend on partitioning.
+    ``exact=True`` needs integer features, target and weights: per-row terms
+    are BIGINT, every sum accumulates in DECIMAL(38,0) (no overflow at any
+    row count) and is rounded to DOUBLE once, so the result does not depend
+    on partitioning.
     """
     names = list(names or [f"g{i}" for i in range(len(features))])
     xs = [col_of(c) for c in features]
@@ -91,8 +92,9 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
         pred = pred + x * wi
     base = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], (pred - y).alias("_err"))
     err = F.col("_err")
-    aggs = [F.sum(F.col(f"_x{i}") * err).alias(nm) for i, nm in enumerate(names)]
-    sse = wide_sum(err * err) if exact else F.sum(err * err)
+    total = wide_sum if exact else F.sum
+    aggs = [total(F.col(f"_x{i}") * err).alias(nm) for i, nm in enumerate(names)]
+    sse = total(err * err)
     aggs += [sse.alias("sse"), F.count(F.lit(1)).alias("cnt")]
     return base.agg(*aggs)
 

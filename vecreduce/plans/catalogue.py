@@ -360,8 +360,10 @@ with x as (
          cast(floor(l_extendedprice + 0.5) as bigint) as y
   from lineitem),
 e as (select x0, x1, x2, x3, x0 + x1 + x2 + x3 - y as err from x)
-select cast(sum(x0 * err) as bigint) as g_quantity, cast(sum(x1 * err) as bigint) as g_discount,
-       cast(sum(x2 * err) as bigint) as g_tax, cast(sum(x3 * err) as bigint) as g_bias,
+select cast(sum(cast(x0 * err as decimal(38,0))) as double) as g_quantity,
+       cast(sum(cast(x1 * err as decimal(38,0))) as double) as g_discount,
+       cast(sum(cast(x2 * err as decimal(38,0))) as double) as g_tax,
+       cast(sum(cast(x3 * err as decimal(38,0))) as double) as g_bias,
        cast(sum(cast(err * err as decimal(38,0))) as double) as sse, count(*) as cnt
 from e""",
     "hash_split": f"""
