@@ -68,6 +68,17 @@ def test_barrier_refuses_without_slots(spark):
     assert spark.range(3).count() == 3
 
 
+def test_slot_count_from_master():
+    import os
+
+    from vecreduce.operators.partition import _local_cores
+
+    assert _local_cores("local") == 1 and _local_cores("local[4]") == 4
+    assert _local_cores("local[*]") == (os.cpu_count() or 1)
+    assert _local_cores("local[3,2]") == 3 and _local_cores("local-cluster[2, 3, 1024]") == 6
+    assert _local_cores("yarn") is None
+
+
 def test_fixed_parallelism_and_cache_count(spark):
     emb = embeddings(spark, SF01, ("vec_id",))
     assert op.fixed_parallelism(emb, 6, "vec_id").rdd.getNumPartitions() == 6

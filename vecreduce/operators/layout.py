@@ -51,12 +51,14 @@ def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value:
              name: str = "vec") -> DataFrame:
     """Rebuild one array per key from its cells, ordered by ``dim``.
 
-    A group holds one vector (``dims`` entries), so the collected list is
-    bounded by the vector length, not by the data size.
+    Cells are summed per ``(keys, dim)`` first, so a group collects exactly
+    one entry per element: the list is bounded by the vector length, not by
+    the number of input rows.
     """
+    summed = long.groupBy(*keys, dim).agg(F.sum(value).alias(value))
     cells = F.array_sort(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(value).alias("v"))))
     vec = F.transform(cells, lambda z: z["v"]).alias(name)
-    return long.groupBy(*keys).agg(vec) if keys else long.agg(vec)
+    return summed.groupBy(*keys).agg(vec) if keys else summed.agg(vec)
 
 
 def explode_vector(df: DataFrame, vec: str = "vec", keys: Sequence[str] = (), dim: str = "dim",

@@ -102,9 +102,40 @@ def fixed_parallelism(df: DataFrame, n: int, key: str | None = None) -> DataFram
     return df.repartition(n, key) if key else df.repartition(n)
 
 
+def _local_cores(master: str) -> int | None:
+    """Task threads of a local master: ``local``, ``local[N]``, ``local[*]``, ``local[N,F]``,
+    ``local-cluster[n,c,m]``; ``None`` for a cluster master."""
+    import os
+    import re
+
+    if master == "local":
+        return 1
+    m = re.fullmatch(r"local\[(\*|\d+)(?:,\s*\d+)?\]", master)
+    if m:
+        return (os.cpu_count() or 1) if m.group(1) == "*" else int(m.group(1))
+    m = re.fullmatch(r"local-cluster\[\s*(\d+)\s*,\s*(\d+)\s*,\s*\d+\s*\]", master)
+    if m:
+        return int(m.group(1)) * int(m.group(2))
+    return None
+
+
 def barrier_slots(spark) -> int:
-    """Task slots the cluster offers now (``defaultParallelism`` = total executor cores)."""
-    return int(spark.sparkContext.defaultParallelism)
+    """Task slots a barrier stage can count on.
+
+    The smaller of ``defaultParallelism`` and what the master / executor
+    settings provide (``spark.default.parallelism`` may be set above the real
+    core count).
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    slots = int(sc.defaultParallelism)
+    cores = _local_cores(sc.master)
+    if cores is None:
+        inst, per = conf.get("spark.executor.instances"), conf.get("spark.executor.cores")
+        if inst and per:
+            task_cpus = int(conf.get("spark.task.cpus", "1"))
+            cores = int(inst) * int(per) // max(task_cpus, 1)
+    return min(slots, cores) if cores else slots
 
 
 def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
@@ -116,6 +147,8 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
     slots: a barrier stage that cannot be gang-scheduled fails the job.
     """
     spark = long.sparkSession
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        raise ValueError("barrier stages need static allocation (spark.dynamicAllocation.enabled)")
     slots = barrier_slots(spark)
     if not 1 <= num_tasks <= slots:
         raise ValueError(f"barrier stage needs {num_tasks} slots, cluster has {slots}")

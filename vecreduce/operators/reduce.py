@@ -3,8 +3,9 @@
 Plan shape (checked with ``explain``): raw cells -> partial HashAggregate in
 the scan stage -> exchange of at most ``tasks x workers x dims`` rows ->
 final aggregate.  Scatter-reduce, all-gather and the cross-group merge are
-window functions over the *pre-summed* ``(worker, dim)`` table, so their
-exchange moves ``workers x dims`` rows, never raw data.  Nothing is joined
+window functions over cells they first sum per ``(worker, dim)`` themselves,
+so their exchange moves ``workers x dims`` rows, never raw data, and a
+window partition never holds more than one row per worker.  Nothing is joined
 pairwise and nothing passes through the driver.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import element
 from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed
 from ..functions.ring import ring_pos
-from .layout import with_groups
+from .layout import local_sums, with_groups
 
 
 def keyed_sum(df: DataFrame, key, value: str, name: str = "total") -> DataFrame:
@@ -75,7 +76,7 @@ def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING
     return sums.select(F.inline(cells))
 
 
-def scatter_reduce(local: DataFrame, n: int, upto_step: int | None = None,
+def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
                    group_size: int | None = None, value: str = "g",
                    name: str = "partial") -> DataFrame:
     """Ring scatter-reduce as a running sum.
@@ -86,12 +87,15 @@ def scatter_reduce(local: DataFrame, n: int, upto_step: int | None = None,
     ``upto_step`` only cells with ``ring_pos <= upto_step`` have been
     reduced; the others still hold their own value.
 
-    ``local`` has one row per ``(worker, dim)``.  With ``group_size`` the
-    ring runs inside each block of workers (``n`` = block size).
+    ``cells`` are ``(worker, dim, g)`` rows, raw or already summed: they are
+    summed per ``(worker, dim)`` first, so every window partition holds one
+    row per worker whatever the input size.  With ``group_size`` the ring
+    runs inside each block of workers (``n`` = block size).
     Returns ``([grp,] worker, dim, ring_pos, partial)``.
     """
     if upto_step is not None and not 0 <= upto_step < n:
         raise ValueError(f"upto_step must be in [0, {n - 1}]")
+    local = local_sums(cells, value=value)
     parts = ["dim"]
     df = local
     member = "worker"
@@ -109,36 +113,42 @@ def scatter_reduce(local: DataFrame, n: int, upto_step: int | None = None,
     return df.select(*cols, run.alias(name))
 
 
-def all_gather(local: DataFrame, value: str = "g", name: str = "total") -> DataFrame:
+def all_gather(cells: DataFrame, value: str = "g", name: str = "total") -> DataFrame:
     """Every worker's cells replaced by the element totals: ``(worker, dim, total)``.
 
-    A window sum per ``dim`` over the pre-summed cells: no join, no
-    replication beyond the cells that already exist.
+    Cells are summed per ``(worker, dim)``, then a window sum per ``dim``:
+    no join, no replication beyond the cells that exist, one row per worker
+    in each window partition.
     """
+    local = local_sums(cells, value=value)
     return local.select("worker", "dim",
                         F.sum(value).over(Window.partitionBy("dim")).alias(name))
 
 
-def group_all_reduce(local: DataFrame, group_size: int, value: str = "g",
+def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
                      name: str = "grp_total") -> DataFrame:
     """Totals inside each block of workers: ``(grp, dim, grp_total)``."""
-    return all_reduce(with_groups(local, group_size), by=["grp"], value=value, name=name)
+    return all_reduce(with_groups(cells, group_size), by=["grp"], value=value, name=name)
 
 
-def group_all_gather(local: DataFrame, group_size: int, value: str = "g",
+def group_all_gather(cells: DataFrame, group_size: int, value: str = "g",
                      name: str = "grp_total") -> DataFrame:
     """Each worker's cells replaced by its group's totals: ``(grp, worker, dim, grp_total)``."""
-    df = with_groups(local, group_size)
+    df = with_groups(local_sums(cells, value=value), group_size)
     return df.select("grp", "worker", "dim",
                      F.sum(value).over(Window.partitionBy("grp", "dim")).alias(name))
 
 
 def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str = "total") -> DataFrame:
-    """Cross-group merge: add the other groups' totals to each group's, any group count."""
+    """Cross-group merge: add the other groups' totals to each group's, any group count.
+
+    ``group_totals`` has one row per ``(grp, dim)`` (the output of
+    :func:`group_all_reduce`), so a window partition holds one row per group.
+    """
     return group_totals.withColumn(name, F.sum(value).over(Window.partitionBy("dim")))
 
 
-def hierarchical_all_reduce(local: DataFrame, group_size: int, value: str = "g",
+def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
                             method: str = "window") -> DataFrame:
     """Two-level all-reduce: ``(grp, dim, grp_total, total)``; ``total`` equals :func:`all_reduce`.
 
@@ -146,9 +156,9 @@ def hierarchical_all_reduce(local: DataFrame, group_size: int, value: str = "g",
     ``method="rollup"``: both levels from one ``rollup(dim, grp)`` aggregate.
     """
     if method == "window":
-        return merge_groups(group_all_reduce(local, group_size, value))
+        return merge_groups(group_all_reduce(cells, group_size, value))
     if method == "rollup":
-        g = with_groups(local, group_size)
+        g = with_groups(cells, group_size)
         both = g.rollup("dim", "grp").agg(F.sum(value).alias("s"), F.grouping("grp").alias("lvl"))
         both = both.where(F.col("dim").isNotNull())
         tot = F.max(F.when(F.col("lvl") == 1, F.col("s"))).over(Window.partitionBy("dim"))

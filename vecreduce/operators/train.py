@@ -46,9 +46,10 @@ def gd_step(totals: DataFrame, lr: float, n: int, scale: int = EMBEDDING_SCALE,
     The all-reduced totals are assembled into one vector (one row of
     ``dims`` elements) and zipped with the weights; ``w0`` defaults to ones.
     """
-    vec = assemble(totals.select("dim", from_fixed(total, scale).alias("v")), value="v", name="g")
+    vec = assemble(totals, value=total, name="g")
+    g = F.transform(F.col("g"), lambda x: from_fixed(x, scale))
     w = ones(F.size("g")) if w0 is None else F.array(*[F.lit(float(x)) for x in w0])
-    stepped = vec.select(axpy(w, F.col("g"), lr, n).alias("w"))
+    stepped = vec.select(axpy(w, g, lr, n).alias("w"))
     return explode_vector(stepped, "w", value="w")
 
 

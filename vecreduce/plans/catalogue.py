@@ -130,19 +130,19 @@ def q_ring_schedule(spark, sf):
 
 
 def q_scatter_reduce(spark, sf):
-    return op.scatter_reduce(_local(spark, sf), WORKERS)
+    return op.scatter_reduce(_long(spark, sf), WORKERS)
 
 
 def q_scatter_reduce_step(spark, sf):
-    return op.scatter_reduce(_local(spark, sf), WORKERS, upto_step=UPTO_STEP)
+    return op.scatter_reduce(_long(spark, sf), WORKERS, upto_step=UPTO_STEP)
 
 
 def q_group_scatter_reduce(spark, sf):
-    return op.scatter_reduce(_local(spark, sf), GROUP_SIZE, group_size=GROUP_SIZE)
+    return op.scatter_reduce(_long(spark, sf), GROUP_SIZE, group_size=GROUP_SIZE)
 
 
 def q_all_gather(spark, sf):
-    return op.all_gather(_local(spark, sf))
+    return op.all_gather(_long(spark, sf))
 
 
 def q_keyed_sum_default(spark, sf):
@@ -153,7 +153,7 @@ def q_keyed_sum_default(spark, sf):
 
 
 def q_assemble_vector(spark, sf):
-    vecs = op.assemble(_local(spark, sf), keys=["worker"], value="g", name="vec")
+    vecs = op.assemble(_long(spark, sf), keys=["worker"], value="g", name="vec")
     cells = op.explode_vector(vecs, "vec", keys=["worker"], value="g")
     return cells.select("worker", "dim", from_fixed("g").alias("v"))
 
@@ -185,7 +185,7 @@ def q_all_reduce_wide(spark, sf):
 
 
 def q_group_all_gather(spark, sf):
-    return op.group_all_gather(_local(spark, sf), GROUP_SIZE)
+    return op.group_all_gather(_long(spark, sf), GROUP_SIZE)
 
 
 def q_gd_step(spark, sf):
