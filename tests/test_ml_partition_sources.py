@@ -1,7 +1,9 @@
 """ML (split, MLP, accuracy), partition-level operators and file sources."""
 
+import glob
+import os
+
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF01, SF1
 from vecreduce import operators as op
@@ -96,8 +98,8 @@ def test_dense_text_round_trip(spark):
     write_dense_text(counting_matrix(spark, 8, 8), path)
     rows = sorted(list(r.vec) for r in read_dense_text(spark, path).collect())
     assert rows == [[float(8 * w + c + 1) for c in range(8)] for w in range(8)]
-    with open(next(p for p in __import__("glob").glob(path + "/part-*") if
-                   __import__("os").path.getsize(p) > 0)) as fh:
+    part = next(p for p in glob.glob(path + "/part-*") if os.path.getsize(p) > 0)
+    with open(part) as fh:
         assert ", " in fh.readline()
 
 
@@ -116,4 +118,3 @@ def test_libsvm_round_trip_with_sparse_rows(spark):
 
 def test_scratch_paths_are_unique(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    assert F is not None

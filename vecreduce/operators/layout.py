@@ -24,10 +24,16 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
     """``(worker, dim, g)`` with ``g = floor(x * scale + 0.5)``.
 
     The worker is an existing ``worker`` column or ``key mod n``.  Any number of
-    rows may belong to one worker (they are summed later).
+    rows may belong to one worker (they are summed later).  ``vec`` may be an
+    array column or a Spark ML vector (dense or sparse; converted to an array
+    first, so sums stay exact).
     """
     w = F.col(worker).cast("int") if worker else worker_of(key, n)
     v = F.col(vec)
+    if type(df.schema[vec].dataType).__name__ == "VectorUDT":
+        from pyspark.ml.functions import vector_to_array
+
+        v = vector_to_array(v)
     if on_invalid == "error":
         # a null vector is an error too; with "zero" / "keep" it contributes nothing
         v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))

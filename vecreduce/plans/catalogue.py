@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import sources as src
-from ..functions import CENTS, EMBEDDING_SCALE, from_fixed, ring_pos, to_fixed, wide_sum
+from ..functions import CENTS, EMBEDDING_SCALE, from_fixed, ring_pos, to_fixed
 from ..session import scratch_path
 
 # Fixed parameters of the catalogue (the reference's ring of 8 workers, two
