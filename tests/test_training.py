@@ -81,6 +81,10 @@ def test_least_squares_fit_matches_numpy(spark):
     for it in range(1, 6):
         w = w - 20.0 * (X * (X @ w - Y)[:, None]).sum(axis=0) / len(Y)
         assert np.allclose([got[(it, d)] for d in range(3)], w, rtol=1e-9, atol=1e-12)
+    for storage in ("disk", None):
+        again = {(r.iter, r.dim): r.w for r in op.ls_fit(emb, xs, y, 20.0, 5, storage=storage).collect()}
+        assert again.keys() == got.keys()
+        assert np.allclose([again[k] for k in got], list(got.values()), rtol=1e-12, atol=0)
     # it is converging towards (1, 2, 3)
     first = np.linalg.norm(np.array([got[(1, d)] for d in range(3)]) - [1, 2, 3])
     last = np.linalg.norm(np.array([got[(5, d)] for d in range(3)]) - [1, 2, 3])

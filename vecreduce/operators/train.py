@@ -101,17 +101,29 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
 
 
 def ls_fit(df: DataFrame, features: Sequence[Column | str], target: Column | str, lr: float,
-           iterations: int, w0: Sequence[float] | None = None) -> DataFrame:
+           iterations: int, w0: Sequence[float] | None = None,
+           storage: str | None = "memory_and_disk") -> DataFrame:
     """Batch gradient descent on the mean squared error: ``(iter, dim, w)`` per iteration.
 
-    The feature table is cached once (recomputed from its short lineage if
-    an executor is lost); each iteration runs one aggregate job returning
-    ``len(features) + 2`` numbers to the driver.
+    Each iteration runs one aggregate job returning ``len(features) + 2``
+    numbers to the driver.  ``storage`` keeps the projected feature table
+    between iterations (``"memory_and_disk"``, ``"disk"``) or re-reads the
+    column-pruned source every time (``None``: cheaper than caching when
+    the table is far larger than executor memory).  A lost cached block is
+    recomputed from the short scan-and-project lineage.
     """
+    from pyspark import StorageLevel
+
+    levels = {"memory_and_disk": StorageLevel.MEMORY_AND_DISK, "disk": StorageLevel.DISK_ONLY,
+              None: None}
+    if storage not in levels:
+        raise ValueError(f"storage must be one of {sorted(map(str, levels))}")
     k = len(features)
     w = [0.0] * k if w0 is None else [float(v) for v in w0]
     data = df.select(*[col_of(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-                     col_of(target).cast("double").alias("y")).cache()
+                     col_of(target).cast("double").alias("y"))
+    if levels[storage] is not None:
+        data = data.persist(levels[storage])
     traj = []
     try:
         for it in range(iterations):
@@ -122,5 +134,6 @@ def ls_fit(df: DataFrame, features: Sequence[Column | str], target: Column | str
             w = [wi - lr * row[f"g{i}"] / cnt for i, wi in enumerate(w)]
             traj.extend((it + 1, i, wi) for i, wi in enumerate(w))
     finally:
-        data.unpersist()
+        if levels[storage] is not None:
+            data.unpersist()
     return df.sparkSession.createDataFrame(traj, "iter int, dim int, w double")
