@@ -126,15 +126,21 @@ def barrier_slots(spark) -> int:
     settings provide (``spark.default.parallelism`` may be set above the real
     core count).
     """
-    sc = spark.sparkContext
-    conf = sc.getConf()
-    slots = int(sc.defaultParallelism)
-    cores = _local_cores(sc.master)
+    from ..session import master_of, spark_context
+
+    sc = spark_context(spark)
+    get = sc.getConf().get if sc is not None else (lambda k, d=None: spark.conf.get(k, d))
+    cores = _local_cores(master_of(spark))
     if cores is None:
-        inst, per = conf.get("spark.executor.instances"), conf.get("spark.executor.cores")
+        inst, per = get("spark.executor.instances"), get("spark.executor.cores")
         if inst and per:
-            task_cpus = int(conf.get("spark.task.cpus", "1"))
+            task_cpus = int(get("spark.task.cpus", "1"))
             cores = int(inst) * int(per) // max(task_cpus, 1)
+    if sc is not None:
+        slots = int(sc.defaultParallelism)
+    else:
+        par = get("spark.default.parallelism")
+        slots = int(par) if par else (cores or 1)
     return min(slots, cores) if cores else slots
 
 
@@ -147,7 +153,7 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
     slots: a barrier stage that cannot be gang-scheduled fails the job.
     """
     spark = long.sparkSession
-    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+    if str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true":
         raise ValueError("barrier stages need static allocation (spark.dynamicAllocation.enabled)")
     slots = barrier_slots(spark)
     if not 1 <= num_tasks <= slots:

@@ -45,6 +45,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def spark_context(spark: SparkSession):
+    """The session's ``SparkContext``, or ``None`` for a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no driver-side context
+        return None
+
+
+def master_of(spark: SparkSession) -> str:
+    sc = spark_context(spark)
+    return sc.master if sc is not None else (spark.conf.get("spark.master", None) or "")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -52,17 +65,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     (tests) gets a fresh temporary folder; a cluster session without it is
     an error, because a machine-local folder is not visible to executors.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
-    if not root:
-        root = sc.getCheckpointDir()
+    sc = spark_context(spark)
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root and sc is not None:
+        root = sc.getConf().get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if not master_of(spark).startswith("local"):
             raise RuntimeError(
                 f"{CHECKPOINT_KEY} is not set; point it at a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="vecreduce-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, root)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
 
