@@ -50,6 +50,20 @@ def test_map_partitions_sum_equals_all_reduce(spark):
     assert a == b and len(a) == 64
 
 
+def test_map_partitions_sum_ragged_null_and_invalid(spark):
+    rows = [(0, [1.5, 2.0]), (1, [0.25, 1.0, 3.0]), (2, None), (3, [4.0]), (8, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    with pytest.raises(Exception, match="null vector"):
+        op.map_partitions_sum(df).collect()
+    got = totals(op.map_partitions_sum(df, on_invalid="zero"))
+    want = totals(op.all_reduce(op.to_long(df, "embedding", "vec_id", 8, on_invalid="zero")))
+    assert got == want == {0: 6_750_000, 1: 4_000_000, 2: 4_000_000}
+    nan = spark.createDataFrame([(0, [1.0, float("nan")])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="NaN"):
+        op.map_partitions_sum(nan).collect()
+    assert totals(op.map_partitions_sum(nan, on_invalid="zero")) == {0: 1_000_000, 1: 0}
+
+
 def test_barrier_all_reduce_replicas_identical(spark):
     long = op.to_long(embeddings(spark, SF01), "embedding", "vec_id", 8)
     reps = op.barrier_all_reduce(long, 4, replicas=True).collect()

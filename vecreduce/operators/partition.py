@@ -1,9 +1,9 @@
 """Partition-level user functions, barrier mode, parallelism and caching.
 
 ``map_partitions_sum`` is the user-function form of the all-reduce: each
-task folds its rows into one partial vector per worker with numpy (Arrow
-batches, no per-row Python), then Spark's hash aggregate merges partials by
-element.  ``barrier_all_reduce`` runs the merge inside a gang-scheduled
+task folds its rows into one partial vector per worker with numpy over
+Arrow batches (``mapInArrow``; no per-row Python), then Spark's hash
+aggregate merges partials by element.  ``barrier_all_reduce`` runs the merge inside a gang-scheduled
 stage: every task exchanges its partial with all others
 (``BarrierTaskContext.allGather``) and so ends up holding the totals, as in
 a ring all-reduce.  Its messages carry one partial vector per task, so it is
@@ -39,61 +39,102 @@ def _fixed(values: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(values.astype(np.float64) * float(scale) + 0.5).astype(np.int64)
 
 
-def _fold_batch(workers: np.ndarray, vectors, scale: int, on_invalid: str, acc: dict) -> None:
-    lengths = np.fromiter((len(v) for v in vectors), dtype=np.int64, count=len(vectors))
-    for ln in np.unique(lengths):
-        sel = lengths == ln
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in vectors[sel]]) if ln else None
-        if mat is None:
-            continue
-        bad = ~np.isfinite(mat)
-        if bad.any():
-            if on_invalid == "error":
-                raise ValueError("vecreduce: null, NaN or infinite vector element")
-            mat = np.where(bad, 0.0, mat)
-        fixed = _fixed(mat, scale)
-        ws = workers[sel]
-        exact_int64 = np.abs(fixed).max(initial=0) * fixed.shape[0] < _INT64_SAFE
-        for w in np.unique(ws):
-            block = fixed[ws == w]
-            part = block.sum(axis=0) if exact_int64 else block.astype(object).sum(axis=0)
-            prev = acc.get(int(w))
-            if prev is None:
-                acc[int(w)] = part
-            elif len(prev) >= len(part):
-                prev[: len(part)] += part
-            else:
-                part[: len(prev)] += prev
-                acc[int(w)] = part
+def _flat_cells(vec, scale: int, on_invalid: str):
+    """Arrow list column -> (row index per kept row, lengths, fixed-point values), no per-row Python."""
+    import pyarrow.compute as pc
+
+    keep = None
+    if vec.null_count:
+        if on_invalid == "error":
+            raise ValueError("vecreduce: null vector")
+        keep = pc.is_valid(vec).to_numpy(zero_copy_only=False)
+        vec = vec.filter(pc.is_valid(vec))
+    offsets = vec.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    flat = vec.flatten()
+    if flat.null_count:
+        if on_invalid == "error":
+            raise ValueError("vecreduce: null, NaN or infinite vector element")
+        flat = pc.fill_null(flat, 0)
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    bad = ~np.isfinite(values)
+    if bad.any():
+        if on_invalid == "error":
+            raise ValueError("vecreduce: null, NaN or infinite vector element")
+        values = np.where(bad, 0.0, values)
+    return keep, lengths, _fixed(values, scale)
+
+
+def _fold_arrow(workers: np.ndarray, lengths: np.ndarray, fixed: np.ndarray, acc: dict) -> None:
+    """Add one batch's vectors into per-worker partial sums (exact int64, object on overflow risk)."""
+    rows = len(lengths)
+    if rows == 0:
+        return
+    width = int(lengths.max())
+    if width == 0:
+        return
+    if (lengths == width).all():
+        mat = fixed.reshape(rows, width)
+    else:  # ragged rows: pad with the additive identity
+        mat = np.zeros((rows, width), dtype=np.int64)
+        row_of = np.repeat(np.arange(rows), lengths)
+        pos = np.arange(len(fixed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        mat[row_of, pos] = fixed
+    if np.abs(mat).max(initial=0) * rows >= _INT64_SAFE:
+        mat = mat.astype(object)
+    order = np.argsort(workers, kind="stable")
+    ws = workers[order]
+    starts = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
+    sums = np.add.reduceat(mat[order], starts, axis=0)
+    for w, part in zip(ws[starts].tolist(), sums):
+        prev = acc.get(w)
+        if prev is None:
+            acc[w] = part.copy()
+        elif len(prev) >= len(part):
+            prev[: len(part)] += part
+        else:
+            part = part.copy()
+            part[: len(prev)] += prev
+            acc[w] = part
 
 
 def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id", n: int = 8,
                        scale: int = EMBEDDING_SCALE, on_invalid: str = "error") -> DataFrame:
-    """Per-partition partial sums in pandas, merged by Spark: ``(dim, total)``.
+    """Per-partition partial sums with numpy over Arrow batches, merged by Spark: ``(dim, total)``.
 
-    No shuffle before the function; each task emits at most
-    ``workers x dims`` rows, and the final sum per ``dim`` is a hash aggregate.
+    The list column is flattened zero-copy into one numpy matrix per batch;
+    no Python object is created per row or element.  No shuffle before the
+    function; each task emits at most ``workers x dims`` rows, and the final
+    sum per ``dim`` is a hash aggregate.
     """
     rows = df.select(worker_of(key, n).alias("worker"), F.col(vec).alias("vec"))
 
     def fold(batches):
+        import pyarrow as pa
+
         acc: dict = {}
-        for pdf in batches:
-            if len(pdf):
-                vectors = pdf["vec"].to_numpy()
-                if any(v is None for v in vectors):
-                    if on_invalid == "error":
-                        raise ValueError("vecreduce: null vector")
-                    keep = np.array([v is not None for v in vectors])
-                    pdf, vectors = pdf[keep], vectors[keep]
-                _fold_batch(pdf["worker"].to_numpy(), vectors, scale, on_invalid, acc)
-        out = [pd.DataFrame({"worker": np.full(len(s), w, dtype=np.int32),
-                             "dim": np.arange(len(s), dtype=np.int32),
-                             "g": np.asarray(s, dtype=np.int64)}) for w, s in acc.items()]
-        if out:
-            yield pd.concat(out, ignore_index=True)
-
-    partials = rows.mapInPandas(fold, _LONG_SCHEMA)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            keep, lengths, fixed = _flat_cells(rb.column(1), scale, on_invalid)
+            workers = rb.column(0).to_numpy(zero_copy_only=False)
+            if keep is not None:
+                workers = workers[keep]
+            _fold_arrow(workers, lengths, fixed, acc)
+        if not acc:
+            return
+        w_col, d_col, g_col = [], [], []
+        for w, part in acc.items():
+            if part.dtype == object and any(abs(int(v)) >= 2 ** 63 for v in part):
+                raise OverflowError("vecreduce: partial sum exceeds BIGINT; use a smaller scale")
+            w_col.append(np.full(len(part), w, dtype=np.int32))
+            d_col.append(np.arange(len(part), dtype=np.int32))
+            g_col.append(np.asarray(part, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(w_col)), pa.array(np.concatenate(d_col)),
+             pa.array(np.concatenate(g_col))], names=["worker", "dim", "g"])
+
+    partials = rows.mapInArrow(fold, _LONG_SCHEMA)
     return partials.groupBy("dim").agg(F.sum("g").alias("total"))
 
 
