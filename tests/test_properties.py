@@ -106,6 +106,12 @@ def test_invalid_elements(spark):
         op.all_reduce(op.to_long(df, "vec", worker="worker")).collect()
     z = op.all_reduce(op.to_long(df, "vec", worker="worker", on_invalid="zero")).collect()
     assert sorted((r.dim, r.total) for r in z) == [(0, 1_000_000), (1, 0)]
+    bad = spark.createDataFrame([(0, [1.0, float("nan"), float("inf")]), (1, [2.0, 3.0, None])],
+                                "worker int, vec array<double>")
+    sk = op.all_reduce(op.to_long(bad, "vec", worker="worker", on_invalid="skip")).collect()
+    assert sorted((r.dim, r.total) for r in sk) == [(0, 3_000_000), (1, 3_000_000), (2, None)]
+    with pytest.raises(ValueError):
+        op.to_long(df, "vec", worker="worker", on_invalid="keep")
     nulls = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "worker int, vec array<double>")
     with pytest.raises(Exception, match="null vector"):
         op.all_reduce(op.to_long(nulls, "vec", worker="worker")).collect()

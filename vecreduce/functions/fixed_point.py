@@ -39,20 +39,23 @@ def checked(c, on_invalid: str = "error") -> Column:
     """Guard a numeric element against null / NaN / infinity.
 
     ``on_invalid="error"`` fails the task with a clear message,
-    ``"zero"`` substitutes 0 (the additive identity), ``"keep"`` passes the
-    value through (nulls are then skipped by ``sum``).
+    ``"zero"`` substitutes 0 (the additive identity), ``"skip"`` turns the
+    element into null so that ``sum`` ignores it (an element that is invalid
+    in every row then totals to null).  There is no unchecked mode: a NaN or
+    infinity reaching the fixed-point cast would silently become 0 or the
+    BIGINT maximum.
     """
     x = col_of(c).cast("double")
     # x - x is 0 exactly for finite x; NaN for NaN and +-inf; null for null.
     finite = (x - x) == F.lit(0.0)
-    if on_invalid == "keep":
-        return x
+    if on_invalid == "skip":
+        return F.when(finite, x)
     if on_invalid == "zero":
         return F.when(finite, x).otherwise(F.lit(0.0))
     if on_invalid == "error":
         return F.when(finite, x).otherwise(
             F.raise_error(F.lit("vecreduce: null, NaN or infinite vector element")))
-    raise ValueError(f"on_invalid must be error, zero or keep, not {on_invalid!r}")
+    raise ValueError(f"on_invalid must be error, zero or skip, not {on_invalid!r}")
 
 
 def wide_sum(c) -> Column:

@@ -35,7 +35,7 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
 
         v = vector_to_array(v)
     if on_invalid == "error":
-        # a null vector is an error too; with "zero" / "keep" it contributes nothing
+        # a null vector is an error too; with "zero" / "skip" it contributes nothing
         v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
     cells = df.select(*keep, w.alias("worker"), F.posexplode(v).alias("dim", "x"))
     return cells.select(*keep, "worker", "dim",

@@ -40,9 +40,16 @@ def _fixed(values: np.ndarray, scale: int) -> np.ndarray:
 
 
 def _flat_cells(vec, scale: int, on_invalid: str):
-    """Arrow list column -> (row index per kept row, lengths, fixed-point values), no per-row Python."""
+    """Arrow list column -> (kept-row mask, lengths, fixed-point values), no per-row Python.
+
+    ``"zero"`` and ``"skip"`` both add nothing for an invalid element here:
+    the partial sums cannot tell a skipped element from a zero one.
+    """
     import pyarrow.compute as pc
 
+    if on_invalid not in ("error", "zero", "skip"):
+        raise ValueError(f"on_invalid must be error, zero or skip, not {on_invalid!r}")
+
     keep = None
     if vec.null_count:
         if on_invalid == "error":
