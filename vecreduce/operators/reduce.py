@@ -153,14 +153,16 @@ def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
     """Two-level all-reduce: ``(grp, dim, grp_total, total)``; ``total`` equals :func:`all_reduce`.
 
     ``method="window"``: group totals, then a window sum per ``dim``.
-    ``method="rollup"``: both levels from one ``rollup(dim, grp)`` aggregate.
+    ``method="rollup"``: both levels from one grouping-sets aggregate over
+    ``(dim, grp)`` and ``(dim)`` (each cell is expanded twice in the scan
+    stage, so the window method is the default).
     """
     if method == "window":
         return merge_groups(group_all_reduce(cells, group_size, value))
     if method == "rollup":
         g = with_groups(cells, group_size)
-        both = g.rollup("dim", "grp").agg(F.sum(value).alias("s"), F.grouping("grp").alias("lvl"))
-        both = both.where(F.col("dim").isNotNull())
+        both = g.groupingSets([("dim", "grp"), ("dim",)], "dim", "grp").agg(
+            F.sum(value).alias("s"), F.grouping("grp").alias("lvl"))
         tot = F.max(F.when(F.col("lvl") == 1, F.col("s"))).over(Window.partitionBy("dim"))
         return (both.withColumn("total", tot).where(F.col("lvl") == 0)
                     .select("grp", "dim", F.col("s").alias("grp_total"), "total"))
