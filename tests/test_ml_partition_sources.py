@@ -76,6 +76,17 @@ def test_barrier_all_reduce_replicas_identical(spark):
     assert first == totals(op.all_reduce(long))
 
 
+def test_barrier_with_empty_tasks(spark):
+    """More barrier tasks than workers: empty tasks still join the exchange (no hang)."""
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0]), (8, [5.0, 6.0])],
+                               "vec_id long, embedding array<double>")
+    long = op.to_long(df, "embedding", "vec_id", 8)  # workers 0 and 1 only
+    tasks = min(8, op.barrier_slots(spark))
+    reps = op.barrier_all_reduce(long, tasks, replicas=True).collect()
+    assert len({r.task for r in reps}) == tasks
+    assert {(r.dim, r.total) for r in reps} == {(0, 9_000_000), (1, 12_000_000)}
+
+
 def test_barrier_refuses_without_slots(spark):
     long = op.to_long(embeddings(spark, SF01), "embedding", "vec_id", 8)
     with pytest.raises(ValueError, match="slots"):
