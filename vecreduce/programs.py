@@ -1,0 +1,72 @@
+"""One call per workload of the reference: the same results, built from the operators.
+
+Each function only composes operators from :mod:`vecreduce.operators`; all
+return DataFrames (nothing runs until an action), except the model fit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import operators as op
+
+
+def ring_all_reduce(cells: DataFrame, n: int, upto_step: int | None = None) -> dict[str, DataFrame]:
+    """Ring all-reduce of ``n`` workers' vectors.
+
+    ``scatter``: state after the scatter-reduce (or after ``upto_step``),
+    ``(worker, dim, ring_pos, partial)``; ``gathered``: every worker's cells
+    holding the totals, ``(worker, dim, total)``; ``totals``: ``(dim, total)``.
+    """
+    return {"scatter": op.scatter_reduce(cells, n, upto_step=upto_step),
+            "gathered": op.all_gather(cells),
+            "totals": op.all_reduce(cells)}
+
+
+def divide_and_conquer_all_reduce(cells: DataFrame, group_size: int) -> dict[str, DataFrame]:
+    """Ring all-reduce inside blocks of ``group_size`` workers, then a cross-group merge.
+
+    ``group_scatter``: per-group scatter-reduce state; ``group_gathered``:
+    cells holding their group's totals; ``merged``: ``(grp, dim, grp_total,
+    total)``, where ``total`` equals the flat all-reduce; ``gathered``: every
+    worker's cells holding the merged totals.
+    """
+    return {"group_scatter": op.scatter_reduce(cells, group_size, group_size=group_size),
+            "group_gathered": op.group_all_gather(cells, group_size),
+            "merged": op.hierarchical_all_reduce(cells, group_size),
+            "gathered": op.all_gather(cells)}
+
+
+def ring_gradient_descent(grads: DataFrame, n: int, lr: float, scale: int, w0: float = 1.0,
+                          it: str = "iter", dim: str = "dim") -> DataFrame:
+    """Gradient descent where each iteration all-reduces the workers' gradients.
+
+    ``grads``: ``(iter, worker, dim, g)`` fixed-point cells.  Returns the
+    weights after every iteration, ``(iter, dim, w)``, with
+    ``w <- w - lr * sum / n`` (one cumulative window, no driver loop).
+    """
+    return op.gd_trajectory(grads, lr, n, scale, w0, it=it, dim=dim)
+
+
+def aggregate_statistics(df: DataFrame, grads: Mapping[str, Column | str],
+                         loss: Column | str) -> DataFrame:
+    """Gradient sums, loss sum and row count in one aggregate: one row."""
+    return op.tree_stats(df, grads, loss)
+
+
+def mlp_classifier(data: DataFrame, layers: Sequence[int], key: str, train_percent: int = 80,
+                   block_size: int = 128, seed: int = 1234, max_iter: int = 100,
+                   features: str = "features", label: str = "label"):
+    """Split by a hash of ``key``, fit the perceptron on the train part, predict the test part.
+
+    Returns ``(model, predictions, accuracy)``; ``accuracy`` is a one-row
+    DataFrame ``(accuracy, cnt)``.
+    """
+    parts = op.hash_split(data, key, train_percent)
+    model = op.mlp_fit(parts.where(F.col("split") == "train"), layers, block_size, seed, max_iter,
+                       features, label)
+    pred = op.predict(model, parts.where(F.col("split") == "test"))
+    return model, pred, op.accuracy(pred, label=label)
