@@ -71,6 +71,14 @@ def test_linear_in_input(spark):
     assert all(tab[d] == 3 * ta[d] + tb[d] for d in range(6))
 
 
+def test_scatter_reduce_guards(spark):
+    m = seeded(9, 8, 4)
+    with pytest.raises(ValueError):
+        op.scatter_reduce(local_of(spark, m), 8, group_size=4)
+    with pytest.raises(ValueError):
+        op.scatter_reduce(local_of(spark, m), 8, upto_step=8)
+
+
 def test_single_worker_is_identity(spark):
     m = seeded(5, 1, 6)
     local = local_of(spark, m)

@@ -97,6 +97,15 @@ def test_tree_stats_true_sum(spark):
     assert (row.grad, row.loss, row.cnt) == (10, 15.0, 5)
 
 
+def test_tree_stats_fractional_loss_golden(spark):
+    """Five rows, loss 0.2 and count 1 each: loss 1.0, count 5 (fixture F5)."""
+    df = spark.range(0, 5, 1, 5).select(F.lit(0.2).alias("l"))
+    exact = op.tree_stats(df, {}, "l", loss_scale=1_000_000).first()
+    assert (exact.loss, exact.cnt) == (1.0, 5)
+    plain = op.tree_stats(df, {}, "l").first()
+    assert abs(plain.loss - 1.0) < 1e-12 and plain.cnt == 5
+
+
 @pytest.mark.parametrize("n", [1, 8])
 def test_mean_gradient_divides_by_workers(spark, n):
     totals = spark.createDataFrame([(0, 16_000_000)], "dim int, total long")

@@ -95,6 +95,8 @@ def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
     """
     if upto_step is not None and not 0 <= upto_step < n:
         raise ValueError(f"upto_step must be in [0, {n - 1}]")
+    if group_size and n != group_size:
+        raise ValueError("a ring inside groups has n = group_size members")
     local = local_sums(cells, value=value)
     parts = ["dim"]
     df = local
@@ -104,7 +106,8 @@ def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
         parts = ["grp", "dim"]
         member = "local_worker"
     df = df.withColumn("ring_pos", ring_pos(member, "dim", n))
-    w = (Window.partitionBy(*parts).orderBy("ring_pos")
+    # worker breaks ties if ids outside [0, n) share a ring position: still deterministic
+    w = (Window.partitionBy(*parts).orderBy("ring_pos", "worker")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = F.sum(value).over(w)
     if upto_step is not None:

@@ -6,22 +6,38 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.fixed_point import EMBEDDING_SCALE, col_of, from_fixed, wide_sum
+from ..functions.fixed_point import EMBEDDING_SCALE, col_of, from_fixed, to_fixed, wide_sum
+
+
+def _is_integral(df: DataFrame, c) -> bool:
+    dtype = df.select(col_of(c).alias("_t")).schema["_t"].dataType
+    return isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) or (
+        isinstance(dtype, T.DecimalType) and dtype.scale == 0)
 
 
 def tree_stats(df: DataFrame, grads: Mapping[str, Column | str], loss: Column | str,
-               loss_name: str = "loss", count_name: str = "cnt") -> DataFrame:
+               loss_name: str = "loss", count_name: str = "cnt",
+               loss_scale: int | None = None) -> DataFrame:
     """``(grad_1..grad_k, loss, cnt)`` in one pass.
 
     The reference's tree-shaped merge of ``(gradient, loss, count)`` is what
     Spark's partial/final aggregation already does: each task folds its rows
     into one buffer and the buffers are merged after one small exchange.
     Gradient columns are summed as given (pass fixed-point BIGINTs for exact
-    totals); the loss is accumulated in DECIMAL(38,0) so it cannot overflow.
+    totals).  The loss is summed exactly when it is integral (DECIMAL(38,0)
+    accumulator, no overflow) or when ``loss_scale`` is given (fixed point at
+    that scale); otherwise it is a plain double sum.
     """
     aggs = [F.sum(col_of(c)).alias(name) for name, c in grads.items()]
-    aggs.append(wide_sum(loss).alias(loss_name))
+    if loss_scale:
+        total = wide_sum(to_fixed(loss, loss_scale)) / F.lit(float(loss_scale))
+    elif _is_integral(df, loss):
+        total = wide_sum(loss)
+    else:
+        total = F.sum(col_of(loss).cast("double"))
+    aggs.append(total.alias(loss_name))
     aggs.append(F.count(F.lit(1)).alias(count_name))
     return df.agg(*aggs)
 
