@@ -1,6 +1,6 @@
 """Build an enlarged copy of the tables the catalogue reads, for scale runs.
 
-    python scripts/scale_copy.py <out_dir> [base_sf_dir]
+    python scripts/scale_copy.py <out_dir> [base_sf_dir] [table=copies ...]
     BENCH_SF_DIR=<out_dir> BENCH_REPEAT=1 python bench.py
 
 Each table is replicated on the executors (``explode(sequence)``), with
@@ -31,9 +31,14 @@ PLAN = {
 
 def main(argv):
     out = argv[1]
-    base = argv[2] if len(argv) > 2 else "/root/testdata/sf0.1"
+    base = argv[2] if len(argv) > 2 and "=" not in argv[2] else "/root/testdata/sf0.1"
+    plan = dict(PLAN)
+    for arg in argv[2:]:
+        if "=" in arg:
+            table, copies = arg.split("=")
+            plan[table] = (int(copies), PLAN[table][1])
     spark = local_session(8)
-    for table, (copies, key) in PLAN.items():
+    for table, (copies, key) in plan.items():
         target = f"{out}/{table}.parquet"
         if os.path.exists(target):
             continue

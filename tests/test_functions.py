@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecreduce import operators as op
 from vecreduce.functions import (add_at, element, from_fixed, overwrite, ring_chunk, ring_pos,
-                                 ring_stripes, to_fixed)
+                                 ring_stripes, to_fixed, wide_sum)
 from vecreduce.session import scratch_path
 from vecreduce.sources import counting_matrix, matrix_literal, to_local, write_parquet
 
@@ -75,3 +75,18 @@ def test_show_matrix_prints(spark, capsys):
     show_matrix(local, range(2))
     out = capsys.readouterr().out
     assert "d0" in out and "d1" in out
+
+
+def test_wide_sum_exact_for_signed_and_large_values(spark):
+    vals = [2 ** 62 - 1, 2 ** 62 - 7, -(2 ** 62), 12345678901234, -1, 0, -(2 ** 41) - 3, 3 * 2 ** 42 + 5]
+    df = spark.createDataFrame([(v,) for v in vals], "v long").repartition(3)
+    got = df.agg(wide_sum("v").alias("s")).first().s
+    assert got == float(sum(vals))
+    squares = spark.createDataFrame([(v,) for v in (3_000_000_000, -3_000_000_000, 7)], "v long")
+    assert squares.agg(wide_sum(F.col("v") * F.col("v")).alias("s")).first().s == float(
+        2 * 3_000_000_000 ** 2 + 49)
+    # a sum far beyond BIGINT: 2^20 rows of 2^62 - 1
+    big = spark.range(1 << 20).select(F.lit(2 ** 62 - 1).cast("long").alias("v"))
+    assert big.agg(wide_sum("v").alias("s")).first().s == float((2 ** 62 - 1) * (1 << 20))
+    nulls = spark.createDataFrame([(None,)], "v long")
+    assert nulls.agg(wide_sum("v").alias("s")).first().s is None

@@ -26,9 +26,9 @@ def tree_stats(df: DataFrame, grads: Mapping[str, Column | str], loss: Column |
     Spark's partial/final aggregation already does: each task folds its rows
     into one buffer and the buffers are merged after one small exchange.
     Gradient columns are summed as given (pass fixed-point BIGINTs for exact
-    totals).  The loss is summed exactly when it is integral (DECIMAL(38,0)
-    accumulator, no overflow) or when ``loss_scale`` is given (fixed point at
-    that scale); otherwise it is a plain double sum.
+    totals).  The loss is summed exactly when it is integral (``wide_sum``:
+    no BIGINT overflow) or when ``loss_scale`` is given (fixed point at that
+    scale); otherwise it is a plain double sum.
     """
     aggs = [F.sum(col_of(c)).alias(name) for name, c in grads.items()]
     if loss_scale:

@@ -74,9 +74,8 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
     """Least-squares gradient ``sum x * (x.w - y)``, squared error and count, one row.
 
     ``exact=True`` needs integer features, target and weights: per-row terms
-    are BIGINT, every sum accumulates in DECIMAL(38,0) (no overflow at any
-    row count) and is rounded to DOUBLE once, so the result does not depend
-    on partitioning.
+    are BIGINT, every sum is an exact ``wide_sum`` (no BIGINT overflow)
+    rounded to DOUBLE once, so the result does not depend on partitioning.
     """
     names = list(names or [f"g{i}" for i in range(len(features))])
     xs = [col_of(c) for c in features]

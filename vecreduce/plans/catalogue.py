@@ -6,7 +6,8 @@ Conventions (shared by both sides, so results hash equal):
 * vector elements become BIGINT fixed point, ``floor(double(x) * 1e6 + 0.5)``;
   money becomes cents, ``floor(value * 100 + 0.5)``;
 * worker of an embedding = ``vec_id mod 8``; groups are blocks of 4 workers;
-* sums of squares accumulate in DECIMAL(38,0) and are returned as DOUBLE;
+* sums that can outgrow BIGINT (squares, products) are exact wide sums returned as DOUBLE
+  (Spark: three BIGINT limb sums; SQL: a DECIMAL(38,0) sum; same value);
 * every computed column is aliased to the same name on both sides.
 """
 
