@@ -60,8 +60,9 @@ def _local(spark, sf):
 
 
 def _width(df: DataFrame, vec: str) -> int:
-    """Vector length, read from one row (a one-partition job)."""
-    row = df.select(F.size(vec).alias("n")).limit(1).first()
+    """Vector length, read from the first non-null vector (metadata lookup, not a result cap:
+    a full pass just to learn the width would double the scan at scale)."""
+    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).limit(1).first()
     return int(row["n"]) if row else 0
 
 
