@@ -50,6 +50,14 @@ def test_gd_step_array_form(spark):
     assert got == {0: 1.0 - 0.5 * 8.0 / 4, 1: 1.0 + 0.5 * 4.0 / 4, 2: 1.0}
 
 
+def test_gd_step_long_form_matches_array_form(spark):
+    totals = spark.createDataFrame([(d, 1_234_567 * (d - 3)) for d in range(10)], "dim int, total long")
+    for w0 in (None, [1.0, 0.5, 2.0]):
+        a = {r.dim: r.w for r in op.gd_step(totals, 0.2, 8, w0=w0).collect()}
+        b = {r.dim: r.w for r in op.gd_step(totals, 0.2, 8, w0=w0, form="long").collect()}
+        assert a == b and len(a) == (10 if w0 is None else 3)
+
+
 def test_axpy_truncates_to_shorter(spark):
     df = spark.createDataFrame([([1.0, 1.0, 1.0], [2.0, 4.0])], "w array<double>, g array<double>")
     assert df.select(axpy("w", "g", 0.5, 2).alias("r")).first().r == [0.5, 0.0]

@@ -40,12 +40,26 @@ def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFr
 
 
 def gd_step(totals: DataFrame, lr: float, n: int, scale: int = EMBEDDING_SCALE,
-            total: str = "total", w0=None) -> DataFrame:
-    """One update ``w = w0 - lr * total / n`` in array form: ``(dim, w)``.
-
-    The all-reduced totals are assembled into one vector (one row of
-    ``dims`` elements) and zipped with the weights; ``w0`` defaults to ones.
+            total: str = "total", w0=None, form: str = "array") -> DataFrame:
+    """One update ``w = w0 - lr * total / n``: ``(dim, w)``; ``w0`` defaults to ones.
+
+    ``form="array"``: the totals are assembled into one vector and zipped with
+    the weights (truncating to the shorter, as a zip does); one task holds the
+    whole vector, which is fine for model widths up to millions.
+    ``form="long"``: the same arithmetic per ``(dim, total)`` row, for any
+    width (with ``w0`` given, only dims it covers are kept).
     """
+    if form == "long":
+        y = from_fixed(total, scale)
+        if w0 is None:
+            w = F.lit(1.0)
+            rows = totals
+        else:
+            w = F.element_at(F.array(*[F.lit(float(x)) for x in w0]), F.col("dim") + 1)
+            rows = totals.where(F.col("dim") < len(w0))
+        return rows.select("dim", (w - F.lit(float(lr)) * y / F.lit(float(n))).alias("w"))
+    if form != "array":
+        raise ValueError("form must be 'array' or 'long'")
     vec = assemble(totals, value=total, name="g")
     g = F.transform(F.col("g"), lambda x: from_fixed(x, scale))
     w = ones(F.size("g")) if w0 is None else F.array(*[F.lit(float(x)) for x in w0])
