@@ -120,6 +120,13 @@ def test_invalid_elements(spark):
     assert sorted((r.dim, r.total) for r in sk) == [(0, 3_000_000), (1, 3_000_000), (2, None)]
     with pytest.raises(ValueError):
         op.to_long(df, "vec", worker="worker", on_invalid="keep")
+    keyless = spark.createDataFrame([(None, [1.0]), (3, [2.0])], "vec_id long, vec array<double>")
+    # the key check fires wherever the worker is used (a plain all-reduce does not use it)
+    with pytest.raises(Exception, match="null worker key"):
+        op.local_sums(op.to_long(keyless, "vec", "vec_id", 8)).collect()
+    with pytest.raises(Exception, match="null worker key"):
+        op.scatter_reduce(op.to_long(keyless, "vec", "vec_id", 8), 8).collect()
+    assert op.all_reduce(op.to_long(keyless, "vec", "vec_id", 8, on_invalid="skip")).first().total == 2_000_000
     nulls = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "worker int, vec array<double>")
     with pytest.raises(Exception, match="null vector"):
         op.all_reduce(op.to_long(nulls, "vec", worker="worker")).collect()

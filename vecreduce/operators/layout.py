@@ -24,7 +24,10 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
     """``(worker, dim, g)`` with ``g = floor(x * scale + 0.5)``.
 
     The worker is an existing ``worker`` column or ``key mod n``.  Any number of
-    rows may belong to one worker (they are summed later).  ``vec`` may be an
+    rows may belong to one worker (they are summed later).  A row without a
+    worker key raises under ``on_invalid="error"`` wherever the worker is
+    used (Catalyst prunes the check from a plain all-reduce, where the key is
+    irrelevant) and is dropped under ``"zero"`` / ``"skip"``.  ``vec`` may be an
     array column or a Spark ML vector (dense or sparse; converted to an array
     first, so sums stay exact).
     """
@@ -35,8 +38,12 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
 
         v = vector_to_array(v)
     if on_invalid == "error":
-        # a null vector is an error too; with "zero" / "skip" it contributes nothing
+        # a null vector or worker key is an error too; with "zero" / "skip" the row
+        # contributes nothing
         v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
+        w = F.when(w.isNotNull(), w).otherwise(F.raise_error(F.lit("vecreduce: null worker key")))
+    else:
+        df = df.where(w.isNotNull())
     cells = df.select(*keep, w.alias("worker"), F.posexplode(v).alias("dim", "x"))
     return cells.select(*keep, "worker", "dim",
                         to_fixed(checked("x", on_invalid), scale).alias("g"))
