@@ -62,6 +62,21 @@ def test_map_partitions_sum_ragged_null_and_invalid(spark):
     with pytest.raises(Exception, match="NaN"):
         op.map_partitions_sum(nan).collect()
     assert totals(op.map_partitions_sum(nan, on_invalid="zero")) == {0: 1_000_000, 1: 0}
+    keyless = spark.createDataFrame([(None, [1.0]), (3, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="null worker key"):
+        op.map_partitions_sum(keyless).collect()
+    assert totals(op.map_partitions_sum(keyless, on_invalid="skip")) == {0: 2_000_000}
+
+
+def test_map_partitions_sum_exact_beyond_int64_batches(spark):
+    """Per-task running sums stay exact across batches whose total leaves int64."""
+    big = spark.range(0, 40_000, 1, 1).selectExpr(
+        "id as vec_id", "array(cast(4.0e12 as double), cast(-1.0 as double)) as embedding")
+    out = op.map_partitions_sum(big, scale=1_000_000, n=1)
+    with pytest.raises(Exception, match="BIGINT"):
+        out.collect()  # 40k x 4e18 does not fit a BIGINT partial: refused, never wrapped
+    small = op.map_partitions_sum(big, scale=1, n=1)
+    assert totals(small) == {0: 40_000 * 4_000_000_000_000, 1: -40_000}
 
 
 def test_barrier_all_reduce_replicas_identical(spark):

@@ -88,19 +88,21 @@ def _fold_arrow(workers: np.ndarray, lengths: np.ndarray, fixed: np.ndarray, acc
         pos = np.arange(len(fixed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         mat[row_of, pos] = fixed
     if np.abs(mat).max(initial=0) * rows >= _INT64_SAFE:
-        mat = mat.astype(object)
+        mat = mat.astype(object)  # this batch's sums could leave int64: exact Python ints
     order = np.argsort(workers, kind="stable")
     ws = workers[order]
     starts = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
     sums = np.add.reduceat(mat[order], starts, axis=0)
+    # The running per-worker sums are Python ints (object arrays of `dims` entries):
+    # exact across any number of batches, and cheap since they are one vector per worker.
     for w, part in zip(ws[starts].tolist(), sums):
+        part = part.astype(object)
         prev = acc.get(w)
         if prev is None:
-            acc[w] = part.copy()
+            acc[w] = part
         elif len(prev) >= len(part):
             prev[: len(part)] += part
         else:
-            part = part.copy()
             part[: len(prev)] += prev
             acc[w] = part
 
@@ -118,11 +120,16 @@ def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id
 
     def fold(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         acc: dict = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
+            if rb.column(0).null_count:  # rows without a worker key
+                if on_invalid == "error":
+                    raise ValueError("vecreduce: null worker key")
+                rb = rb.filter(pc.is_valid(rb.column(0)))
             keep, lengths, fixed = _flat_cells(rb.column(1), scale, on_invalid)
             workers = rb.column(0).to_numpy(zero_copy_only=False)
             if keep is not None:
@@ -132,7 +139,7 @@ def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id
             return
         w_col, d_col, g_col = [], [], []
         for w, part in acc.items():
-            if part.dtype == object and any(abs(int(v)) >= 2 ** 63 for v in part):
+            if any(abs(v) >= 2 ** 63 for v in part.tolist()):
                 raise OverflowError("vecreduce: partial sum exceeds BIGINT; use a smaller scale")
             w_col.append(np.full(len(part), w, dtype=np.int32))
             d_col.append(np.arange(len(part), dtype=np.int32))
