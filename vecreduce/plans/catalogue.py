@@ -87,15 +87,15 @@ SQL_CENTS = "cast(floor(value * 100 + 0.5) as bigint)"
 
 # --------------------------------------------------------------------------- queries
 
-def q_matrix_long(spark, sf):
+def q_matrix_long(spark: SparkSession, sf: str) -> DataFrame:
     return _long(spark, sf)
 
 
-def q_range_source(spark, sf):
+def q_range_source(spark: SparkSession, sf: str) -> DataFrame:
     return src.key_domain(src.events(spark, sf, ["user_id"]), "user_id")
 
 
-def q_libsvm_source(spark, sf):
+def q_libsvm_source(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     emb = _emb(spark, sf, ("label", "embedding"))
@@ -109,7 +109,7 @@ def q_libsvm_source(spark, sf):
                                      F.sum(row_total).alias("total"))
 
 
-def q_dense_text_source(spark, sf):
+def q_dense_text_source(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "dense-text")
     src.write_dense_text(_emb(spark, sf, ("embedding",)), path, vec="embedding")
     back = src.read_dense_text(spark, path, vec="vec")
@@ -117,100 +117,100 @@ def q_dense_text_source(spark, sf):
     return op.all_reduce(cells)
 
 
-def q_event_gradients(spark, sf):
+def q_event_gradients(spark: SparkSession, sf: str) -> DataFrame:
     return op.event_gradients(src.events(spark, sf, ["ts", "user_id", "event_type", "value"]),
                               WORKERS, CENTS)
 
 
-def q_matrix_pivot(spark, sf):
+def q_matrix_pivot(spark: SparkSession, sf: str) -> DataFrame:
     width = _width(_emb(spark, sf), "embedding")
     return src.pivot_matrix(_long(spark, sf), range(width))
 
 
-def q_ring_schedule(spark, sf):
+def q_ring_schedule(spark: SparkSession, sf: str) -> DataFrame:
     return _local(spark, sf).select("worker", "dim", ring_pos("worker", "dim", WORKERS).alias("step"))
 
 
-def q_scatter_reduce(spark, sf):
+def q_scatter_reduce(spark: SparkSession, sf: str) -> DataFrame:
     return op.scatter_reduce(_long(spark, sf), WORKERS)
 
 
-def q_scatter_reduce_step(spark, sf):
+def q_scatter_reduce_step(spark: SparkSession, sf: str) -> DataFrame:
     return op.scatter_reduce(_long(spark, sf), WORKERS, upto_step=UPTO_STEP)
 
 
-def q_group_scatter_reduce(spark, sf):
+def q_group_scatter_reduce(spark: SparkSession, sf: str) -> DataFrame:
     return op.scatter_reduce(_long(spark, sf), GROUP_SIZE, group_size=GROUP_SIZE)
 
 
-def q_all_gather(spark, sf):
+def q_all_gather(spark: SparkSession, sf: str) -> DataFrame:
     return op.all_gather(_long(spark, sf))
 
 
-def q_keyed_sum_default(spark, sf):
+def q_keyed_sum_default(spark: SparkSession, sf: str) -> DataFrame:
     ev = src.events(spark, sf, ["user_id", "event_type", "value"])
     domain = src.key_domain(ev, "user_id")
     bought = _cents(ev.where(F.col("event_type") == "purchase"))
     return op.with_default(domain, op.keyed_sum(bought, "user_id", "c"), "user_id", "total", 0)
 
 
-def q_assemble_vector(spark, sf):
+def q_assemble_vector(spark: SparkSession, sf: str) -> DataFrame:
     vecs = op.assemble(_long(spark, sf), keys=["worker"], value="g", name="vec")
     cells = op.explode_vector(vecs, "vec", keys=["worker"], value="g")
     return cells.select("worker", "dim", from_fixed("g").alias("v"))
 
 
-def q_keyed_sum(spark, sf):
+def q_keyed_sum(spark: SparkSession, sf: str) -> DataFrame:
     return op.keyed_sum(_cents(src.events(spark, sf, ["user_id", "value"])), "user_id", "c")
 
 
-def q_hierarchical_all_reduce(spark, sf):
+def q_hierarchical_all_reduce(spark: SparkSession, sf: str) -> DataFrame:
     return op.hierarchical_all_reduce(_long(spark, sf), GROUP_SIZE)
 
 
-def q_hierarchical_all_reduce_rollup(spark, sf):
+def q_hierarchical_all_reduce_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return op.hierarchical_all_reduce(_long(spark, sf), GROUP_SIZE, method="rollup")
 
 
-def q_keyed_set(spark, sf):
+def q_keyed_set(spark: SparkSession, sf: str) -> DataFrame:
     ev = src.events(spark, sf, ["event_id", "ts", "user_id", "value"])
     return op.keyed_set(ev, "user_id", "value", ["ts", "event_id"])
 
 
-def q_all_reduce_sum(spark, sf):
+def q_all_reduce_sum(spark: SparkSession, sf: str) -> DataFrame:
     return op.all_reduce(_long(spark, sf))
 
 
-def q_all_reduce_wide(spark, sf):
+def q_all_reduce_wide(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf, ("embedding",))
     return op.all_reduce_wide(emb, "embedding", _width(emb, "embedding"))
 
 
-def q_group_all_gather(spark, sf):
+def q_group_all_gather(spark: SparkSession, sf: str) -> DataFrame:
     return op.group_all_gather(_long(spark, sf), GROUP_SIZE)
 
 
-def q_gd_step(spark, sf):
+def q_gd_step(spark: SparkSession, sf: str) -> DataFrame:
     return op.gd_step(op.all_reduce(_long(spark, sf)), LR, WORKERS, EMBEDDING_SCALE)
 
 
-def q_tree_stats(spark, sf):
+def q_tree_stats(spark: SparkSession, sf: str) -> DataFrame:
     c = to_fixed("value", CENTS)
     ev = src.events(spark, sf, ["value"]).select(c.alias("c"))
     return op.tree_stats(ev, {"grad": "c"}, F.col("c") * F.col("c"))
 
 
-def q_vector_stats(spark, sf):
+def q_vector_stats(spark: SparkSession, sf: str) -> DataFrame:
     return op.vector_stats(_long(spark, sf))
 
 
-def q_gd_trajectory(spark, sf):
+def q_gd_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     ev = src.events(spark, sf, ["ts", "user_id", "event_type", "value"])
     return op.gd_trajectory(op.event_cells(ev, WORKERS, CENTS), LR, WORKERS, CENTS, 1.0,
                             dim="event_type")
 
 
-def q_least_squares_gradient(spark, sf):
+def q_least_squares_gradient(spark: SparkSession, sf: str) -> DataFrame:
     li = src.lineitem(spark, sf, ["l_quantity", "l_discount", "l_tax", "l_extendedprice"])
     feats = [to_fixed("l_quantity", 1), to_fixed("l_discount", 100), to_fixed("l_tax", 100),
              F.lit(1).cast("long")]
@@ -218,14 +218,14 @@ def q_least_squares_gradient(spark, sf):
                           names=["g_quantity", "g_discount", "g_tax", "g_bias"])
 
 
-def q_least_squares_fit(spark, sf):
+def q_least_squares_fit(spark: SparkSession, sf: str) -> DataFrame:
     emb = _emb(spark, sf, ("embedding",))
     xs = [F.element_at("embedding", i + 1).cast("double") for i in range(3)]
     y = xs[0] + 2.0 * xs[1] + 3.0 * xs[2]
     return op.ls_fit(emb, xs, y, LS_LR, LS_ITERATIONS)
 
 
-def q_hash_split(spark, sf):
+def q_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return op.hash_split(_emb(spark, sf, ("vec_id",)), "vec_id", TRAIN_PERCENT)
 
 
@@ -236,29 +236,29 @@ def _mlp_frame(spark, sf):
     return op.hash_split(emb, "vec_id", TRAIN_PERCENT)
 
 
-def q_mlp_fit_predict(spark, sf):
+def q_mlp_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     data = _mlp_frame(spark, sf)
     model = op.mlp_fit(data.where(F.col("split") == "train"), MLP_LAYERS)
     pred = op.predict(model, data.where(F.col("split") == "test"))
     return pred.select("vec_id", "label", "prediction")
 
 
-def q_accuracy(spark, sf):
+def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     lab = src.labels(spark, sf, ["quality", "toxic"])
     return op.accuracy(lab.select(F.col("quality").alias("prediction"),
                                   (F.lit(1) - F.col("toxic")).alias("label")))
 
 
-def q_map_partitions_sum(spark, sf):
+def q_map_partitions_sum(spark: SparkSession, sf: str) -> DataFrame:
     return op.map_partitions_sum(_emb(spark, sf), "embedding", "vec_id", WORKERS)
 
 
-def q_barrier_all_reduce(spark, sf):
+def q_barrier_all_reduce(spark: SparkSession, sf: str) -> DataFrame:
     tasks = min(WORKERS, op.barrier_slots(spark))
     return op.barrier_all_reduce(_long(spark, sf), tasks)
 
 
-def q_cache_count(spark, sf):
+def q_cache_count(spark: SparkSession, sf: str) -> DataFrame:
     return op.cache_count(_emb(spark, sf, ("vec_id",)))
 
 
