@@ -58,25 +58,32 @@ def master_of(spark: SparkSession) -> str:
     return sc.master if sc is not None else (spark.conf.get("spark.master", None) or "")
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session.  Only a local-mode session without the setting
-    (tests) gets a fresh temporary folder; a cluster session without it is
-    an error, because a machine-local folder is not visible to executors.
+    (tests) gets a fresh temporary folder, registered as the context's
+    checkpoint folder (the setting itself is a core config and cannot be
+    changed at runtime); a cluster session without it is an error, because a
+    machine-local folder is not visible to executors.
     """
     sc = spark_context(spark)
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root and sc is not None:
-        root = sc.getConf().get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
+    app = spark.conf.get("spark.app.id", None) or "local"
+    root = (spark.conf.get(CHECKPOINT_KEY, None)
+            or (sc.getConf().get(CHECKPOINT_KEY, None) if sc is not None else None)
+            or _LOCAL_ROOTS.get(app)
+            or (sc.getCheckpointDir() if sc is not None else None))
     if not root:
         if not master_of(spark).startswith("local"):
             raise RuntimeError(
                 f"{CHECKPOINT_KEY} is not set; point it at a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="vecreduce-ckpt-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    if sc is not None and not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
+        _LOCAL_ROOTS[app] = root
+        if sc is not None:
+            sc.setCheckpointDir(root)
     return root
 
 
