@@ -152,3 +152,14 @@ def test_all_reduce_wide_equals_long(spark):
     wide = {r.dim: r.total for r in op.all_reduce_wide(df, "vec", 12, scale=1).collect()}
     long = {r.dim: r.total for r in op.all_reduce(op.to_long(df, "vec", worker="worker", scale=1)).collect()}
     assert wide == long
+
+
+def test_all_reduce_wide_accumulation_beyond_bigint(spark):
+    """Totals past BIGINT: the default raises (ANSI), wide=True is exact."""
+    big = spark.range(0, 4096, 1, 4).selectExpr("cast(id % 8 as int) worker",
+                                               "array(cast(4.0e12 as double), 1.5) vec")
+    long = op.to_long(big, "vec", worker="worker")  # 4e18 units per cell, 4096 cells per dim
+    with pytest.raises(Exception):
+        op.all_reduce(long).collect()
+    got = {r.dim: r.total for r in op.all_reduce(long, wide=True).collect()}
+    assert got == {0: float(4096 * 4 * 10 ** 18), 1: float(4096 * 1_500_000)}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import element
-from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed
+from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed, wide_sum
 from ..functions.ring import ring_pos
 from .layout import local_sums, with_groups
 
@@ -56,9 +56,16 @@ def keyed_set(df: DataFrame, key, value: str, order: Sequence[str], name: str |
 
 
 def all_reduce(long: DataFrame, by: Sequence[str] = (), dim: str = "dim", value: str = "g",
-               name: str = "total") -> DataFrame:
-    """Element-wise sum of all workers' vectors: ``([by...,] dim, total)``."""
-    return long.groupBy(*by, dim).agg(F.sum(value).alias(name))
+               name: str = "total", wide: bool = False) -> DataFrame:
+    """Element-wise sum of all workers' vectors: ``([by...,] dim, total)``.
+
+    The BIGINT total holds up to 9.2e18 fixed-point units (9.2e12 in value
+    at the default scale); ANSI mode raises beyond that rather than wrap.
+    ``wide=True`` accumulates with :func:`wide_sum` instead: exact for any
+    total, returned as DOUBLE, at the cost of three sums per cell.
+    """
+    total = wide_sum(value) if wide else F.sum(value)
+    return long.groupBy(*by, dim).agg(total.alias(name))
 
 
 def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING_SCALE,
