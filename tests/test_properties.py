@@ -79,6 +79,17 @@ def test_scatter_reduce_guards(spark):
         op.scatter_reduce(local_of(spark, m), 8, upto_step=8)
 
 
+def test_all_gather_step_guards(spark):
+    local = local_of(spark, seeded(3, 8, 4))
+    with pytest.raises(ValueError):
+        op.all_gather(local, upto_step=1)  # needs n
+    with pytest.raises(ValueError):
+        op.all_gather(local, n=8, upto_step=7)  # gather has n - 1 steps: 0..6
+    last = {(r.worker, r.dim): r.total for r in op.all_gather(local, n=8, upto_step=6).collect()}
+    full = {(r.worker, r.dim): r.total for r in op.all_gather(local).collect()}
+    assert last == full  # after the last gather step every cell holds its total
+
+
 def test_single_worker_is_identity(spark):
     m = seeded(5, 1, 6)
     local = local_of(spark, m)

@@ -37,6 +37,17 @@ def gathered(v, totals):
     return np.array([[totals[c] for c in range(v.shape[1])] for _ in range(v.shape[0])])
 
 
+def simulate_gather(v: np.ndarray, upto_step: int):
+    """After a full scatter-reduce: gather step t overwrites chunk (p - t) mod n of worker p."""
+    n, m = v.shape
+    cur, totals = simulate_ring(v)
+    for t in range(upto_step + 1):
+        for p in range(n):
+            for c in range((p - t) % n, m, n):
+                cur[p][c] = totals[c]
+    return cur
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(n=st.integers(1, 6), extra=st.integers(0, 9), seed=st.integers(0, 10_000), data=st.data())
 def test_scatter_reduce_equals_ring_simulation(spark, n, extra, seed, data):
@@ -55,6 +66,12 @@ def test_scatter_reduce_equals_ring_simulation(spark, n, extra, seed, data):
             full[r.worker][r.dim] = r.total
         assert (full == gathered(v, totals)).all()
         assert [totals[c] for c in range(m)] == v.sum(axis=0).tolist()
+    if n >= 2:
+        g_step = data.draw(st.integers(0, n - 2))
+        got_g = np.zeros_like(v)
+        for r in op.all_gather(local, n=n, upto_step=g_step).collect():
+            got_g[r.worker][r.dim] = r.total
+        assert (got_g == simulate_gather(v, g_step)).all()
 
 
 def test_gd_reference_truncation_golden(spark):

@@ -123,16 +123,35 @@ def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
     return df.select(*cols, run.alias(name))
 
 
-def all_gather(cells: DataFrame, value: str = "g", name: str = "total") -> DataFrame:
+def all_gather(cells: DataFrame, value: str = "g", name: str = "total", n: int | None = None,
+               upto_step: int | None = None) -> DataFrame:
     """Every worker's cells replaced by the element totals: ``(worker, dim, total)``.
 
     Cells are summed per ``(worker, dim)``, then a window sum per ``dim``:
     no join, no replication beyond the cells that exist, one row per worker
     in each window partition.
+
+    With ``n`` and ``upto_step`` it returns the state after gather step
+    ``upto_step`` of a ring of ``n`` that followed a full scatter-reduce:
+    gather step ``t`` gives worker ``p`` the total of element
+    ``(p - t) mod n``, so cells with ``ring_pos <= upto_step`` hold totals and
+    the rest still hold their scatter-reduce running sums.  Both come from one
+    window partition per ``dim``.  Returns ``(worker, dim, ring_pos, total)``.
     """
     local = local_sums(cells, value=value)
-    return local.select("worker", "dim",
-                        F.sum(value).over(Window.partitionBy("dim")).alias(name))
+    if upto_step is None:
+        return local.select("worker", "dim",
+                            F.sum(value).over(Window.partitionBy("dim")).alias(name))
+    last = max((n or 0) - 2, 0)
+    if n is None or not 0 <= upto_step <= last:
+        raise ValueError(f"give n; gather steps of a ring of {n} are 0..{last}")
+    df = local.withColumn("ring_pos", ring_pos("worker", "dim", n))
+    ordered = Window.partitionBy("dim").orderBy("ring_pos", "worker")
+    running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
+                                                  Window.unboundedFollowing))
+    state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
+    return df.select("worker", "dim", "ring_pos", state.alias(name))
 
 
 def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",

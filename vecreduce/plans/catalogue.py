@@ -147,6 +147,10 @@ def q_all_gather(spark: SparkSession, sf: str) -> DataFrame:
     return op.all_gather(_long(spark, sf))
 
 
+def q_all_gather_step(spark: SparkSession, sf: str) -> DataFrame:
+    return op.all_gather(_long(spark, sf), n=WORKERS, upto_step=UPTO_STEP)
+
+
 def q_keyed_sum_default(spark: SparkSession, sf: str) -> DataFrame:
     ev = src.events(spark, sf, ["user_id", "event_type", "value"])
     domain = src.key_domain(ev, "user_id")
@@ -309,6 +313,15 @@ select grp, worker, dim, ring_pos,
                          rows between unbounded preceding and current row) as bigint) as partial
 from r""",
     "all_gather": BASE + "select worker, dim, cast(sum(g) over (partition by dim) as bigint) as total from local",
+    "all_gather_step": BASE + """
+, r as (select worker, dim, cast((worker - dim % 8 + 8) % 8 as int) as ring_pos, g from local)
+select worker, dim, ring_pos,
+       case when ring_pos <= 3
+            then cast(sum(g) over (partition by dim) as bigint)
+            else cast(sum(g) over (partition by dim order by ring_pos
+                                   rows between unbounded preceding and current row) as bigint)
+       end as total
+from r""",
     "keyed_sum_default": f"""
 with k as (select unnest(range(min(user_id), max(user_id) + 1)) as user_id from events),
 p as (select user_id, cast(sum({SQL_CENTS}) as bigint) as total
@@ -397,6 +410,7 @@ CATALOGUE: list[Query] = [
     Query("group_scatter_reduce", q_group_scatter_reduce, SQL["group_scatter_reduce"],
           ("O10", "O21")),
     Query("all_gather", q_all_gather, SQL["all_gather"], ("O11", "O19")),
+    Query("all_gather_step", q_all_gather_step, SQL["all_gather_step"], ("O11", "O19")),
     Query("keyed_sum_default", q_keyed_sum_default, SQL["keyed_sum_default"], ("O02", "O13")),
     Query("assemble_vector", q_assemble_vector, SQL["assemble_vector"], ("O14",)),
     Query("keyed_sum", q_keyed_sum, SQL["keyed_sum"], ("O16", "O37")),
