@@ -12,7 +12,7 @@ EXCHANGES = {
     "all_reduce_sum": 1, "keyed_sum": 1, "tree_stats": 1, "least_squares_gradient": 1,
     "vector_stats": 1, "all_reduce_wide": 1, "keyed_set": 1, "event_gradients": 1,
     "scatter_reduce": 2, "scatter_reduce_step": 2, "group_scatter_reduce": 2, "all_gather": 2,
-    "all_gather_step": 2,
+    "all_gather_step": 2, "group_all_gather_step": 2, "cross_group_merge": 2,
     "group_all_gather": 2, "hierarchical_all_reduce": 2, "gd_trajectory": 2, "matrix_pivot": 2,
     "map_partitions_sum": 1,
 }

@@ -74,6 +74,47 @@ def test_scatter_reduce_equals_ring_simulation(spark, n, extra, seed, data):
         assert (got_g == simulate_gather(v, g_step)).all()
 
 
+def simulate_dc(v: np.ndarray, group_size: int, gather_step: int, merge_step: int | None):
+    """Per group: scatter-reduce + gather up to gather_step; then (after a full gather) merge
+    steps 0..merge_step add the other groups' totals to chunks (p - t) mod n, + n, ..."""
+    n_workers, m = v.shape
+    gathered, merged = np.zeros_like(v), np.zeros_like(v)
+    col_total = v.sum(axis=0)
+    for g0 in range(0, n_workers, group_size):
+        sub = v[g0:g0 + group_size]
+        gathered[g0:g0 + group_size] = simulate_gather(sub, gather_step)
+        full = simulate_gather(sub, max(group_size - 2, 0))
+        other = col_total - sub.sum(axis=0)
+        for t in range(merge_step + 1 if merge_step is not None else 0):
+            for p in range(group_size):
+                for c in range((p - t) % group_size, m, group_size):
+                    full[p][c] += other[c]
+        merged[g0:g0 + group_size] = full
+    return gathered, merged
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(group_size=st.integers(1, 4), groups=st.integers(1, 3), extra=st.integers(0, 6),
+       seed=st.integers(0, 10_000), data=st.data())
+def test_divide_and_conquer_equals_simulation(spark, group_size, groups, extra, seed, data):
+    m = group_size + extra
+    v = np.random.default_rng(seed).integers(-100, 100, size=(group_size * groups, m))
+    g_step = data.draw(st.integers(0, max(group_size - 2, 0)))
+    m_step = data.draw(st.integers(0, group_size - 1))
+    want_g, want_m = simulate_dc(v, group_size, g_step, m_step)
+    local = op.local_sums(op.to_long(matrix_literal(spark, v.tolist()), "vec", worker="worker", scale=1))
+    got_g, got_m = np.zeros_like(v), np.zeros_like(v)
+    if group_size >= 2:
+        for r in op.group_all_gather(local, group_size, upto_step=g_step).collect():
+            got_g[r.worker][r.dim] = r.grp_total
+        assert (got_g == want_g).all()
+    for r in op.cross_group_merge(local, group_size, upto_step=m_step).collect():
+        got_m[r.worker][r.dim] = r.total
+    assert (got_m == want_m).all()
+    if m_step == group_size - 1:  # after the last merge step every cell holds the total
+        assert (got_m == v.sum(axis=0)).all()
+
+
 def test_gd_reference_truncation_golden(spark):
     """Eight initial weights zipped with ten-element totals keep eight weights."""
     totals = spark.createDataFrame([(d, 10_000_000 * (d + 1)) for d in range(10)], "dim int, total long")

@@ -5,7 +5,8 @@ from .ml import (accuracy, argmax_label, evaluate_accuracy, hash_bucket, hash_sp
                  predict, random_split, vector_features)
 from .partition import (barrier_all_reduce, barrier_slots, cache_count, fixed_parallelism,
                         map_partitions_sum)
-from .reduce import (all_gather, all_reduce, all_reduce_wide, group_all_gather, group_all_reduce,
+from .reduce import (all_gather, all_reduce, all_reduce_wide, cross_group_merge, group_all_gather,
+                     group_all_reduce,
                      hierarchical_all_reduce, keyed_set, keyed_sum, merge_groups, scatter_reduce,
                      with_default)
 from .stats import mean_gradient, tree_stats, vector_stats
@@ -17,7 +18,8 @@ __all__ = [
     "predict", "random_split", "vector_features",
     "barrier_all_reduce", "barrier_slots", "cache_count", "fixed_parallelism",
     "map_partitions_sum",
-    "all_gather", "all_reduce", "all_reduce_wide", "group_all_gather", "group_all_reduce",
+    "all_gather", "all_reduce", "all_reduce_wide", "cross_group_merge", "group_all_gather",
+    "group_all_reduce",
     "hierarchical_all_reduce", "keyed_set", "keyed_sum", "merge_groups", "scatter_reduce",
     "with_default",
     "mean_gradient", "tree_stats", "vector_stats",

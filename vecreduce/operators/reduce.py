@@ -161,11 +161,50 @@ def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
 
 
 def group_all_gather(cells: DataFrame, group_size: int, value: str = "g",
-                     name: str = "grp_total") -> DataFrame:
-    """Each worker's cells replaced by its group's totals: ``(grp, worker, dim, grp_total)``."""
+                     name: str = "grp_total", upto_step: int | None = None) -> DataFrame:
+    """Each worker's cells replaced by its group's totals: ``(grp, worker, dim, grp_total)``.
+
+    With ``upto_step``: the state after that gather step inside each group
+    (the flat :func:`all_gather` rule per group), ``(grp, worker, dim,
+    ring_pos, grp_total)``.
+    """
+    df = with_groups(local_sums(cells, value=value), group_size)
+    if upto_step is None:
+        return df.select("grp", "worker", "dim",
+                         F.sum(value).over(Window.partitionBy("grp", "dim")).alias(name))
+    last = max(group_size - 2, 0)
+    if not 0 <= upto_step <= last:
+        raise ValueError(f"gather steps of a ring of {group_size} are 0..{last}")
+    df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
+    ordered = Window.partitionBy("grp", "dim").orderBy("ring_pos", "worker")
+    running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
+                                                  Window.unboundedFollowing))
+    state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
+    return df.select("grp", "worker", "dim", "ring_pos", state.alias(name))
+
+
+def cross_group_merge(cells: DataFrame, group_size: int, value: str = "g", name: str = "total",
+                      upto_step: int | None = None) -> DataFrame:
+    """Per-worker state of the cross-group merge: ``(grp, worker, dim, ring_pos, total)``.
+
+    After each group's all-gather every cell holds its group total; merge
+    step ``t`` then adds the other groups' totals to the elements with
+    ``ring_pos == t`` (ring of ``group_size``).  After step ``upto_step``
+    cells with ``ring_pos <= upto_step`` hold the global total, the rest
+    their group total; without ``upto_step`` (all steps) every cell holds
+    the global total.  Two windows over the summed cells, ``(dim)`` and
+    ``(grp, dim)``, share one shuffle by ``dim``.
+    """
+    if upto_step is not None and not 0 <= upto_step <= group_size - 1:
+        raise ValueError(f"merge steps of a ring of {group_size} are 0..{group_size - 1}")
     df = with_groups(local_sums(cells, value=value), group_size)
-    return df.select("grp", "worker", "dim",
-                     F.sum(value).over(Window.partitionBy("grp", "dim")).alias(name))
+    df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
+    total = F.sum(value).over(Window.partitionBy("dim"))
+    if upto_step is not None:
+        grp_total = F.sum(value).over(Window.partitionBy("dim", "grp"))
+        total = F.when(F.col("ring_pos") <= upto_step, total).otherwise(grp_total)
+    return df.select("grp", "worker", "dim", "ring_pos", total.alias(name))
 
 
 def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str = "total") -> DataFrame:

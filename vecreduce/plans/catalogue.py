@@ -25,10 +25,13 @@ from ..functions import CENTS, EMBEDDING_SCALE, from_fixed, ring_pos, to_fixed
 from ..session import scratch_path
 
 # Fixed parameters of the catalogue (the reference's ring of 8 workers, two
-# groups of 4, learning rate 0.2, MLP layers 4-5-4-3, split 80/20).
+# groups of 4, learning rate 0.2, MLP layers 4-5-4-3, split 80/20; the step
+# numbers pick intermediate ring states to compare).
 WORKERS = 8
 GROUP_SIZE = 4
 UPTO_STEP = 3
+GROUP_GATHER_STEP = 1
+MERGE_STEP = 2
 LR = 0.2
 MLP_LAYERS = (4, 5, 4, 3)
 TRAIN_PERCENT = 80
@@ -151,6 +154,14 @@ def q_all_gather_step(spark: SparkSession, sf: str) -> DataFrame:
     return op.all_gather(_long(spark, sf), n=WORKERS, upto_step=UPTO_STEP)
 
 
+def q_group_all_gather_step(spark: SparkSession, sf: str) -> DataFrame:
+    return op.group_all_gather(_long(spark, sf), GROUP_SIZE, upto_step=GROUP_GATHER_STEP)
+
+
+def q_cross_group_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return op.cross_group_merge(_long(spark, sf), GROUP_SIZE, upto_step=MERGE_STEP)
+
+
 def q_keyed_sum_default(spark: SparkSession, sf: str) -> DataFrame:
     ev = src.events(spark, sf, ["user_id", "event_type", "value"])
     domain = src.key_domain(ev, "user_id")
@@ -321,6 +332,25 @@ select worker, dim, ring_pos,
             else cast(sum(g) over (partition by dim order by ring_pos
                                    rows between unbounded preceding and current row) as bigint)
        end as total
+from r""",
+    "group_all_gather_step": BASE + """
+, r as (select cast(worker // 4 as int) as grp, worker, dim,
+               cast((worker % 4 - dim % 4 + 4) % 4 as int) as ring_pos, g from local)
+select grp, worker, dim, ring_pos,
+       case when ring_pos <= 1
+            then cast(sum(g) over (partition by grp, dim) as bigint)
+            else cast(sum(g) over (partition by grp, dim order by ring_pos
+                                   rows between unbounded preceding and current row) as bigint)
+       end as grp_total
+from r""",
+    "cross_group_merge": BASE + """
+, r as (select cast(worker // 4 as int) as grp, worker, dim,
+               cast((worker % 4 - dim % 4 + 4) % 4 as int) as ring_pos, g from local)
+select grp, worker, dim, ring_pos,
+       case when ring_pos <= 2
+            then cast(sum(g) over (partition by dim) as bigint)
+            else cast(sum(g) over (partition by grp, dim) as bigint)
+       end as total
 from r""",
     "keyed_sum_default": f"""
 with k as (select unnest(range(min(user_id), max(user_id) + 1)) as user_id from events),
@@ -422,6 +452,9 @@ CATALOGUE: list[Query] = [
     Query("all_reduce_sum", q_all_reduce_sum, SQL["all_reduce_sum"], ("O16", "O20")),
     Query("all_reduce_wide", q_all_reduce_wide, SQL["all_reduce_wide"], ("O08", "O20")),
     Query("group_all_gather", q_group_all_gather, SQL["group_all_gather"], ("O22",)),
+    Query("group_all_gather_step", q_group_all_gather_step, SQL["group_all_gather_step"],
+          ("O10", "O22")),
+    Query("cross_group_merge", q_cross_group_merge, SQL["cross_group_merge"], ("O12", "O23")),
     Query("gd_step", q_gd_step, SQL["gd_step"], ("O15", "O26")),
     Query("tree_stats", q_tree_stats, SQL["tree_stats"], ("O25",)),
     Query("vector_stats", q_vector_stats, SQL["vector_stats"], ("O25",)),
