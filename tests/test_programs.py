@@ -37,6 +37,16 @@ def test_divide_and_conquer_program(spark):
     assert matrix(out["gathered"], "total") == [F1_TOTAL] * 8
 
 
+def test_programs_expose_intermediate_steps(spark):
+    ring = programs.ring_all_reduce(f1_cells(spark), 8, upto_step=2, gather_step=6)
+    assert matrix(ring["gathered"], "total") == [F1_TOTAL] * 8  # last gather step
+    dc = programs.divide_and_conquer_all_reduce(f1_cells(spark), 4, merge_step=0)
+    m = matrix(dc["gathered"], "total")
+    # merge step 0 completes element p (mod 4) of local worker p; others hold group totals
+    for w in range(8):
+        assert m[w][w % 4] == F1_TOTAL[w % 4] and m[w][w % 4 + 4] == F1_TOTAL[w % 4 + 4]
+
+
 def test_gradient_descent_program(spark):
     grads = synthetic_gradients(spark, iterations=3, seed=5)
     got = programs.ring_gradient_descent(grads, 8, 0.2, 1).collect()

@@ -14,30 +14,39 @@ from pyspark.sql import functions as F
 from . import operators as op
 
 
-def ring_all_reduce(cells: DataFrame, n: int, upto_step: int | None = None) -> dict[str, DataFrame]:
+def ring_all_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
+                    gather_step: int | None = None) -> dict[str, DataFrame]:
     """Ring all-reduce of ``n`` workers' vectors.
 
     ``scatter``: state after the scatter-reduce (or after ``upto_step``),
     ``(worker, dim, ring_pos, partial)``; ``gathered``: every worker's cells
-    holding the totals, ``(worker, dim, total)``; ``totals``: ``(dim, total)``.
+    holding the totals ``(worker, dim, total)``, or the state after gather
+    step ``gather_step``; ``totals``: ``(dim, total)``.
     """
+    gathered = (op.all_gather(cells) if gather_step is None
+                else op.all_gather(cells, n=n, upto_step=gather_step))
     return {"scatter": op.scatter_reduce(cells, n, upto_step=upto_step),
-            "gathered": op.all_gather(cells),
+            "gathered": gathered,
             "totals": op.all_reduce(cells)}
 
 
-def divide_and_conquer_all_reduce(cells: DataFrame, group_size: int) -> dict[str, DataFrame]:
+def divide_and_conquer_all_reduce(cells: DataFrame, group_size: int,
+                                  scatter_step: int | None = None,
+                                  gather_step: int | None = None,
+                                  merge_step: int | None = None) -> dict[str, DataFrame]:
     """Ring all-reduce inside blocks of ``group_size`` workers, then a cross-group merge.
 
-    ``group_scatter``: per-group scatter-reduce state; ``group_gathered``:
-    cells holding their group's totals; ``merged``: ``(grp, dim, grp_total,
-    total)``, where ``total`` equals the flat all-reduce; ``gathered``: every
-    worker's cells holding the merged totals.
+    ``group_scatter``: per-group scatter-reduce state (after ``scatter_step``);
+    ``group_gathered``: cells holding their group's totals (after
+    ``gather_step``); ``merged``: ``(grp, dim, grp_total, total)``, where
+    ``total`` equals the flat all-reduce; ``gathered``: every worker's cells
+    after the cross-group merge (after ``merge_step``; all totals without it).
     """
-    return {"group_scatter": op.scatter_reduce(cells, group_size, group_size=group_size),
-            "group_gathered": op.group_all_gather(cells, group_size),
+    return {"group_scatter": op.scatter_reduce(cells, group_size, upto_step=scatter_step,
+                                               group_size=group_size),
+            "group_gathered": op.group_all_gather(cells, group_size, upto_step=gather_step),
             "merged": op.hierarchical_all_reduce(cells, group_size),
-            "gathered": op.all_gather(cells)}
+            "gathered": op.cross_group_merge(cells, group_size, upto_step=merge_step)}
 
 
 def ring_gradient_descent(grads: DataFrame, n: int, lr: float, scale: int, w0: float = 1.0,
