@@ -52,6 +52,9 @@ def test_gradient_descent_program(spark):
     got = programs.ring_gradient_descent(grads, 8, 0.2, 1).collect()
     want = op.gd_trajectory(grads, 0.2, 8, 1).collect()
     assert sorted(got) == sorted(want) and len(got) == 30
+    full = programs.ring_gradient_descent(grads, 8, 0.2, 1, rings=True)
+    assert full["scatter"].count() == full["gathered"].count() == 3 * 8 * 10
+    assert sorted(full["weights"].collect()) == sorted(want)
 
 
 def test_statistics_and_mlp_programs(spark):

@@ -85,7 +85,7 @@ def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING
 
 def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
                    group_size: int | None = None, value: str = "g",
-                   name: str = "partial") -> DataFrame:
+                   name: str = "partial", by: Sequence[str] = ()) -> DataFrame:
     """Ring scatter-reduce as a running sum.
 
     After the full scatter-reduce, worker ``p`` holds, for element ``dim``,
@@ -97,20 +97,23 @@ def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
     ``cells`` are ``(worker, dim, g)`` rows, raw or already summed: they are
     summed per ``(worker, dim)`` first, so every window partition holds one
     row per worker whatever the input size.  With ``group_size`` the ring
-    runs inside each block of workers (``n`` = block size).
-    Returns ``([grp,] worker, dim, ring_pos, partial)``.
+    runs inside each block of workers (``n`` = block size).  ``by`` adds
+    independent rings, e.g. ``by=["iter"]`` for one all-reduce per
+    iteration of gradient descent.
+    Returns ``([by...,] [grp,] worker, dim, ring_pos, partial)``.
     """
     if upto_step is not None and not 0 <= upto_step < n:
         raise ValueError(f"upto_step must be in [0, {n - 1}]")
     if group_size and n != group_size:
         raise ValueError("a ring inside groups has n = group_size members")
-    local = local_sums(cells, value=value)
-    parts = ["dim"]
+    by = list(by)
+    local = local_sums(cells, by=[*by, "worker", "dim"], value=value)
+    parts = [*by, "dim"]
     df = local
     member = "worker"
     if group_size:
         df = with_groups(local, group_size)
-        parts = ["grp", "dim"]
+        parts = [*by, "grp", "dim"]
         member = "local_worker"
     df = df.withColumn("ring_pos", ring_pos(member, "dim", n))
     # worker breaks ties if ids outside [0, n) share a ring position: still deterministic
@@ -119,12 +122,12 @@ def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
     run = F.sum(value).over(w)
     if upto_step is not None:
         run = F.when(F.col("ring_pos") <= upto_step, run).otherwise(F.col(value))
-    cols = (["grp"] if group_size else []) + ["worker", "dim", "ring_pos"]
+    cols = by + (["grp"] if group_size else []) + ["worker", "dim", "ring_pos"]
     return df.select(*cols, run.alias(name))
 
 
 def all_gather(cells: DataFrame, value: str = "g", name: str = "total", n: int | None = None,
-               upto_step: int | None = None) -> DataFrame:
+               upto_step: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Every worker's cells replaced by the element totals: ``(worker, dim, total)``.
 
     Cells are summed per ``(worker, dim)``, then a window sum per ``dim``:
@@ -137,21 +140,23 @@ def all_gather(cells: DataFrame, value: str = "g", name: str = "total", n: int |
     ``(p - t) mod n``, so cells with ``ring_pos <= upto_step`` hold totals and
     the rest still hold their scatter-reduce running sums.  Both come from one
     window partition per ``dim``.  Returns ``(worker, dim, ring_pos, total)``.
+    ``by`` adds independent rings (e.g. one per iteration).
     """
-    local = local_sums(cells, value=value)
+    by = list(by)
+    local = local_sums(cells, by=[*by, "worker", "dim"], value=value)
     if upto_step is None:
-        return local.select("worker", "dim",
-                            F.sum(value).over(Window.partitionBy("dim")).alias(name))
+        return local.select(*by, "worker", "dim",
+                            F.sum(value).over(Window.partitionBy(*by, "dim")).alias(name))
     last = max((n or 0) - 2, 0)
     if n is None or not 0 <= upto_step <= last:
         raise ValueError(f"give n; gather steps of a ring of {n} are 0..{last}")
     df = local.withColumn("ring_pos", ring_pos("worker", "dim", n))
-    ordered = Window.partitionBy("dim").orderBy("ring_pos", "worker")
+    ordered = Window.partitionBy(*by, "dim").orderBy("ring_pos", "worker")
     running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
                                                   Window.unboundedFollowing))
     state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
-    return df.select("worker", "dim", "ring_pos", state.alias(name))
+    return df.select(*by, "worker", "dim", "ring_pos", state.alias(name))
 
 
 def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",

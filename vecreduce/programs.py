@@ -50,14 +50,21 @@ def divide_and_conquer_all_reduce(cells: DataFrame, group_size: int,
 
 
 def ring_gradient_descent(grads: DataFrame, n: int, lr: float, scale: int, w0: float = 1.0,
-                          it: str = "iter", dim: str = "dim") -> DataFrame:
+                          it: str = "iter", dim: str = "dim", rings: bool = False):
     """Gradient descent where each iteration all-reduces the workers' gradients.
 
     ``grads``: ``(iter, worker, dim, g)`` fixed-point cells.  Returns the
     weights after every iteration, ``(iter, dim, w)``, with
     ``w <- w - lr * sum / n`` (one cumulative window, no driver loop).
+    With ``rings=True`` (integer ``dim`` needed) also every iteration's
+    ring states: ``{"weights", "scatter", "gathered"}``.
     """
-    return op.gd_trajectory(grads, lr, n, scale, w0, it=it, dim=dim)
+    weights = op.gd_trajectory(grads, lr, n, scale, w0, it=it, dim=dim)
+    if not rings:
+        return weights
+    return {"weights": weights,
+            "scatter": op.scatter_reduce(grads, n, by=[it]),
+            "gathered": op.all_gather(grads, by=[it])}
 
 
 def aggregate_statistics(df: DataFrame, grads: Mapping[str, Column | str],
