@@ -1,3 +1,10 @@
-"""vecreduce: distributed vector reductions and gradient training on Spark DataFrames."""
+"""vecreduce: distributed vector reductions and gradient training on Spark DataFrames.
+
+    from vecreduce import operators as op, sources as src, functions as fn, programs
+"""
+
+from . import functions, operators, programs, sources, streaming
 
 __version__ = "0.1.0"
+
+__all__ = ["functions", "operators", "programs", "sources", "streaming", "__version__"]
