@@ -24,6 +24,9 @@ def test_hash_split_stable_under_repartition(spark):
     assert a == b
     share = sum(v == "train" for v in a.values()) / len(a)
     assert 0.7 < share < 0.9
+    x = {r.vec_id: r.split for r in op.hash_split(emb, "vec_id", method="xxhash64").collect()}
+    y = {r.vec_id: r.split for r in op.hash_split(emb.repartition(5), "vec_id", method="xxhash64").collect()}
+    assert x == y and 0.7 < sum(v == "train" for v in x.values()) / len(x) < 0.9
 
 
 def test_random_split_partitions_rows(spark):

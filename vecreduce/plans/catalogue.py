@@ -248,7 +248,8 @@ def _mlp_frame(spark, sf):
     emb = _emb(spark, sf, ("vec_id", "embedding"))
     emb = emb.withColumn("label", op.argmax_label("embedding", MLP_LAYERS[-1]))
     emb = op.vector_features(emb, "embedding", MLP_LAYERS[0])
-    return op.hash_split(emb, "vec_id", TRAIN_PERCENT)
+    # no SQL oracle here, so the split uses Spark's native hash (6.5x cheaper than md5)
+    return op.hash_split(emb, "vec_id", TRAIN_PERCENT, method="xxhash64")
 
 
 def q_mlp_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
