@@ -134,6 +134,9 @@ def test_fixed_parallelism_and_cache_count(spark):
 def test_key_domain_fills_gaps(spark):
     df = spark.createDataFrame([(3,), (7,), (5,)], "k long")
     assert [r.k for r in key_domain(df, "k").orderBy("k").collect()] == [3, 4, 5, 6, 7]
+    sparse = spark.createDataFrame([(1,), (2 ** 62,)], "k long")
+    with pytest.raises(ValueError, match="sparse"):
+        key_domain(sparse, "k")
 
 
 def test_dense_text_round_trip(spark):

@@ -44,16 +44,25 @@ def range_source(spark: SparkSession, start: int, end: int, num_partitions: int
     return df if name == "id" else df.withColumnRenamed("id", name)
 
 
-def key_domain(df: DataFrame, key: str, num_partitions: int | None = None) -> DataFrame:
+def key_domain(df: DataFrame, key: str, num_partitions: int | None = None,
+               max_span_per_key: float | None = 100.0) -> DataFrame:
     """Every integer between ``min(key)`` and ``max(key)`` of a table.
 
-    One small aggregate job finds the two bounds (partial min/max per task);
-    the range itself is generated in parallel, not on the driver.
+    One small aggregate job finds the two bounds and an estimate of the
+    distinct keys (partial aggregation per task); the range itself is
+    generated in parallel, not on the driver.  A dense range only makes sense
+    for dense ids: when it would exceed ``max_span_per_key`` times the
+    distinct keys (sparse or hashed ids), it refuses instead of generating
+    it; pass the keys as a table then.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    lo, hi, distinct = df.agg(F.min(key), F.max(key), F.approx_count_distinct(key)).first()
     spark = df.sparkSession
     if lo is None:
         return spark.range(0).withColumnRenamed("id", key)
+    span = int(hi) - int(lo) + 1
+    if max_span_per_key and span > max_span_per_key * max(int(distinct), 1):
+        raise ValueError(f"key range of {span} values for about {distinct} distinct keys is "
+                         "too sparse for a dense domain; pass the key table instead")
     return range_source(spark, int(lo), int(hi) + 1, num_partitions, key)
 
 
