@@ -164,3 +164,31 @@ def test_libsvm_round_trip_with_sparse_rows(spark):
 
 def test_scratch_paths_are_unique(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_scale_guards(spark):
+    from vecreduce.sources import pivot_matrix
+
+    cells = op.to_long(counting_matrix(spark, 2, 3), "vec", worker="worker", scale=1)
+    limit = int(spark.conf.get("spark.sql.pivotMaxValues", "10000"))
+    with pytest.raises(ValueError, match="pivotMaxValues"):
+        pivot_matrix(cells, range(limit + 1))
+    with pytest.raises(ValueError, match="to_long"):
+        op.all_reduce_wide(counting_matrix(spark, 2, 3), "vec", 4096)
+    with pytest.raises(Exception, match="barrier messages"):
+        op.barrier_all_reduce(cells, 2, max_message_elements=5).collect()
+
+
+def test_map_partitions_sum_promotes_only_when_needed(spark):
+    import numpy as np
+
+    from vecreduce.operators.partition import _fold_arrow
+
+    acc = {}
+    big = np.full(4, 2 ** 61, dtype=np.int64)
+    for _ in range(3):  # 3 x 2^61 per element: leaves int64 on the third batch
+        _fold_arrow(np.zeros(1, dtype=np.int32), np.array([4]), big, acc)
+    assert acc[0].dtype == object and acc[0].tolist() == [3 * 2 ** 61] * 4
+    small = {}
+    _fold_arrow(np.array([0, 0, 1]), np.array([2, 2, 2]), np.arange(6, dtype=np.int64), small)
+    assert small[0].dtype == np.int64 and small[0].tolist() == [2, 4] and small[1].tolist() == [4, 5]

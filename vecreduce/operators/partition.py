@@ -93,18 +93,20 @@ def _fold_arrow(workers: np.ndarray, lengths: np.ndarray, fixed: np.ndarray, acc
     ws = workers[order]
     starts = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
     sums = np.add.reduceat(mat[order], starts, axis=0)
-    # The running per-worker sums are Python ints (object arrays of `dims` entries):
-    # exact across any number of batches, and cheap since they are one vector per worker.
+    # Running per-worker sums stay int64 while they provably fit; a worker whose
+    # sums could leave int64 is promoted to exact Python ints (object array).
     for w, part in zip(ws[starts].tolist(), sums):
-        part = part.astype(object)
         prev = acc.get(w)
         if prev is None:
-            acc[w] = part
-        elif len(prev) >= len(part):
-            prev[: len(part)] += part
-        else:
-            part[: len(prev)] += prev
-            acc[w] = part
+            acc[w] = part.copy()
+            continue
+        if len(prev) < len(part):
+            prev, part = part.copy(), prev
+            acc[w] = prev
+        if prev.dtype != object and (part.dtype == object or int(np.abs(prev).max(initial=0))
+                                     + int(np.abs(part).max(initial=0)) >= _INT64_SAFE):
+            prev = acc[w] = prev.astype(object)
+        prev[: len(part)] += part
 
 
 def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id", n: int = 8,
@@ -139,7 +141,7 @@ def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id
             return
         w_col, d_col, g_col = [], [], []
         for w, part in acc.items():
-            if any(abs(v) >= 2 ** 63 for v in part.tolist()):
+            if part.dtype == object and any(abs(v) >= 2 ** 63 for v in part.tolist()):
                 raise OverflowError("vecreduce: partial sum exceeds BIGINT; use a smaller scale")
             w_col.append(np.full(len(part), w, dtype=np.int32))
             d_col.append(np.arange(len(part), dtype=np.int32))
@@ -200,12 +202,15 @@ def barrier_slots(spark) -> int:
 
 
 def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
-                       max_message_elements: int = 1_000_000) -> DataFrame:
+                       max_message_elements: int = 4_000_000) -> DataFrame:
     """All-reduce inside one barrier stage: ``(dim, total)``, or ``(task, dim, total)``
     with ``replicas=True`` (every task's copy, which are identical).
 
     Refuses, before submitting anything, when ``num_tasks`` exceeds the free
-    slots: a barrier stage that cannot be gang-scheduled fails the job.
+    slots: a barrier stage that cannot be gang-scheduled fails the job.  The
+    exchanged partials pass through the driver's barrier coordinator, so
+    their total size (tasks x elements) is held to ``max_message_elements``;
+    wider vectors belong to :func:`all_reduce`.
     """
     spark = long.sparkSession
     if str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true":
@@ -228,8 +233,8 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
                 grouped = pdf.groupby("dim")["g"].sum()
                 for d, g in zip(grouped.index.tolist(), grouped.tolist()):
                     sums[d] = sums.get(d, 0) + int(g)
-        if len(sums) > max_message_elements:
-            raise ValueError("partial vector too wide for a barrier message; use all_reduce")
+        if len(sums) * num_tasks > max_message_elements:
+            raise ValueError("partials too large for barrier messages; use all_reduce")
         messages = ctx.allGather(json.dumps(sums))
         total: dict[int, int] = {}
         for m in messages:

@@ -69,13 +69,17 @@ def all_reduce(long: DataFrame, by: Sequence[str] = (), dim: str = "dim", value:
 
 
 def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING_SCALE,
-                    name: str = "total", on_invalid: str = "error") -> DataFrame:
+                    name: str = "total", on_invalid: str = "error",
+                    max_length: int = 512) -> DataFrame:
     """Same result as :func:`all_reduce` without exploding rows.
 
     One aggregate with ``length`` sum columns; each task emits a single
-    partial row.  For vectors up to a few hundred elements (wider vectors
-    would exceed the generated-code size limits; use the long form).
+    partial row.  For vectors up to ``max_length`` elements (wider vectors
+    exceed generated-code limits; use the long form, which is also faster:
+    see the README measurements).
     """
+    if length > max_length:
+        raise ValueError(f"{length} columns in one aggregate; use all_reduce on to_long cells")
     sums = df.agg(*[F.sum(to_fixed(checked(element(vec, i), on_invalid), scale)).alias(f"s{i}")
                     for i in range(length)])
     cells = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"s{i}").alias(name))

@@ -13,9 +13,14 @@ def pivot_matrix(local: DataFrame, dims: Sequence[int], row: str = "worker", dim
     """``(row, d0, d1, ...)``: one row per worker, one column per element.
 
     The element list is given explicitly, so Spark does not run a separate
-    job to discover the pivot values.
+    job to discover the pivot values; its length is held to the session's
+    ``spark.sql.pivotMaxValues`` (a column per element; use the long form
+    for wide vectors).
     """
     dims = list(dims)
+    limit = int(local.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    if len(dims) > limit:
+        raise ValueError(f"{len(dims)} pivot columns exceed spark.sql.pivotMaxValues={limit}")
     wide = local.groupBy(row).pivot(dim, dims).agg(F.sum(value))
     return wide.select(row, *[F.col(f"`{d}`").alias(f"{prefix}{d}") for d in dims])
 
