@@ -129,6 +129,10 @@ def test_fixed_parallelism_and_cache_count(spark):
     assert op.fixed_parallelism(emb, 6, "vec_id").rdd.getNumPartitions() == 6
     assert op.cache_count(emb).first().cnt == 500
     emb.unpersist()
+    on_disk = embeddings(spark, SF01, ("vec_id", "embedding"))
+    assert op.cache_count(on_disk, storage="disk").first().cnt == 500
+    assert on_disk.storageLevel.useDisk and not on_disk.storageLevel.useMemory
+    on_disk.unpersist()
 
 
 def test_key_domain_fills_gaps(spark):

@@ -252,8 +252,18 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
     return out if replicas else out.select("dim", "total")
 
 
-def cache_count(df: DataFrame) -> DataFrame:
-    """Cache, materialise with ``count()``, and return ``(cnt)`` read from the cache."""
-    cached = df.cache()
+def cache_count(df: DataFrame, storage: str = "memory_and_disk") -> DataFrame:
+    """Persist, materialise with ``count()``, and return ``(cnt)`` read from the stored copy.
+
+    ``storage="disk"`` keeps a table far larger than executor memory on the
+    executors' disks instead of evicting and recomputing it.  Call
+    ``unpersist()`` on the input when done.
+    """
+    from pyspark import StorageLevel
+
+    levels = {"memory_and_disk": StorageLevel.MEMORY_AND_DISK, "disk": StorageLevel.DISK_ONLY}
+    if storage not in levels:
+        raise ValueError(f"storage must be one of {sorted(levels)}")
+    cached = df.persist(levels[storage])
     cached.count()
     return cached.agg(F.count(F.lit(1)).alias("cnt"))
