@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from vecreduce import operators as op
 from vecreduce.sources import matrix_literal
@@ -174,3 +176,18 @@ def test_all_reduce_wide_accumulation_beyond_bigint(spark):
         op.all_reduce(long).collect()
     got = {r.dim: r.total for r in op.all_reduce(long, wide=True).collect()}
     assert got == {0: float(4096 * 4 * 10 ** 18), 1: float(4096 * 1_500_000)}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 10_000), rows=st.integers(1, 30), dims=st.integers(1, 9),
+       spread=st.sampled_from([1e-6, 0.5, 1.0, 1e3]))
+def test_fixed_point_totals_equal_numpy(spark, seed, rows, dims, spread):
+    """Spark's fixed-point totals equal numpy's floor(x * 1e6 + 0.5) sums, bit for bit."""
+    rng = np.random.default_rng(seed)
+    m = rng.normal(0.0, spread, size=(rows, dims))
+    m[rng.random(size=m.shape) < 0.1] = 0.5e-6  # exact half-unit cases
+    df = spark.createDataFrame([(i % 4, [float(x) for x in r]) for i, r in enumerate(m)],
+                               "worker int, vec array<double>").repartition(3)
+    got = {r.dim: r.total for r in op.all_reduce(op.to_long(df, "vec", worker="worker")).collect()}
+    want = np.floor(m * 1e6 + 0.5).astype(np.int64).sum(axis=0)
+    assert [got[d] for d in range(dims)] == want.tolist()
