@@ -34,3 +34,8 @@ def test_bench_prints_one_json_line():
     d = json.loads(lines[0])
     assert {"metric", "value", "unit", "queries", "sf"} <= d.keys()
     assert d["unit"] == "sec" and d["sf"] == "0.001" and set(d["queries"]) == {"all_reduce_sum"}
+
+
+def test_explain_flag(spark, capsys):
+    assert cli.main(["keyed_sum", SF001, "--explain"]) == 0
+    assert "Physical Plan" in capsys.readouterr().out

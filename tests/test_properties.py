@@ -191,3 +191,18 @@ def test_fixed_point_totals_equal_numpy(spark, seed, rows, dims, spread):
     got = {r.dim: r.total for r in op.all_reduce(op.to_long(df, "vec", worker="worker")).collect()}
     want = np.floor(m * 1e6 + 0.5).astype(np.int64).sum(axis=0)
     assert [got[d] for d in range(dims)] == want.tolist()
+
+
+def test_empty_input_everywhere(spark):
+    """No rows in: empty results (or one row of null sums and a zero count), no errors."""
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    cells = op.to_long(empty, "embedding", "vec_id", 8)
+    for df in (op.all_reduce(cells), op.local_sums(cells), op.scatter_reduce(cells, 8),
+               op.all_gather(cells), op.all_gather(cells, n=8, upto_step=2),
+               op.group_all_gather(cells, 4), op.cross_group_merge(cells, 4, upto_step=1),
+               op.hierarchical_all_reduce(cells, 4), op.map_partitions_sum(empty),
+               op.vector_stats(cells), op.assemble(cells, keys=["worker"])):
+        assert df.count() == 0
+    stats = op.tree_stats(cells, {"grad": "g"}, "g").first()
+    assert (stats.grad, stats.loss, stats.cnt) == (None, None, 0)
+    assert op.all_reduce_wide(empty, "embedding", 4).where("total is not null").count() == 0
