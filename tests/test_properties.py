@@ -159,6 +159,17 @@ def test_keyed_sum_default_and_set(spark):
     assert last == {10: 3.0, 11: 1.0}
 
 
+def test_all_reduce_wide_ragged_and_null(spark):
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [4.0]), (2, None), (3, [])]
+    df = spark.createDataFrame(rows, "worker int, vec array<double>")
+    wide = {r.dim: r.total for r in op.all_reduce_wide(df, "vec", 3, scale=1, on_invalid="zero").collect()}
+    long = {r.dim: r.total for r in op.all_reduce(
+        op.to_long(df, "vec", worker="worker", scale=1, on_invalid="zero")).collect()}
+    assert wide == long == {0: 5, 1: 2, 2: 3}
+    with pytest.raises(Exception, match="null vector"):
+        op.all_reduce_wide(df, "vec", 3, scale=1).collect()
+
+
 def test_all_reduce_wide_equals_long(spark):
     m = seeded(31, 8, 12)
     df = matrix_literal(spark, m.tolist())

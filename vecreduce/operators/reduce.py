@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import element
 from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed, wide_sum
 from ..functions.ring import ring_pos
 from .layout import local_sums, with_groups
@@ -80,8 +79,15 @@ def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING
     """
     if length > max_length:
         raise ValueError(f"{length} columns in one aggregate; use all_reduce on to_long cells")
-    sums = df.agg(*[F.sum(to_fixed(checked(element(vec, i), on_invalid), scale)).alias(f"s{i}")
-                    for i in range(length)])
+    v = F.col(vec)
+    if on_invalid == "error":  # as in to_long: a null vector is an error, a short one is not
+        v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
+
+    def cell(i: int):
+        x = checked(F.try_element_at(v, F.lit(i + 1)), on_invalid)
+        return F.when(F.size(v) > i, to_fixed(x, scale))  # elements past the end are absent
+
+    sums = df.agg(*[F.sum(cell(i)).alias(f"s{i}") for i in range(length)])
     cells = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"s{i}").alias(name))
                       for i in range(length)])
     return sums.select(F.inline(cells))
