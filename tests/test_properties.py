@@ -159,6 +159,18 @@ def test_keyed_sum_default_and_set(spark):
     assert last == {10: 3.0, 11: 1.0}
 
 
+def test_assemble_dense_check(spark):
+    cells = spark.createDataFrame([(0, 0, 5), (0, 2, 7), (1, 0, 1), (1, 1, 2)], "worker int, dim int, g long")
+    loose = {r.worker: r.vec for r in op.assemble(cells, keys=["worker"]).collect()}
+    assert loose == {0: [5, 7], 1: [1, 2]}  # positions follow sorted dims
+    with pytest.raises(Exception, match="not 0..k-1"):
+        op.assemble(cells, keys=["worker"], dense=True).collect()
+    ok = op.assemble(cells.where("worker = 1"), keys=["worker"], dense=True).first().vec
+    assert ok == [1, 2]
+    with pytest.raises(Exception, match="not 0..k-1"):
+        op.gd_step(spark.createDataFrame([(1, 5)], "dim int, total long"), 0.2, 8).collect()
+
+
 def test_all_reduce_wide_ragged_and_null(spark):
     rows = [(0, [1.0, 2.0, 3.0]), (1, [4.0]), (2, None), (3, [])]
     df = spark.createDataFrame(rows, "worker int, vec array<double>")

@@ -61,16 +61,24 @@ def with_groups(df: DataFrame, group_size: int, worker: str = "worker") -> DataF
 
 
 def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value: str = "g",
-             name: str = "vec") -> DataFrame:
+             name: str = "vec", dense: bool = False) -> DataFrame:
     """Rebuild one array per key from its cells, ordered by ``dim``.
 
     Cells are summed per ``(keys, dim)`` first, so a group collects exactly
     one entry per element: the list is bounded by the vector length, not by
-    the number of input rows.
+    the number of input rows.  Array positions follow the sorted ``dim``
+    values; with ``dense=True`` a group whose dims are not exactly
+    ``0..k-1`` fails instead of shifting elements to the wrong positions.
     """
     summed = long.groupBy(*keys, dim).agg(F.sum(value).alias(value))
     cells = F.array_sort(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(value).alias("v"))))
-    vec = F.transform(cells, lambda z: z["v"]).alias(name)
+    vec = F.transform(cells, lambda z: z["v"])
+    if dense:
+        k = F.count(F.lit(1))
+        ok = (k == 0) | ((F.min(dim) == 0) & (F.max(dim) == k - 1))
+        vec = F.when(ok, vec).otherwise(F.raise_error(F.lit(
+            "vecreduce: dims are not 0..k-1; a dense vector would misplace elements")))
+    vec = vec.alias(name)
     return summed.groupBy(*keys).agg(vec) if keys else summed.agg(vec)
 
 

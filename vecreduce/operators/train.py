@@ -45,7 +45,8 @@ def gd_step(totals: DataFrame, lr: float, n: int, scale: int = EMBEDDING_SCALE,
 
     ``form="array"``: the totals are assembled into one vector and zipped with
     the weights (truncating to the shorter, as a zip does); one task holds the
-    whole vector, which is fine for model widths up to millions.
+    whole vector, which is fine for model widths up to millions.  Dims must
+    be ``0..D-1``.
     ``form="long"``: the same arithmetic per ``(dim, total)`` row, for any
     width (with ``w0`` given, only dims it covers are kept).
     """
@@ -60,7 +61,7 @@ def gd_step(totals: DataFrame, lr: float, n: int, scale: int = EMBEDDING_SCALE,
         return rows.select("dim", (w - F.lit(float(lr)) * y / F.lit(float(n))).alias("w"))
     if form != "array":
         raise ValueError("form must be 'array' or 'long'")
-    vec = assemble(totals, value=total, name="g")
+    vec = assemble(totals, value=total, name="g", dense=True)
     g = F.transform(F.col("g"), lambda x: from_fixed(x, scale))
     w = ones(F.size("g")) if w0 is None else F.array(*[F.lit(float(x)) for x in w0])
     stepped = vec.select(axpy(w, g, lr, n).alias("w"))

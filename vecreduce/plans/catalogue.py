@@ -170,7 +170,7 @@ def q_keyed_sum_default(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_assemble_vector(spark: SparkSession, sf: str) -> DataFrame:
-    vecs = op.assemble(_long(spark, sf), keys=["worker"], value="g", name="vec")
+    vecs = op.assemble(_long(spark, sf), keys=["worker"], value="g", name="vec", dense=True)
     cells = op.explode_vector(vecs, "vec", keys=["worker"], value="g")
     return cells.select("worker", "dim", from_fixed("g").alias("v"))
 
