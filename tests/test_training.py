@@ -75,6 +75,9 @@ def test_least_squares_gradient_matches_numpy(spark):
     err = x @ np.array(w) - y
     assert [row.g0, row.g1, row.g2] == [float(v) for v in (x * err[:, None]).sum(axis=0)]
     assert row.sse == float((err ** 2).sum()) and row.cnt == 200
+    fractional = df.withColumn("a", F.col("a") + 0.5)
+    with pytest.raises(ValueError, match="integral"):
+        op.ls_gradient(fractional, ["a", "b", "c"], "y", w, exact=True)
 
 
 def test_least_squares_fit_matches_numpy(spark):

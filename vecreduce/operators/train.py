@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import axpy, ones
 from ..functions.fixed_point import CENTS, EMBEDDING_SCALE, col_of, from_fixed, to_fixed, wide_sum
@@ -95,6 +96,13 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
     names = list(names or [f"g{i}" for i in range(len(features))])
     xs = [col_of(c) for c in features]
     if exact:
+        probe = df.select(*[x.alias(f"_p{i}") for i, x in enumerate(xs)],
+                          col_of(target).alias("_py")).schema
+        bad = [f.name for f in probe.fields if not isinstance(
+            f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+        if bad:
+            raise ValueError("exact=True needs integral features and target (use to_fixed); "
+                             f"got non-integral {bad}")
         xs = [x.cast("long") for x in xs]
         y = col_of(target).cast("long")
         wl = [F.lit(int(v)).cast("long") for v in w]
