@@ -83,6 +83,8 @@ def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING
     if on_invalid == "error":  # as in to_long: a null vector is an error, a short one is not
         v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
 
+    # Per-element expressions stay inside whole-stage codegen.  (Converting the vector once
+    # with transform() plans faster but runs interpreted: measured 1.9x slower on 320M cells.)
     def cell(i: int):
         x = checked(F.try_element_at(v, F.lit(i + 1)), on_invalid)
         return F.when(F.size(v) > i, to_fixed(x, scale))  # elements past the end are absent
