@@ -38,8 +38,8 @@ def write_dense_text(df: DataFrame, path: str, vec: str = "vec") -> None:
     Double-to-string in Spark round-trips exactly, so reading back gives the
     same doubles.
     """
-    line = F.array_join(F.transform(F.col(vec), lambda x: x.cast("double").cast("string")),
-                        DENSE_SEPARATOR)
+    # array casts stay inside whole-stage codegen (a transform() lambda would not)
+    line = F.array_join(F.col(vec).cast("array<double>").cast("array<string>"), DENSE_SEPARATOR)
     df.select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
@@ -51,4 +51,4 @@ def read_dense_text(spark: SparkSession, path: str, vec: str = "vec") -> DataFra
     lines = spark.read.text(path)
     parts = F.split(F.trim(F.col("value")), r"\s*,\s*")
     return (lines.where(F.length(F.trim(F.col("value"))) > 0)
-                 .select(F.transform(parts, lambda s: s.cast("double")).alias(vec)))
+                 .select(parts.cast("array<double>").alias(vec)))
