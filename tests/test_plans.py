@@ -70,3 +70,22 @@ def test_flagship_is_one_codegen_stage_to_the_shuffle(spark):
     gen, part = stage("Generate posexplode"), stage(r"HashAggregate\(keys=\[dim#\d+\], functions=\[partial_sum")
     # scan -> filter -> generate -> project -> partial aggregate: one codegen stage
     assert gen and part and gen.group(1) == part.group(1), final
+
+
+CODEGEN_MAP_SIDE = ["all_reduce_sum", "scatter_reduce", "keyed_sum", "least_squares_gradient",
+                    "gd_trajectory", "tree_stats", "vector_stats", "dense_text_source",
+                    "hierarchical_all_reduce", "event_gradients", "all_reduce_wide"]
+
+
+@pytest.mark.parametrize("name", CODEGEN_MAP_SIDE)
+def test_map_side_runs_in_codegen(spark, name):
+    """Every operator between the scan and the first shuffle is inside whole-stage codegen."""
+    df = BY_NAME[name].build(spark, SF01)
+    df.collect()  # final adaptive plan
+    text = inspect.plan_text(df, mode="simple")
+    final = text.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+    lines = [ln for ln in final.splitlines() if ln.strip()]
+    below = lines[max(i for i, ln in enumerate(lines) if "Exchange" in ln) + 1:]
+    ops = [ln.split("+- ")[-1].strip() for ln in below]
+    ops = [op for op in ops if op and not op.startswith(("FileScan", "Scan ", "BatchScan"))]
+    assert ops and all(op.startswith("*(") for op in ops), "\n".join(below)
