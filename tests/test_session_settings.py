@@ -50,8 +50,12 @@ def test_without_broadcast_the_join_sort_merges(spark, baseline):
 @pytest.mark.parametrize("conf", [{"spark.sql.ansi.enabled": "false"},
                                   {"spark.sql.session.timeZone": "America/Los_Angeles"},
                                   {"spark.sql.session.timeZone": "Asia/Kolkata"},
-                                  {"spark.sql.adaptive.enabled": "false"}],
-                         ids=["ansi-off", "tz-la", "tz-kolkata", "aqe-off"])
+                                  {"spark.sql.adaptive.enabled": "false"},
+                                  {"spark.sql.shuffle.partitions": "200"},
+                                  {"spark.sql.shuffle.partitions": "1",
+                                   "spark.sql.adaptive.enabled": "false"}],
+                         ids=["ansi-off", "tz-la", "tz-kolkata", "aqe-off", "partitions-200",
+                              "partitions-1"])
 def test_same_results_under_settings(spark, baseline, conf):
     with settings(spark, **conf):
         for q in QUERIES:
