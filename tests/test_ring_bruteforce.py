@@ -146,3 +146,21 @@ def test_gd_reference_truncation_golden(spark):
     out = op.gd_step(totals, lr=0.2, n=8, w0=[1.0] * 8).orderBy("dim").collect()
     assert [r.dim for r in out] == list(range(8))
     assert [r.w for r in out] == [1.0 - 0.2 * (10.0 * (d + 1)) / 8 for d in range(8)]
+
+
+def test_grouped_operators_by_iteration(spark):
+    """by=["iter"] equals running each iteration on its own, for every grouped operator."""
+    from vecreduce.sources import synthetic_gradients
+
+    grads = synthetic_gradients(spark, iterations=3, workers=8, dims=6, seed=4)
+    calls = {
+        "group_all_gather": lambda c, **k: op.group_all_gather(c, 4, upto_step=1, **k),
+        "cross_group_merge": lambda c, **k: op.cross_group_merge(c, 4, upto_step=2, **k),
+        "hierarchical": lambda c, **k: op.hierarchical_all_reduce(c, 4, **k),
+        "hierarchical_rollup": lambda c, **k: op.hierarchical_all_reduce(c, 4, method="rollup", **k),
+    }
+    for name, call in calls.items():
+        together = sorted(tuple(r) for r in call(grads, by=["iter"]).collect())
+        apart = sorted((it, *tuple(r)) for it in range(3)
+                       for r in call(grads.where(f"iter = {it}").drop("iter")).collect())
+        assert together == apart, name

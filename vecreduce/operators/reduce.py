@@ -172,37 +172,39 @@ def all_gather(cells: DataFrame, value: str = "g", name: str = "total", n: int |
 
 
 def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
-                     name: str = "grp_total") -> DataFrame:
-    """Totals inside each block of workers: ``(grp, dim, grp_total)``."""
-    return all_reduce(with_groups(cells, group_size), by=["grp"], value=value, name=name)
+                     name: str = "grp_total", by: Sequence[str] = ()) -> DataFrame:
+    """Totals inside each block of workers: ``([by...,] grp, dim, grp_total)``."""
+    return all_reduce(with_groups(cells, group_size), by=[*by, "grp"], value=value, name=name)
 
 
 def group_all_gather(cells: DataFrame, group_size: int, value: str = "g",
-                     name: str = "grp_total", upto_step: int | None = None) -> DataFrame:
+                     name: str = "grp_total", upto_step: int | None = None,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Each worker's cells replaced by its group's totals: ``(grp, worker, dim, grp_total)``.
 
     With ``upto_step``: the state after that gather step inside each group
     (the flat :func:`all_gather` rule per group), ``(grp, worker, dim,
-    ring_pos, grp_total)``.
+    ring_pos, grp_total)``.  ``by`` adds independent rings (e.g. per iteration).
     """
-    df = with_groups(local_sums(cells, value=value), group_size)
+    by = list(by)
+    df = with_groups(local_sums(cells, by=[*by, "worker", "dim"], value=value), group_size)
     if upto_step is None:
-        return df.select("grp", "worker", "dim",
-                         F.sum(value).over(Window.partitionBy("grp", "dim")).alias(name))
+        return df.select(*by, "grp", "worker", "dim",
+                         F.sum(value).over(Window.partitionBy(*by, "grp", "dim")).alias(name))
     last = max(group_size - 2, 0)
     if not 0 <= upto_step <= last:
         raise ValueError(f"gather steps of a ring of {group_size} are 0..{last}")
     df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
-    ordered = Window.partitionBy("grp", "dim").orderBy("ring_pos", "worker")
+    ordered = Window.partitionBy(*by, "grp", "dim").orderBy("ring_pos", "worker")
     running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
                                                   Window.unboundedFollowing))
     state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
-    return df.select("grp", "worker", "dim", "ring_pos", state.alias(name))
+    return df.select(*by, "grp", "worker", "dim", "ring_pos", state.alias(name))
 
 
 def cross_group_merge(cells: DataFrame, group_size: int, value: str = "g", name: str = "total",
-                      upto_step: int | None = None) -> DataFrame:
+                      upto_step: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Per-worker state of the cross-group merge: ``(grp, worker, dim, ring_pos, total)``.
 
     After each group's all-gather every cell holds its group total; merge
@@ -215,26 +217,28 @@ def cross_group_merge(cells: DataFrame, group_size: int, value: str = "g", name:
     """
     if upto_step is not None and not 0 <= upto_step <= group_size - 1:
         raise ValueError(f"merge steps of a ring of {group_size} are 0..{group_size - 1}")
-    df = with_groups(local_sums(cells, value=value), group_size)
+    by = list(by)
+    df = with_groups(local_sums(cells, by=[*by, "worker", "dim"], value=value), group_size)
     df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
-    total = F.sum(value).over(Window.partitionBy("dim"))
+    total = F.sum(value).over(Window.partitionBy(*by, "dim"))
     if upto_step is not None:
-        grp_total = F.sum(value).over(Window.partitionBy("dim", "grp"))
+        grp_total = F.sum(value).over(Window.partitionBy(*by, "dim", "grp"))
         total = F.when(F.col("ring_pos") <= upto_step, total).otherwise(grp_total)
-    return df.select("grp", "worker", "dim", "ring_pos", total.alias(name))
+    return df.select(*by, "grp", "worker", "dim", "ring_pos", total.alias(name))
 
 
-def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str = "total") -> DataFrame:
+def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str = "total",
+                 by: Sequence[str] = ()) -> DataFrame:
     """Cross-group merge: add the other groups' totals to each group's, any group count.
 
     ``group_totals`` has one row per ``(grp, dim)`` (the output of
     :func:`group_all_reduce`), so a window partition holds one row per group.
     """
-    return group_totals.withColumn(name, F.sum(value).over(Window.partitionBy("dim")))
+    return group_totals.withColumn(name, F.sum(value).over(Window.partitionBy(*by, "dim")))
 
 
 def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
-                            method: str = "window") -> DataFrame:
+                            method: str = "window", by: Sequence[str] = ()) -> DataFrame:
     """Two-level all-reduce: ``(grp, dim, grp_total, total)``; ``total`` equals :func:`all_reduce`.
 
     ``method="window"``: group totals, then a window sum per ``dim``.
@@ -242,13 +246,14 @@ def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
     ``(dim, grp)`` and ``(dim)`` (each cell is expanded twice in the scan
     stage, so the window method is the default).
     """
+    by = list(by)
     if method == "window":
-        return merge_groups(group_all_reduce(cells, group_size, value))
+        return merge_groups(group_all_reduce(cells, group_size, value, by=by), by=by)
     if method == "rollup":
         g = with_groups(cells, group_size)
-        both = g.groupingSets([("dim", "grp"), ("dim",)], "dim", "grp").agg(
+        both = g.groupingSets([(*by, "dim", "grp"), (*by, "dim")], *by, "dim", "grp").agg(
             F.sum(value).alias("s"), F.grouping("grp").alias("lvl"))
-        tot = F.max(F.when(F.col("lvl") == 1, F.col("s"))).over(Window.partitionBy("dim"))
+        tot = F.max(F.when(F.col("lvl") == 1, F.col("s"))).over(Window.partitionBy(*by, "dim"))
         return (both.withColumn("total", tot).where(F.col("lvl") == 0)
-                    .select("grp", "dim", F.col("s").alias("grp_total"), "total"))
+                    .select(*by, "grp", "dim", F.col("s").alias("grp_total"), "total"))
     raise ValueError("method must be 'window' or 'rollup'")
