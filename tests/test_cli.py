@@ -38,4 +38,5 @@ def test_bench_prints_one_json_line():
 
 def test_explain_flag(spark, capsys):
     assert cli.main(["keyed_sum", SF001, "--explain"]) == 0
-    assert "Physical Plan" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "Physical Plan" in out and "exchanges: 1" in out and "pairwise_joins: []" in out

@@ -38,6 +38,12 @@ def test_exchange_budget(built, name, budget):
     assert inspect.count_exchanges(built[name]) <= budget
 
 
+def test_summary(built):
+    s = inspect.summary(built["keyed_sum_default"])
+    assert s["pairwise_joins"] == [] and s["row_python"] == [] and s["exchanges"] >= 1
+    assert any("EqualTo(event_type,purchase)" in f for f in s["pushed_filters"])
+
+
 def test_scans_are_pruned(built):
     for name in ("all_reduce_sum", "gd_step", "all_reduce_wide"):
         assert all(s == "struct<embedding:array<float>>" for s in inspect.read_schemas(built[name]))

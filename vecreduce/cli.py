@@ -38,7 +38,11 @@ def main(argv=None) -> int:
     spark = SparkSession.builder.appName(f"vecreduce-{args.query}").getOrCreate()
     df = BY_NAME[args.query].build(spark, args.tables)
     if args.explain:
+        from vecreduce.plans.inspect import summary
+
         df.explain(mode="formatted")
+        for key, val in summary(df).items():
+            print(f"{key}: {val}")
     if args.out:
         df.write.mode("errorifexists").parquet(args.out)
     if args.show:

@@ -46,3 +46,16 @@ def pushed_filters(df: DataFrame) -> list[str]:
 def has_any(df: DataFrame, names) -> list[str]:
     text = plan_text(df)
     return [n for n in names if n in text]
+
+
+def summary(df: DataFrame) -> dict:
+    """The plan properties that decide behaviour at scale, from one ``explain``."""
+    text = plan_text(df)
+    return {
+        "exchanges": len(re.findall(r"\bExchange\b", physical_section(text))),
+        "pairwise_joins": [n for n in PAIRWISE if n in text],
+        "row_python": [n for n in ROW_PYTHON if n in text],
+        "arrow_python": [n for n in ARROW_PYTHON if n in text],
+        "read_schemas": re.findall(r"ReadSchema: (struct<[^\n]*>)", text),
+        "pushed_filters": [f for f in re.findall(r"PushedFilters: \[([^\n]*)\]", text) if f],
+    }
