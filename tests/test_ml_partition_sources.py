@@ -141,6 +141,9 @@ def test_key_domain_fills_gaps(spark):
     sparse = spark.createDataFrame([(1,), (2 ** 62,)], "k long")
     with pytest.raises(ValueError, match="sparse"):
         key_domain(sparse, "k")
+    # longer than the table but within 100x the distinct keys: generated
+    gappy = spark.createDataFrame([(0,), (10,), (20,)], "k long")
+    assert key_domain(gappy, "k").count() == 21
 
 
 def test_dense_text_round_trip(spark):
