@@ -80,7 +80,7 @@ def test_flagship_is_one_codegen_stage_to_the_shuffle(spark):
 
 CODEGEN_MAP_SIDE = ["all_reduce_sum", "scatter_reduce", "keyed_sum", "least_squares_gradient",
                     "gd_trajectory", "tree_stats", "vector_stats", "dense_text_source",
-                    "hierarchical_all_reduce", "event_gradients", "all_reduce_wide"]
+                    "hierarchical_all_reduce", "event_gradients", "all_reduce_wide", "libsvm_source"]
 
 
 @pytest.mark.parametrize("name", CODEGEN_MAP_SIDE)

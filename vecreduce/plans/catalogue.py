@@ -106,10 +106,11 @@ def q_libsvm_source(spark: SparkSession, sf: str) -> DataFrame:
     src.write_libsvm(emb, path, label="label", features="embedding")
     width = _width(emb, "embedding")
     back = src.read_libsvm(spark, path, num_features=width)
-    row_total = F.aggregate(F.transform(vector_to_array("features"), lambda x: to_fixed(x)),
-                            F.lit(0).cast("long"), lambda a, b: a + b)
-    return back.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"),
-                                     F.sum(row_total).alias("total"))
+    # Dense arrays of `width` elements: one cell per feature (inside codegen); each row has
+    # exactly one cell at position 0, which counts the rows.
+    cells = back.select("label", F.posexplode(vector_to_array("features")).alias("pos", "x"))
+    return cells.groupBy("label").agg(F.count_if(F.col("pos") == 0).alias("cnt"),
+                                      F.sum(to_fixed("x")).alias("total"))
 
 
 def q_dense_text_source(spark: SparkSession, sf: str) -> DataFrame:
