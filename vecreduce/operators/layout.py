@@ -72,7 +72,7 @@ def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value:
     """
     summed = long.groupBy(*keys, dim).agg(F.sum(value).alias(value))
     cells = F.array_sort(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(value).alias("v"))))
-    vec = F.transform(cells, lambda z: z["v"])
+    vec = cells.getField("v")  # field of every struct in the array (no lambda)
     if dense:
         k = F.count(F.lit(1))
         ok = (k == 0) | ((F.min(dim) == 0) & (F.max(dim) == k - 1))
