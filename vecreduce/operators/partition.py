@@ -212,8 +212,11 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
     their total size (tasks x elements) is held to ``max_message_elements``;
     wider vectors belong to :func:`all_reduce`.
     """
+    from ..session import master_of
+
     spark = long.sparkSession
-    if str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true":
+    dynamic = str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true"
+    if dynamic and not master_of(spark).startswith("local"):  # local mode ignores it
         raise ValueError("barrier stages need static allocation (spark.dynamicAllocation.enabled)")
     slots = barrier_slots(spark)
     if not 1 <= num_tasks <= slots:
