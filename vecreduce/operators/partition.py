@@ -187,12 +187,14 @@ def barrier_slots(spark) -> int:
 
     sc = spark_context(spark)
     get = sc.getConf().get if sc is not None else (lambda k, d=None: spark.conf.get(k, d))
+    task_cpus = max(int(get("spark.task.cpus", "1") or 1), 1)
     cores = _local_cores(master_of(spark))
-    if cores is None:
+    if cores is not None:
+        cores //= task_cpus
+    else:
         inst, per = get("spark.executor.instances"), get("spark.executor.cores")
         if inst and per:
-            task_cpus = int(get("spark.task.cpus", "1"))
-            cores = int(inst) * int(per) // max(task_cpus, 1)
+            cores = int(inst) * int(per) // task_cpus
     if sc is not None:
         slots = int(sc.defaultParallelism)
     else:
