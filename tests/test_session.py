@@ -41,3 +41,20 @@ def test_fallback_when_unset(tmp_path):
                          env=env)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "ROOT True" in out.stdout
+
+
+def test_barrier_slots_with_multi_cpu_tasks(tmp_path):
+    script = tmp_path / "slots.py"
+    script.write_text(textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {ROOT!r})
+        from pyspark.sql import SparkSession
+        from vecreduce.operators import barrier_slots
+        spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+                 .config("spark.task.cpus", "2").getOrCreate())
+        print("SLOTS", barrier_slots(spark))
+        spark.stop()
+    """))
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "SLOTS 2" in out.stdout
