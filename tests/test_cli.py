@@ -40,3 +40,12 @@ def test_explain_flag(spark, capsys):
     assert cli.main(["keyed_sum", SF001, "--explain"]) == 0
     out = capsys.readouterr().out
     assert "Physical Plan" in out and "exchanges: 1" in out and "pairwise_joins: []" in out
+
+
+def test_programs_print_reference_matrices(spark, capsys):
+    assert cli.main(["--program", "ring"]) == 0
+    out = capsys.readouterr().out
+    assert "after scatter-reduce" in out and "|240|" in out.replace(" ", "")  # F1 golden cell
+    for name in ("dc", "gd", "stats"):
+        assert cli.main(["--program", name, "--iterations", "2"]) == 0
+    assert "after the cross-group merge" in capsys.readouterr().out
