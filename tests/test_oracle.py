@@ -29,3 +29,18 @@ def test_entry_smoke(spark):
     assert [f.name for f in df.schema.fields] == ["dim", "total"]
     assert df.count() == 64
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_readme_counts_match_catalogue():
+    import os
+    import re
+
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+                               "README.md")).read()
+    m = re.search(r"There are (\d+) registered queries: (\d+) with oracle SQL", readme)
+    assert m and int(m.group(1)) == len(CATALOGUE) and int(m.group(2)) == len(WITH_SQL)
+    ids = {f"O{i:02d}" for i in range(1, 38)}
+    covered = {o for q in CATALOGUE for o in q.operators}
+    assert covered <= ids
+    for oid in ids:  # every inventory operator has a row in the README table
+        assert f"| {oid} |" in readme, oid
