@@ -46,6 +46,20 @@ def test_fixed_point_round_half_up(spark):
     assert back == 1.234568
 
 
+def test_fixed_point_range_guard_in_any_session(spark):
+    df = spark.createDataFrame([(1e13,)], "x double")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="fixed-point range"):
+                df.select(to_fixed("x").alias("g")).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+    assert df.select(to_fixed("x", 1).alias("g")).first().g == 10 ** 13
+    nulls = spark.createDataFrame([(None,)], "x double")
+    assert nulls.select(to_fixed("x").alias("g")).first().g is None
+
+
 def test_ml_vector_input(spark):
     from pyspark.ml.linalg import Vectors
 

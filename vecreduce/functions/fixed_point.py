@@ -25,9 +25,19 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_FIXED_LIMIT = 9.2e18  # just inside BIGINT
+
+
 def to_fixed(c, scale: int = EMBEDDING_SCALE) -> Column:
-    """``floor(double(c) * scale + 0.5)`` as BIGINT."""
-    return F.floor(col_of(c).cast("double") * float(scale) + F.lit(0.5)).cast("long")
+    """``floor(double(c) * scale + 0.5)`` as BIGINT.
+
+    A value whose fixed-point form leaves BIGINT fails with a clear message in
+    any session (with ANSI mode off, Spark's cast would silently saturate).
+    """
+    v = col_of(c).cast("double") * float(scale) + F.lit(0.5)
+    return F.when(F.abs(v) < F.lit(_FIXED_LIMIT), F.floor(v).cast("long")).otherwise(
+        F.when(v.isNotNull(), F.raise_error(F.lit(
+            "vecreduce: value out of fixed-point range; use a smaller scale"))).cast("long"))
 
 
 def from_fixed(c, scale: int = EMBEDDING_SCALE) -> Column:
