@@ -71,6 +71,12 @@ def test_map_partitions_sum_ragged_null_and_invalid(spark):
     assert totals(op.map_partitions_sum(keyless, on_invalid="skip")) == {0: 2_000_000}
 
 
+def test_map_partitions_sum_range_check(spark):
+    df = spark.createDataFrame([(0, [1e13])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fixed-point range"):
+        op.map_partitions_sum(df).collect()
+
+
 def test_map_partitions_sum_exact_beyond_int64_batches(spark):
     """Per-task running sums stay exact across batches whose total leaves int64."""
     big = spark.range(0, 40_000, 1, 1).selectExpr(

@@ -35,8 +35,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _fixed(values: np.ndarray, scale: int) -> np.ndarray:
-    # Same IEEE steps as functions.fixed_point.to_fixed: floor(double(x) * scale + 0.5).
-    return np.floor(values.astype(np.float64) * float(scale) + 0.5).astype(np.int64)
+    # Same IEEE steps and range check as functions.fixed_point.to_fixed.
+    v = values.astype(np.float64) * float(scale) + 0.5
+    if v.size and not (np.abs(v) < 9.2e18).all():
+        raise ValueError("vecreduce: value out of fixed-point range; use a smaller scale")
+    return np.floor(v).astype(np.int64)
 
 
 def _flat_cells(vec, scale: int, on_invalid: str):
