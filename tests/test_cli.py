@@ -46,6 +46,6 @@ def test_programs_print_reference_matrices(spark, capsys):
     assert cli.main(["--program", "ring"]) == 0
     out = capsys.readouterr().out
     assert "after scatter-reduce" in out and "|240|" in out.replace(" ", "")  # F1 golden cell
-    for name in ("dc", "gd", "stats"):
+    for name in ("dc", "gd", "stats", "mlp"):
         assert cli.main(["--program", name, "--iterations", "2"]) == 0
     assert "after the cross-group merge" in capsys.readouterr().out

@@ -210,21 +210,12 @@ def test_map_partitions_sum_promotes_only_when_needed(spark):
 def test_reference_mlp_program_on_libsvm_fixture(spark):
     """Fixture F6's shape: 150 LibSVM rows, 3 balanced classes, 4 features in [-1, 1], some rows
     without index 2; read, randomSplit(0.8, 0.2, seed 1234), MLP 4-5-4-3, accuracy."""
-    import numpy as np
+    from vecreduce.sources import libsvm_fixture
 
-    rng = np.random.default_rng(2)
-    centers = np.array([[-0.6, 0.5, -0.5, -0.7], [0.1, -0.3, 0.0, 0.2], [0.7, 0.2, 0.6, 0.8]])
-    lines = []
-    for label in range(3):
-        for i in range(50):
-            x = np.clip(centers[label] + rng.normal(0, 0.08, 4), -1, 1)
-            feats = [(j + 1, x[j]) for j in range(4)]
-            if label == 1 and i < 13:  # sparse rows: index 3 (third feature) omitted, i.e. zero
-                feats = [f for f in feats if f[0] != 3]
-            lines.append(f"{label} " + " ".join(f"{j}:{v:.6f}" for j, v in feats))
-    path = scratch_path(spark, "t-f6")
-    spark.createDataFrame([(ln,) for ln in lines], "value string").coalesce(1).write.text(path)
+    path = libsvm_fixture(spark, scratch_path(spark, "t-f6"))
     data = read_libsvm(spark, path, num_features=4)
+    sparse = spark.read.text(path).where("size(split(value, ' ')) = 4").count()
+    assert sparse == 13  # label + 3 features: the rows that omit one
     assert data.count() == 150
     train, test = op.random_split(data, (0.8, 0.2), 1234)
     model = op.mlp_fit(train, [4, 5, 4, 3], block_size=128, seed=1234, max_iter=100)

@@ -67,8 +67,19 @@ def _stats(spark, args):
     programs.aggregate_statistics(rows, {"grad": "g"}, "l").show()
 
 
+def _mlp(spark, args):
+    from vecreduce import operators as op
+    from vecreduce.session import scratch_path
+    from vecreduce.sources import libsvm_fixture, read_libsvm
+
+    data = read_libsvm(spark, libsvm_fixture(spark, scratch_path(spark, "mlp-fixture")), 4)
+    train, test = op.random_split(data, (0.8, 0.2), 1234)
+    model = op.mlp_fit(train, [4, 5, 4, 3], block_size=128, seed=1234, max_iter=100)
+    op.accuracy(op.predict(model, test)).show()
+
+
 # the reference's workloads on their fixture shapes (for --program)
-PROGRAMS = {"ring": _ring, "dc": _dc, "gd": _gd, "stats": _stats}
+PROGRAMS = {"ring": _ring, "dc": _dc, "gd": _gd, "stats": _stats, "mlp": _mlp}
 
 
 def main(argv=None) -> int:

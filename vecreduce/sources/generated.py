@@ -37,6 +37,30 @@ def counting_matrix(spark: SparkSession, n_rows: int, n_cols: int) -> DataFrame:
                     .alias("vec")))
 
 
+def libsvm_fixture(spark: SparkSession, path: str, rows_per_class: int = 50, sparse_rows: int = 13,
+                   seed: int = 2) -> str:
+    """Write a LibSVM file shaped like the reference's MLP input and return its path.
+
+    Three separable classes with ``rows_per_class`` rows each, four features in
+    [-1, 1]; ``sparse_rows`` rows of class 1 omit feature 3 (a zero).  Fixture
+    scale: the lines are produced on the driver.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centers = np.array([[-0.6, 0.5, -0.5, -0.7], [0.1, -0.3, 0.0, 0.2], [0.7, 0.2, 0.6, 0.8]])
+    lines = []
+    for label in range(3):
+        for i in range(rows_per_class):
+            x = np.clip(centers[label] + rng.normal(0, 0.08, 4), -1, 1)
+            feats = [(j + 1, x[j]) for j in range(4)]
+            if label == 1 and i < sparse_rows:
+                feats = [f for f in feats if f[0] != 3]
+            lines.append(f"{label} " + " ".join(f"{j}:{v:.6f}" for j, v in feats))
+    spark.createDataFrame([(ln,) for ln in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
 def range_source(spark: SparkSession, start: int, end: int, num_partitions: int | None = None,
                  name: str = "id") -> DataFrame:
     """Integer range ``[start, end)`` split over ``num_partitions`` tasks."""
