@@ -236,11 +236,9 @@ def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
 
         ctx = BarrierTaskContext.get()
         sums: dict[int, int] = {}
-        for pdf in batches:
-            if len(pdf):
-                grouped = pdf.groupby("dim")["g"].sum()
-                for d, g in zip(grouped.index.tolist(), grouped.tolist()):
-                    sums[d] = sums.get(d, 0) + int(g)
+        for pdf in batches:  # at most workers x dims pre-summed rows: exact Python ints
+            for d, g in zip(pdf["dim"].tolist(), pdf["g"].tolist()):
+                sums[d] = sums.get(d, 0) + g
         if len(sums) * num_tasks > max_message_elements:
             raise ValueError("partials too large for barrier messages; use all_reduce")
         messages = ctx.allGather(json.dumps(sums))
