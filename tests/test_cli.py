@@ -49,3 +49,16 @@ def test_programs_print_reference_matrices(spark, capsys):
     for name in ("dc", "gd", "stats", "mlp"):
         assert cli.main(["--program", name, "--iterations", "2"]) == 0
     assert "after the cross-group merge" in capsys.readouterr().out
+
+
+def test_module_entry_point():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=root)
+    out = subprocess.run([sys.executable, "-m", "vecreduce", "--list"], capture_output=True,
+                         text=True, timeout=300, env=env, cwd="/")
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert len([ln for ln in out.stdout.splitlines() if ln.strip()]) == 35
