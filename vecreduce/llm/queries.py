@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, simhash
+from . import decontaminate, exact_dedup, pii, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,23 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    base = [k.name for k in pii.KINDS if k.base]
+    return found.select(F.col("id").alias("doc_id"),
+                        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(pii.listed(*map(F.col, base)), 256).alias("base_sha256"),
+                        pii.listed(*[F.col(k.name) for k in pii.KINDS]).alias("spans"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"),
@@ -25,7 +42,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op10_simhash_dedup)}
+    f.__name__: f for f in (op1_exact_dedup, op4_pii, op9_decontaminate, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -34,4 +51,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)""",
+    "op9_decontaminate": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        item_windows AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS run
+            FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                  FROM (SELECT *, least(10, len(w)) AS k FROM items WHERE len(w) > 0))),
+        doc_windows AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS run
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                  FROM words, (SELECT DISTINCT k FROM item_windows) WHERE len(w) >= k)),
+        found AS (SELECT doc_id, k, i, item_id FROM doc_windows JOIN item_windows USING (k, run)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found
+                        WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
