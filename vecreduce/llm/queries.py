@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, pii, simhash
+from . import decontaminate, exact_dedup, html_extract, language_id, pii, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,33 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.listed(*[F.col(k.name) for k in pii.KINDS]).alias("spans"))
 
 
+def _remainder(key: str, of: int):
+    """crc32 of the id as text, modulo ``of``; null for a null id."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn_from=_remainder("id", 4) != 2)
+    return toxicity.scored(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(_remainder("id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extracted(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select(F.col("id").alias("page_id"), "url", "text",
+                        F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, learn_from=_remainder("id", 5) != 0)
+    return language_id.predicted(docs, model).select(
+        F.col("id").alias("doc_id"), F.coalesce(_remainder("id", 5) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
@@ -42,7 +69,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op4_pii, op9_decontaminate, op10_simhash_dedup)}
+    f.__name__: f for f in (
+        op1_exact_dedup, op4_pii, op5_toxicity, op7_html_extract, op8_language_id, op9_decontaminate,
+        op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
