@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, pii, simhash, toxicity
+from . import (decontaminate, exact_dedup, html_extract, language_id, mixing, pii, simhash, token_counts, toxicity,
+               url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.verdicts(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -39,6 +54,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and of its lines: how many, the most in one, and a digest of all."""
+    found = token_counts.counted(table(spark, sf_dir, "documents"))
+    lines = F.transform("sections", lambda s: F.concat_ws(
+        ":", s.start.cast("string"), s.end.cast("string"), s.tokens.cast("string")))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.size("sections").cast("long").alias("n_lines"),
+                        F.array_max(F.transform("sections", lambda s: s.tokens)).alias("longest_line_tokens"),
+                        F.sha2(F.array_join(lines, ","), 256).alias("lines_sha256"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extracted(table(spark, sf_dir, "pages"), keep=("url",))
     return found.select(F.col("id").alias("page_id"), "url", "text",
@@ -70,8 +95,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_exact_dedup, op4_pii, op5_toxicity, op7_html_extract, op8_language_id, op9_decontaminate,
-        op10_simhash_dedup)}
+        op1_exact_dedup, op2_mix_sources, op3_url_filter, op4_pii, op5_toxicity, op6_token_counts, op7_html_extract,
+        op8_language_id, op9_decontaminate, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -80,6 +105,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)""",
+    "op3_url_filter": """
+        WITH u AS (SELECT page_id,
+                          translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                    ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(h, p, verdict))
+        SELECT page_id, any_value(host) AS host, any_value(path) AS path,
+               arg_max(h || p, length(h || p)) AS rule,
+               coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
+        FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        GROUP BY page_id""",
     "op9_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

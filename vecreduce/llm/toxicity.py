@@ -3,7 +3,8 @@
 A text's features are the buckets of its character n-grams (lower-cased, white space
 folded), present or not.  Each feature is scaled by the log ratio of its smoothed document
 frequencies in toxic and clean labelled texts, the vector is scaled to unit length, and a
-logistic regression with L2 penalty is trained on it.
+logistic regression with L2 penalty is trained on it.  Features in fewer than
+``least_count`` sampled texts, or with a log ratio near zero, are left out.
 
 The fit uses at most about ``fit_rows`` labelled rows, those with the smallest hashes of
 their ids.  Their features are counted by Spark; one task then fits on the sample's
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .common import col, saved
 
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 _PIECE = 1 << 20
 
 
@@ -37,7 +38,9 @@ class Settings:
     lengths: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     smoothing: float = 1.0
-    penalty: float = 1e-4
+    least_count: int = 4
+    least_ratio: float = 0.3
+    penalty: float = 1e-5
     rounds: int = 150
 
 
@@ -90,24 +93,31 @@ def fitted(settings: Settings, features: list[np.ndarray], labels: np.ndarray) -
     size = 1 << settings.bits
     positive = int(labels.sum())
     prior = np.log((positive + 1) / (len(labels) - positive + 1))
-    used = [i for i, f in enumerate(features) if len(f)]
-    if positive in (0, len(labels)) or not used:
+    if positive in (0, len(labels)):
         return Model(settings, np.zeros(size), np.zeros(size), prior)
-    y = labels[used].astype(np.float64)
-    lengths = np.array([len(features[i]) for i in used])
-    index = np.concatenate([features[i] for i in used])
+    counts = np.zeros((2, size))
+    for label, found in zip(labels, features):
+        counts[label, found] += 1  # a text has each feature once
+    a = settings.smoothing
+    in_clean, in_toxic = (counts + a) / (np.bincount(labels, minlength=2)[:, None] + 2 * a)
+    ratios = np.log(in_toxic) - np.log(in_clean)
+    kept = (counts.sum(axis=0) >= settings.least_count) & (np.abs(ratios) >= settings.least_ratio)
+    ratios = np.where(kept, ratios, 0).astype(np.float32)
+
+    chosen = [found[kept[found]] for found in features]
+    used = [i for i, found in enumerate(chosen) if len(found)]
+    if not used:
+        return Model(settings, ratios, np.zeros(size), prior)
+    y = labels[used].astype(np.float32)
+    lengths = np.array([len(chosen[i]) for i in used])
+    index = np.concatenate([chosen[i] for i in used])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
     def spread(values):  # one value for each row -> one for each feature of the row
-        return np.repeat(values, lengths)
+        return np.repeat(values.astype(np.float32), lengths)
 
-    a = settings.smoothing
-    toxic = np.bincount(index, weights=spread(y), minlength=size)
-    clean = np.bincount(index, minlength=size) - toxic
-    ratios = np.log((toxic + a) / (y.sum() + 2 * a)) - np.log((clean + a) / ((1 - y).sum() + 2 * a))
     values = ratios[index]
-    norms = np.sqrt(np.add.reduceat(values * values, starts))
-    values /= spread(np.where(norms > 0, norms, 1))
+    values /= spread(np.sqrt(np.add.reduceat(values * values, starts)))
 
     def times(w):
         return np.add.reduceat(values * w[index], starts)
@@ -116,12 +126,14 @@ def fitted(settings: Settings, features: list[np.ndarray], labels: np.ndarray) -
         return np.bincount(index, weights=values * spread(r), minlength=size)
 
     step = 1 / (0.5 + settings.penalty)  # unit rows and an intercept: a quarter of at most two
-    w, b, at_w, at_b, t = np.zeros(size), prior, np.zeros(size), prior, 1.0
+    w, b, at_w, at_b, t = np.zeros(size, np.float32), prior, np.zeros(size, np.float32), prior, 1.0
     for _ in range(settings.rounds):
         error = (1 / (1 + np.exp(-(times(at_w) + at_b))) - y) / len(y)
-        new_w, new_b = at_w - step * (back(error) + settings.penalty * at_w), at_b - step * error.sum()
+        new_w = (at_w - step * (back(error) + settings.penalty * at_w)).astype(np.float32)
+        new_b = at_b - step * error.sum()
         further = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at_w, at_b = new_w + (t - 1) / further * (new_w - w), new_b + (t - 1) / further * (new_b - b)
+        at_w = new_w + np.float32((t - 1) / further) * (new_w - w)
+        at_b = new_b + (t - 1) / further * (new_b - b)
         w, b, t = new_w, new_b, further
     return Model(settings, ratios, w, b)
 
