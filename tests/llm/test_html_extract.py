@@ -1,0 +1,60 @@
+import helpers as h
+from hypothesis import given, settings, strategies as st
+from vecreduce.llm import html_extract as op
+
+GOOD = "It was the one of the things that we had to do in the night, and so it went on for all of us until the day."
+
+
+def test_article_is_kept_and_the_rest_goes():
+    page = f"""<!DOCTYPE html><html><head><title>Title</title><style>p{{}}</style></head><body class="has-sidebar">
+      <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>{GOOD}</p> -->
+      <div class="cookie-notice">{GOOD}</div><div id="ad-1">{GOOD}</div><script>var t="</p>{GOOD}";</script>
+      <article><h1>The &amp; title</h1><p>{GOOD}<p>Short.</p><b>bold <br>line</b>
+      <aside>{GOOD}</aside><form>Search <input value="x"><button>Go</button></form><p>a &lt; b&nbsp;c</p></article>
+      <section class="comments"><article><p>{GOOD}</p></article></section>
+      <div style="display: none">{GOOD}</div><footer>&copy; {GOOD}</footer></body></html>"""
+    assert op.main_text(page) == f"The & title {GOOD} Short. bold line a < b c"
+
+
+def test_two_passes_without_an_article():
+    page = (f"<div>Home</div><div><a href=x>Some links</a> <a>more links</a></div><p>{GOOD} {GOOD}</p><p>Then.</p>"
+            f"<p>{GOOD} {GOOD}</p><div><a>Next page of links</a></div><p>End of links</p>"
+            "<p>Zxv qwy tpl mnb grd klo vbn rty qws plm okn ijb uhv ygc tfx rdz esa wqq lkj hgf dsa mnb vcx zlk.</p>")
+    assert op.main_text(page) == f"{GOOD} {GOOD} Then. {GOOD} {GOOD}"
+
+
+def test_words_without_stop_words_stay_in_an_article():
+    junk = "Zxv | qwy | tpl | mnb | grd | klo | vbn | rty | qws | plm | okn | ijb | uhv | ygc | tfx | rdz"
+    assert op.main_text(f"<div class='ad'>{GOOD}</div><article><p>{junk}</p></article><footer>x</footer>") == junk
+
+
+def test_defined_cases():
+    assert op.main_text(None) == op.main_text("") == op.main_text("<p> <br>&nbsp;</p>") == ""
+    assert op.main_text("just text") == "just text"
+    assert op.main_text(f"<article><p>{GOOD}<script>x = '</p>'") == GOOD
+    assert op.main_text(f"<article><p title='a > b'>{GOOD}</p><p>cut &am") == f"{GOOD} cut &am"
+    assert op.main_text(f"<article><p>{GOOD}</p><!-- open <p>{GOOD}</p>") == GOOD
+    assert op.main_text(f"<article><p title='open>{GOOD}</p>") in (GOOD, "")
+
+
+def test_broken_and_long_pages_take_linear_time():
+    for page in ("<" * 200_000, "<a " * 100_000, "<p title=\"" * 50_000, "<div>" * 100_000, "</div>" * 100_000,
+                 "<!--" * 100_000, "<b>" * 50_000 + "</i>" * 5_000, "&" * 200_000, "<script>" * 20_000):
+        op.main_text(page)
+    long = f"<article>{f'<p>{GOOD}</p>' * 20_000}</article>"
+    assert op.main_text(long) == " ".join([GOOD] * 20_000)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<>/!-pbdiv arctle=\"'&;\n", max_size=80))
+def test_any_markup_is_survived(page):
+    assert op.main_text(page) == " ".join(op.main_text(page).split())
+
+
+def test_pages_table(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", f"<p>{GOOD}"), (None, "v", f"<p>{GOOD}")],
+                               "page_id long, url string, html string")
+    got = op.extracted(h.with_clashing_columns(df), keep=("url",))
+    assert got.columns == ["id", "text", "url"]
+    assert sorted(h.rows(got), key=str) == sorted([(1, "", "u"), (2, "", None), (None, GOOD, "v"), (None, GOOD, "v")], key=str)
+    assert op.extracted(df.limit(0)).count() == 0

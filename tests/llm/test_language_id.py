@@ -1,0 +1,103 @@
+import itertools
+import math
+import random
+
+import helpers as h
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from vecreduce.llm import language_id as op
+
+PIECES = ["▁", "▁a", "a", "ab", "b", "▁ab", "ba", "bab"]
+
+
+def segmentations(word, pieces):
+    """Every way to cut the marked word into pieces, single unknown letters included."""
+    marked = "▁" + word
+    for cuts in itertools.product([0, 1], repeat=len(marked) - 1):
+        at = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(marked)]
+        parts = [marked[a:b] for a, b in zip(at, at[1:])]
+        if all(p in pieces or len(p) == 1 for p in parts):
+            yield parts
+
+
+def model_of(pieces, seed=0):
+    rng = np.random.default_rng(seed)
+    return np.stack([np.append(p / p.sum(), [op.UNKNOWN, 0]) for p in rng.random((3, len(pieces)))], axis=1)
+
+
+def test_forward_sums_all_segmentations():
+    lattice, of_piece = op.Lattice(PIECES), model_of(PIECES)
+    words = ["a", "ab", "bab", "abab", "xa", "babbab", "é"]
+    got = lattice.log_probabilities(words, of_piece)
+    for word, row in zip(words, got):
+        want = sum(np.prod([of_piece[lattice.ids.get(p, lattice.unknown)] for p in parts], axis=0)
+                   for parts in segmentations(word, PIECES))
+        assert np.allclose(row, np.log(want))
+
+
+def test_long_words_keep_their_scale():
+    lattice, of_piece = op.Lattice(PIECES), model_of(PIECES)
+    one, long = lattice.log_probabilities(["x" * 10, "x" * 5000], of_piece)
+    assert np.allclose(long - one, 4990 * math.log(op.UNKNOWN))
+
+
+def test_expected_counts_equal_enumeration():
+    lattice, of_piece = op.Lattice(PIECES), model_of(PIECES)[:, 1]
+    words, weights = ["abab", "ba", "xab"], np.array([2.0, 1.0, 3.0])
+    want = np.zeros(len(PIECES) + 2)
+    for word, n in zip(words, weights):
+        parts = list(segmentations(word, PIECES))
+        p = np.array([np.prod([of_piece[lattice.ids.get(x, lattice.unknown)] for x in s]) for s in parts])
+        for s, share in zip(parts, p / p.sum()):
+            for x in s:
+                want[lattice.ids.get(x, lattice.unknown)] += n * share
+    assert np.allclose(lattice.expected_counts(words, weights, of_piece), want)
+
+
+@pytest.fixture(scope="module")
+def model_and_docs(spark):
+    rng = random.Random(4)
+    syllables = {"xx": ["the", "ing", "and", "er"], "yy": ["der", "ung", "sch", "ein"], "zz": ["que", "aux", "les", "oi"]}
+    rows = []
+    for i in range(240):
+        lang = "xyz"[i % 3] * 2
+        words = ["".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60))]
+        rows.append((i, " ".join(words).capitalize() + ". 123", "s", lang))
+    df = h.docs(spark, rows)
+    return df, op.fit(df, learn_from=F.pmod(F.col("id"), F.lit(5)) != 0)
+
+
+def test_held_out_accuracy(model_and_docs):
+    df, model = model_and_docs
+    assert model.languages == ["xx", "yy", "zz"]
+    got = op.predicted(df.withColumn("lang", F.lit("xx")), model).collect()
+    held = [r for r in got if r.id % 5 == 0]
+    assert np.mean([r.lang_pred == "xyz"[r.id % 3] * 2 for r in held]) >= 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_fit_does_not_depend_on_partitions(spark, model_and_docs):
+    df, model = model_and_docs
+    again = op.fit(df.repartition(7), learn_from=F.pmod(F.col("id"), F.lit(5)) != 0)
+    assert np.allclose(again.of_piece, model.of_piece, rtol=1e-4)
+
+
+def test_odd_rows(spark, model_and_docs, monkeypatch):
+    _, model = model_and_docs
+    df = h.with_clashing_columns(h.odd(spark)).unionByName(h.with_clashing_columns(h.docs(spark, [(20, "12 ²³ !?")])))
+    got = op.predicted(df, model, keep=tuple(df.columns))
+    assert got.select("row.*").schema == df.schema
+    by_id = [(r.id, r.lang_pred, r.score) for r in got.collect()]
+    assert len(by_id) == df.count()
+    assert {(i, s) for i, lang, s in by_id if lang == "und"} == {(1, 0.0), (2, 0.0), (3, 0.0), (20, 0.0), (None, 0.0)}
+    monkeypatch.setattr(op, "REMEMBERED", 1)
+    scorer = op.Scorer(model)
+    assert scorer(["the and"]) == scorer(["the and"]) and scorer([]) == []
+
+
+def test_nothing_to_learn_from(spark):
+    empty = h.docs(spark, [])
+    model = op.fit(empty)
+    assert [tuple(r)[1:] for r in op.predicted(h.docs(spark, [(1, "some text")]), model).drop("row").collect()] == [("und", 0.0)]
+    assert op.predicted(empty, model).count() == 0

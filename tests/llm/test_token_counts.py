@@ -1,0 +1,57 @@
+import random
+
+import helpers as h
+import pytest
+from vecreduce.llm import token_counts as op
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    with open(op.VOCABULARY, "rb") as f:
+        return op.Encoder(f.read())
+
+
+def brute(encoder, text, starts, rule):
+    """Character by character, with the tokens' bytes decoded in turn."""
+    owner_of = [max(k for k, s in enumerate(starts) if s <= c) for c in range(len(text))]
+    char_of = [c for c, ch in enumerate(text) for _ in ch.encode()]
+    counts, at = [0] * len(starts), 0
+    for token in encoder.encoding.encode_ordinary(text):
+        n = len(encoder.encoding.decode_single_token_bytes(token))
+        owners = [owner_of[c] for c in sorted(set(char_of[at:at + n]))]
+        at += n
+        counts[owners[0] if rule == "start" else owners[-1] if rule == "end"
+               else max(sorted(set(owners)), key=owners.count)] += 1
+    assert at == len(text.encode())
+    return counts
+
+
+@pytest.mark.parametrize("rule", op.RULES)
+def test_sections_equal_brute_force(spark, encoder, rule):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(["the", " word", "\n", "\n\n", " ", "é", "😀", "12", ".", "\r\n"]) for _ in range(60))
+             for _ in range(30)] + ["", "\n", "\n\n\n\n", "a\n\n \n b"]
+    df = h.docs(spark, list(enumerate(texts))).repartition(3)
+    for r in op.counted(df, fields=("source", "text"), rule=rule).collect():
+        text = "s0\n" + texts[r.id]
+        starts = [s.start for s in r.sections]
+        assert [s.tokens for s in r.sections] == brute(encoder, text, starts, rule)
+        assert r.n_tokens == sum(s.tokens for s in r.sections)
+        assert "".join(text[s.start:s.end] for s in r.sections) == text
+        assert [s.field for s in r.sections] == [0] + [1] * (len(starts) - 1)
+        lines = texts[r.id].count("\n") + (not texts[r.id].endswith("\n"))
+        assert len(starts) == 1 + max(1, lines)
+
+
+def test_whole_fields_and_odd_rows(spark, encoder):
+    df = h.odd(spark)
+    got = op.counted(h.with_clashing_columns(df), fields=("lang", "text"), by_line=False).collect()
+    assert len(got) == df.count() and all(len(r.sections) == 2 for r in got)
+    assert all(r.n_tokens == sum(s.tokens for s in r.sections) for r in got)
+    of = {r.id: r for r in got}
+    assert of[4].n_tokens == len(encoder.encoding.encode_ordinary("en\n" + h.LONG))
+    assert op.counted(h.docs(spark, [])).count() == 0
+    none = op.counted(h.docs(spark, [(1, None)])).first()
+    assert none.n_tokens == 0 and [tuple(s) for s in none.sections] == [(0, 0, 0, 0)]
+    with pytest.raises(ValueError):
+        op.counted(df, rule="other")
