@@ -6,9 +6,9 @@ Words near a match raise its score.  Spans of the base kinds (email, ip, card, p
 reported once validated; spans of the added kinds (iban, ssn) need a score of
 ``threshold`` too.
 
-The patterns are possessive and start only where a run of their characters starts, so no
-text makes them backtrack; they match what the plain patterns below match, less proposals
-that fail validation anyway.
+The base patterns are possessive and start only where a run of their characters starts, so
+no text makes them backtrack; they match what the plain patterns below match, less
+proposals that fail validation anyway.  The added patterns are of bounded length.
 
     email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
     ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)          parts at most 255
@@ -69,9 +69,9 @@ KINDS = (
     Kind("phone", r"\+[0-9]", r"\+[0-9](?:[\x20().-]*+[0-9])++",
          f"length({_DIGITS}) between 9 and 15", "phone|tel|call|mobile|fax", 0.6, 0.3),
     Kind("iban", "[A-Z][A-Z][0-9][0-9]",
-         r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9_])",
+         r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])",
          f"exists(array({_IBAN}), a -> {_MOD97})", "iban|account|bank", 0.8, 0.2, base=False),
-    Kind("ssn", "[0-9]-[0-9]", r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])",
+    Kind("ssn", "[0-9]-[0-9]", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
          "substr(m, 1, 3) not in ('000', '666') and substr(m, 5, 2) <> '00' and substr(m, 8) <> '0000'",
          "ssn|social security", 0.3, 0.4, base=False),
 )

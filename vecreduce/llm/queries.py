@@ -93,6 +93,50 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component_id"))
 
 
+def _pii_sql() -> str:
+    """Matches and the pieces between them for each kind; starts are sums of their lengths."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: "
+            f"(CAST(substr(reverse({digits}), i, 1) AS INT) * (1 + (i - 1) % 2)) - "
+            f"CASE WHEN CAST(substr(reverse({digits}), i, 1) AS INT) * (1 + (i - 1) % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0")
+    account = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
+    mod97 = (f"list_reduce(list_concat([0], list_transform(range(1, len({account}) + 1), lambda i: ord(substr({account}, i, 1)))), "
+             "lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1")
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 "
+         "AND CAST('0' || right(p, 3) AS INT) <= 255))"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod97),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+         "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000' "
+         "AND regexp_matches(lower(right(before, 40) || ' ' || left(after, 20)), 'ssn|social security')")]
+    parts = ["WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"]
+    for name, pattern, check in kinds:
+        parts.append(f"""
+        {name}_m AS (SELECT doc_id, found, pieces, unnest(range(1, len(found) + 1)) AS k
+                  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+                               string_split_regex(text, '{pattern}') AS pieces FROM d) WHERE len(found) > 0),
+        {name}_s AS (SELECT doc_id, '{name}' AS kind, s, s + length(m) AS e
+                  FROM (SELECT doc_id, found[k] AS m, pieces[k] AS before, pieces[k + 1] AS after,
+                               CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x)))
+                                    + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+                        FROM {name}_m) WHERE {check})""")
+    every = " UNION ALL ".join(f"SELECT *, {i} AS o FROM {name}_s" for i, (name, _, _) in enumerate(kinds))
+    parts.append(f"""
+        spans AS (SELECT doc_id, o, s, kind, kind || ':' || s || ':' || e AS span FROM ({every})),
+        listed AS (SELECT doc_id, string_agg(span, ',' ORDER BY o, s) AS spans,
+                          string_agg(span, ',' ORDER BY o, s) FILTER (o < 4) AS base,
+                          {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in kinds[:4])}
+                   FROM spans GROUP BY doc_id)""")
+    return ",".join(parts) + f"""
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in kinds[:4])},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN listed USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_mix_sources, op3_url_filter, op4_pii, op5_toxicity, op6_token_counts, op7_html_extract,
@@ -117,6 +161,7 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
         FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
         GROUP BY page_id""",
+    "op4_pii": _pii_sql(),
     "op9_decontaminate": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
