@@ -61,7 +61,8 @@ def test_the_tilts_solve_the_dual(spark, corpus):
     df, _ = corpus
     sizes = df.select("source", op.size_of(df.text).alias("size"))
     counts = sizes.where("size > 0").groupBy("source", "size").count().withColumnRenamed("count", "documents")
-    found = op.tilts(counts, op.targets(sizes)).collect()
+    targets = op.targets(sizes)
+    found = op.tilts(counts, targets, op.BySource(targets)).collect()
     groups = {}
     for s, size, n in h.rows(counts):
         groups.setdefault(s, []).append((size, n))

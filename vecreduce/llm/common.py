@@ -57,12 +57,3 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast only when it has at most ``most_rows`` rows.
-
-    ``df`` must be cheap to read (a saved table).  Beyond the bound the join is left to
-    Spark's shuffled joins.
-    """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

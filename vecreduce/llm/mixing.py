@@ -14,9 +14,9 @@ to the shortest: after each class of sizes, the rates of the smaller documents a
 so that they make up for what rounding gave or took.  So a source misses its target by
 about the size of its shortest documents.
 
-Tables of sources have one row for each source.  Documents meet them in a join that
-broadcasts a table of at most ``MOST_SOURCES`` rows and is left to Spark beyond that.
-Documents of one source never meet in a task.
+Tables of sources have one row for each source.  The sources are counted once; documents
+meet them in a join that broadcasts a table of at most ``MOST_SOURCES`` rows and is left to
+Spark beyond that.  Documents of one source never meet in a task.
 
 Defined cases: null texts have size 0 and are taken 0 times, as all empty ones.  A null
 source is a source, the last in order.  A source without words has target 0.  Rows that
@@ -30,7 +30,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import broadcast_if_small, col, saved
+from .common import col, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -75,13 +75,19 @@ def _rate(most: float) -> Column:
     return F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size") / F.col("mean")))
 
 
-def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``left`` with the columns of its source's row in ``right``; null is a source."""
-    named = broadcast_if_small(right, MOST_SOURCES).withColumnRenamed("source", "of_source")
-    return left.join(named, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+class BySource:
+    """Joins with tables of one row for each source; null is a source."""
 
+    def __init__(self, sources: DataFrame):
+        self.small = sources.count() <= MOST_SOURCES
 
-def tilts(counts: DataFrame, wanted: DataFrame, most: float = MOST, tolerance: float = TOLERANCE,
+    def __call__(self, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        named = right.withColumnRenamed("source", "of_source")
+        return left.join(F.broadcast(named) if self.small else named,
+                         F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
+
+
+def tilts(counts: DataFrame, wanted: DataFrame, by_source: BySource, most: float = MOST, tolerance: float = TOLERANCE,
           max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``source, source_size, target, mean, tilt`` of the sources with words.
 
@@ -94,7 +100,7 @@ def tilts(counts: DataFrame, wanted: DataFrame, most: float = MOST, tolerance: f
         F.min("size").alias("shortest"))
     unit = F.col("mean") / F.col("shortest")
     ratio = F.col("target") / F.col("source_size")
-    state = (_same_source(wanted.where("source_size > 0"), stats)
+    state = (by_source(wanted.where("source_size > 0"), stats)
              .withColumn("low", F.least(F.lit(0.0), F.log(ratio) * unit))
              .withColumn("high", F.lit(math.log(most)) * unit)
              .withColumn("tilt", F.when(ratio >= most, F.col("high")).otherwise(F.lit(0.0)))
@@ -103,11 +109,11 @@ def tilts(counts: DataFrame, wanted: DataFrame, most: float = MOST, tolerance: f
     for _ in range(max_rounds):
         words = F.col("documents") * F.col("size")
         rate = _rate(most)
-        sums = (_same_source(counts, state.select("source", "mean", "tilt")).groupBy("source").agg(
+        sums = (by_source(counts, state.select("source", "mean", "tilt")).groupBy("source").agg(
             F.sum(words * rate).alias("taken"),
             F.sum(F.when(rate < most, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope")))
         step = F.col("tilt") - F.try_divide(F.col("taken") - F.col("target"), F.col("slope"))
-        at = _same_source(state, sums)
+        at = by_source(state, sums)
         over = F.col("taken") > F.col("target")
         at = (at.withColumn("error", F.abs(F.col("taken") / F.col("target") - 1))
               .withColumn("low", F.when(over, F.col("low")).otherwise(F.col("tilt")))
@@ -136,8 +142,9 @@ def _copies(most: float) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def rounded(sizes: DataFrame, counts: DataFrame, state: DataFrame, most: float = MOST) -> DataFrame:
-    """``state`` with ``scales``: what the rates of each class of sizes are multiplied by.
+def rounded(sizes: DataFrame, counts: DataFrame, state: DataFrame, by_source: BySource,
+            most: float = MOST) -> DataFrame:
+    """``source, mean, tilt, scales``: what the rates of each class of sizes are multiplied by.
 
     Classes are settled from the largest sizes down.  A class's scale is what is still
     wanted over what the rates give from this class down; then its documents are rounded.
@@ -145,37 +152,36 @@ def rounded(sizes: DataFrame, counts: DataFrame, state: DataFrame, most: float =
     classes = (counts.agg(F.max(_class()).alias("c")).first()["c"] or 0) + 1
     per_class = [F.sum(F.when(_class() <= c, F.col("documents") * F.col("size") * _rate(most)).otherwise(0.0))
                  .alias(f"from_{c}") for c in range(classes)]
-    given = _same_source(counts, state.select("source", "mean", "tilt")).groupBy("source").agg(*per_class)
-    state = saved(_same_source(state, given).withColumn("open", F.col("target"))
+    given = by_source(counts, state.select("source", "mean", "tilt")).groupBy("source").agg(*per_class)
+    state = saved(by_source(state, given).withColumn("open", F.col("target"))
                   .withColumn("scales", F.array(*[F.lit(0.0)] * classes)), "mixing-scales")
     for c in reversed(range(classes)):
         scale = F.coalesce(F.try_divide(F.greatest("open", F.lit(0.0)), F.col(f"from_{c}")), F.lit(0.0))
         state = state.withColumn("scales", F.transform(
             "scales", lambda x, i: F.when(i == c, scale).otherwise(x)))
+        if c == 0:  # nothing is left to make up for the smallest class
+            break
         members = sizes.where((F.col("size") >= _BASE ** c) & (F.col("size") < _BASE ** (c + 1)))
-        taken = (_same_source(members.withColumn("class", F.lit(c)), state.select("source", "mean", "tilt", "scales"))
+        taken = (by_source(members.withColumn("class", F.lit(c)), state.select("source", "mean", "tilt", "scales"))
                  .groupBy("source").agg(F.sum(F.col("size") * _copies(most)).alias("taken")))
-        named = broadcast_if_small(saved(taken, "mixing-taken"), MOST_SOURCES).withColumnRenamed("source", "of_source")
-        state = (state.join(named, F.col("source").eqNullSafe(F.col("of_source")), "left")
-                 .withColumn("open", F.col("open") - F.coalesce("taken", F.lit(0))).drop("of_source", "taken"))
-        state = saved(state, "mixing-scales")
+        state = saved(by_source(state, taken, "left")
+                      .withColumn("open", F.col("open") - F.coalesce("taken", F.lit(0))).drop("taken"), "mixing-scales")
     return state.select("source", "mean", "tilt", "scales")
 
 
-def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """The sources' targets, and the tilts and scales of those with words."""
+def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, BySource]:
+    """Each source's size and target, and for sources with words the tilt and the scales."""
     wanted = saved(targets(sizes, weights, share, most), "mixing-targets")
+    by_source = BySource(wanted)
     counts = saved(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("documents")),
                    "mixing-counts")
-    return wanted, rounded(sizes, counts, tilts(counts, wanted, most), most)
+    scales = rounded(sizes, counts, tilts(counts, wanted, by_source, most), by_source, most)
+    return saved(by_source(wanted, scales, "left"), "mixing-plan"), by_source
 
 
-def _with_copies(sized: DataFrame, wanted: DataFrame, plan: DataFrame, most: float) -> DataFrame:
+def _with_copies(sized: DataFrame, plan: DataFrame, by_source: BySource, most: float) -> DataFrame:
     """``sized`` (``id, source, size, ...``) with ``source_size, target, copies``."""
-    both = wanted.join(broadcast_if_small(plan, MOST_SOURCES).withColumnRenamed("source", "of_source"),
-                       F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
-    both = saved(both, "mixing-plan")
-    return (_same_source(sized, both).withColumn("class", _class())
+    return (by_source(sized, plan).withColumn("class", _class())
             .withColumn("copies", F.when(F.col("size") > 0, _copies(most)).otherwise(0).cast("long")))
 
 
@@ -184,8 +190,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """``id, size, source_size, target, copies, taken`` of every row."""
     sizes = saved(docs.select(col(id_col).alias("id"), col(source_col).alias("source"),
                               size_of(col(text_col)).alias("size")), "mixing-sizes")
-    wanted, plan = _plan(sizes, weights, share, most)
-    return _with_copies(sizes, wanted, plan, most).select(
+    return _with_copies(sizes, *_plan(sizes, weights, share, most), most).select(
         "id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -197,8 +202,8 @@ def copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         return docs.select(col(id_col).alias("id"), col(source_col).alias("source"),
                            size_of(col(text_col)).alias("size"), *more)
 
-    wanted, plan = _plan(saved(sized(), "mixing-sizes"), weights, share, most)
-    rows = _with_copies(sized(F.struct(*[col(c) for c in docs.columns]).alias("row")), wanted, plan, most)
+    plan = _plan(saved(sized(), "mixing-sizes"), weights, share, most)
+    rows = _with_copies(sized(F.struct(*[col(c) for c in docs.columns]).alias("row")), *plan, most)
     return (rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
                                             .alias("number"))
             .select("row.*", F.col("number").alias(copy_col)))
