@@ -11,7 +11,8 @@ members are linked by shared centres instead.  Two fingerprints are within two b
 exactly if one value is within one bit of both, and at most 65 fingerprints are within one
 bit of a value, so that way is exact, linear and free of hot groups.
 
-Linked fingerprints form components by minimum labels with pointer jumping.
+Linked fingerprints form components by minimum labels with pointer jumping.  The labels of a
+large component are read by many tasks, as every lookup salts its keys.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other.
 Texts with fewer words than the shingle length have one shingle, all their words.
@@ -110,6 +111,17 @@ def _star_links(crowded: DataFrame, max_bits: int) -> DataFrame:
     return balls.join(first, "centre").where("fp > a").select("a", F.col("fp").alias("b"))
 
 
+def looked_up(rows: DataFrame, key: str, table: DataFrame, salt_by: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` with the columns of ``table``'s row of their ``key``.
+
+    Rows are salted by another column of theirs, so a key that very many rows share is
+    read by ``salts`` tasks, each with one copy of the table's row.  ``rows`` is read twice.
+    """
+    salted = rows.withColumn("salt", salt_of(F.col(salt_by), salts))
+    copies = salted.select(key, "salt").distinct().join(table, key)
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``node, label`` for every node of the edges ``a, b``: the least node reachable.
 
@@ -126,10 +138,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if apart.isEmpty():
             return labels
         offered = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("offer"))
-        better = (labels.join(offered, labels.node == offered.a)
-                  .select("node", F.least("label", "offer").alias("label")))
-        jump = better.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        labels = saved(better.join(jump, better.label == jump.via)
+        better = saved(labels.join(offered, labels.node == offered.a)
+                       .select("node", F.least("label", "offer").alias("label")), "labels")
+        jump = better.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = saved(looked_up(better, "label", jump, "node")
                        .select("node", F.least("label", "further").alias("label")), "labels")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -147,9 +159,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     salted = prints.groupBy("fingerprint", "salt").agg(F.min("id").alias("id"))
     distinct = saved(salted.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("id").alias("least")), "distinct")
     labels = components(links(distinct.select("fp"), max_bits, bucket_limit))
-    linked = distinct.join(labels, distinct.fp == labels.node).select("fp", "label", "least")
+    linked = saved(distinct.join(labels, distinct.fp == labels.node).select("fp", "label", "least"), "linked")
     least = linked.groupBy("label").agg(F.min("least").alias("of_component"))
-    found = (distinct.join(linked.join(least, "label").select("fp", "of_component"), "fp", "left")
+    found = (distinct.join(looked_up(linked, "label", least, "fp").select("fp", "of_component"), "fp", "left")
              .select("fp", F.coalesce("of_component", "least").alias("component_id")))
     by_salt = (salted.join(found, salted.fingerprint == found.fp)
                .select(salted.fingerprint, "salt", "component_id"))
