@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -16,7 +17,7 @@ def spark():
     from vecreduce.session import local_session
 
     s = local_session(8, shuffle_partitions=8,
-                      extra={"spark.barrier.sync.timeout": "120s"})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vecreduce-tests-")})
     yield s
     s.stop()
 

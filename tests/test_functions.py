@@ -1,4 +1,4 @@
-"""Column helpers: fixed point, ring indices, array element operations; sinks."""
+"""Column helpers: fixed point and exact sums; sinks."""
 
 import glob
 import os
@@ -7,37 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecreduce import operators as op
-from vecreduce.functions import (add_at, element, from_fixed, overwrite, ring_chunk, ring_pos,
-                                 ring_stripes, to_fixed, wide_sum)
+from vecreduce.functions import exact_sum, exact_sum_over, from_fixed, product_sum, to_fixed, wide_sum
 from vecreduce.session import scratch_path
 from vecreduce.sources import counting_matrix, matrix_literal, to_local, write_parquet
 
 
-def test_ring_chunk_matches_index_map(spark):
-    grid = spark.range(64).selectExpr("cast(id div 8 as int) worker", "cast(id % 8 as int) step")
-    got = {(r.worker, r.step): r.c for r in grid.select(
-        "worker", "step", ring_chunk("worker", "step", 8).alias("c")).collect()}
-    assert got == {(p, t): (p - t + 8) % 8 for p in range(8) for t in range(8)}
-    inv = grid.select("worker", "step", ring_pos("worker", ring_chunk("worker", "step", 8), 8).alias("t"))
-    assert all(r.t == r.step for r in inv.collect())
-
-
-def test_ring_stripes_two_per_worker(spark):
-    grid = spark.range(4).selectExpr("cast(id as int) worker", "2 as step")
-    got = {r.worker: r.s for r in grid.select("worker", ring_stripes("worker", "step", 4, 8).alias("s")).collect()}
-    # length 2n: stripes (p - t) mod n and (p - t) mod n + n
-    assert got == {p: [(p - 2) % 4, (p - 2) % 4 + 4] for p in range(4)}
-    short = spark.range(1).select(ring_stripes(F.lit(3), F.lit(0), 4, 2).alias("s")).first().s
-    assert short == []
-
-
-def test_element_overwrite_add(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")
-    row = df.select(element("v", 1).alias("e"), overwrite("v", 2, 9.0).alias("o"),
-                    add_at("v", 0, 10.0).alias("a")).first()
-    assert row.e == 2.0 and row.o == [1.0, 2.0, 9.0] and row.a == [11.0, 2.0, 3.0]
-
-
 def test_fixed_point_round_half_up(spark):
     df = spark.createDataFrame([(0.0000005,), (-0.0000005,), (1.2345675,), (2.5,)], "x double")
     got = [r.g for r in df.select(to_fixed("x").alias("g")).collect()]
@@ -76,19 +50,7 @@ def test_write_parquet_and_bounded_collect(spark):
     write_parquet(local, path, partition_by=["worker"])
     assert len(glob.glob(os.path.join(path, "worker=*"))) == 4
     assert spark.read.parquet(path).count() == 16
-    assert len(to_local(spark.read.parquet(path), limit=16)) == 16
-    with pytest.raises(ValueError, match="more than 15"):
-        to_local(spark.read.parquet(path), limit=15)
-
-
-def test_show_matrix_prints(spark, capsys):
-    from vecreduce.sources import show_matrix
-
-    local = op.local_sums(op.to_long(matrix_literal(spark, [[1, 2], [3, 4]]), "vec",
-                                     worker="worker", scale=1))
-    show_matrix(local, range(2))
-    out = capsys.readouterr().out
-    assert "d0" in out and "d1" in out
+    assert len(list(to_local(spark.read.parquet(path)))) == 16
 
 
 def test_wide_sum_exact_for_signed_and_large_values(spark):
@@ -96,11 +58,67 @@ def test_wide_sum_exact_for_signed_and_large_values(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v long").repartition(3)
     got = df.agg(wide_sum("v").alias("s")).first().s
     assert got == float(sum(vals))
-    squares = spark.createDataFrame([(v,) for v in (3_000_000_000, -3_000_000_000, 7)], "v long")
-    assert squares.agg(wide_sum(F.col("v") * F.col("v")).alias("s")).first().s == float(
-        2 * 3_000_000_000 ** 2 + 49)
     # a sum far beyond BIGINT: 2^20 rows of 2^62 - 1
     big = spark.range(1 << 20).select(F.lit(2 ** 62 - 1).cast("long").alias("v"))
     assert big.agg(wide_sum("v").alias("s")).first().s == float((2 ** 62 - 1) * (1 << 20))
     nulls = spark.createDataFrame([(None,)], "v long")
     assert nulls.agg(wide_sum("v").alias("s")).first().s is None
+
+
+@pytest.fixture(params=["true", "false"], ids=["ansi", "no-ansi"])
+def ansi(spark, request):
+    spark.conf.set("spark.sql.ansi.enabled", request.param)
+    yield
+    spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_sums_and_squares_are_exact_or_fail_in_any_session(spark, ansi):
+    df = spark.createDataFrame([(0, [4000.0, 6e12]), (1, [-4000.0, 6e12])], "vec_id long, embedding array<double>")
+    cells = op.to_long(df.select("vec_id", F.slice("embedding", 1, 1).alias("embedding")), "embedding", "vec_id", 8)
+    got = op.vector_stats(cells).first()
+    assert (got.total, got.sq, got.cnt) == (0, 3.2e19, 2)
+    both = op.to_long(df, "embedding", "vec_id", 8)
+    for total in (op.all_reduce(both), op.all_gather(both, 8), op.scatter_reduce(both, 8),
+                  op.hierarchical_all_reduce(both, 4), op.map_partitions_sum(df)):
+        with pytest.raises(Exception, match="exceeds BIGINT"):
+            total.collect()
+    assert {r.dim: r.total for r in op.all_reduce(both, wide=True).collect()} == {0: 0.0, 1: 1.2e19}
+    one = spark.createDataFrame([(4_000_000_000, 1, 0)], "x long, w long, y long")
+    row = op.ls_gradient(one, ["x"], "y", [1], exact=True).first()
+    assert row.g0 == row.sse == 1.6e19
+    with pytest.raises(Exception, match="beyond BIGINT"):
+        op.ls_gradient(one, ["x"], "y", [1 << 40], exact=True).collect()
+
+
+def test_exact_sums_of_nulls_and_windows(spark, ansi):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(1, None), (1, 5), (2, None)], "k int, v long")
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum("v").alias("s")).collect()}
+    assert got == {1: 5, 2: None}
+    w = Window.partitionBy("k")
+    assert sorted(r.s or 0 for r in df.select(exact_sum_over("v", w).alias("s")).collect()) == [0, 5, 5]
+    big = spark.createDataFrame([(2 ** 62,), (2 ** 62,), (-7,)], "v long")
+    assert big.agg(product_sum("v", "v").alias("s")).first().s == 2 * 2 ** 124 + 49
+    with pytest.raises(Exception, match="exceeds BIGINT"):
+        big.agg(exact_sum("v")).collect()
+
+
+def test_sparse_vectors_give_their_stored_cells(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(0, Vectors.sparse(5_000_000, [4_999_999], [2.0])), (1, Vectors.sparse(3, [], [])),
+                                (2, Vectors.dense([])), (3, Vectors.dense([1.0, 3.0]))], ["worker", "features"])
+    cells = op.to_long(df, "features", worker="worker", scale=1)
+    assert sorted(map(tuple, cells.collect())) == [(0, 4_999_999, 2), (3, 0, 1), (3, 1, 3)]
+
+
+def test_matrix_rows_of_ragged_workers(spark, capsys):
+    from vecreduce.sources import matrix_rows, show_matrix
+
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0, 5.0, 6.0]), (0, [10.0, 10.0])]
+    for order in (rows, rows[::-1]):
+        cells = op.to_long(spark.createDataFrame(order, "worker int, vec array<double>"), "vec", worker="worker", scale=1)
+        assert sorted(map(tuple, matrix_rows(cells).collect())) == [(0, 2, "11, 12"), (1, 4, "3, 4, 5, 6")]
+    show_matrix(cells)
+    assert "3, 4, 5, 6" in capsys.readouterr().out

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from vecreduce import operators as op
-from vecreduce.sources import counting_matrix, matrix_literal, pivot_matrix
+from vecreduce.sources import counting_matrix, matrix_literal, matrix_rows
 
 # Expected matrices (row = worker, column = element).
 F1_SCATTER = [
@@ -66,26 +66,15 @@ def test_scatter_reduce_golden(f1_local):
     assert as_matrix(out, "partial") == F1_SCATTER
 
 
-def test_scatter_reduce_steps(f1_local):
-    """After step t, cells with ring_pos <= t are reduced, the rest hold their own value."""
-    own = f1_rows()
-    for t in range(8):
-        got = as_matrix(op.scatter_reduce(f1_local, 8, upto_step=t), "partial")
-        for w in range(8):
-            for c in range(8):
-                rp = (w - c) % 8
-                assert got[w][c] == (F1_SCATTER[w][c] if rp <= t else own[w][c])
-
-
 def test_all_reduce_and_all_gather_golden(f1_local):
     totals = {r.dim: r.total for r in op.all_reduce(f1_local).collect()}
     assert [totals[c] for c in range(8)] == F1_TOTAL
-    gathered = as_matrix(op.all_gather(f1_local), "total")
+    gathered = as_matrix(op.all_gather(f1_local, 8), "total")
     assert gathered == [F1_TOTAL] * 8
 
 
 def test_group_scatter_reduce_golden(f1_local):
-    out = op.scatter_reduce(f1_local, 4, group_size=4)
+    out = op.scatter_reduce(f1_local, 8, group_size=4)
     g0 = as_matrix(out.where("grp = 0"), "partial", rows=4)
     g1 = as_matrix(out.where("grp = 1"), "partial", rows=4, row_offset=4)
     assert g0 == F2_GROUP0_SCATTER
@@ -96,7 +85,7 @@ def test_group_totals_and_merge_golden(f1_local):
     gt = {(r.grp, r.dim): r.grp_total for r in op.group_all_reduce(f1_local, 4).collect()}
     assert [gt[(0, c)] for c in range(8)] == F2_GROUP0_TOTAL
     assert [gt[(1, c)] for c in range(8)] == F2_GROUP1_TOTAL
-    gathered = op.group_all_gather(f1_local, 4)
+    gathered = op.group_all_gather(f1_local, 4, 8)
     m = as_matrix(gathered, "grp_total")
     assert m[:4] == [F2_GROUP0_TOTAL] * 4 and m[4:] == [F2_GROUP1_TOTAL] * 4
     for method in ("window", "rollup"):
@@ -105,13 +94,19 @@ def test_group_totals_and_merge_golden(f1_local):
         assert all(r.total == F1_TOTAL[r.dim] for r in h)
 
 
-def test_pivot_sink(f1_local):
-    rows = pivot_matrix(f1_local, range(8)).orderBy("worker").collect()
-    assert [[r[f"d{c}"] for c in range(8)] for r in rows] == f1_rows()
-
-
 def test_scatter_reduce_wide_vectors_two_stripes(spark):
     """Vector length 2n: each worker handles two stripes per step (dim mod n addressing)."""
     rows = [[8 * w + c + 1 for c in range(8)] for w in range(4)]
     local = op.local_sums(op.to_long(matrix_literal(spark, rows), "vec", worker="worker", scale=1))
     assert as_matrix(op.scatter_reduce(local, 4), "partial", rows=4) == F2_GROUP0_SCATTER
+
+
+def test_matrix_sink(f1_local):
+    rows = matrix_rows(f1_local).orderBy("worker").collect()
+    assert [r.line for r in rows] == [", ".join(map(str, r)) for r in f1_rows()]
+
+
+def test_cross_group_merge_golden(f1_local):
+    out = op.cross_group_merge(f1_local, 4, 8)
+    assert as_matrix(out, "total") == [F1_TOTAL] * 8
+    assert all(r.grp == r.worker // 4 for r in out.collect())

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecreduce import operators as op
 from vecreduce.sources import matrix_literal
@@ -38,7 +39,7 @@ def test_total_is_column_sum_and_ring_invariants(spark, seed, workers, dims):
             assert r.partial == totals[r.dim]
         owner_ring = [(r.dim + s) % workers for s in range(r.ring_pos + 1)]
         assert r.partial == sum(m[w][r.dim] for w in owner_ring)
-    gathered = by_cell(op.all_gather(local), "total")
+    gathered = by_cell(op.all_gather(local, workers), "total")
     assert all(v == totals[d] for (_, d), v in gathered.items())
 
 
@@ -76,20 +77,10 @@ def test_linear_in_input(spark):
 def test_scatter_reduce_guards(spark):
     m = seeded(9, 8, 4)
     with pytest.raises(ValueError):
-        op.scatter_reduce(local_of(spark, m), 8, group_size=4)
-    with pytest.raises(ValueError):
-        op.scatter_reduce(local_of(spark, m), 8, upto_step=8)
-
-
-def test_all_gather_step_guards(spark):
-    local = local_of(spark, seeded(3, 8, 4))
-    with pytest.raises(ValueError):
-        op.all_gather(local, upto_step=1)  # needs n
-    with pytest.raises(ValueError):
-        op.all_gather(local, n=8, upto_step=7)  # gather has n - 1 steps: 0..6
-    last = {(r.worker, r.dim): r.total for r in op.all_gather(local, n=8, upto_step=6).collect()}
-    full = {(r.worker, r.dim): r.total for r in op.all_gather(local).collect()}
-    assert last == full  # after the last gather step every cell holds its total
+        op.scatter_reduce(local_of(spark, m), 8, group_size=3)
+    for call in (op.scatter_reduce, op.all_gather):  # workers 4..7 are not in a ring of 4
+        with pytest.raises(Exception, match="outside the ring"):
+            call(local_of(spark, m), 4).collect()
 
 
 def test_single_worker_is_identity(spark):
@@ -167,30 +158,11 @@ def test_assemble_dense_check(spark):
         op.assemble(cells, keys=["worker"], dense=True).collect()
     ok = op.assemble(cells.where("worker = 1"), keys=["worker"], dense=True).first().vec
     assert ok == [1, 2]
-    with pytest.raises(Exception, match="not 0..k-1"):
-        op.gd_step(spark.createDataFrame([(1, 5)], "dim int, total long"), 0.2, 8).collect()
+    with pytest.raises(ValueError, match="keys"):
+        op.assemble(cells, keys=[])
 
 
-def test_all_reduce_wide_ragged_and_null(spark):
-    rows = [(0, [1.0, 2.0, 3.0]), (1, [4.0]), (2, None), (3, [])]
-    df = spark.createDataFrame(rows, "worker int, vec array<double>")
-    wide = {r.dim: r.total for r in op.all_reduce_wide(df, "vec", 3, scale=1, on_invalid="zero").collect()}
-    long = {r.dim: r.total for r in op.all_reduce(
-        op.to_long(df, "vec", worker="worker", scale=1, on_invalid="zero")).collect()}
-    assert wide == long == {0: 5, 1: 2, 2: 3}
-    with pytest.raises(Exception, match="null vector"):
-        op.all_reduce_wide(df, "vec", 3, scale=1).collect()
-
-
-def test_all_reduce_wide_equals_long(spark):
-    m = seeded(31, 8, 12)
-    df = matrix_literal(spark, m.tolist())
-    wide = {r.dim: r.total for r in op.all_reduce_wide(df, "vec", 12, scale=1).collect()}
-    long = {r.dim: r.total for r in op.all_reduce(op.to_long(df, "vec", worker="worker", scale=1)).collect()}
-    assert wide == long
-
-
-def test_all_reduce_wide_accumulation_beyond_bigint(spark):
+def test_wide_totals_beyond_bigint(spark):
     """Totals past BIGINT: the default raises (ANSI), wide=True is exact."""
     big = spark.range(0, 4096, 1, 4).selectExpr("cast(id % 8 as int) worker",
                                                "array(cast(4.0e12 as double), 1.5) vec")
@@ -221,11 +193,35 @@ def test_empty_input_everywhere(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     cells = op.to_long(empty, "embedding", "vec_id", 8)
     for df in (op.all_reduce(cells), op.local_sums(cells), op.scatter_reduce(cells, 8),
-               op.all_gather(cells), op.all_gather(cells, n=8, upto_step=2),
-               op.group_all_gather(cells, 4), op.cross_group_merge(cells, 4, upto_step=1),
+               op.all_gather(cells, 8), op.group_all_gather(cells, 4, 8), op.cross_group_merge(cells, 4, 8),
+               op.gradient_stats(empty.withColumn("loss", F.lit(1.0)), "embedding", "loss"),
                op.hierarchical_all_reduce(cells, 4), op.map_partitions_sum(empty),
                op.vector_stats(cells), op.assemble(cells, keys=["worker"])):
         assert df.count() == 0
     stats = op.tree_stats(cells, {"grad": "g"}, "g").first()
     assert (stats.grad, stats.loss, stats.cnt) == (None, None, 0)
-    assert op.all_reduce_wide(empty, "embedding", 4).where("total is not null").count() == 0
+
+
+def test_missing_workers_and_short_vectors_still_get_every_total(spark):
+    """Workers 0, 2, 3 of a ring of 4, worker 2 one element long: 12 cells, worker 1 included."""
+    rows = [(0, [1.0, 2.0, 3.0]), (2, [10.0]), (3, [100.0, 200.0, 300.0])]
+    cells = op.to_long(spark.createDataFrame(rows, "worker int, vec array<double>"), "vec", worker="worker", scale=1)
+    m = np.array([[1, 2, 3], [0, 0, 0], [10, 0, 0], [100, 200, 300]])
+    gathered = by_cell(op.all_gather(cells, 4), "total")
+    assert gathered == {(w, d): int(m[:, d].sum()) for w in range(4) for d in range(3)}
+    assert by_cell(op.cross_group_merge(cells, 2, 4), "total") == gathered
+    groups = by_cell(op.group_all_gather(cells, 2, 4), "grp_total")
+    assert groups == {(w, d): int(m[w // 2 * 2:w // 2 * 2 + 2, d].sum()) for w in range(4) for d in range(3)}
+    partial = by_cell(op.scatter_reduce(cells, 4), "partial")
+    assert partial == {(w, d): int(sum(m[(d + s) % 4, d] for s in range((w - d) % 4 + 1)))
+                       for w in range(4) for d in range(3)}
+
+
+def test_gradient_stats_triple(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0.5), ([3.0], 0.25), ([], 1.0)], "v array<double>, loss double")
+    got = sorted(map(tuple, op.gradient_stats(df.repartition(2), "v", "loss", scale=1).collect()))
+    assert got == [(0, 4, 1.75, 3), (1, 2, 1.75, 3)]
+    bad = spark.createDataFrame([(None, 1.0)], "v array<double>, loss double")
+    with pytest.raises(Exception, match="null vector"):
+        op.gradient_stats(bad, "v", "loss").collect()
+    assert op.gradient_stats(bad.unionByName(df), "v", "loss", on_invalid="zero").first().cnt == 4

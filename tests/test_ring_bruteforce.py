@@ -1,9 +1,7 @@
-"""Window formulation vs a step-by-step ring simulation (brute force, small inputs).
+"""Window formulation vs its closed form (brute force, small inputs).
 
-The simulation follows the described algorithm literally: worker ``p`` seeds
-its own chunk; at step ``t`` it adds the running total of chunk
-``(p - t) mod n`` (as of the previous step) to its own copy; totals grow by
-the pre-step values; the gather then overwrites chunks with the totals.
+In a ring of ``n``, after the scatter-reduce worker ``p`` holds of element ``c`` the values of the
+workers ``c, c + 1, .., p`` (mod n); after the gather everyone holds the column's total.
 """
 
 import numpy as np
@@ -11,151 +9,59 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from vecreduce import operators as op
-from vecreduce.sources import matrix_literal
+from vecreduce.sources import matrix_literal, synthetic_gradients
 
 
-def simulate_ring(v: np.ndarray, upto_step: int | None = None):
+def scattered(v: np.ndarray) -> np.ndarray:
     n, m = v.shape
-    cur = v.copy()
-    steps = n - 1 if upto_step is None else upto_step
-    totals = {}
-    for p in range(n):  # seed: owner of each chunk
-        for c in range(p, m, n):
-            totals[c] = totals.get(c, 0) + v[p][c]
-    snapshot = dict(totals)
-    for t in range(1, steps + 1):
-        for p in range(n):
-            for c in range((p - t) % n, m, n):
-                old = cur[p][c]
-                cur[p][c] = old + snapshot[c]
-                totals[c] += old
-        snapshot = dict(totals)
-    return cur, totals
+    return np.array([[sum(v[(c + s) % n][c] for s in range((p - c) % n + 1)) for c in range(m)] for p in range(n)])
 
 
-def gathered(v, totals):
-    return np.array([[totals[c] for c in range(v.shape[1])] for _ in range(v.shape[0])])
+def cells(spark, v):
+    return op.to_long(matrix_literal(spark, v.tolist()), "vec", worker="worker", scale=1)
 
 
-def simulate_gather(v: np.ndarray, upto_step: int):
-    """After a full scatter-reduce: gather step t overwrites chunk (p - t) mod n of worker p."""
-    n, m = v.shape
-    cur, totals = simulate_ring(v)
-    for t in range(upto_step + 1):
-        for p in range(n):
-            for c in range((p - t) % n, m, n):
-                cur[p][c] = totals[c]
-    return cur
+def as_matrix(rows, shape, value):
+    out = np.full(shape, -10 ** 9)
+    for r in rows:
+        out[r.worker][r.dim] = r[value]
+    return out
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(n=st.integers(1, 6), extra=st.integers(0, 9), seed=st.integers(0, 10_000), data=st.data())
-def test_scatter_reduce_equals_ring_simulation(spark, n, extra, seed, data):
-    m = n + extra
-    v = np.random.default_rng(seed).integers(-100, 100, size=(n, m))
-    step = data.draw(st.one_of(st.none(), st.integers(0, n - 1)))
-    sim, totals = simulate_ring(v, step)
-    local = op.local_sums(op.to_long(matrix_literal(spark, v.tolist()), "vec", worker="worker", scale=1))
-    got = np.zeros_like(v)
-    for r in op.scatter_reduce(local, n, upto_step=step).collect():
-        got[r.worker][r.dim] = r.partial
-    assert (got == sim).all()
-    if step is None:
-        full = np.zeros_like(v)
-        for r in op.all_gather(local).collect():
-            full[r.worker][r.dim] = r.total
-        assert (full == gathered(v, totals)).all()
-        assert [totals[c] for c in range(m)] == v.sum(axis=0).tolist()
-    if n >= 2:
-        g_step = data.draw(st.integers(0, n - 2))
-        got_g = np.zeros_like(v)
-        for r in op.all_gather(local, n=n, upto_step=g_step).collect():
-            got_g[r.worker][r.dim] = r.total
-        assert (got_g == simulate_gather(v, g_step)).all()
-
-
-def simulate_dc(v: np.ndarray, group_size: int, gather_step: int, merge_step: int | None):
-    """Per group: scatter-reduce + gather up to gather_step; then (after a full gather) merge
-    steps 0..merge_step add the other groups' totals to chunks (p - t) mod n, + n, ..."""
-    n_workers, m = v.shape
-    gathered, merged = np.zeros_like(v), np.zeros_like(v)
-    col_total = v.sum(axis=0)
-    for g0 in range(0, n_workers, group_size):
-        sub = v[g0:g0 + group_size]
-        gathered[g0:g0 + group_size] = simulate_gather(sub, gather_step)
-        full = simulate_gather(sub, max(group_size - 2, 0))
-        other = col_total - sub.sum(axis=0)
-        for t in range(merge_step + 1 if merge_step is not None else 0):
-            for p in range(group_size):
-                for c in range((p - t) % group_size, m, group_size):
-                    full[p][c] += other[c]
-        merged[g0:g0 + group_size] = full
-    return gathered, merged
+@given(n=st.integers(1, 6), extra=st.integers(0, 9), seed=st.integers(0, 10_000))
+def test_ring_equals_closed_form(spark, n, extra, seed):
+    v = np.random.default_rng(seed).integers(-100, 100, size=(n, n + extra))
+    local = cells(spark, v)
+    assert (as_matrix(op.scatter_reduce(local, n).collect(), v.shape, "partial") == scattered(v)).all()
+    assert (as_matrix(op.all_gather(local, n).collect(), v.shape, "total") == v.sum(axis=0)).all()
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(group_size=st.integers(1, 4), groups=st.integers(1, 3), extra=st.integers(0, 6),
-       seed=st.integers(0, 10_000), data=st.data())
-def test_divide_and_conquer_equals_simulation(spark, group_size, groups, extra, seed, data):
-    m = group_size + extra
-    v = np.random.default_rng(seed).integers(-100, 100, size=(group_size * groups, m))
-    g_step = data.draw(st.integers(0, max(group_size - 2, 0)))
-    m_step = data.draw(st.integers(0, group_size - 1))
-    want_g, want_m = simulate_dc(v, group_size, g_step, m_step)
-    local = op.local_sums(op.to_long(matrix_literal(spark, v.tolist()), "vec", worker="worker", scale=1))
-    got_g, got_m = np.zeros_like(v), np.zeros_like(v)
-    if group_size >= 2:
-        for r in op.group_all_gather(local, group_size, upto_step=g_step).collect():
-            got_g[r.worker][r.dim] = r.grp_total
-        assert (got_g == want_g).all()
-    for r in op.cross_group_merge(local, group_size, upto_step=m_step).collect():
-        got_m[r.worker][r.dim] = r.total
-    assert (got_m == want_m).all()
-    if m_step == group_size - 1:  # after the last merge step every cell holds the total
-        assert (got_m == v.sum(axis=0)).all()
-
-
-def test_per_iteration_rings_match_simulation(spark):
-    """by=["iter"]: one independent ring all-reduce per gradient-descent iteration."""
-    from vecreduce.sources import synthetic_gradients
-
-    grads = synthetic_gradients(spark, iterations=3, workers=8, dims=10, seed=11)
-    sr = op.scatter_reduce(grads, 8, by=["iter"]).collect()
-    ga = op.all_gather(grads, n=8, upto_step=2, by=["iter"]).collect()
-    pdf = grads.toPandas()
-    for it in range(3):
-        v = np.zeros((8, 10), dtype=np.int64)
-        for r in pdf[pdf.iter == it].itertuples():
-            v[r.worker][r.dim] += int(r.g)
-        sim, _ = simulate_ring(v)
-        got = np.zeros_like(v)
-        for r in sr:
-            if r.iter == it:
-                got[r.worker][r.dim] = r.partial
-        assert (got == sim).all()
-        got_g = np.zeros_like(v)
-        for r in ga:
-            if r.iter == it:
-                got_g[r.worker][r.dim] = r.total
-        assert (got_g == simulate_gather(v, 2)).all()
-
-
-def test_gd_reference_truncation_golden(spark):
-    """Eight initial weights zipped with ten-element totals keep eight weights."""
-    totals = spark.createDataFrame([(d, 10_000_000 * (d + 1)) for d in range(10)], "dim int, total long")
-    out = op.gd_step(totals, lr=0.2, n=8, w0=[1.0] * 8).orderBy("dim").collect()
-    assert [r.dim for r in out] == list(range(8))
-    assert [r.w for r in out] == [1.0 - 0.2 * (10.0 * (d + 1)) / 8 for d in range(8)]
-
-
-def test_grouped_operators_by_iteration(spark):
-    """by=["iter"] equals running each iteration on its own, for every grouped operator."""
-    from vecreduce.sources import synthetic_gradients
-
+@given(group_size=st.integers(1, 4), groups=st.integers(1, 3), extra=st.integers(0, 6), seed=st.integers(0, 10_000))
+def test_groups_equal_closed_form(spark, group_size, groups, extra, seed):
+    n = group_size * groups
+    v = np.random.default_rng(seed).integers(-100, 100, size=(n, group_size + extra))
+    local = cells(spark, v)
+    blocks = [v[g:g + group_size] for g in range(0, n, group_size)]
+    got = as_matrix(op.scatter_reduce(local, n, group_size=group_size).collect(), v.shape, "partial")
+    assert (got == np.vstack([scattered(b) for b in blocks])).all()
+    got = as_matrix(op.group_all_gather(local, group_size, n).collect(), v.shape, "grp_total")
+    assert (got == np.vstack([np.tile(b.sum(axis=0), (group_size, 1)) for b in blocks])).all()
+    got = as_matrix(op.cross_group_merge(local, group_size, n).collect(), v.shape, "total")
+    assert (got == v.sum(axis=0)).all()
+
+
+def test_operators_by_iteration(spark):
+    """by=["iter"] equals running each iteration on its own, for every operator."""
     grads = synthetic_gradients(spark, iterations=3, workers=8, dims=6, seed=4)
+    grads = grads.withColumn("g", grads.g.cast("long"))
     calls = {
-        "group_all_gather": lambda c, **k: op.group_all_gather(c, 4, upto_step=1, **k),
-        "cross_group_merge": lambda c, **k: op.cross_group_merge(c, 4, upto_step=2, **k),
+        "scatter": lambda c, **k: op.scatter_reduce(c, 8, **k),
+        "group_scatter": lambda c, **k: op.scatter_reduce(c, 8, group_size=4, **k),
+        "all_gather": lambda c, **k: op.all_gather(c, 8, **k),
+        "group_all_gather": lambda c, **k: op.group_all_gather(c, 4, 8, **k),
+        "cross_group_merge": lambda c, **k: op.cross_group_merge(c, 4, 8, **k),
         "hierarchical": lambda c, **k: op.hierarchical_all_reduce(c, 4, **k),
         "hierarchical_rollup": lambda c, **k: op.hierarchical_all_reduce(c, 4, method="rollup", **k),
     }

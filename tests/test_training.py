@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from vecreduce import operators as op
-from vecreduce.functions import axpy, ones
 from vecreduce.sources import embeddings, synthetic_gradients
 
 
@@ -44,26 +43,6 @@ def test_gd_trajectory_matches_iterated_update(spark):
         assert np.allclose([traj[(it, d)] for d in range(3)], w, rtol=0, atol=1e-12)
 
 
-def test_gd_step_array_form(spark):
-    totals = spark.createDataFrame([(0, 8_000_000), (1, -4_000_000), (2, 0)], "dim int, total long")
-    got = {r.dim: r.w for r in op.gd_step(totals, lr=0.5, n=4).collect()}
-    assert got == {0: 1.0 - 0.5 * 8.0 / 4, 1: 1.0 + 0.5 * 4.0 / 4, 2: 1.0}
-
-
-def test_gd_step_long_form_matches_array_form(spark):
-    totals = spark.createDataFrame([(d, 1_234_567 * (d - 3)) for d in range(10)], "dim int, total long")
-    for w0 in (None, [1.0, 0.5, 2.0]):
-        a = {r.dim: r.w for r in op.gd_step(totals, 0.2, 8, w0=w0).collect()}
-        b = {r.dim: r.w for r in op.gd_step(totals, 0.2, 8, w0=w0, form="long").collect()}
-        assert a == b and len(a) == (10 if w0 is None else 3)
-
-
-def test_axpy_truncates_to_shorter(spark):
-    df = spark.createDataFrame([([1.0, 1.0, 1.0], [2.0, 4.0])], "w array<double>, g array<double>")
-    assert df.select(axpy("w", "g", 0.5, 2).alias("r")).first().r == [0.5, 0.0]
-    assert spark.range(1).select(ones(3).alias("o")).first().o == [1.0, 1.0, 1.0]
-
-
 def test_least_squares_gradient_matches_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-5, 6, size=(200, 3))
@@ -80,28 +59,6 @@ def test_least_squares_gradient_matches_numpy(spark):
         op.ls_gradient(fractional, ["a", "b", "c"], "y", w, exact=True)
 
 
-def test_least_squares_fit_matches_numpy(spark):
-    emb = embeddings(spark, SF01, ("embedding",))
-    xs = [F.element_at("embedding", i + 1).cast("double") for i in range(3)]
-    y = xs[0] + 2.0 * xs[1] + 3.0 * xs[2]
-    traj = op.ls_fit(emb, xs, y, lr=20.0, iterations=5).collect()
-    X = np.array([r.embedding[:3] for r in emb.collect()], dtype=np.float64)
-    Y = X[:, 0] + 2.0 * X[:, 1] + 3.0 * X[:, 2]
-    w = np.zeros(3)
-    got = {(r.iter, r.dim): r.w for r in traj}
-    for it in range(1, 6):
-        w = w - 20.0 * (X * (X @ w - Y)[:, None]).sum(axis=0) / len(Y)
-        assert np.allclose([got[(it, d)] for d in range(3)], w, rtol=1e-9, atol=1e-12)
-    for storage in ("disk", None):
-        again = {(r.iter, r.dim): r.w for r in op.ls_fit(emb, xs, y, 20.0, 5, storage=storage).collect()}
-        assert again.keys() == got.keys()
-        assert np.allclose([again[k] for k in got], list(got.values()), rtol=1e-12, atol=0)
-    # it is converging towards (1, 2, 3)
-    first = np.linalg.norm(np.array([got[(1, d)] for d in range(3)]) - [1, 2, 3])
-    last = np.linalg.norm(np.array([got[(5, d)] for d in range(3)]) - [1, 2, 3])
-    assert last < first
-
-
 def test_tree_stats_true_sum(spark):
     df = spark.range(0, 5, 1, 5).select(F.lit(2).cast("long").alias("g"), F.lit(3).alias("l"))
     row = op.tree_stats(df, {"grad": "g"}, "l").first()
@@ -117,7 +74,53 @@ def test_tree_stats_fractional_loss_golden(spark):
     assert abs(plain.loss - 1.0) < 1e-12 and plain.cnt == 5
 
 
-@pytest.mark.parametrize("n", [1, 8])
-def test_mean_gradient_divides_by_workers(spark, n):
-    totals = spark.createDataFrame([(0, 16_000_000)], "dim int, total long")
-    assert op.mean_gradient(totals, n).first().mean == 16.0 / n
+def test_gd_step(spark):
+    totals = spark.createDataFrame([(0, 8_000_000), (1, -4_000_000), (2, 0)], "dim int, total long")
+    got = {r.dim: r.w for r in op.gd_step(totals, lr=0.5, n=4).collect()}
+    assert got == {0: 1.0 - 0.5 * 8.0 / 4, 1: 1.0 + 0.5 * 4.0 / 4, 2: 1.0}
+    w0 = spark.createDataFrame([(0, 2.0), (1, 0.0), (2, -1.0)], "dim int, w double")
+    got = {r.dim: r.w for r in op.gd_step(totals, lr=0.5, n=4, w0=w0).collect()}
+    assert got == {0: 1.0, 1: 0.5, 2: -1.0}
+
+
+def test_gd_step_fails_on_different_lengths(spark):
+    totals = spark.createDataFrame([(d, 10_000_000 * (d + 1)) for d in range(10)], "dim int, total long")
+    w0 = spark.createDataFrame([(d, 1.0) for d in range(8)], "dim int, w double")
+    for t, w in ((totals, w0), (totals.where("dim < 5"), w0)):
+        with pytest.raises(Exception, match="different elements"):
+            op.gd_step(t, 0.2, 8, w0=w).collect()
+    # ten-element gradients and eight weights: the caller says which eight
+    out = op.gd_step(totals.where("dim < 8"), lr=0.2, n=8, w0=w0).orderBy("dim").collect()
+    assert [r.w for r in out] == [1.0 - 0.2 * (10.0 * (d + 1)) / 8 for d in range(8)]
+
+
+def test_least_squares_fit_matches_numpy_and_converges(spark):
+    emb = embeddings(spark, SF01, ("embedding",))
+    y = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * 2)
+    got = {(r.iter, r.dim): r.w for r in op.ls_fit(emb, "embedding", y, lr=20.0, iterations=5).collect()}
+    again = {(r.iter, r.dim): r.w for r in op.ls_fit(emb.repartition(7), "embedding", y, 20.0, 5).collect()}
+    assert again == got and len(got) == 5 * 64
+    X = np.array([r.embedding for r in emb.collect()], dtype=np.float64)
+    Y, w, far = 2 * X.sum(axis=1), np.zeros(64), []
+    for it in range(1, 6):
+        w = w - 20.0 * (X * (X @ w - Y)[:, None]).sum(axis=0) / len(Y)
+        mine = np.array([got[(it, d)] for d in range(64)])
+        assert np.allclose(mine, w, atol=2e-3)
+        far.append(np.linalg.norm(mine - 2))
+    assert far == sorted(far, reverse=True)
+
+
+def test_least_squares_fit_defined_cases(spark):
+    none = spark.createDataFrame([], "v array<double>, y double")
+    assert op.ls_fit(none, "v", "y", 1.0, 3).count() == 0
+    for rows in ([([1.0], 1.0), ([1.0, 2.0], 1.0)], [([1.0], None)], [(None, 1.0)], [([None], 1.0)]):
+        with pytest.raises(Exception):
+            op.ls_fit(spark.createDataFrame(rows, "v array<double>, y double"), "v", "y", 1.0, 1)
+
+
+def test_least_squares_gradient_of_nulls(spark):
+    df = spark.createDataFrame([(1, 2), (None, 5), (3, None)], "x long, y long")
+    with pytest.raises(Exception, match="null feature"):
+        op.ls_gradient(df, ["x"], "y", [1], exact=True).collect()
+    row = op.ls_gradient(df, ["x"], "y", [1], exact=True, on_invalid="skip").first()
+    assert (row.g0, row.sse, row.cnt) == (-1.0, 1.0, 1)

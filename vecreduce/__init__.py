@@ -1,10 +1,10 @@
 """vecreduce: distributed vector reductions and gradient training on Spark DataFrames.
 
-    from vecreduce import operators as op, sources as src, functions as fn, programs
+    from vecreduce import operators as op, sources as src, functions as fn
 """
 
-from . import functions, operators, programs, sources, streaming
+from . import functions, operators, sources
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
 
-__all__ = ["functions", "operators", "programs", "sources", "streaming", "__version__"]
+__all__ = ["functions", "operators", "sources", "__version__"]

@@ -2,7 +2,6 @@
 
     spark-submit --py-files vecreduce.zip vecreduce/cli.py all_reduce_sum /data/tables --out /data/out/totals
     python -m vecreduce.cli --list
-    python -m vecreduce --program ring        # the 8x8 ring all-reduce, printed as matrices
 
 (``vecreduce.zip`` is the ``vecreduce`` folder zipped, or ship the wheel.)
 
@@ -21,67 +20,6 @@ from pyspark.sql import SparkSession
 from vecreduce.plans.catalogue import BY_NAME, CATALOGUE
 
 
-def _ring(spark, args):
-    from vecreduce import operators as op
-    from vecreduce import programs
-    from vecreduce.sources import counting_matrix, pivot_matrix
-
-    n = args.workers
-    cells = op.to_long(counting_matrix(spark, n, n), "vec", worker="worker", scale=1)
-    out = programs.ring_all_reduce(cells, n)
-    print("after scatter-reduce")
-    pivot_matrix(out["scatter"], range(n), value="partial").orderBy("worker").show(n, False)
-    print("after all-gather")
-    pivot_matrix(out["gathered"], range(n), value="total").orderBy("worker").show(n, False)
-
-
-def _dc(spark, args):
-    from vecreduce import operators as op
-    from vecreduce import programs
-    from vecreduce.sources import counting_matrix, pivot_matrix
-
-    n, half = args.workers, max(args.workers // 2, 1)
-    cells = op.to_long(counting_matrix(spark, n, n), "vec", worker="worker", scale=1)
-    out = programs.divide_and_conquer_all_reduce(cells, half)
-    print(f"after scatter-reduce inside groups of {half}")
-    pivot_matrix(out["group_scatter"], range(n), value="partial").orderBy("worker").show(n, False)
-    print("after the cross-group merge")
-    pivot_matrix(out["gathered"], range(n), value="total").orderBy("worker").show(n, False)
-
-
-def _gd(spark, args):
-    from vecreduce import programs
-    from vecreduce.sources import synthetic_gradients
-
-    grads = synthetic_gradients(spark, args.iterations, workers=args.workers, seed=1)
-    w = programs.ring_gradient_descent(grads, args.workers, 0.2, 1)
-    w.groupBy("iter").pivot("dim").sum("w").orderBy("iter").show(args.iterations, False)
-
-
-def _stats(spark, args):
-    from pyspark.sql import functions as F
-
-    from vecreduce import programs
-
-    rows = spark.range(0, 5, 1, 5).select(F.lit(2).cast("long").alias("g"), F.lit(0.2).alias("l"))
-    programs.aggregate_statistics(rows, {"grad": "g"}, "l").show()
-
-
-def _mlp(spark, args):
-    from vecreduce import operators as op
-    from vecreduce.session import scratch_path
-    from vecreduce.sources import libsvm_fixture, read_libsvm
-
-    data = read_libsvm(spark, libsvm_fixture(spark, scratch_path(spark, "mlp-fixture")), 4)
-    train, test = op.random_split(data, (0.8, 0.2), 1234)
-    model = op.mlp_fit(train, [4, 5, 4, 3], block_size=128, seed=1234, max_iter=100)
-    op.accuracy(op.predict(model, test)).show()
-
-
-# the reference's workloads on their fixture shapes (for --program)
-PROGRAMS = {"ring": _ring, "dc": _dc, "gd": _gd, "stats": _stats, "mlp": _mlp}
-
-
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="vecreduce")
     ap.add_argument("query", nargs="?", help="catalogue query name")
@@ -90,15 +28,7 @@ def main(argv=None) -> int:
     ap.add_argument("--show", type=int, default=0, help="print this many result rows")
     ap.add_argument("--explain", action="store_true", help="print the formatted plan")
     ap.add_argument("--list", action="store_true", help="list the queries and exit")
-    ap.add_argument("--program", choices=sorted(PROGRAMS),
-                    help="run a workload of the reference on its fixture shape and print it")
-    ap.add_argument("--workers", type=int, default=8, help="ring size for --program")
-    ap.add_argument("--iterations", type=int, default=5, help="iterations for --program gd")
     args = ap.parse_args(argv)
-    if args.program:
-        spark = SparkSession.builder.appName(f"vecreduce-{args.program}").getOrCreate()
-        PROGRAMS[args.program](spark, args)
-        return 0
     if args.list or not args.query:
         for q in CATALOGUE:
             print(f"{q.name:32s} {' '.join(q.operators):24s} {'sql' if q.sql else 'rows'}")

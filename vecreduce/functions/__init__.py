@@ -1,11 +1,11 @@
 """Column-level building blocks (all JVM-side expressions, no Python UDFs)."""
 
-from .arrays import add_at, axpy, element, ones, overwrite
-from .fixed_point import CENTS, EMBEDDING_SCALE, checked, from_fixed, to_fixed, wide_sum
-from .ring import group_of, local_worker, ring_chunk, ring_pos, ring_stripes, worker_of
+from .fixed_point import (CENTS, EMBEDDING_SCALE, checked, exact_sum, exact_sum_over, from_fixed, product_sum,
+                          to_fixed, wide_sum)
+from .ring import group_of, local_worker, ring_pos, worker_of
 
 __all__ = [
-    "add_at", "axpy", "element", "ones", "overwrite",
-    "CENTS", "EMBEDDING_SCALE", "checked", "from_fixed", "to_fixed", "wide_sum",
-    "group_of", "local_worker", "ring_chunk", "ring_pos", "ring_stripes", "worker_of",
+    "CENTS", "EMBEDDING_SCALE", "checked", "exact_sum", "exact_sum_over", "from_fixed", "product_sum",
+    "to_fixed", "wide_sum",
+    "group_of", "local_worker", "ring_pos", "worker_of",
 ]

@@ -13,7 +13,7 @@ the SQL oracle perform the same IEEE operations.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 # Fixed values shared with the SQL oracle.
@@ -75,8 +75,7 @@ _LIMB_MASK = (1 << _LIMB_BITS) - 1
 def wide_sum(c) -> Column:
     """Exact sum of an integral column that cannot overflow BIGINT: a DOUBLE result.
 
-    Used for sums of squares, which outgrow BIGINT at large scale.  Each
-    value ``v`` is split into three 21-bit limbs, ``v = hi * 2^42 + mid * 2^21
+    Each value ``v`` is split into three 21-bit limbs, ``v = hi * 2^42 + mid * 2^21
     + lo`` (arithmetic shift for ``hi``, so negative values work too); the
     limbs are summed as BIGINT, which stays exact for up to 2^42 rows per
     group, and recombined once in DECIMAL(38,0).  Measured about 3.6x faster
@@ -89,3 +88,32 @@ def wide_sum(c) -> Column:
     dec = "decimal(38,0)"
     step = F.lit(1 << _LIMB_BITS).cast(dec)
     return ((hi.cast(dec) * step + mid.cast(dec)) * step + lo.cast(dec)).cast("double")
+
+
+def _none_overflowed(total: Column, count: Column) -> Column:
+    return F.when(total.isNotNull() | (count == 0), total).otherwise(
+        F.raise_error(F.lit("vecreduce: sum exceeds BIGINT; use a smaller scale or a wide sum")))
+
+
+def exact_sum(c) -> Column:
+    """``sum`` that fails rather than wraps in any session.
+
+    With ANSI mode off Spark's own ``sum`` of BIGINTs wraps around silently.
+    """
+    return _none_overflowed(F.try_sum(col_of(c)), F.count(col_of(c)))
+
+
+def exact_sum_over(c, window: WindowSpec) -> Column:
+    """:func:`exact_sum` over a window."""
+    return _none_overflowed(F.try_sum(col_of(c)).over(window), F.count(col_of(c)).over(window))
+
+
+def product_sum(x, y) -> Column:
+    """Exact sum of products of two BIGINT columns, as DECIMAL(38,0).
+
+    The factors are widened before they are multiplied: a square leaves BIGINT
+    from a value of 3e9 on.  Beyond 38 digits the sum fails.
+    """
+    wide = "decimal(19,0)"
+    product = (col_of(x).cast(wide) * col_of(y).cast(wide)).cast("decimal(38,0)")
+    return _none_overflowed(F.try_sum(product), F.count(product))

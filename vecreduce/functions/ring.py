@@ -16,22 +16,6 @@ from pyspark.sql import functions as F
 from .fixed_point import col_of
 
 
-def ring_chunk(worker, step, n: int) -> Column:
-    """Chunk index worker ``worker`` handles at step ``step``: ``(p - t) mod n``."""
-    return F.pmod(col_of(worker) - col_of(step), F.lit(n)).cast("int")
-
-
-def ring_stripes(worker, step, n: int, length: int) -> Column:
-    """All element indices handled at ``step`` by ``worker`` in a vector of ``length``.
-
-    These are the elements congruent to ``(p - t) mod n``; with ``length = 2n``
-    it is the two-stripe pattern ``{r, r + n}``.
-    """
-    r = ring_chunk(worker, step, n)
-    return F.when(r < F.lit(length), F.sequence(r, F.lit(length - 1), F.lit(n))) \
-            .otherwise(F.array().cast("array<int>"))
-
-
 def ring_pos(worker, dim, n: int) -> Column:
     """Step at which ``worker`` touches element ``dim``: ``(p - dim) mod n``."""
     return F.pmod(col_of(worker) - col_of(dim), F.lit(n)).cast("int")

@@ -1,27 +1,23 @@
 """DataFrame operators: layout, reductions, statistics, training, ML, partitions."""
 
 from .layout import assemble, explode_vector, local_sums, to_long, with_groups
-from .ml import (accuracy, argmax_label, evaluate_accuracy, hash_bucket, hash_split, mlp_fit,
-                 predict, random_split, vector_features)
-from .partition import (barrier_all_reduce, barrier_slots, cache_count, fixed_parallelism,
-                        map_partitions_sum)
-from .reduce import (all_gather, all_reduce, all_reduce_wide, cross_group_merge, group_all_gather,
-                     group_all_reduce,
+from .ml import (accuracy, evaluate_accuracy, hash_bucket, hash_split, mlp_fit, predict, random_split, strided_label,
+                 vector_features)
+from .partition import cache_count, map_partitions_sum
+from .reduce import (all_gather, all_reduce, cross_group_merge, group_all_gather, group_all_reduce,
                      hierarchical_all_reduce, keyed_set, keyed_sum, merge_groups, scatter_reduce,
                      with_default)
-from .stats import mean_gradient, tree_stats, vector_stats
+from .stats import gradient_stats, tree_stats, vector_stats
 from .train import event_cells, event_gradients, gd_step, gd_trajectory, ls_fit, ls_gradient
 
 __all__ = [
     "assemble", "explode_vector", "local_sums", "to_long", "with_groups",
-    "accuracy", "argmax_label", "evaluate_accuracy", "hash_bucket", "hash_split", "mlp_fit",
-    "predict", "random_split", "vector_features",
-    "barrier_all_reduce", "barrier_slots", "cache_count", "fixed_parallelism",
-    "map_partitions_sum",
-    "all_gather", "all_reduce", "all_reduce_wide", "cross_group_merge", "group_all_gather",
-    "group_all_reduce",
+    "accuracy", "evaluate_accuracy", "hash_bucket", "hash_split", "mlp_fit", "predict", "random_split",
+    "strided_label", "vector_features",
+    "cache_count", "map_partitions_sum",
+    "all_gather", "all_reduce", "cross_group_merge", "group_all_gather", "group_all_reduce",
     "hierarchical_all_reduce", "keyed_set", "keyed_sum", "merge_groups", "scatter_reduce",
     "with_default",
-    "mean_gradient", "tree_stats", "vector_stats",
+    "gradient_stats", "tree_stats", "vector_stats",
     "event_cells", "event_gradients", "gd_step", "gd_trajectory", "ls_fit", "ls_gradient",
 ]

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed
+from ..functions.fixed_point import EMBEDDING_SCALE, checked, exact_sum, to_fixed
 from ..functions.ring import group_of, local_worker, worker_of
 
 
@@ -28,15 +28,14 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
     worker key raises under ``on_invalid="error"`` wherever the worker is
     used (Catalyst prunes the check from a plain all-reduce, where the key is
     irrelevant) and is dropped under ``"zero"`` / ``"skip"``.  ``vec`` may be an
-    array column or a Spark ML vector (dense or sparse; converted to an array
-    first, so sums stay exact).
+    array column or a Spark ML vector; a sparse vector gives cells for its stored
+    entries only.
     """
     w = F.col(worker).cast("int") if worker else worker_of(key, n)
     v = F.col(vec)
-    if type(df.schema[vec].dataType).__name__ == "VectorUDT":
-        from pyspark.ml.functions import vector_to_array
-
-        v = vector_to_array(v)
+    stored = type(df.schema[vec].dataType).__name__ == "VectorUDT"
+    if stored:
+        v = F.unwrap_udt(v)
     if on_invalid == "error":
         # a null vector or worker key is an error too; with "zero" / "skip" the row
         # contributes nothing
@@ -44,14 +43,20 @@ def to_long(df: DataFrame, vec: str = "embedding", key: str | None = "vec_id", n
         w = F.when(w.isNotNull(), w).otherwise(F.raise_error(F.lit("vecreduce: null worker key")))
     else:
         df = df.where(w.isNotNull())
-    cells = df.select(*keep, w.alias("worker"), F.posexplode(v).alias("dim", "x"))
+    if stored:
+        entries = F.when(v["type"] == 0, F.map_from_arrays(v["indices"], v["values"])).otherwise(
+            F.map_from_arrays(F.sequence(F.lit(0), F.size(v["values"]) - 1), v["values"]))
+        entries = F.when((v["type"] == 0) | (F.size(v["values"]) > 0), entries)
+        cells = df.select(*keep, w.alias("worker"), F.explode(entries).alias("dim", "x"))
+    else:
+        cells = df.select(*keep, w.alias("worker"), F.posexplode(v).alias("dim", "x"))
     return cells.select(*keep, "worker", "dim",
                         to_fixed(checked("x", on_invalid), scale).alias("g"))
 
 
 def local_sums(long: DataFrame, by: Sequence[str] = ("worker", "dim"), value: str = "g") -> DataFrame:
     """Pre-sum cells per ``(worker, dim)``: a worker's vector, whatever its row count."""
-    return long.groupBy(*by).agg(F.sum(value).alias(value))
+    return long.groupBy(*by).agg(exact_sum(value).alias(value))
 
 
 def with_groups(df: DataFrame, group_size: int, worker: str = "worker") -> DataFrame:
@@ -60,7 +65,7 @@ def with_groups(df: DataFrame, group_size: int, worker: str = "worker") -> DataF
                            "local_worker": local_worker(worker, group_size)})
 
 
-def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value: str = "g",
+def assemble(long: DataFrame, keys: Sequence[str], dim: str = "dim", value: str = "g",
              name: str = "vec", dense: bool = False) -> DataFrame:
     """Rebuild one array per key from its cells, ordered by ``dim``.
 
@@ -70,7 +75,9 @@ def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value:
     values; with ``dense=True`` a group whose dims are not exactly
     ``0..k-1`` fails instead of shifting elements to the wrong positions.
     """
-    summed = long.groupBy(*keys, dim).agg(F.sum(value).alias(value))
+    if not keys:
+        raise ValueError("assemble needs keys: without them one task would hold everything")
+    summed = long.groupBy(*keys, dim).agg(exact_sum(value).alias(value))
     cells = F.array_sort(F.collect_list(F.struct(F.col(dim).alias("d"), F.col(value).alias("v"))))
     vec = cells.getField("v")  # field of every struct in the array (no lambda)
     if dense:
@@ -78,8 +85,7 @@ def assemble(long: DataFrame, keys: Sequence[str] = (), dim: str = "dim", value:
         ok = (k == 0) | ((F.min(dim) == 0) & (F.max(dim) == k - 1))
         vec = F.when(ok, vec).otherwise(F.raise_error(F.lit(
             "vecreduce: dims are not 0..k-1; a dense vector would misplace elements")))
-    vec = vec.alias(name)
-    return summed.groupBy(*keys).agg(vec) if keys else summed.agg(vec)
+    return summed.groupBy(*keys).agg(vec.alias(name))
 
 
 def explode_vector(df: DataFrame, vec: str = "vec", keys: Sequence[str] = (), dim: str = "dim",

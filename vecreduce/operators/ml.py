@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_point import to_fixed
+
 
 def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2), seed: int = 1234):
     """Spark's ``randomSplit``; reproducible only for the same input partitioning."""
@@ -36,17 +38,24 @@ def hash_split(df: DataFrame, key: str, train_percent: int = 80, name: str = "sp
                                       F.lit("train")).otherwise(F.lit("test")))
 
 
-def vector_features(df: DataFrame, vec: str, first: int, name: str = "features") -> DataFrame:
-    """First ``first`` elements of an array column as an ML dense vector."""
+def vector_features(df: DataFrame, vec: str, name: str = "features") -> DataFrame:
+    """An array column as an ML dense vector, all its elements."""
     from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn(name, array_to_vector(F.slice(F.col(vec), 1, first).cast("array<double>")))
+    return df.withColumn(name, array_to_vector(F.col(vec).cast("array<double>")))
+
 
+def strided_label(vec: str, classes: int):
+    """The class whose elements (those with ``dim mod classes`` equal to it) sum highest, as a double.
+
+    Sums are fixed point, so every engine gives the same label; the lowest of equal classes.
+    """
+    def total(c):
+        mine = F.filter(F.col(vec), lambda x, i: i % classes == c)
+        return F.aggregate(F.transform(mine, lambda x: to_fixed(x)), F.lit(0).cast("long"), lambda s, x: s + x)
 
-def argmax_label(vec: str, first: int):
-    """Index of the largest of the first ``first`` elements, as a double label."""
-    head = F.slice(F.col(vec), 1, first)
-    return (F.array_position(head, F.array_max(head)) - 1).cast("double")
+    sums = F.array(*[total(c) for c in range(classes)])
+    return (F.array_position(sums, F.array_max(sums)) - 1).cast("double")
 
 
 def mlp_fit(train: DataFrame, layers: Sequence[int], block_size: int = 128, seed: int = 1234,

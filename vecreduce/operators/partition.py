@@ -1,33 +1,24 @@
-"""Partition-level user functions, barrier mode, parallelism and caching.
+"""Partition-level user functions and caching.
 
 ``map_partitions_sum`` is the user-function form of the all-reduce: each
 task folds its rows into one partial vector per worker with numpy over
 Arrow batches (``mapInArrow``; no per-row Python), then Spark's hash
-aggregate merges partials by element.  ``barrier_all_reduce`` runs the merge inside a gang-scheduled
-stage: every task exchanges its partial with all others
-(``BarrierTaskContext.allGather``) and so ends up holding the totals, as in
-a ring all-reduce.  Its messages carry one partial vector per task, so it is
-for vectors of moderate width; the input is pre-summed per ``(worker, dim)``
-before the barrier stage, so message size does not grow with row count.
+aggregate merges partials by element.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import EMBEDDING_SCALE
+from ..functions.fixed_point import EMBEDDING_SCALE, exact_sum
 from ..functions.ring import worker_of
-from .layout import local_sums
 
 _LONG_SCHEMA = "worker int, dim int, g long"
-_INT64_SAFE = 2 ** 62
 
 # The task-side functions below travel with the job (pickled by value), so
 # executors need numpy / pandas / pyarrow but not this package installed.
@@ -75,49 +66,45 @@ def _flat_cells(vec, scale: int, on_invalid: str):
     return keep, lengths, _fixed(values, scale)
 
 
+_LIMB = 32
+
+
 def _fold_arrow(workers: np.ndarray, lengths: np.ndarray, fixed: np.ndarray, acc: dict) -> None:
-    """Add one batch's vectors into per-worker partial sums (exact int64, object on overflow risk)."""
-    rows = len(lengths)
-    if rows == 0:
-        return
-    width = int(lengths.max())
-    if width == 0:
-        return
-    if (lengths == width).all():
-        mat = fixed.reshape(rows, width)
-    else:  # ragged rows: pad with the additive identity
-        mat = np.zeros((rows, width), dtype=np.int64)
-        row_of = np.repeat(np.arange(rows), lengths)
-        pos = np.arange(len(fixed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        mat[row_of, pos] = fixed
-    if np.abs(mat).max(initial=0) * rows >= _INT64_SAFE:
-        mat = mat.astype(object)  # this batch's sums could leave int64: exact Python ints
-    order = np.argsort(workers, kind="stable")
-    ws = workers[order]
-    starts = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
-    sums = np.add.reduceat(mat[order], starts, axis=0)
-    # Running per-worker sums stay int64 while they provably fit; a worker whose
-    # sums could leave int64 is promoted to exact Python ints (object array).
-    for w, part in zip(ws[starts].tolist(), sums):
-        prev = acc.get(w)
-        if prev is None:
-            acc[w] = part.copy()
-            continue
-        if len(prev) < len(part):
-            prev, part = part.copy(), prev
-            acc[w] = prev
-        if prev.dtype != object and (part.dtype == object or int(np.abs(prev).max(initial=0))
-                                     + int(np.abs(part).max(initial=0)) >= _INT64_SAFE):
-            prev = acc[w] = prev.astype(object)
-        prev[: len(part)] += part
+    """Add one batch's vectors into per-worker partial sums, without padding.
+
+    A worker has two int64 sums for each element, of its values' upper and lower 32 bits,
+    each exact for two billion values.
+    """
+    at = np.arange(len(fixed)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    of_worker = np.repeat(workers, lengths)
+    for w in np.unique(workers).tolist():
+        mine = of_worker == w
+        places, values = at[mine], fixed[mine]
+        width = int(places.max(initial=-1)) + 1
+        sums = acc.get(w)
+        if sums is None or sums.shape[1] < width:
+            grown = np.zeros((2, width), dtype=np.int64)
+            if sums is not None:
+                grown[:, :sums.shape[1]] = sums
+            sums = acc[w] = grown
+        np.add.at(sums[0], places, values >> _LIMB)
+        np.add.at(sums[1], places, values & ((1 << _LIMB) - 1))
+
+
+def _joined(sums: np.ndarray) -> list[int]:
+    """The sums as whole numbers; beyond BIGINT they fail."""
+    whole = [(hi << _LIMB) + lo for hi, lo in zip(*sums.tolist())]
+    if any(not -(1 << 63) <= v < 1 << 63 for v in whole):
+        raise OverflowError("vecreduce: partial sum exceeds BIGINT; use a smaller scale")
+    return whole
 
 
 def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id", n: int = 8,
                        scale: int = EMBEDDING_SCALE, on_invalid: str = "error") -> DataFrame:
     """Per-partition partial sums with numpy over Arrow batches, merged by Spark: ``(dim, total)``.
 
-    The list column is flattened zero-copy into one numpy matrix per batch;
-    no Python object is created per row or element.  No shuffle before the
+    The list column is flattened zero-copy into one numpy array per batch;
+    no Python object is created per row.  No shuffle before the
     function; each task emits at most ``workers x dims`` rows, and the final
     sum per ``dim`` is a hash aggregate.
     """
@@ -143,133 +130,31 @@ def map_partitions_sum(df: DataFrame, vec: str = "embedding", key: str = "vec_id
         if not acc:
             return
         w_col, d_col, g_col = [], [], []
-        for w, part in acc.items():
-            if part.dtype == object and any(abs(v) >= 2 ** 63 for v in part.tolist()):
-                raise OverflowError("vecreduce: partial sum exceeds BIGINT; use a smaller scale")
+        for w, sums in acc.items():
+            part = _joined(sums)
             w_col.append(np.full(len(part), w, dtype=np.int32))
             d_col.append(np.arange(len(part), dtype=np.int32))
-            g_col.append(np.asarray(part, dtype=np.int64))
+            g_col.append(np.array(part, dtype=np.int64))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(w_col)), pa.array(np.concatenate(d_col)),
              pa.array(np.concatenate(g_col))], names=["worker", "dim", "g"])
 
     partials = rows.mapInArrow(fold, _LONG_SCHEMA)
-    return partials.groupBy("dim").agg(F.sum("g").alias("total"))
-
-
-def fixed_parallelism(df: DataFrame, n: int, key: str | None = None) -> DataFrame:
-    """Exactly ``n`` partitions, hash-partitioned by ``key`` when given (a shuffle)."""
-    return df.repartition(n, key) if key else df.repartition(n)
-
-
-def _local_cores(master: str) -> int | None:
-    """Task threads of a local master: ``local``, ``local[N]``, ``local[*]``, ``local[N,F]``,
-    ``local-cluster[n,c,m]``; ``None`` for a cluster master."""
-    import os
-    import re
-
-    if master == "local":
-        return 1
-    m = re.fullmatch(r"local\[(\*|\d+)(?:,\s*\d+)?\]", master)
-    if m:
-        return (os.cpu_count() or 1) if m.group(1) == "*" else int(m.group(1))
-    m = re.fullmatch(r"local-cluster\[\s*(\d+)\s*,\s*(\d+)\s*,\s*\d+\s*\]", master)
-    if m:
-        return int(m.group(1)) * int(m.group(2))
-    return None
-
-
-def barrier_slots(spark) -> int:
-    """Task slots a barrier stage can count on.
-
-    The smaller of ``defaultParallelism`` and what the master / executor
-    settings provide (``spark.default.parallelism`` may be set above the real
-    core count).
-    """
-    from ..session import master_of, spark_context
-
-    sc = spark_context(spark)
-    get = sc.getConf().get if sc is not None else (lambda k, d=None: spark.conf.get(k, d))
-    task_cpus = max(int(get("spark.task.cpus", "1") or 1), 1)
-    cores = _local_cores(master_of(spark))
-    if cores is not None:
-        cores //= task_cpus
-    else:
-        inst, per = get("spark.executor.instances"), get("spark.executor.cores")
-        if inst and per:
-            cores = int(inst) * int(per) // task_cpus
-    if sc is not None:
-        slots = int(sc.defaultParallelism)
-    else:
-        par = get("spark.default.parallelism")
-        slots = int(par) if par else (cores or 1)
-    return min(slots, cores) if cores else slots
-
-
-def barrier_all_reduce(long: DataFrame, num_tasks: int, replicas: bool = False,
-                       max_message_elements: int = 4_000_000) -> DataFrame:
-    """All-reduce inside one barrier stage: ``(dim, total)``, or ``(task, dim, total)``
-    with ``replicas=True`` (every task's copy, which are identical).
-
-    Refuses, before submitting anything, when ``num_tasks`` exceeds the free
-    slots: a barrier stage that cannot be gang-scheduled fails the job.  The
-    exchanged partials pass through the driver's barrier coordinator, so
-    their total size (tasks x elements) is held to ``max_message_elements``;
-    wider vectors belong to :func:`all_reduce`.
-    """
-    from ..session import master_of
-
-    spark = long.sparkSession
-    dynamic = str(spark.conf.get("spark.dynamicAllocation.enabled", "false")).lower() == "true"
-    if dynamic and not master_of(spark).startswith("local"):  # local mode ignores it
-        raise ValueError("barrier stages need static allocation (spark.dynamicAllocation.enabled)")
-    slots = barrier_slots(spark)
-    if not 1 <= num_tasks <= slots:
-        raise ValueError(f"barrier stage needs {num_tasks} slots, cluster has {slots}")
-    local = local_sums(long)
-    # Every task must receive rows it can route; empty tasks still join the barrier.
-    parts = local.withColumn("task", F.pmod(F.col("worker"), F.lit(num_tasks))) \
-                 .repartition(num_tasks, "task")
-
-    def exchange(batches):
-        from pyspark import BarrierTaskContext
-
-        ctx = BarrierTaskContext.get()
-        sums: dict[int, int] = {}
-        for pdf in batches:  # at most workers x dims pre-summed rows: exact Python ints
-            for d, g in zip(pdf["dim"].tolist(), pdf["g"].tolist()):
-                sums[d] = sums.get(d, 0) + g
-        if len(sums) * num_tasks > max_message_elements:
-            raise ValueError("partials too large for barrier messages; use all_reduce")
-        messages = ctx.allGather(json.dumps(sums))
-        total: dict[int, int] = {}
-        for m in messages:
-            for d, g in json.loads(m).items():
-                total[int(d)] = total.get(int(d), 0) + g
-        me = ctx.partitionId()
-        if replicas or me == 0:
-            dims = sorted(total)
-            yield pd.DataFrame({"task": np.full(len(dims), me, dtype=np.int32),
-                                "dim": np.array(dims, dtype=np.int32),
-                                "total": np.array([total[d] for d in dims], dtype=np.int64)})
-
-    out = parts.select("dim", "g").mapInPandas(exchange, "task int, dim int, total long",
-                                               barrier=True)
-    return out if replicas else out.select("dim", "total")
+    return partials.groupBy("dim").agg(exact_sum("g").alias("total"))
 
 
-def cache_count(df: DataFrame, storage: str = "memory_and_disk") -> DataFrame:
-    """Persist, materialise with ``count()``, and return ``(cnt)`` read from the stored copy.
+def cache_count(df: DataFrame, storage: str = "memory_and_disk") -> tuple[DataFrame, int]:
+    """Persist, materialise with ``count()`` and count again from the stored copy.
 
-    ``storage="disk"`` keeps a table far larger than executor memory on the
-    executors' disks instead of evicting and recomputing it.  Call
-    ``unpersist()`` on the input when done.
+    Returns the stored DataFrame, for the caller to use and to ``unpersist()``, and the
+    count.  ``storage="disk"`` keeps a table far larger than executor memory on the
+    executors' disks instead of evicting and recomputing it.
     """
     from pyspark import StorageLevel
 
     levels = {"memory_and_disk": StorageLevel.MEMORY_AND_DISK, "disk": StorageLevel.DISK_ONLY}
     if storage not in levels:
         raise ValueError(f"storage must be one of {sorted(levels)}")
-    cached = df.persist(levels[storage])
-    cached.count()
-    return cached.agg(F.count(F.lit(1)).alias("cnt"))
+    stored = df.persist(levels[storage])
+    stored.count()
+    return stored, stored.count()

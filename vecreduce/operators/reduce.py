@@ -2,10 +2,11 @@
 
 Plan shape (checked with ``explain``): raw cells -> partial HashAggregate in
 the scan stage -> exchange of at most ``tasks x workers x dims`` rows ->
-final aggregate.  Scatter-reduce, all-gather and the cross-group merge are
-window functions over cells they first sum per ``(worker, dim)`` themselves,
-so their exchange moves ``workers x dims`` rows, never raw data, and a
-window partition never holds more than one row per worker.  Nothing is joined
+final aggregate.  Scatter-reduce and the gathers work on sums they make
+themselves, so their exchange moves ``workers x dims`` rows, never raw data,
+and a group never holds more than one row per worker.  They return a row for
+every one of the ``n`` workers and every element that any worker has: a worker
+without a cell counts as zero and still receives the totals.  Nothing is joined
 pairwise and nothing passes through the driver.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import EMBEDDING_SCALE, checked, to_fixed, wide_sum
+from ..functions.fixed_point import exact_sum, exact_sum_over, wide_sum
 from ..functions.ring import ring_pos
 from .layout import local_sums, with_groups
 
@@ -28,7 +29,7 @@ def keyed_sum(df: DataFrame, key, value: str, name: str = "total") -> DataFrame:
     one partial row per task, so skew does not reach the shuffle.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.groupBy(*keys).agg(F.sum(value).alias(name))
+    return df.groupBy(*keys).agg(exact_sum(value).alias(name))
 
 
 def with_default(keys: DataFrame, totals: DataFrame, key: str, value: str = "total",
@@ -59,116 +60,71 @@ def all_reduce(long: DataFrame, by: Sequence[str] = (), dim: str = "dim", value:
     """Element-wise sum of all workers' vectors: ``([by...,] dim, total)``.
 
     The BIGINT total holds up to 9.2e18 fixed-point units (9.2e12 in value
-    at the default scale); ANSI mode raises beyond that rather than wrap.
+    at the default scale); beyond that it fails rather than wraps.
     ``wide=True`` accumulates with :func:`wide_sum` instead: exact for any
     total, returned as DOUBLE, at the cost of three sums per cell.
     """
-    total = wide_sum(value) if wide else F.sum(value)
+    total = wide_sum(value) if wide else exact_sum(value)
     return long.groupBy(*by, dim).agg(total.alias(name))
 
 
-def all_reduce_wide(df: DataFrame, vec: str, length: int, scale: int = EMBEDDING_SCALE,
-                    name: str = "total", on_invalid: str = "error",
-                    max_length: int = 512) -> DataFrame:
-    """Same result as :func:`all_reduce` without exploding rows.
+def _in_ring(cells: DataFrame, n: int, value: str) -> DataFrame:
+    """``cells``, failing at a worker outside ``[0, n)`` instead of leaving it out."""
+    w = F.col("worker")
+    return cells.withColumn(value, F.when((w >= 0) & (w < n), F.col(value)).otherwise(
+        F.raise_error(F.lit(f"vecreduce: worker outside the ring of {n}"))))
 
-    One aggregate with ``length`` sum columns; each task emits a single
-    partial row.  For vectors up to ``max_length`` elements (wider vectors
-    exceed generated-code limits; use the long form, which is also faster:
-    see the README measurements).
-    """
-    if length > max_length:
-        raise ValueError(f"{length} columns in one aggregate; use all_reduce on to_long cells")
-    v = F.col(vec)
-    if on_invalid == "error":  # as in to_long: a null vector is an error, a short one is not
-        v = F.when(v.isNotNull(), v).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
-
-    # Per-element expressions stay inside whole-stage codegen.  (Converting the vector once
-    # with transform() plans faster but runs interpreted: measured 1.9x slower on 320M cells.)
-    def cell(i: int):
-        x = checked(F.try_element_at(v, F.lit(i + 1)), on_invalid)
-        return F.when(F.size(v) > i, to_fixed(x, scale))  # elements past the end are absent
-
-    sums = df.agg(*[F.sum(cell(i)).alias(f"s{i}") for i in range(length)])
-    cells = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"s{i}").alias(name))
-                      for i in range(length)])
-    return sums.select(F.inline(cells))
-
-
-def scatter_reduce(cells: DataFrame, n: int, upto_step: int | None = None,
-                   group_size: int | None = None, value: str = "g",
+
+def _workers(n: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("worker")
+
+
+def _ring_size(n: int, group_size: int | None) -> int:
+    size = group_size or n
+    if n < 1 or n % size:
+        raise ValueError(f"{n} workers do not make whole groups of {size}")
+    return size
+
+
+def scatter_reduce(cells: DataFrame, n: int, group_size: int | None = None, value: str = "g",
                    name: str = "partial", by: Sequence[str] = ()) -> DataFrame:
     """Ring scatter-reduce as a running sum.
 
-    After the full scatter-reduce, worker ``p`` holds, for element ``dim``,
+    After the scatter-reduce, worker ``p`` holds, for element ``dim``,
     the sum of the workers from the element's owner round the ring to ``p``:
-    ``sum(g) over (partition by [grp,] dim order by ring_pos)``.  After step
-    ``upto_step`` only cells with ``ring_pos <= upto_step`` have been
-    reduced; the others still hold their own value.
+    ``sum(g) over (partition by [grp,] dim order by ring_pos)``.
 
     ``cells`` are ``(worker, dim, g)`` rows, raw or already summed: they are
-    summed per ``(worker, dim)`` first, so every window partition holds one
-    row per worker whatever the input size.  With ``group_size`` the ring
-    runs inside each block of workers (``n`` = block size).  ``by`` adds
+    summed per ``(worker, dim)`` first.  An element's sums then meet in one map of
+    at most ``n`` entries, from which every worker gets a cell, zero if it had none.
+    With ``group_size`` a ring runs inside each block of workers.  ``by`` adds
     independent rings, e.g. ``by=["iter"]`` for one all-reduce per
     iteration of gradient descent.
     Returns ``([by...,] [grp,] worker, dim, ring_pos, partial)``.
     """
-    if upto_step is not None and not 0 <= upto_step < n:
-        raise ValueError(f"upto_step must be in [0, {n - 1}]")
-    if group_size and n != group_size:
-        raise ValueError("a ring inside groups has n = group_size members")
+    size = _ring_size(n, group_size)
     by = list(by)
-    local = local_sums(cells, by=[*by, "worker", "dim"], value=value)
-    parts = [*by, "dim"]
-    df = local
-    member = "worker"
-    if group_size:
-        df = with_groups(local, group_size)
-        parts = [*by, "grp", "dim"]
-        member = "local_worker"
-    df = df.withColumn("ring_pos", ring_pos(member, "dim", n))
-    # worker breaks ties if ids outside [0, n) share a ring position: still deterministic
-    w = (Window.partitionBy(*parts).orderBy("ring_pos", "worker")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = F.sum(value).over(w)
-    if upto_step is not None:
-        run = F.when(F.col("ring_pos") <= upto_step, run).otherwise(F.col(value))
+    local = local_sums(_in_ring(cells, n, value), by=[*by, "worker", "dim"], value=value)
+    per_dim = local.groupBy(*by, "dim").agg(
+        F.map_from_entries(F.collect_list(F.struct("worker", value))).alias("_own"))
+    grid = per_dim.select(*by, "dim", "_own", _workers(n)).select(
+        *by, "worker", "dim", F.coalesce(F.try_element_at("_own", F.col("worker")), F.lit(0)).alias(value))
+    grid = with_groups(grid, size)
+    parts = [*by, "dim", "grp"]
+    run = exact_sum_over(value, Window.partitionBy(*parts).orderBy("ring_pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
     cols = by + (["grp"] if group_size else []) + ["worker", "dim", "ring_pos"]
-    return df.select(*cols, run.alias(name))
-
+    return grid.withColumn("ring_pos", ring_pos("local_worker", "dim", size)).select(*cols, run.alias(name))
 
-def all_gather(cells: DataFrame, value: str = "g", name: str = "total", n: int | None = None,
-               upto_step: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Every worker's cells replaced by the element totals: ``(worker, dim, total)``.
 
-    Cells are summed per ``(worker, dim)``, then a window sum per ``dim``:
-    no join, no replication beyond the cells that exist, one row per worker
-    in each window partition.
+def all_gather(cells: DataFrame, n: int, value: str = "g", name: str = "total",
+               by: Sequence[str] = ()) -> DataFrame:
+    """Every one of ``n`` workers with every element's total: ``([by...,] worker, dim, total)``.
 
-    With ``n`` and ``upto_step`` it returns the state after gather step
-    ``upto_step`` of a ring of ``n`` that followed a full scatter-reduce:
-    gather step ``t`` gives worker ``p`` the total of element
-    ``(p - t) mod n``, so cells with ``ring_pos <= upto_step`` hold totals and
-    the rest still hold their scatter-reduce running sums.  Both come from one
-    window partition per ``dim``.  Returns ``(worker, dim, ring_pos, total)``.
-    ``by`` adds independent rings (e.g. one per iteration).
+    Totals are made once per element and then repeated for each worker, without a join.
     """
-    by = list(by)
-    local = local_sums(cells, by=[*by, "worker", "dim"], value=value)
-    if upto_step is None:
-        return local.select(*by, "worker", "dim",
-                            F.sum(value).over(Window.partitionBy(*by, "dim")).alias(name))
-    last = max((n or 0) - 2, 0)
-    if n is None or not 0 <= upto_step <= last:
-        raise ValueError(f"give n; gather steps of a ring of {n} are 0..{last}")
-    df = local.withColumn("ring_pos", ring_pos("worker", "dim", n))
-    ordered = Window.partitionBy(*by, "dim").orderBy("ring_pos", "worker")
-    running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
-                                                  Window.unboundedFollowing))
-    state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
-    return df.select(*by, "worker", "dim", "ring_pos", state.alias(name))
+    totals = all_reduce(_in_ring(cells, n, value), by, value=value, name=name)
+    return totals.select(*by, _workers(n), "dim", name)
 
 
 def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
@@ -177,54 +133,31 @@ def group_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
     return all_reduce(with_groups(cells, group_size), by=[*by, "grp"], value=value, name=name)
 
 
-def group_all_gather(cells: DataFrame, group_size: int, value: str = "g",
-                     name: str = "grp_total", upto_step: int | None = None,
-                     by: Sequence[str] = ()) -> DataFrame:
-    """Each worker's cells replaced by its group's totals: ``(grp, worker, dim, grp_total)``.
+def group_all_gather(cells: DataFrame, group_size: int, n: int, value: str = "g",
+                     name: str = "grp_total", by: Sequence[str] = ()) -> DataFrame:
+    """Every one of ``n`` workers with its group's total of every element: ``(grp, worker, dim, grp_total)``.
 
-    With ``upto_step``: the state after that gather step inside each group
-    (the flat :func:`all_gather` rule per group), ``(grp, worker, dim,
-    ring_pos, grp_total)``.  ``by`` adds independent rings (e.g. per iteration).
+    A group none of whose workers has the element holds zero.
     """
-    by = list(by)
-    df = with_groups(local_sums(cells, by=[*by, "worker", "dim"], value=value), group_size)
-    if upto_step is None:
-        return df.select(*by, "grp", "worker", "dim",
-                         F.sum(value).over(Window.partitionBy(*by, "grp", "dim")).alias(name))
-    last = max(group_size - 2, 0)
-    if not 0 <= upto_step <= last:
-        raise ValueError(f"gather steps of a ring of {group_size} are 0..{last}")
-    df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
-    ordered = Window.partitionBy(*by, "grp", "dim").orderBy("ring_pos", "worker")
-    running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    whole = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding,
-                                                  Window.unboundedFollowing))
-    state = F.when(F.col("ring_pos") <= upto_step, whole).otherwise(running)
-    return df.select(*by, "grp", "worker", "dim", "ring_pos", state.alias(name))
-
-
-def cross_group_merge(cells: DataFrame, group_size: int, value: str = "g", name: str = "total",
-                      upto_step: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Per-worker state of the cross-group merge: ``(grp, worker, dim, ring_pos, total)``.
-
-    After each group's all-gather every cell holds its group total; merge
-    step ``t`` then adds the other groups' totals to the elements with
-    ``ring_pos == t`` (ring of ``group_size``).  After step ``upto_step``
-    cells with ``ring_pos <= upto_step`` hold the global total, the rest
-    their group total; without ``upto_step`` (all steps) every cell holds
-    the global total.  Two windows over the summed cells, ``(dim)`` and
-    ``(grp, dim)``, share one shuffle by ``dim``.
+    size = _ring_size(n, group_size)
+    totals = group_all_reduce(_in_ring(cells, n, value), size, value, name, by)
+    per_dim = totals.groupBy(*by, "dim").agg(
+        F.map_from_entries(F.collect_list(F.struct("grp", name))).alias("_groups"))
+    grid = with_groups(per_dim.select(*by, "dim", "_groups", _workers(n)), size)
+    return grid.select(*by, "grp", "worker", "dim", F.coalesce(
+        F.try_element_at("_groups", F.col("grp")), F.lit(0)).alias(name))
+
+
+def cross_group_merge(cells: DataFrame, group_size: int, n: int, value: str = "g", name: str = "total",
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Every worker after the cross-group merge: ``(grp, worker, dim, total)``.
+
+    Adding the other groups' totals to a group's own gives every worker of every group the
+    global total.
     """
-    if upto_step is not None and not 0 <= upto_step <= group_size - 1:
-        raise ValueError(f"merge steps of a ring of {group_size} are 0..{group_size - 1}")
-    by = list(by)
-    df = with_groups(local_sums(cells, by=[*by, "worker", "dim"], value=value), group_size)
-    df = df.withColumn("ring_pos", ring_pos("local_worker", "dim", group_size))
-    total = F.sum(value).over(Window.partitionBy(*by, "dim"))
-    if upto_step is not None:
-        grp_total = F.sum(value).over(Window.partitionBy(*by, "dim", "grp"))
-        total = F.when(F.col("ring_pos") <= upto_step, total).otherwise(grp_total)
-    return df.select(*by, "grp", "worker", "dim", "ring_pos", total.alias(name))
+    size = _ring_size(n, group_size)
+    gathered = with_groups(all_gather(cells, n, value, name, by), size)
+    return gathered.select(*by, "grp", "worker", "dim", name)
 
 
 def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str = "total",
@@ -234,7 +167,7 @@ def merge_groups(group_totals: DataFrame, value: str = "grp_total", name: str =
     ``group_totals`` has one row per ``(grp, dim)`` (the output of
     :func:`group_all_reduce`), so a window partition holds one row per group.
     """
-    return group_totals.withColumn(name, F.sum(value).over(Window.partitionBy(*by, "dim")))
+    return group_totals.withColumn(name, exact_sum_over(value, Window.partitionBy(*by, "dim")))
 
 
 def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
@@ -252,7 +185,7 @@ def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
     if method == "rollup":
         g = with_groups(cells, group_size)
         both = g.groupingSets([(*by, "dim", "grp"), (*by, "dim")], *by, "dim", "grp").agg(
-            F.sum(value).alias("s"), F.grouping("grp").alias("lvl"))
+            exact_sum(value).alias("s"), F.grouping("grp").alias("lvl"))
         tot = F.max(F.when(F.col("lvl") == 1, F.col("s"))).over(Window.partitionBy(*by, "dim"))
         return (both.withColumn("total", tot).where(F.col("lvl") == 0)
                     .select(*by, "grp", "dim", F.col("s").alias("grp_total"), "total"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed_point import EMBEDDING_SCALE, col_of, from_fixed, to_fixed, wide_sum
+from ..functions.fixed_point import EMBEDDING_SCALE, checked, col_of, exact_sum, product_sum, to_fixed, wide_sum
 
 
 def _is_integral(df: DataFrame, c) -> bool:
@@ -17,7 +17,8 @@ def _is_integral(df: DataFrame, c) -> bool:
         isinstance(dtype, T.DecimalType) and dtype.scale == 0)
 
 
-def tree_stats(df: DataFrame, grads: Mapping[str, Column | str], loss: Column | str,
+def tree_stats(df: DataFrame, grads: Mapping[str, Column | str],
+               loss: Column | str | tuple[Column | str, Column | str],
                loss_name: str = "loss", count_name: str = "cnt",
                loss_scale: int | None = None) -> DataFrame:
     """``(grad_1..grad_k, loss, cnt)`` in one pass.
@@ -27,11 +28,14 @@ def tree_stats(df: DataFrame, grads: Mapping[str, Column | str], loss: Column |
     into one buffer and the buffers are merged after one small exchange.
     Gradient columns are summed as given (pass fixed-point BIGINTs for exact
     totals).  The loss is summed exactly when it is integral (``wide_sum``:
-    no BIGINT overflow) or when ``loss_scale`` is given (fixed point at that
-    scale); otherwise it is a plain double sum.
+    no BIGINT overflow), when it is a pair of integral factors, whose products are
+    summed, or when ``loss_scale`` is given (fixed point at that scale); otherwise it
+    is a plain double sum.
     """
-    aggs = [F.sum(col_of(c)).alias(name) for name, c in grads.items()]
-    if loss_scale:
+    aggs = [exact_sum(c).alias(name) for name, c in grads.items()]
+    if isinstance(loss, tuple):
+        total = product_sum(*loss).cast("double")
+    elif loss_scale:
         total = wide_sum(to_fixed(loss, loss_scale)) / F.lit(float(loss_scale))
     elif _is_integral(df, loss):
         total = wide_sum(loss)
@@ -42,18 +46,36 @@ def tree_stats(df: DataFrame, grads: Mapping[str, Column | str], loss: Column |
     return df.agg(*aggs)
 
 
+def gradient_stats(df: DataFrame, vec: str, loss: Column | str, scale: int = EMBEDDING_SCALE,
+                   loss_scale: int = EMBEDDING_SCALE, on_invalid: str = "error") -> DataFrame:
+    """The vector triple, one row per element: ``(dim, grad, loss, cnt)``.
+
+    ``grad`` is the element's total in fixed point; ``loss`` (a double) and ``cnt`` are of
+    all rows, the same in each row of the result.  The loss travels as one more element in
+    front of the vector, so one aggregate merges gradient, loss and count together.
+    """
+    fixed = F.transform(F.col(vec), lambda x: to_fixed(checked(x, on_invalid), scale))
+    if on_invalid == "error":
+        fixed = F.when(F.col(vec).isNotNull(), fixed).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
+    first = F.array(to_fixed(checked(loss, on_invalid), loss_scale))
+    cells = df.select(F.posexplode(F.concat(first, F.coalesce(fixed, F.array().cast("array<bigint>"))))
+                      .alias("at", "g"))
+    merged = cells.groupBy("at").agg(exact_sum("g").alias("total"), F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()  # one row for each element
+    whole = merged.select(
+        (F.col("at") - 1).alias("dim"), F.col("total").alias("grad"),
+        (F.max(F.when(F.col("at") == 0, F.col("total"))).over(every).cast("double")
+         / F.lit(float(loss_scale))).alias("loss"),
+        F.max(F.when(F.col("at") == 0, F.col("n"))).over(every).alias("cnt"))
+    return whole.where("dim >= 0")
+
+
 def vector_stats(long: DataFrame, value: str = "g") -> DataFrame:
     """Per-element totals, squared norm and row count of long-form cells: one row per ``dim``.
 
     For vectors too wide for one aggregate row: the merge is hash-partitioned
     by ``dim`` instead of funnelled into one buffer.
     """
-    return long.groupBy("dim").agg(F.sum(value).alias("total"),
-                                   wide_sum(F.col(value) * F.col(value)).alias("sq"),
+    return long.groupBy("dim").agg(exact_sum(value).alias("total"),
+                                   product_sum(value, value).cast("double").alias("sq"),
                                    F.count(F.lit(1)).alias("cnt"))
-
-
-def mean_gradient(totals: DataFrame, n: int, scale: int = EMBEDDING_SCALE, total: str = "total",
-                  name: str = "mean") -> DataFrame:
-    """``total / n`` in value units; ``n`` is the number of workers, not of rows."""
-    return totals.withColumn(name, from_fixed(total, scale) / F.lit(float(n)))

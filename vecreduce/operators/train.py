@@ -10,16 +10,18 @@
 
 from __future__ import annotations
 
+import math
+import operator
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import axpy, ones
-from ..functions.fixed_point import CENTS, EMBEDDING_SCALE, col_of, from_fixed, to_fixed, wide_sum
+from ..functions.fixed_point import (CENTS, EMBEDDING_SCALE, checked, col_of, exact_sum, exact_sum_over, from_fixed,
+                                     product_sum, to_fixed)
 from ..functions.ring import worker_of
-from .layout import assemble, explode_vector
 from .reduce import all_reduce
 
 
@@ -37,36 +39,23 @@ def event_cells(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
 def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
     """Per-iteration, per-worker gradients: :func:`event_cells` summed per worker."""
     cells = event_cells(events, n, scale)
-    return cells.groupBy("iter", "worker", "event_type").agg(F.sum("g").alias("g"))
+    return cells.groupBy("iter", "worker", "event_type").agg(exact_sum("g").alias("g"))
 
 
 def gd_step(totals: DataFrame, lr: float, n: int, scale: int = EMBEDDING_SCALE,
-            total: str = "total", w0=None, form: str = "array") -> DataFrame:
+            total: str = "total", w0: DataFrame | None = None) -> DataFrame:
     """One update ``w = w0 - lr * total / n``: ``(dim, w)``; ``w0`` defaults to ones.
 
-    ``form="array"``: the totals are assembled into one vector and zipped with
-    the weights (truncating to the shorter, as a zip does); one task holds the
-    whole vector, which is fine for model widths up to millions.  Dims must
-    be ``0..D-1``.
-    ``form="long"``: the same arithmetic per ``(dim, total)`` row, for any
-    width (with ``w0`` given, only dims it covers are kept).
+    ``w0`` is a table ``(dim, w)`` with exactly the elements of ``totals``: an element that
+    one of them lacks fails, nothing is cut off.
     """
-    if form == "long":
-        y = from_fixed(total, scale)
-        if w0 is None:
-            w = F.lit(1.0)
-            rows = totals
-        else:
-            w = F.element_at(F.array(*[F.lit(float(x)) for x in w0]), F.col("dim") + 1)
-            rows = totals.where(F.col("dim") < len(w0))
-        return rows.select("dim", (w - F.lit(float(lr)) * y / F.lit(float(n))).alias("w"))
-    if form != "array":
-        raise ValueError("form must be 'array' or 'long'")
-    vec = assemble(totals, value=total, name="g", dense=True)
-    g = F.transform(F.col("g"), lambda x: from_fixed(x, scale))
-    w = ones(F.size("g")) if w0 is None else F.array(*[F.lit(float(x)) for x in w0])
-    stepped = vec.select(axpy(w, g, lr, n).alias("w"))
-    return explode_vector(stepped, "w", value="w")
+    y = from_fixed(total, scale)
+    if w0 is None:
+        return totals.select("dim", (F.lit(1.0) - F.lit(float(lr)) * y / F.lit(float(n))).alias("w"))
+    both = totals.join(w0.select("dim", F.col("w").cast("double").alias("_w0")), "dim", "full")
+    w = F.col("_w0") - F.lit(float(lr)) * y / F.lit(float(n))
+    return both.select("dim", F.when(F.col("_w0").isNotNull() & F.col(total).isNotNull(), w).otherwise(
+        F.raise_error(F.lit("vecreduce: weights and totals have different elements"))).alias("w"))
 
 
 def gd_trajectory(grads: DataFrame, lr: float, n: int, scale: int, w0: float = 1.0,
@@ -79,19 +68,21 @@ def gd_trajectory(grads: DataFrame, lr: float, n: int, scale: int, w0: float = 1
     BIGINT) and one division at the end.
     """
     totals = all_reduce(grads, by=[it], dim=dim, value=value, name="total")
-    run = F.sum("total").over(Window.partitionBy(dim).orderBy(it)
-                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = exact_sum_over("total", Window.partitionBy(dim).orderBy(it)
+                         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     w = F.lit(float(w0)) - F.lit(float(lr)) * (run.cast("double") / F.lit(float(scale * n)))
     return totals.select(it, dim, w.alias("w"))
 
 
 def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column | str,
-                w: Sequence, exact: bool = False, names: Sequence[str] | None = None) -> DataFrame:
+                w: Sequence, exact: bool = False, names: Sequence[str] | None = None,
+                on_invalid: str = "error") -> DataFrame:
     """Least-squares gradient ``sum x * (x.w - y)``, squared error and count, one row.
 
-    ``exact=True`` needs integer features, target and weights: per-row terms
-    are BIGINT, every sum is an exact ``wide_sum`` (no BIGINT overflow)
-    rounded to DOUBLE once, so the result does not depend on partitioning.
+    ``exact=True`` needs integer features, target and weights: a row's error is a BIGINT
+    and fails beyond it, every sum of products is exact and rounded to DOUBLE once, so the
+    result does not depend on partitioning.  A row with a null feature or target fails, or
+    is left out of sums and count with ``on_invalid="skip"``.
     """
     names = list(names or [f"g{i}" for i in range(len(features))])
     xs = [col_of(c) for c in features]
@@ -110,52 +101,64 @@ def ls_gradient(df: DataFrame, features: Sequence[Column | str], target: Column
         xs = [x.cast("double") for x in xs]
         y = col_of(target).cast("double")
         wl = [F.lit(float(v)) for v in w]
-    pred = xs[0] * wl[0]
-    for x, wi in zip(xs[1:], wl[1:]):
-        pred = pred + x * wi
-    base = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], (pred - y).alias("_err"))
-    err = F.col("_err")
-    total = wide_sum if exact else F.sum
-    aggs = [total(F.col(f"_x{i}") * err).alias(nm) for i, nm in enumerate(names)]
-    sse = total(err * err)
-    aggs += [sse.alias("sse"), F.count(F.lit(1)).alias("cnt")]
+    named = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"))
+    known = F.lit(True)
+    for c in named.columns:
+        known = known & F.col(c).isNotNull()
+    if on_invalid == "skip":
+        named = named.where(known)
+    elif on_invalid != "error":
+        raise ValueError(f"on_invalid must be error or skip, not {on_invalid!r}")
+    times, plus, minus = ((F.try_multiply, F.try_add, F.try_subtract) if exact
+                          else (operator.mul, operator.add, operator.sub))
+    pred = None
+    for i, wi in enumerate(wl):
+        term = times(F.col(f"_x{i}"), wi)
+        pred = term if pred is None else plus(pred, term)
+    err = minus(pred, F.col("_y"))
+    base = named.withColumn("_err", F.when(err.isNotNull(), err).otherwise(
+        F.raise_error(F.lit("vecreduce: null feature or target, or an error beyond BIGINT"))))
+
+    def total(a, b):
+        return product_sum(a, b).cast("double") if exact else F.sum(F.col(a) * F.col(b))
+
+    aggs = [total(f"_x{i}", "_err").alias(nm) for i, nm in enumerate(names)]
+    aggs += [total("_err", "_err").alias("sse"), F.count(F.lit(1)).alias("cnt")]
     return base.agg(*aggs)
 
 
-def ls_fit(df: DataFrame, features: Sequence[Column | str], target: Column | str, lr: float,
-           iterations: int, w0: Sequence[float] | None = None,
-           storage: str | None = "memory_and_disk") -> DataFrame:
-    """Batch gradient descent on the mean squared error: ``(iter, dim, w)`` per iteration.
+def ls_fit(df: DataFrame, vec: str, target: Column | str, lr: float, iterations: int,
+           scale: int = 10_000) -> DataFrame:
+    """Batch gradient descent on the mean squared error over all elements of ``vec``.
 
-    Each iteration runs one aggregate job returning ``len(features) + 2``
-    numbers to the driver.  ``storage`` keeps the projected feature table
-    between iterations (``"memory_and_disk"``, ``"disk"``) or re-reads the
-    column-pruned source every time (``None``: cheaper than caching when
-    the table is far larger than executor memory).  A lost cached block is
-    recomputed from the short scan-and-project lineage.
+    Returns the weights after every iteration, ``(iter, dim, w)``; they start at 0.
+    Features and weights are fixed point at ``scale``, sums are exact and weights are
+    rounded after each step, so the result depends neither on partitioning nor on the
+    engine.  An iteration is one aggregate by element; one number for each element comes
+    to the driver and goes back as a literal array, so the plan does not grow.  All
+    vectors must have the same length; null vectors, elements and targets fail.
     """
-    from pyspark import StorageLevel
-
-    levels = {"memory_and_disk": StorageLevel.MEMORY_AND_DISK, "disk": StorageLevel.DISK_ONLY,
-              None: None}
-    if storage not in levels:
-        raise ValueError(f"storage must be one of {sorted(map(str, levels))}")
-    k = len(features)
-    w = [0.0] * k if w0 is None else [float(v) for v in w0]
-    data = df.select(*[col_of(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
-                     col_of(target).cast("double").alias("y"))
-    if levels[storage] is not None:
-        data = data.persist(levels[storage])
-    traj = []
+    fixed = F.transform(F.col(vec), lambda x: to_fixed(checked(x), scale))
+    data = df.select(
+        F.when(F.col(vec).isNotNull(), fixed).otherwise(F.raise_error(F.lit("vecreduce: null vector"))).alias("x"),
+        to_fixed(checked(target), scale * scale).alias("y")).persist()
     try:
-        for it in range(iterations):
-            row = ls_gradient(data, [f"x{i}" for i in range(k)], "y", w).first()
-            cnt = row["cnt"]
-            if not cnt:
-                break
-            w = [wi - lr * row[f"g{i}"] / cnt for i, wi in enumerate(w)]
-            traj.extend((it + 1, i, wi) for i, wi in enumerate(w))
+        shape = data.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most"),
+                         F.count(F.lit(1)).alias("n")).first()
+        if shape["least"] != shape["most"]:
+            raise ValueError(f"vectors of {shape['least']} to {shape['most']} elements")
+        w = [0] * (shape["most"] or 0)
+        steps = []
+        for it in range(1, iterations + 1 if w else 1):
+            weights = F.array(*[F.lit(v).cast("long") for v in w])
+            pred = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0).cast("long"),
+                               lambda s, v: s + v)
+            cells = data.select(F.posexplode("x").alias("dim", "x"), (pred - F.col("y")).alias("err"))
+            found = cells.groupBy("dim").agg(product_sum("x", "err").alias("g")).collect()
+            for r in found:
+                mean = float(r["g"]) / (float(shape["n"]) * float(scale) * float(scale))
+                w[r["dim"]] = math.floor(float(w[r["dim"]]) - lr * mean + 0.5)
+            steps += [(it, i, v / scale) for i, v in enumerate(w)]
     finally:
-        if levels[storage] is not None:
-            data.unpersist()
-    return df.sparkSession.createDataFrame(traj, "iter int, dim int, w double")
+        data.unpersist()
+    return df.sparkSession.createDataFrame(steps, "iter int, dim int, w double")

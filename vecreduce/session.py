@@ -8,7 +8,6 @@ examples; on a cluster the application's own session is used unchanged.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,48 +44,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
-def spark_context(spark: SparkSession):
-    """The session's ``SparkContext``, or ``None`` for a Spark Connect session."""
-    try:
-        return spark.sparkContext
-    except Exception:  # Spark Connect sessions have no driver-side context
-        return None
-
-
-def master_of(spark: SparkSession) -> str:
-    sc = spark_context(spark)
-    return sc.master if sc is not None else (spark.conf.get("spark.master", None) or "")
-
-
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new, unique folder name under the shared folder in ``spark.checkpoint.dir``.
 
-    Read from the session.  Only a local-mode session without the setting
-    (tests) gets a fresh temporary folder, registered as the context's
-    checkpoint folder (the setting itself is a core config and cannot be
-    changed at runtime); a cluster session without it is an error, because a
-    machine-local folder is not visible to executors.
+    The setting is required: a folder of the driver's own is not visible to executors.
     """
-    sc = spark_context(spark)
-    app = spark.conf.get("spark.app.id", None) or "local"
-    root = (spark.conf.get(CHECKPOINT_KEY, None)
-            or (sc.getConf().get(CHECKPOINT_KEY, None) if sc is not None else None)
-            or _LOCAL_ROOTS.get(app)
-            or (sc.getCheckpointDir() if sc is not None else None))
+    root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        if not master_of(spark).startswith("local"):
-            raise RuntimeError(
-                f"{CHECKPOINT_KEY} is not set; point it at a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="vecreduce-ckpt-")
-        _LOCAL_ROOTS[app] = root
-        if sc is not None:
-            sc.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new, unique folder name under the checkpoint root (never reused)."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        raise RuntimeError(f"{CHECKPOINT_KEY} is not set; point it at a folder every executor can reach")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

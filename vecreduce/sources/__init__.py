@@ -1,15 +1,17 @@
 """Sources and sinks."""
 
-from .files import DENSE_SEPARATOR, read_dense_text, read_libsvm, write_dense_text, write_libsvm
+from .files import (DENSE_SEPARATOR, dense_lines, libsvm_lines, parse_dense, parse_libsvm, read_dense_text, read_libsvm,
+                    write_dense_text, write_libsvm)
 from .generated import (counting_matrix, key_domain, libsvm_fixture, matrix_literal,
                         range_source, synthetic_gradients)
-from .sinks import pivot_matrix, show_matrix, to_local, write_parquet
+from .sinks import matrix_rows, show_matrix, to_local, write_parquet
 from .tables import TABLES, embeddings, events, labels, lineitem, load, table_path
 
 __all__ = [
-    "DENSE_SEPARATOR", "read_dense_text", "read_libsvm", "write_dense_text", "write_libsvm",
+    "DENSE_SEPARATOR", "dense_lines", "libsvm_lines", "parse_dense", "parse_libsvm", "read_dense_text", "read_libsvm",
+    "write_dense_text", "write_libsvm",
     "counting_matrix", "key_domain", "libsvm_fixture", "matrix_literal", "range_source",
     "synthetic_gradients",
-    "pivot_matrix", "show_matrix", "to_local", "write_parquet",
+    "matrix_rows", "show_matrix", "to_local", "write_parquet",
     "TABLES", "embeddings", "events", "labels", "lineitem", "load", "table_path",
 ]

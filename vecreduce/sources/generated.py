@@ -68,29 +68,9 @@ def range_source(spark: SparkSession, start: int, end: int, num_partitions: int
     return df if name == "id" else df.withColumnRenamed("id", name)
 
 
-def key_domain(df: DataFrame, key: str, num_partitions: int | None = None,
-               max_span_per_key: float | None = 100.0) -> DataFrame:
-    """Every integer between ``min(key)`` and ``max(key)`` of a table.
-
-    One small aggregate job finds the bounds and the row count (partial
-    aggregation per task); the range itself is generated in parallel, not on
-    the driver.  A range no longer than the table is accepted at once.  A
-    longer one is only generated when it stays within ``max_span_per_key``
-    times the (approximate) distinct keys, which a second pass estimates;
-    sparse or hashed ids are refused instead of expanded: pass the keys as a
-    table then.
-    """
-    lo, hi, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    spark = df.sparkSession
-    if lo is None:
-        return spark.range(0).withColumnRenamed("id", key)
-    span = int(hi) - int(lo) + 1
-    if max_span_per_key and span > rows:
-        distinct = df.agg(F.approx_count_distinct(key)).first()[0]
-        if span > max_span_per_key * max(int(distinct), 1):
-            raise ValueError(f"key range of {span} values for about {distinct} distinct keys "
-                             "is too sparse for a dense domain; pass the key table instead")
-    return range_source(spark, int(lo), int(hi) + 1, num_partitions, key)
+def key_domain(df: DataFrame, key: str) -> DataFrame:
+    """Every key that occurs in a table, once; null is no key."""
+    return df.select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def synthetic_gradients(spark: SparkSession, iterations: int, workers: int = 8, dims: int = 10,

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..operators.layout import assemble
 
-def pivot_matrix(local: DataFrame, dims: Sequence[int], row: str = "worker", dim: str = "dim",
-                 value: str = "g", prefix: str = "d") -> DataFrame:
-    """``(row, d0, d1, ...)``: one row per worker, one column per element.
 
-    The element list is given explicitly, so Spark does not run a separate
-    job to discover the pivot values; its length is held to the session's
-    ``spark.sql.pivotMaxValues`` (a column per element; use the long form
-    for wide vectors).
+def matrix_rows(cells: DataFrame, row: str = "worker", value: str = "g") -> DataFrame:
+    """One line per worker, as the reference prints its matrix: ``(row, n, line)``.
+
+    ``line`` holds the worker's ``n`` elements in order, joined by ``", "``; workers may have
+    vectors of different lengths.  Dims must be ``0..n-1``.
     """
-    dims = list(dims)
-    limit = int(local.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    if len(dims) > limit:
-        raise ValueError(f"{len(dims)} pivot columns exceed spark.sql.pivotMaxValues={limit}")
-    wide = local.groupBy(row).pivot(dim, dims).agg(F.sum(value))
-    return wide.select(row, *[F.col(f"`{d}`").alias(f"{prefix}{d}") for d in dims])
+    vecs = assemble(cells, keys=[row], value=value, dense=True)
+    return vecs.select(row, F.size("vec").alias("n"),
+                       F.array_join(F.col("vec").cast("array<string>"), ", ").alias("line"))
 
 
-def show_matrix(local: DataFrame, dims: Sequence[int], row: str = "worker", **kw) -> None:
-    """Print the matrix (bounded by the number of workers), like the reference's output loop."""
-    pivot_matrix(local, dims, row=row, **kw).orderBy(row).show(truncate=False)
+def show_matrix(cells: DataFrame, rows: int = 1000, row: str = "worker", value: str = "g") -> None:
+    """Print the first ``rows`` workers' lines."""
+    matrix_rows(cells, row, value).orderBy(row).show(rows, truncate=False)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -37,15 +33,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     w.parquet(path)
 
 
-def to_local(df: DataFrame, limit: int | None = None):
-    """Bring a *result* to the driver.
-
-    Only for results whose size is bounded by construction (totals, weights,
-    metrics).  Pass ``limit`` to refuse anything larger instead of pulling it.
-    """
-    if limit is not None:
-        rows = df.limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"result has more than {limit} rows; write it to storage instead")
-        return rows
-    return df.collect()
+def to_local(df: DataFrame) -> Iterator[Row]:
+    """The rows of a *result* on the driver, one partition at a time."""
+    return df.toLocalIterator(prefetchPartitions=True)
