@@ -124,3 +124,17 @@ def test_least_squares_gradient_of_nulls(spark):
         op.ls_gradient(df, ["x"], "y", [1], exact=True).collect()
     row = op.ls_gradient(df, ["x"], "y", [1], exact=True, on_invalid="skip").first()
     assert (row.g0, row.sse, row.cnt) == (-1.0, 1.0, 1)
+
+
+def test_event_cells_of_invalid_events(spark):
+    import datetime
+
+    t = datetime.datetime(1970, 1, 3)
+    rows = [(t, 1, "a", 2.0), (t, 9, "a", None), (t, 1, "a", float("nan")), (None, 1, "a", 5.0), (t, None, "a", 7.0)]
+    ev = spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string, value double")
+    for bad in (rows[1], rows[2], rows[3], rows[4]):
+        with pytest.raises(Exception, match="vecreduce"):
+            op.event_gradients(spark.createDataFrame([bad], ev.schema)).collect()
+    assert op.event_cells(ev, on_invalid="skip").where("g is not null").count() == 1
+    got = {tuple(r) for r in op.event_gradients(ev, on_invalid="zero").collect()}
+    assert got == {(2, 1, "a", 200)}

@@ -25,20 +25,28 @@ from ..functions.ring import worker_of
 from .reduce import all_reduce
 
 
-def event_cells(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
+def event_cells(events: DataFrame, n: int = 8, scale: int = CENTS, on_invalid: str = "error") -> DataFrame:
     """One gradient cell per event: ``(iter, worker, event_type, g)``.
 
     ``iter`` = day of the event (days since 1970-01-01), ``worker`` = user id
-    mod ``n``, element = event type, ``g`` = value in fixed point.
+    mod ``n``, element = event type, ``g`` = value in fixed point.  A null, NaN or infinite
+    value fails, counts as zero or is skipped, as in ``to_long``; an event without a user or
+    a time fails wherever those are used, or is left out.
     """
-    return events.select(F.unix_date(F.to_date("ts")).alias("iter"),
-                         worker_of("user_id", n).alias("worker"), "event_type",
-                         to_fixed("value", scale).alias("g"))
+    day, worker = F.unix_date(F.to_date("ts")), worker_of("user_id", n)
+    if on_invalid == "error":
+        missing = F.raise_error(F.lit("vecreduce: event without a user or a time"))
+        day = F.when(day.isNotNull(), day).otherwise(missing)
+        worker = F.when(worker.isNotNull(), worker).otherwise(missing)
+    else:
+        events = events.where("user_id is not null and ts is not null")
+    return events.select(day.alias("iter"), worker.alias("worker"), "event_type",
+                         to_fixed(checked("value", on_invalid), scale).alias("g"))
 
 
-def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS) -> DataFrame:
+def event_gradients(events: DataFrame, n: int = 8, scale: int = CENTS, on_invalid: str = "error") -> DataFrame:
     """Per-iteration, per-worker gradients: :func:`event_cells` summed per worker."""
-    cells = event_cells(events, n, scale)
+    cells = event_cells(events, n, scale, on_invalid)
     return cells.groupBy("iter", "worker", "event_type").agg(exact_sum("g").alias("g"))
 
 

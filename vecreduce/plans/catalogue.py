@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import sources as src
-from ..functions import CENTS, EMBEDDING_SCALE, exact_sum, from_fixed, to_fixed
+from ..functions import CENTS, EMBEDDING_SCALE, checked, exact_sum, from_fixed, to_fixed
 
 # Fixed parameters of the catalogue (the reference's ring of 8 workers, two groups of 4,
 # learning rate 0.2, MLP with hidden layers 5 and 4 and three classes, split 80/20).
@@ -55,7 +55,7 @@ def _long(spark, sf):
 
 
 def _cents(events: DataFrame) -> DataFrame:
-    return events.select("user_id", to_fixed("value", CENTS).alias("c"))
+    return events.select("user_id", to_fixed(checked("value"), CENTS).alias("c"))
 
 
 # SQL prefix: the long cells and the per-(worker, dim) sums.
@@ -171,8 +171,7 @@ def q_gd_step(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_tree_stats(spark: SparkSession, sf: str) -> DataFrame:
-    c = to_fixed("value", CENTS)
-    ev = src.events(spark, sf, ["value"]).select(c.alias("c"))
+    ev = src.events(spark, sf, ["value"]).select(to_fixed(checked("value"), CENTS).alias("c"))
     return op.tree_stats(ev, {"grad": "c"}, ("c", "c"))
 
 
