@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vecreduce import operators as op
 from vecreduce.functions import exact_sum, exact_sum_over, from_fixed, product_sum, to_fixed, wide_sum
 from vecreduce.session import scratch_path
-from vecreduce.sources import counting_matrix, matrix_literal, to_local, write_parquet
+from vecreduce.sources import counting_matrix, to_local, write_parquet
 
 
 def test_fixed_point_round_half_up(spark):
