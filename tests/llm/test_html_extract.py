@@ -28,6 +28,15 @@ def test_words_without_stop_words_stay_in_an_article():
     assert op.main_text(f"<div class='ad'>{GOOD}</div><article><p>{junk}</p></article><footer>x</footer>") == junk
 
 
+def test_class_names_about_the_page_do_not_hide_its_article():
+    inner = f"<p>{GOOD}</p>"
+    assert op.main_text(f"<div class='page has-sidebar'><div>{inner} {inner}</div></div>") == f"{GOOD} {GOOD}"
+    assert op.main_text(f"<div class='wide sidebar-wrapper'><main>{inner}</main><p>{GOOD}</p></div>") == GOOD
+    assert op.main_text(f"<div class=ad>{GOOD}<article>{inner}</article>") == GOOD  # an advert that is not closed
+    for tag in ("<div id=comments>", "<aside>", "<section class='post comment-list'>", "<div hidden>"):
+        assert op.main_text(f"<article>{inner}</article>{tag}<article>{GOOD} {GOOD}</article>") == GOOD
+
+
 def test_defined_cases():
     assert op.main_text(None) == op.main_text("") == op.main_text("<p> <br>&nbsp;</p>") == ""
     assert op.main_text("just text") == "just text"

@@ -51,13 +51,18 @@ _BOILERPLATE = frozenset(
 _REGION = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu".split())
 
-# Words in class names and ids that mark boilerplate.
-_HINTS = frozenset((
+# Words in class names and ids that mark boilerplate; those of reader comments
+# also mark an article inside, as each comment may be one.
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond feedback".split())
+_HINTS = _COMMENTS | frozenset((
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert newsletter subscribe subscription signup login register share sharing "
     "social related recommended recommendations sidebar side widget widgets menu nav navbar navigation breadcrumb "
     "breadcrumbs footer header masthead topbar toolbar pager pagination popup modal overlay copyright disclaimer "
-    "legal comment comments commentlist disqus replies reply respond feedback skip hidden").split())
+    "legal skip hidden").split())
+_ABOUT_THE_PAGE = frozenset("has with without no".split())  # has-sidebar is not a sidebar
+
+_WEAK, _STRONG = 1, 2  # boilerplate by a class name, which an article inside undoes; by anything else
 
 #: An end tag looks for its element among so many innermost open ones.
 _DEPTH = 1000
@@ -86,29 +91,31 @@ class Block:
     linked: int = 0
 
 
-def _hinted(tag: str, attributes: str) -> bool:
+def _hint(tag: str, attributes: str) -> int:
+    """How strongly an element's attributes mark it as boilerplate: 0, weakly or strongly."""
     if tag in ("html", "body"):
-        return False
+        return 0
+    level = 0
     for name, value in _NOTABLE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
         if name in ("class", "id"):
-            if tag != "main" and not _HINTS.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
-        elif name == "role" and value in _ROLES:
-            return True
-        elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            for words in (set(re.split(r"[^a-z]+", part)) for part in value.split()):
+                if not _COMMENTS.isdisjoint(words):
+                    return _STRONG
+                if tag != "main" and not _HINTS.isdisjoint(words) and _ABOUT_THE_PAGE.isdisjoint(words):
+                    level = _WEAK
+        elif (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES)
+              or (name == "style" and "display:none" in value.replace(" ", ""))):
+            return _STRONG
+    return level
 
 
 class _Page:
-    """Cuts a page into blocks.  Open elements are ``(tag, boilerplate, code, link, region)``."""
+    """Cuts a page into blocks.  Open elements are ``(tag, boilerplate level, code, link, region)``."""
 
     def __init__(self, html: str):
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, bool, bool, int]] = [("", False, False, False, 0)]
+        self.open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
         self.regions = 0
         self.block: Block | None = None
         at = 0
@@ -136,13 +143,16 @@ class _Page:
             self._close("p")
         if tag in _CLOSED_BY and self.open[-1][0] in _CLOSED_BY[tag]:
             self.open.pop()
-        _, boilerplate, code, link, region = self.open[-1]
+        _, level, code, link, region = self.open[-1]
         if tag in _REGION and not region:
             self.regions += 1
             region = self.regions
-        boilerplate = (boilerplate or tag in _BOILERPLATE or (tag == "header" and not region)
-                       or (bool(attributes) and _hinted(tag, attributes)))
-        self.open.append((tag, boilerplate, code or tag in _CODE, link or tag == "a", region))
+            level = level if level == _STRONG else 0
+        if tag in _BOILERPLATE or (tag == "header" and not region):
+            level = _STRONG
+        elif attributes:
+            level = max(level, _hint(tag, attributes))
+        self.open.append((tag, level, code or tag in _CODE, link or tag == "a", region))
 
     def _close(self, tag: str) -> None:
         """Ends the innermost open ``tag`` and all inside it, unless another block is open inside it."""
@@ -163,10 +173,10 @@ class _Page:
                 return
 
     def _text(self, data: str) -> None:
-        _, boilerplate, code, link, region = self.open[-1]
+        _, level, code, link, region = self.open[-1]
         if code:
             return
-        block = self.block
+        block, boilerplate = self.block, level > 0
         if block is None or block.boilerplate != boilerplate:
             if not data or data.isspace():
                 return
