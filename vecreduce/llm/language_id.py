@@ -66,12 +66,33 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """The segmentations of words into pieces.  Piece ids end with one for unknown letters."""
+    """The segmentations of words into pieces.  Piece ids end with one for unknown letters.
+
+    Pieces are looked up in a trie whose edges are a sorted array, for all positions of
+    many words at once; a position is followed only as long as some piece goes on.
+    """
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
         self.widest = max(map(len, pieces), default=1)
+        self.alphabet = np.array(sorted({_MARK, *"".join(pieces)}, key=ord), dtype="<U1").view("<u4")
+        symbol = {chr(c): i for i, c in enumerate(self.alphabet.tolist(), 1)}
+        self.symbols = len(symbol) + 1  # 0 is any character that no piece has
+        nodes = {"": 0}
+        for piece in pieces:
+            for end in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:end], len(nodes))
+        edges = sorted((nodes[n[:-1]] * self.symbols + symbol[n[-1]], i) for n, i in nodes.items() if n)
+        self.edges = np.array([e for e, _ in edges] or [-1], dtype=np.int64)
+        self.targets = np.array([t for _, t in edges] or [0], dtype=np.int64)
+        self.piece_at = np.array([self.ids.get(n, self.none) for n in nodes], dtype=np.int32)
+
+    def _symbols(self, words: list[str]) -> np.ndarray:
+        """The marked words, all of one length, as numbers of characters."""
+        codes = np.frombuffer("".join(_MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).reshape(len(words), -1)
 
     def blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of words of one length, and the id of the piece of each width that ends at each position.
@@ -81,17 +102,23 @@ class Lattice:
         by_length: dict[int, list[int]] = {}
         for place, word in enumerate(words):
             by_length.setdefault(len(word) + 1, []).append(place)
-        get = self.ids.get
         for length, places in by_length.items():
             widest = min(self.widest, length)
             most = max(1, _CELLS // (length * widest))
-            for at in range(0, len(places), most):
-                part = places[at:at + most]
+            for first in range(0, len(places), most):
+                part = places[first:first + most]
+                symbols = self._symbols([words[p] for p in part])
                 ids = np.full((len(part), length, widest), self.none, dtype=np.int32)
-                for n, place in enumerate(part):
-                    word = _MARK + words[place]
-                    ids[n] = [[get(word[j - w:j + 1], self.none) if w <= j else self.none
-                               for w in range(widest)] for j in range(length)]
+                row, at = (x.ravel() for x in np.indices(symbols.shape))
+                node = np.zeros(len(row), dtype=np.int64)
+                for w in range(widest):
+                    edge = node * self.symbols + symbols[row, at + w]
+                    found = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                    goes_on = self.edges[found] == edge
+                    row, at, node = row[goes_on], at[goes_on], self.targets[found[goes_on]]
+                    ids[row, at + w, w] = self.piece_at[node]
+                    inside = at + w + 1 < length
+                    row, at, node = row[inside], at[inside], node[inside]
                 single = ids[:, :, 0]
                 single[single == self.none] = self.unknown
                 yield np.array(part), ids
