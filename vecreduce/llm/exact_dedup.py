@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructType
 
 from .common import ascii_lower, col, salt_of
@@ -54,14 +54,15 @@ def _local_winners(batches: Iterator[pa.RecordBatch], text_col: str, digest) ->
             names=["salt", "digest", "n", "id", "row"])
 
 
-def _combined(df: DataFrame, keys: list[str]) -> DataFrame:
+def _combined(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Adds to each row its group's winner id and size, and whether it is the winner.
 
-    Rows travel once, by ``keys``; the normalised text is computed where they meet.
+    Rows travel once, by ``keys``; the normalised ``text`` is computed where they meet, so
+    each row carries its text once.
     """
     group = Window.partitionBy(*keys, "norm")
     ranked = group.orderBy(F.desc_nulls_last("id"))
-    return (df.repartition(*keys).withColumn("norm", ascii_lower(F.coalesce("text", F.lit(""))))
+    return (df.repartition(*keys).withColumn("norm", ascii_lower(F.coalesce(text, F.lit(""))))
             .withColumns({"rank": F.row_number().over(ranked), "keep_id": F.first("id").over(ranked),
                           "size": F.sum("n").over(group)}))
 
@@ -74,9 +75,9 @@ def _salt_winners(docs: DataFrame, id_col: str, text_col: str, salts: int, diges
               .add(packed.schema["id"]).add(packed.schema["row"]))
     local = packed.mapInArrow(lambda batches: _local_winners(batches, text_col, digest), schema)
     text = F.col("row").getField(text_col)
-    salted = (_combined(local.withColumn("text", text), ["salt", "digest"]).where("rank = 1")
+    salted = (_combined(local, ["salt", "digest"], text).where("rank = 1")
               .select("salt", "digest", F.col("size").alias("n"), "id", "row"))
-    return _combined(salted.withColumn("text", text), ["digest"])
+    return _combined(salted, ["digest"], text)
 
 
 def surviving_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
