@@ -55,6 +55,53 @@ def test_expected_counts_equal_enumeration():
     assert np.allclose(lattice.expected_counts(words, weights, of_piece), want)
 
 
+def counts_in_log_space(lattice, word, of_piece):
+    """Log probability and expected piece counts of one word, every sum a log-sum-exp."""
+    marked = "▁" + word
+    n, wide = len(marked), lattice.widest
+    def piece(i, j):
+        return lattice.ids.get(marked[i:j], lattice.unknown if j == i + 1 else None)
+    def total(logs):
+        top = max(logs)
+        return top + math.log(math.fsum(math.exp(x - top) for x in logs))
+    log_p = [math.log(p) if p else None for p in of_piece.tolist()]
+    uses = [(i, j, piece(i, j)) for i in range(n) for j in range(i + 1, min(n, i + wide) + 1) if piece(i, j) is not None]
+    into, out = {}, {}
+    for i, j, k in uses:
+        into.setdefault(j, []).append((i, k))
+        out.setdefault(i, []).append((j, k))
+    start, end = [0.0] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        start[j] = total([start[i] + log_p[k] for i, k in into[j]])
+    for i in range(n - 1, -1, -1):
+        end[i] = total([end[j] + log_p[k] for j, k in out[i]])
+    counts = np.zeros(lattice.none + 1)
+    for i, j, k in uses:
+        counts[k] += math.exp(start[i] + log_p[k] + end[j] - start[n])
+    return start[n], counts
+
+
+@pytest.mark.parametrize("word", [
+    *["x" * n for n in (14, 15, 16, 17, 30, 60, 199, 200, 500, 5_000)],  # all outside the vocabulary
+    *[("abxbab" * n)[:n] for n in (30, 250, 5_000)], "漢字" * 30, "ab" * 40 + "漢字仮名" * 300 + "bab" * 90],
+    ids=lambda w: f"{w[0]}{len(w)}")
+def test_runs_of_every_length_are_counted(word):
+    lattice = op.Lattice([*PIECES, "abababababababab"])
+    of_piece = model_of([*PIECES, "abababababababab"])[:, 1]
+    log, want = counts_in_log_space(lattice, word, of_piece)
+    assert np.allclose(lattice.log_probabilities([word], of_piece[:, None]), log, rtol=1e-10)
+    assert np.allclose(lattice.expected_counts([word], np.array([3.0]), of_piece), 3 * want, rtol=1e-7)
+    several = [word, word[::-1], word]  # of one length, so scaled side by side
+    want = 3 * want + 5 * counts_in_log_space(lattice, word[::-1], of_piece)[1]
+    assert np.allclose(lattice.expected_counts(several, np.array([1.0, 5.0, 2.0]), of_piece), want, rtol=1e-7)
+
+
+def test_languages_far_apart_on_a_long_word_keep_their_distance():
+    of_piece = np.array([[0.5, 1e-4], [0.5, 1e-4], [op.UNKNOWN] * 2, [0, 0]])  # the mark, then "a"
+    near, far = op.Lattice(["a", "▁"]).log_probabilities(["a" * 3_000], of_piece)[0]
+    assert math.isclose(near - far, 3_001 * math.log(0.5 / 1e-4), rel_tol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def model_and_docs(spark):
     rng = random.Random(4)

@@ -125,49 +125,56 @@ class Lattice:
 
     @staticmethod
     def forward(ids: np.ndarray, of_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``sums[j, n, l]``: the scaled probability of the first j characters; ``logs[n]``: the scale."""
+        """``sums[j, n, l]``: the probability of the first j characters, in units of ``_SMALL ** scales[j, n, l]``."""
         count, length, widest = ids.shape
         sums = np.zeros((length + 1, count, of_piece.shape[1]))
         sums[0] = 1
-        logs = np.zeros(count)
+        scales = np.zeros(sums.shape, dtype=np.int32)
         for j in range(length):
-            for w in range(min(widest, j + 1)):
-                sums[j + 1] += sums[j - w] * of_piece[ids[:, j, w]]
-            low = sums[j + 1].max(axis=1) < _SMALL
+            first = max(0, j + 1 - widest)
+            if count == 1:  # a long word: all widths at once
+                sums[j + 1] = (sums[first:j + 1, 0][::-1] * of_piece[ids[0, j, :j + 1 - first]]).sum(axis=0)
+            else:
+                for w in range(min(widest, j + 1)):
+                    sums[j + 1] += sums[j - w] * of_piece[ids[:, j, w]]
+            scales[j + 1] = scales[j]
+            low = sums[j + 1] < _SMALL
             if low.any():  # long words: scale up all that later positions read
-                sums[max(0, j + 1 - widest):j + 2, low] /= _SMALL
-                logs[low] += np.log(_SMALL)
-        return sums, logs
+                sums[first:j + 2, low] /= _SMALL
+                scales[first:j + 2, low] += 1
+        return sums, scales
 
     def log_probabilities(self, words: list[str], of_piece: np.ndarray) -> np.ndarray:
         """For each word and language, the log probability summed over all segmentations."""
         out = np.zeros((len(words), of_piece.shape[1]))
         for places, ids in self.blocks(words):
-            sums, logs = self.forward(ids, of_piece)
-            out[places] = np.log(np.maximum(sums[-1], 1e-300)) + logs[:, None]
+            sums, scales = self.forward(ids, of_piece)
+            out[places] = np.log(sums[-1]) + scales[-1] * np.log(_SMALL)
+        return out
+
+    def _mirrored(self, ids: np.ndarray) -> np.ndarray:
+        """The pieces as they are met reading the words from their ends."""
+        out = np.full_like(ids, self.none)
+        for w in range(ids.shape[2]):
+            out[:, w:, w] = ids[:, ::-1, w][:, :ids.shape[1] - w]
         return out
 
     def expected_counts(self, words: list[str], weights: np.ndarray, of_piece: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in all segmentations; ``of_piece`` is one language's column."""
         counts = np.zeros(self.none + 1)
+        p = of_piece[:, None]
         for places, ids in self.blocks(words):
-            number, length, widest = ids.shape
-            if length > 200:  # runs too long for one scale are no evidence for pieces
-                continue
-            p = of_piece[:, None]
-            sums, _ = self.forward(ids, p)
-            ends = np.zeros((length + 1, number))
-            ends[length] = 1
-            for j in range(length - 1, -1, -1):
-                for w in range(min(widest, j + 1)):
-                    ends[j - w] += ends[j + 1] * of_piece[ids[:, j, w]]
-            total = ends[0]
-            usable = (total > 0) & (sums[length, :, 0] > 0) & (sums[0, :, 0] == 1)
-            share = np.where(usable, weights[places] / np.where(usable, total, 1), 0)
-            for j in range(length):
-                for w in range(min(widest, j + 1)):
-                    use = sums[j - w, :, 0] * of_piece[ids[:, j, w]] * ends[j + 1] * share
-                    np.add.at(counts, ids[:, j, w], use)
+            length, widest = ids.shape[1:]
+            sums, scales = (x[:, :, 0] for x in self.forward(ids, p))
+            ends, end_scales = (x[::-1, :, 0] for x in self.forward(self._mirrored(ids), p))
+            for w in range(widest):  # a piece from j to j + w + 1; the scales cancel out but for a few
+                scale = scales[:length - w] + end_scales[w + 1:] - scales[length]
+                piece = ids[:, w:, w].T
+                with np.errstate(divide="ignore"):  # no piece there: log 0
+                    use = (np.log(sums[:length - w]) + np.log(of_piece)[piece] + np.log(ends[w + 1:])
+                           - np.log(sums[length]) + scale * np.log(_SMALL))
+                use = np.exp(use) * weights[places]
+                counts += np.bincount(piece.ravel(), weights=use.ravel(), minlength=len(counts))
         return counts
 
 
