@@ -46,6 +46,28 @@ def test_defined_cases():
     assert op.main_text(f"<article><p title='open>{GOOD}</p>") in (GOOD, "")
 
 
+def test_thousands_of_open_elements_before_the_article():
+    article = f"<article><h1>Title</h1><p>{GOOD}</p></article>"
+    for item in ("<tr><td>a<td>b", "<tr><th>a<td><b>b", "<dt>a<dd>b", "<dt>a", "<li><div>a", "<b>a", "<div>a", "<option>a"):
+        for tag in ("nav", "aside", "form"):
+            assert op.main_text(f"<{tag}>{item * 5_000}</{tag}>{article}") == f"Title {GOOD}", (tag, item)
+    assert op.main_text(f"<form><table>{'<tr><td>a<td>b' * 5_000}</table></form>{article}") == f"Title {GOOD}"
+
+
+def open_after(html):
+    return [tag for tag, *_ in op._Page(html).open[1:]]
+
+
+def test_implied_end_tags():
+    assert open_after("<table><tr><td>a<td><b>b<tr><th>c") == ["table", "tr", "th"]
+    assert open_after("<table><caption>x<thead><tr><th>a<tbody><tr><td><div>b<tbody><tr>") == ["table", "tbody", "tr"]
+    assert open_after("<table><tr><td><table><tr><td>a<tr><td>b") == ["table", "tr", "td", "table", "tr", "td"]
+    assert open_after("<dl><dt>a<dt>b<dd><p>c<dt><i>d<dd><dl><dd>") == ["dl", "dd", "dl", "dd"]
+    assert open_after("<ul><li>a<li><div>b<li>c<ul><li>d<section><li>") == ["ul", "li", "ul", "li", "section", "li"]
+    assert open_after("<select><option>a<option>b<optgroup><option>c") == ["select", "option", "optgroup", "option"]
+    assert open_after("<p><b>a<div><p>c</div></i>") == []
+
+
 def test_broken_and_long_pages_take_linear_time():
     for page in ("<" * 200_000, "<a " * 100_000, "<p title=\"" * 50_000, "<div>" * 100_000, "</div>" * 100_000,
                  "<!--" * 100_000, "<b>" * 50_000 + "</i>" * 5_000, "&" * 200_000, "<script>" * 20_000):

@@ -10,7 +10,7 @@ Each page is parsed alone and in linear time; nothing is shuffled.
 
 Defined cases: null and empty pages, and pages without any text, give the empty text.  A
 page whose blocks all stay undecided keeps them.  Broken markup never raises: unclosed
-elements end with the element around them, and what follows an unclosed script is code.
+elements end with the element around them, however many they are, or where HTML implies it, and what follows an unclosed script is code.
 """
 
 from __future__ import annotations
@@ -64,11 +64,18 @@ _ABOUT_THE_PAGE = frozenset("has with without no".split())  # has-sidebar is not
 
 _WEAK, _STRONG = 1, 2  # boilerplate by a class name, which an article inside undoes; by anything else
 
-#: An end tag looks for its element among so many innermost open ones.
-_DEPTH = 1000
-
-_CLOSED_BY = {"p": frozenset(("p",)), "li": frozenset(("li",)), "td": frozenset(("td", "th")),
-              "tr": frozenset(("tr",)), "option": frozenset(("option",)), "dd": frozenset(("dd", "dt"))}
+# End tags that HTML lets a page leave out.  A start tag ends the open elements
+# named first, unless one of those named second was opened inside them.
+_CELLS = frozenset("td th caption colgroup".split())
+_ROWS = _CELLS | {"tr"}
+_PARTS = frozenset("thead tbody tfoot".split())
+_TABLE = frozenset(("table",))
+_CLOSED_BY = {"td": (_CELLS, _TABLE | {"tr"}), "th": (_CELLS, _TABLE | {"tr"}), "tr": (_ROWS, _TABLE | _PARTS),
+              **{t: (_ROWS | _PARTS, _TABLE) for t in _PARTS},
+              "option": (frozenset(("option",)), frozenset("select optgroup datalist".split()))}
+# These end the innermost open block if it is one of those named; an address, div or p does not count as a block.
+_LISTED = {"li": frozenset(("li",)), "dd": frozenset(("dd", "dt")), "dt": frozenset(("dd", "dt"))}
+_PASSED = frozenset("address div p".split())
 
 
 _ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
@@ -116,6 +123,9 @@ class _Page:
     def __init__(self, html: str):
         self.blocks: list[Block] = []
         self.open: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        self.places: dict[str, list[int]] = {}  # of each tag's open elements, inner ones last
+        self.inner: list[int] = []  # places of open blocks
+        self.walls: list[int] = []  # the same without address, div and p
         self.regions = 0
         self.block: Block | None = None
         at = 0
@@ -139,10 +149,15 @@ class _Page:
             if tag == "br":
                 self._text("\n")
             return
-        if tag in _BLOCK:
-            self._close("p")
-        if tag in _CLOSED_BY and self.open[-1][0] in _CLOSED_BY[tag]:
-            self.open.pop()
+        if tag in _BLOCK and self.inner and self.open[self.inner[-1]][0] == "p":
+            self._close(self.inner[-1])
+        if tag in _LISTED and self.walls and self.open[self.walls[-1]][0] in _LISTED[tag]:
+            self._close(self.walls[-1])
+        if tag in _CLOSED_BY:
+            ended, around = _CLOSED_BY[tag]
+            wall = max(map(self._last, around))
+            if inside := [at for at in map(self._last, ended) if at > wall]:
+                self._close(min(inside))
         _, level, code, link, region = self.open[-1]
         if tag in _REGION and not region:
             self.regions += 1
@@ -152,25 +167,33 @@ class _Page:
             level = _STRONG
         elif attributes:
             level = max(level, _hint(tag, attributes))
+        at = len(self.open)
+        self.places.setdefault(tag, []).append(at)
+        if tag in _BLOCK:
+            self.inner.append(at)
+            if tag not in _PASSED:
+                self.walls.append(at)
         self.open.append((tag, level, code or tag in _CODE, link or tag == "a", region))
 
-    def _close(self, tag: str) -> None:
-        """Ends the innermost open ``tag`` and all inside it, unless another block is open inside it."""
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == tag:
-                del self.open[i:]
-                return
-            if name in _BLOCK:
-                return
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open ``tag``, or 0."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def _close(self, at: int) -> None:
+        """Ends the open element at this place and all inside it."""
+        for tag, *_ in self.open[at:]:
+            self.places[tag].pop()
+        del self.open[at:]
+        for places in (self.inner, self.walls):
+            while places and places[-1] >= at:
+                places.pop()
 
     def _end(self, tag: str) -> None:
         if tag in _BLOCK:
             self.block = None
-        for i in range(len(self.open) - 1, max(0, len(self.open) - _DEPTH), -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if at := self._last(tag):
+            self._close(at)
 
     def _text(self, data: str) -> None:
         _, level, code, link, region = self.open[-1]
