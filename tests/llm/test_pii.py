@@ -63,6 +63,24 @@ def test_context_raises_the_score(spark):
     assert {r.id: r.phone[0].score for r in got} == {1: 0.9, 2: 0.6}
 
 
+def test_context_reaches_over_neighbouring_matches(spark):
+    two, many = "123-45-6789, 234-56-7890", ", ".join(f"{n}-45-6789" for n in range(100, 160))
+    texts = ["SSN: " + two, two + " SSN", "é😀 ssn " + many, many + " ssn", "x" * 40 + "SSN" + "x" * 36 + " 123-45-6789",
+             "SSN" + "x" * 38 + " 123-45-6789", "123-45-6789 " + "x" * 16 + "ssn", "123-45-6789 " + "x" * 17 + "ssn",
+             "call 1.2.3.4 +1 (017) 555-7713, +1 (017) 555-7714", two]
+    got = op.spans(h.docs(spark, list(enumerate(texts)))).collect()
+    for r in got:
+        text, want = texts[r.id], []
+        for m in re.finditer(r"(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)", text):
+            near = text[max(0, m.start() - 40):m.start()] + " " + text[m.end():m.end() + 20]
+            if "ssn" in near.lower():
+                want.append((m.start(), m.end(), 0.7))
+        assert [(s.start, s.end, s.score) for s in r.ssn] == want
+    sizes = {r.id: len(r.ssn) for r in got}
+    assert sizes == {0: 2, 1: 2, 2: 3, 3: 2, 4: 1, 5: 0, 6: 1, 7: 0, 8: 0, 9: 0}
+    assert [p.score for r in got if r.id == 8 for p in r.phone] == [0.9, 0.9]
+
+
 def test_odd_rows_and_empty_table(spark):
     df = h.odd(spark)
     assert op.spans(h.with_clashing_columns(df)).count() == df.count()

@@ -98,7 +98,13 @@ def _add_spans(df: DataFrame, kind: Kind, threshold: float) -> DataFrame:
         "transform(sums, (x, b) -> aggregate(slice(sums, 1, b), 0L, (s, x) -> s + x))"))
     start = (f"before[k div {BLOCK}] + aggregate(slice(steps, (k div {BLOCK}) * {BLOCK} + 1, k % {BLOCK} + 1), "
              "0L, (s, x) -> s + x)")
-    near = (f"concat(right(pieces[k], {CONTEXT_BEFORE}), ' ', left(pieces[k + 1], {CONTEXT_AFTER}))")
+    # the text before and after match k, over neighbouring matches too; each has at least one character
+    left = (f"aggregate(sequence(greatest(k - {CONTEXT_BEFORE}, 0), k), '', (s, i) -> right(concat(s, "
+            f"if(i > 0, right(found[greatest(i - 1, 0)], {CONTEXT_BEFORE}), ''), "
+            f"right(pieces[i], {CONTEXT_BEFORE})), {CONTEXT_BEFORE}))")
+    right = (f"aggregate(sequence(k + 1, least(k + {CONTEXT_AFTER}, size(found))), '', (s, i) -> left(concat(s, "
+             f"left(pieces[i], {CONTEXT_AFTER}), left(coalesce(get(found, i), ''), {CONTEXT_AFTER})), {CONTEXT_AFTER}))")
+    near = f"concat({left}, ' ', {right})"
     df = df.withColumn(kind.name, F.expr(
         f"filter(transform(found, (m, k) -> if({kind.check}, named_struct("
         f"'kind', '{kind.name}', 'start', {start}, 'end', {start} + length(m), 'score', "
