@@ -46,6 +46,15 @@ def test_defined_cases():
     assert op.main_text(f"<article><p title='open>{GOOD}</p>") in (GOOD, "")
 
 
+def test_languages_without_stop_words_keep_their_text():
+    for text in ("Tämä on pitkä suomenkielinen kappale, jossa kerrotaan kaupungin historiasta ja asukkaista monin sanoin.",
+                 "这座城市的历史可以追溯到两千多年以前当时人们沿着河流建立了第一批村庄并且开始种植水稻和小麦" * 3):
+        page = (f"<nav><a href=/>{text}</a></nav><div class=menu>{text}</div><div>{text}</div><div>{text} {text}</div>"
+                f"<div><a href=x>{text}</a></div><div>© {text[:60]}</div><footer>{text}</footer>")
+        assert op.main_text(page) == f"{text} {text} {text}"
+        assert op.main_text(f"{page}<p>{GOOD} {GOOD}</p>") == f"{GOOD} {GOOD}"  # covered: decided by stop words
+
+
 def test_thousands_of_open_elements_before_the_article():
     article = f"<article><h1>Title</h1><p>{GOOD}</p></article>"
     for item in ("<tr><td>a<td>b", "<tr><th>a<td><b>b", "<dt>a<dd>b", "<dt>a", "<li><div>a", "<b>a", "<div>a", "<option>a"):

@@ -6,6 +6,9 @@ and share of stop words.  Blocks that these rules leave open, mostly short ones,
 label of the nearest decided neighbour in the second pass: neighbours of the same region,
 which is the article for blocks inside one and the rest of the page for others.
 
+Stop words are those of English, German, French and Spanish.  A page on which no block has
+enough of them is decided by place, link density and length alone.
+
 Each page is parsed alone and in linear time; nothing is shuffled.
 
 Defined cases: null and empty pages, and pages without any text, give the empty text.  A
@@ -227,20 +230,34 @@ class Rules:
     link_density: float = 0.4
 
 
-def _first_label(block: Block, text: str, rules: Rules) -> bool | None:
-    if block.boilerplate or block.linked > rules.link_density * len(text):
-        return False
-    if "©" in text and len(text) < rules.long:
-        return False
-    if len(text) < rules.short:
-        return None
+def _stops(text: str) -> float:
+    """The share of stop words."""
     words = _WORD.findall(text.lower())
-    stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
-    if stops >= rules.stop_high or (stops >= rules.stop_low and len(text) >= rules.long):
-        return True
-    if stops < rules.stop_low and not block.region:
-        return False
-    return None
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
+def _first_labels(found: list[tuple[Block, str]], rules: Rules) -> list[bool | None]:
+    """If no block of the page has enough stop words, as in a language that they do not cover, those left for
+    their words are good."""
+    labels: list[bool | None] = []
+    worded: list[tuple[int, float]] = []
+    for i, (block, text) in enumerate(found):
+        if block.boilerplate or block.linked > rules.link_density * len(text):
+            labels.append(False)
+        elif "©" in text and len(text) < rules.long:
+            labels.append(False)
+        else:
+            labels.append(None)
+            if len(text) >= rules.short:
+                worded.append((i, _stops(text)))
+    covered = any(stops >= rules.stop_low for _, stops in worded)
+    for i, stops in worded:
+        block, text = found[i]
+        if not covered or stops >= rules.stop_high or (stops >= rules.stop_low and len(text) >= rules.long):
+            labels[i] = True
+        elif stops < rules.stop_low and not block.region:
+            labels[i] = False
+    return labels
 
 
 def _second_labels(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
@@ -274,8 +291,8 @@ def main_text(html: str | None, rules: Rules = Rules()) -> str:
     found = [(b, " ".join("".join(b.pieces).split())) for b in _Page(html).blocks]
     found = [(b, t) for b, t in found if t]
     blocks = [b for b, _ in found]
-    labels = [_first_label(b, t, rules) for b, t in found]
-    return " ".join(t for (_, t), good in zip(found, _second_labels(blocks, labels)) if good)
+    good = _second_labels(blocks, _first_labels(found, rules))
+    return " ".join(t for (_, t), keep in zip(found, good) if keep)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rules: Rules = Rules(),
