@@ -57,6 +57,28 @@ def test_fit_takes_at_most_fit_rows(spark):
     assert np.array_equal(a.products, b.products)
 
 
+def test_fit_takes_one_row_of_an_id(spark, monkeypatch):
+    rows = corpus(60, seed=5)
+    saved, sizes = op.saved, {}
+
+    def counted(df, name):
+        out = saved(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op, "saved", counted)
+    known = labels(spark, [(i, 0, y) for i, _, y in rows])
+    once = op.fit(h.docs(spark, [(i, t) for i, t, _ in rows]), known, fit_rows=40, settings=SMALL)
+    same = [(i, t) for i, t, _ in rows for _ in range(1 + 50 * (i % 7 == 0))] + [(i, None) for i in range(60)]
+    df = h.docs(spark, same)
+    many = op.fit(df, known, fit_rows=40, settings=SMALL)
+    assert sizes["toxicity-features"] == 40
+    assert np.array_equal(once.products, many.products) and once.intercept == many.intercept
+    other = h.docs(spark, [(i, f"{t} {k}") for i, t, _ in rows for k in ("fiend", "mild", "soft")])
+    a, b = (op.fit(x, known, fit_rows=40, settings=SMALL) for x in (other.repartition(5), other.repartition(2, "text")))
+    assert sizes["toxicity-features"] == 40 and np.array_equal(a.products, b.products)
+
+
 def test_features_are_the_distinct_ngrams_of_pieces_and_whole_texts(monkeypatch):
     of = op.Features(op.Settings())
     text = "The  quick\nbrown fox " * 50

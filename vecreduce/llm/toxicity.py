@@ -151,7 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label"))
     sample = saved(known.orderBy(F.xxhash64("id"), "id").limit(fit_rows), "toxicity-sample")
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    chosen = texts.join(F.broadcast(sample), "id")  # at most fit_rows ids
+    # one row for each id, so at most fit_rows rows; of rows that repeat an id, the text of the smallest hash
+    chosen = (texts.join(F.broadcast(sample), "id").groupBy("id", "label")
+              .agg(F.min(F.struct(F.isnull("text").alias("missing"), F.xxhash64("text").alias("hash"), "text")).alias("least"))
+              .select("id", "label", F.col("least.text").alias("text")))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(settings)
