@@ -1,0 +1,103 @@
+import math
+import random
+from collections import Counter
+
+import helpers as h
+import numpy as np
+import pyarrow as pa
+import pytest
+from vecreduce.llm import lexical_search as op
+
+ITEMS = "item_id long, text string"
+
+
+def terms(text):
+    return "".join(c if c.isascii() and c.isalnum() or ord(c) >= 128 else " "
+                   for c in h.ascii_lower(text)).split(" ")
+
+
+def words(text):
+    return [w for w in terms(text) if w]
+
+
+def brute(docs, items, k=10):
+    """Every item against every document, as the contract writes the score."""
+    found = [(i, words(t)) for i, t in docs]
+    big_n = sum(bool(w) for _, w in found)
+    all_terms = sum(len(w) for _, w in found)
+    df = Counter(t for _, w in found for t in set(w))
+    out = []
+    for item, text in items:
+        scored = []
+        for i, w in found:
+            times, score = Counter(w), 0
+            for t in set(words(text)) & set(w):
+                weight = math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[t] + 1)))
+                m = 100 - 90 + (90 * len(w) * big_n) // all_terms
+                score += weight * ((1000000000 * times[t]) // (1000 * times[t] + 8 * m))
+            if score > 0:
+                scored.append((-score, i is None, i, score))
+        out += [(item, r, i, s) for r, (*_, i, s) in enumerate(sorted(scored, key=lambda x: x[:2] + (x[2] or 0,))[:k], 1)]
+    return sorted(out, key=str)
+
+
+def zipf_texts(seed, many, longest=60):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)] + ["Été", "ÉTÉ", "x-y", "日本"]
+    odds = [1 / (i + 1) for i in range(len(vocabulary))]
+    return [" ".join(rng.choices(vocabulary, odds, k=rng.randint(0, longest))) for _ in range(many)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"segment_postings": 40, "doc_block": 4, "short_share": 0.01},
+                                      {"block_bytes": 300, "doc_block": 16, "salts": 2}, {"k": 3, "short_share": 1.0}])
+def test_equals_brute_force(spark, settings):
+    docs = list(enumerate(zipf_texts(1, 300) + ["w1 w2 w2"] * 40))
+    items = list(enumerate(zipf_texts(2, 25, 12) + ["", "none of these", docs[7][1], "w1 W1 w1"]))
+    got = op.ranked(h.docs(spark, docs).repartition(5), spark.createDataFrame(items, ITEMS), **settings)
+    assert sorted(h.rows(got), key=str) == brute(docs, items, settings.get("k", 10))
+
+
+def test_blocks_are_skipped_and_results_stay(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(4000):
+        found = sorted(rng.sample(range(6), rng.randint(1, 3)) + ([6] if i % 400 == 0 else []) + ([7, 8] if i in (5, 2017) else []))
+        rows.append((i, len(found) + rng.randint(0, 30), found, [rng.randint(1, 4) for _ in found]))
+    table = pa.table({"id": pa.array([r[0] for r in rows]), "n_terms": pa.array([r[1] for r in rows]),
+                      "terms": pa.array([r[2] for r in rows], pa.list_(pa.int32())),
+                      "times": pa.array([r[3] for r in rows], pa.list_(pa.int32()))})
+    df = Counter(t for r in rows for t in r[2])
+    weights = np.array([op.term_weight(4000, df[t]) for t in range(9)])
+    total = sum(r[1] for r in rows)
+    asked = np.arange(9)
+    for share in (1 / 4000, 1 / 64, 0.4):
+        segment = op.Segment(table, weights, 4000, total, doc_block=64, short_share=share)
+        docs, scores, read = segment.best(asked, 5)
+        every = np.zeros(4000, dtype=np.int64)
+        for t in asked:
+            every[segment.doc[segment.starts[t]:segment.starts[t + 1]]] += segment.gain[segment.starts[t]:segment.starts[t + 1]]
+        want = np.lexsort((np.arange(4000), -every))[:5]
+        order = np.lexsort((docs, -scores))
+        assert docs[order].tolist() == want.tolist() and scores[order].tolist() == every[want].tolist()
+        if share == 0.4:
+            assert read < len(segment.edges) - 1
+        beaten = segment.best(asked, 5, least=int(every.max()) + 1)
+        assert len(beaten[0]) == 0 and beaten[2] < read
+
+
+def test_odd_rows_ties_empty_tables_and_clashing_names(spark):
+    df = h.with_clashing_columns(h.odd(spark))
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    items = [(1, "the ONE"), (1, "the ONE"), (2, None), (3, ""), (None, "été lorem"), (4, "lorem " * 50_000)]
+    asked = h.with_clashing_columns(spark.createDataFrame(items, ITEMS))
+    got = op.ranked(df, asked)
+    assert sorted(h.rows(got), key=str) == brute(docs, items)
+    none = spark.createDataFrame([], ITEMS)
+    assert op.ranked(df, none).count() == 0
+    assert op.ranked(h.docs(spark, []), asked).count() == 0
+    assert op.ranked(h.docs(spark, [(1, None), (2, "...")]), asked).count() == 0
+
+
+def test_lengths_beyond_64_bits_fail():
+    with pytest.raises(OverflowError):
+        op.gains(np.array([1]), np.array([1]), np.array([1 << 40]), 1 << 30, 10)

@@ -1,0 +1,120 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import helpers as h
+import numpy as np
+import pytest
+from vecreduce.llm import packing as op
+from vecreduce.llm.common import tokenizer_file
+
+
+def one_by_one(lengths, capacity):
+    """Best fit decreasing, a piece at a time: the room left in each sequence."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= length]
+        if fits:
+            rooms[rooms.index(min(fits))] -= length
+        else:
+            rooms.append(capacity - length)
+    return rooms
+
+
+def slots(plan):
+    for length, rank, many, first, each, offset in plan:
+        for i in range(many):
+            yield length, rank + i, first + i // each, offset + i % each * length
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_equals_best_fit_one_by_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([1, 7, 24, 100])
+    top = rng.choice([capacity, max(1, capacity // 3)])
+    lengths = [rng.randint(1, top) for _ in range(rng.randint(0, 400))] + [rng.randint(1, top)] * rng.choice([0, 150])
+    plan = op.best_fit(Counter(lengths), capacity)
+    used = defaultdict(list)
+    ranks = defaultdict(list)
+    for length, rank, sequence, offset in slots(plan):
+        used[sequence].append((offset, length))
+        ranks[length].append(rank)
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in Counter(lengths).items()}
+    assert sorted(used) == list(range(len(used)))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sorted(capacity - sum(n for _, n in v) for v in used.values()) == sorted(one_by_one(lengths, capacity))
+
+
+def test_plan_of_huge_counts_is_short():
+    rng = random.Random(3)
+    histogram = {n: rng.randint(1, 10 ** 12) for n in range(1, 2049)}
+    plan = op.best_fit(histogram)
+    assert sum(p[2] for p in plan) == sum(histogram.values()) and len(plan) < 60_000
+    with pytest.raises(ValueError):
+        op.best_fit({2049: 1})
+
+
+def checked(spark, df, capacity):
+    """Every token of every row is in one place, in order, and sequences have no gap."""
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(tokenizer_file(op.VOCABULARY))
+    tokenizer.encode_special_tokens = True
+    got = op.packed(df, capacity=capacity).collect()
+    want = Counter()
+    for r in df.collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
+        for k, a in enumerate(range(0, len(ids), capacity)):
+            want[(r.doc_id, k, a, tuple(ids[a:a + capacity]))] += 1
+    assert Counter((r.id, r.piece, r.start, tuple(np.frombuffer(r.tokens, "<u4").tolist())) for r in got) == want
+    assert all(r.length * 4 == len(r.tokens) for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= capacity
+    assert len(by) == len(one_by_one([r.length for r in got], capacity))
+    return got
+
+
+def test_documents_are_packed_whole(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "cat", "Straße", "😀", "<|endoftext|>", "12"]) for _ in range(rng.randint(0, 90)))
+             for _ in range(200)] + ["same words here"] * 100
+    checked(spark, h.docs(spark, list(enumerate(texts))).repartition(7), 64)
+
+
+def test_odd_rows_empty_tables_and_clashing_names(spark):
+    df = h.odd(spark)
+    got = checked(spark, h.with_clashing_columns(df), 2048)
+    assert {r.length for r in got if r.id in (1, 2, 3)} == {1}
+    assert max(r.piece for r in got if r.id == 4) > 10 and op.packed(h.docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        op.encoded(df, capacity=0)
+
+
+def test_sequences_join_their_pieces(spark):
+    df = h.docs(spark, [(i, "alpha beta " * (i % 9)) for i in range(60)]).repartition(4)
+    pieces = op.packed(df, capacity=16).cache()
+    of = {r.sequence_id: bytes(r.tokens) for r in op.sequences(pieces).collect()}
+    for r in pieces.collect():
+        assert of[r.sequence_id][4 * r.offset:4 * (r.offset + r.length)] == bytes(r.tokens)
+    assert sum(map(len, of.values())) == sum(len(r.tokens) for r in pieces.collect())
+
+
+def test_query_on_whole_documents(spark):
+    from vecreduce.llm import queries
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r.id, r.piece): zlib.crc32(bytes(r.tokens)) for r in op.packed(docs).collect()}
+    got = queries.QUERIES["op12_best_fit_packing"](spark, sf)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.collect()} == want

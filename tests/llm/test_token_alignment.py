@@ -1,0 +1,96 @@
+import hashlib
+import random
+from collections import Counter
+
+import helpers as h
+import pytest
+from vecreduce.llm import token_alignment as op
+from vecreduce.llm.common import saved, tokenizer_file
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    return op.Tokenizers(*(open(tokenizer_file(f), "rb").read() for f in (op.BYTE_VOCABULARY, op.PIECE_VOCABULARY)))
+
+
+def brute(tokenizers, text):
+    """Byte by byte: ids, groups and links of a text from the two encoders and their published byte forms."""
+    if not text:
+        return [], [], "", []
+    raw = (" " + text).encode()
+    a = tokenizers.a.encode(" " + text, add_special_tokens=False)
+    b = tokenizers.b.encode(text)
+    a_owner = [i for i, t in enumerate(a.ids) for _ in tokenizers.a_bytes[t]]
+    b_owner = [j for j, t in enumerate(b) for _ in tokenizers.b_bytes[t]]
+    if b"".join(tokenizers.b_bytes[t] for t in b) != raw:
+        return [], [], "", []
+    links = sorted(set(zip(a_owner, b_owner)))
+    groups, left, right = [], [], []
+    for k in range(len(raw)):
+        if k + 1 == len(raw) or a_owner[k + 1] != a_owner[k]:
+            left.append(str(a.ids[a_owner[k]]))
+        if k + 1 == len(raw) or b_owner[k + 1] != b_owner[k]:
+            right.append(str(b[b_owner[k]]))
+        if k + 1 == len(raw) or (a_owner[k + 1] != a_owner[k] and b_owner[k + 1] != b_owner[k]):
+            groups.append(",".join(left) + "|" + ",".join(right))
+            left, right = [], []
+    return a.ids, b, ";".join(groups), [(a.ids[i], b[j]) for i, j in links]
+
+
+def expected(tokenizers, texts):
+    found = [brute(tokenizers, t) for t in texts]
+    counts = Counter(p for *_, links in found for p in links)
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(most.get(b, 0), n)
+    return [(len(a), len(b), groups.count(";") + bool(groups), len(links), groups,
+             sum(counts[p] == most[p[1]] for p in links), sum(counts[p] for p in links))
+            for a, b, groups, links in found]
+
+
+def texts_of(seed, many):
+    rng = random.Random(seed)
+    words = ["the", " word", "\n", "\n\n", "  ", "é", "😀", "naïve", "12", ".", "\r\n", "Ümlaut", "▁", "<|endoftext|>",
+             "</s>", "\x00", "日本語", "﻿", "ﬁ", "é", "internationalisation", "\t"]
+    return ["".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(many)]
+
+
+@pytest.mark.parametrize("heavy", [op.HEAVY_PAIRS, 40, 0])
+def test_equals_brute_force(spark, tokenizers, heavy):
+    texts = texts_of(1, 150) + ["the same text"] * 60 + [None, "", " ", "x"]
+    df = h.docs(spark, list(enumerate(texts))).repartition(5)
+    got = op.with_pair_counts(saved(op.aligned(df), "test-aligned"), heavy).collect()
+    want = expected(tokenizers, texts)
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups, r.n_best, r.count_sum) == want[r.id], texts[r.id]
+    assert any(t and not w[0] for t, w in zip(texts, want)) and any(w[0] for w in want)
+
+
+def test_odd_rows_empty_tables_and_clashing_names(spark, tokenizers):
+    df = h.odd(spark)
+    texts = [r.text for r in df.collect()]
+    got = op.with_pair_counts(saved(op.aligned(h.with_clashing_columns(df)), "test-odd"), 10).collect()
+    want = Counter((r.doc_id, *w[:4]) for r, w in zip(df.collect(), expected(tokenizers, [
+        t if t is None or len(t) < 100 else "" for t in texts])) if r.doc_id not in (4, 5))
+    assert Counter((r.id, r.n_a, r.n_b, r.n_groups, r.n_links) for r in got if r.id not in (4, 5)) == want
+    long = next(r for r in got if r.id == 4)
+    assert long.n_a == len(tokenizers.a.encode(" " + h.LONG, add_special_tokens=False).ids) and long.n_links >= long.n_a
+    for heavy in (0, 10):
+        assert op.with_pair_counts(saved(op.aligned(h.docs(spark, [])), "test-none"), heavy).count() == 0
+        alone = op.with_pair_counts(saved(op.aligned(h.docs(spark, [(1, None)])), "test-null"), heavy).first()
+        assert tuple(alone) == (1, 0, 0, 0, 0, "", 0, 0)
+
+
+def test_query_on_whole_documents(spark, tokenizers):
+    from vecreduce.llm import queries
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r.doc_id: w for r, w in zip(docs, expected(tokenizers, [r.text for r in docs]))}
+    got = queries.QUERIES["op13_token_alignment"](spark, sf)
+    assert set(got.columns) == {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}
+    assert got.count() == len(docs)
+    for r in got.collect():
+        w = want[r.doc_id]
+        digest = hashlib.sha256(w[4].encode()).hexdigest() if w[0] else ""
+        assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) == (*w[:4], digest, *w[5:])

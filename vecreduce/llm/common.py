@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -57,3 +60,22 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of one of the public tokenizers' files on the driver."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def chunks(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts have about ``most_bytes``, a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most_bytes:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (decontaminate, exact_dedup, html_extract, language_id, mixing, pii, simhash, token_counts, toxicity,
-               url_filter)
+from . import (decontaminate, exact_dedup, html_extract, language_id, lexical_search, mixing, packing, pii, simhash,
+               token_alignment, token_counts, toxicity, url_filter)
+from .common import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +94,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component_id"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.encoded(table(spark, sf_dir, "documents"))
+    found = packing.placed(pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens"))
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.aligned(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    kept = saved(found.withColumn("groups_sha256", digest).drop("groups"), "alignment")
+    return token_alignment.with_pair_counts(kept).withColumnRenamed("id", "doc_id")
+
+
 def _pii_sql() -> str:
     """Matches and the pieces between them for each kind; starts are sums of their lengths."""
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -140,7 +159,8 @@ def _pii_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_mix_sources, op3_url_filter, op4_pii, op5_toxicity, op6_token_counts, op7_html_extract,
-        op8_language_id, op9_decontaminate, op10_simhash_dedup)}
+        op8_language_id, op9_decontaminate, op10_simhash_dedup, op11_lexical_search, op12_best_fit_packing,
+        op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -187,4 +207,32 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+        asked AS (
+            SELECT DISTINCT i, item_id, term
+            FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+        times AS (
+            SELECT r, doc_id, n, term, count(*) AS tf
+            FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN asked USING (term)
+            GROUP BY ALL),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+            FROM (SELECT term, count(*) AS df FROM times GROUP BY term), corpus),
+        gains AS (
+            SELECT r, doc_id, term, weight * ((1000000000 * tf)
+                   // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS gain
+            FROM times JOIN weights USING (term), corpus),
+        scored AS (
+            SELECT i, item_id, r, doc_id, CAST(sum(gain) AS BIGINT) AS score
+            FROM asked JOIN gains USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+        SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored)
+        WHERE rank <= 10""",
 }
