@@ -17,9 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed_point import exact_sum, exact_sum_over, wide_sum
+from ..functions.fixed_point import EMBEDDING_SCALE, exact_sum, exact_sum_over, wide_sum
 from ..functions.ring import ring_pos
-from .layout import local_sums, with_groups
+from .layout import local_sums, to_long, with_groups
 
 
 def keyed_sum(df: DataFrame, key, value: str, name: str = "total") -> DataFrame:
@@ -79,6 +79,12 @@ def _workers(n: int):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("worker")
 
 
+def _zero_entries(n: int, of: str):
+    """An entry of value 0 for each of ``n``, told from the others by ``every``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(
+        k.alias(of), F.lit(True).alias("every"), F.lit(0).cast("long").alias("v")))
+
+
 def _ring_size(n: int, group_size: int | None) -> int:
     size = group_size or n
     if n < 1 or n % size:
@@ -95,8 +101,9 @@ def scatter_reduce(cells: DataFrame, n: int, group_size: int | None = None, valu
     ``sum(g) over (partition by [grp,] dim order by ring_pos)``.
 
     ``cells`` are ``(worker, dim, g)`` rows, raw or already summed: they are
-    summed per ``(worker, dim)`` first.  An element's sums then meet in one map of
-    at most ``n`` entries, from which every worker gets a cell, zero if it had none.
+    summed per ``(worker, dim)`` first.  An element's sums then meet in one array of at most
+    ``n`` entries, a zero entry for each worker is put behind them, and one scan in ring
+    order gives the zero entries the sums up to them, so the work is linear in ``n``.
     With ``group_size`` a ring runs inside each block of workers.  ``by`` adds
     independent rings, e.g. ``by=["iter"]`` for one all-reduce per
     iteration of gradient descent.
@@ -105,16 +112,14 @@ def scatter_reduce(cells: DataFrame, n: int, group_size: int | None = None, valu
     size = _ring_size(n, group_size)
     by = list(by)
     local = local_sums(_in_ring(cells, n, value), by=[*by, "worker", "dim"], value=value)
-    per_dim = local.groupBy(*by, "dim").agg(
-        F.map_from_entries(F.collect_list(F.struct("worker", value))).alias("_own"))
-    grid = per_dim.select(*by, "dim", "_own", _workers(n)).select(
-        *by, "worker", "dim", F.coalesce(F.try_element_at("_own", F.col("worker")), F.lit(0)).alias(value))
-    grid = with_groups(grid, size)
-    parts = [*by, "dim", "grp"]
-    run = exact_sum_over(value, Window.partitionBy(*parts).orderBy("ring_pos").rowsBetween(
+    per_dim = local.groupBy(*by, "dim").agg(F.collect_list(F.struct(
+        "worker", F.lit(False).alias("every"), F.col(value).alias("v"))).alias("_own"))
+    grid = per_dim.select(*by, "dim", F.inline(F.concat("_own", _zero_entries(n, "worker"))))
+    grid = with_groups(grid, size).withColumn("ring_pos", ring_pos("local_worker", "dim", size))
+    run = exact_sum_over("v", Window.partitionBy(*by, "dim", "grp").orderBy("ring_pos", "every").rowsBetween(
         Window.unboundedPreceding, Window.currentRow))
     cols = by + (["grp"] if group_size else []) + ["worker", "dim", "ring_pos"]
-    return grid.withColumn("ring_pos", ring_pos("local_worker", "dim", size)).select(*cols, run.alias(name))
+    return grid.withColumn(name, run).where("every").select(*cols, name)
 
 
 def all_gather(cells: DataFrame, n: int, value: str = "g", name: str = "total",
@@ -140,12 +145,14 @@ def group_all_gather(cells: DataFrame, group_size: int, n: int, value: str = "g"
     A group none of whose workers has the element holds zero.
     """
     size = _ring_size(n, group_size)
+    by = list(by)
     totals = group_all_reduce(_in_ring(cells, n, value), size, value, name, by)
-    per_dim = totals.groupBy(*by, "dim").agg(
-        F.map_from_entries(F.collect_list(F.struct("grp", name))).alias("_groups"))
-    grid = with_groups(per_dim.select(*by, "dim", "_groups", _workers(n)), size)
-    return grid.select(*by, "grp", "worker", "dim", F.coalesce(
-        F.try_element_at("_groups", F.col("grp")), F.lit(0)).alias(name))
+    per_dim = totals.groupBy(*by, "dim").agg(F.collect_list(F.struct(
+        "grp", F.lit(False).alias("every"), F.col(name).alias("v"))).alias("_groups"))
+    grid = per_dim.select(*by, "dim", F.inline(F.concat("_groups", _zero_entries(n // size, "grp"))))
+    whole = grid.groupBy(*by, "dim", "grp").agg(exact_sum("v").alias(name))
+    first = F.col("grp") * size
+    return whole.select(*by, "grp", F.explode(F.sequence(first, first + size - 1)).alias("worker"), "dim", name)
 
 
 def cross_group_merge(cells: DataFrame, group_size: int, n: int, value: str = "g", name: str = "total",
@@ -190,3 +197,16 @@ def hierarchical_all_reduce(cells: DataFrame, group_size: int, value: str = "g",
         return (both.withColumn("total", tot).where(F.col("lvl") == 0)
                     .select(*by, "grp", "dim", F.col("s").alias("grp_total"), "total"))
     raise ValueError("method must be 'window' or 'rollup'")
+
+
+def sparse_all_reduce(df: DataFrame, vec: str = "features", scale: int = EMBEDDING_SCALE,
+                      by: Sequence[str] = (), on_invalid: str = "error") -> DataFrame:
+    """Element-wise sum of Spark ML vectors over their stored entries: ``([by...,] dim, total, support)``.
+
+    ``support`` is how many vectors store the element, zeros included.  A sparse vector
+    gives its stored entries only, so work and shuffle grow with entries and not with the
+    vectors' length; an element that no vector stores has no row.
+    """
+    rows = df.select(*by, vec, F.lit(0).alias("_worker"))
+    cells = to_long(rows, vec, worker="_worker", scale=scale, on_invalid=on_invalid, keep=by)
+    return cells.groupBy(*by, "dim").agg(exact_sum("g").alias("total"), F.count("g").alias("support"))

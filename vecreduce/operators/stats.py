@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.fixed_point import EMBEDDING_SCALE, checked, col_of, exact_sum, product_sum, to_fixed, wide_sum
+from ..functions.fixed_point import EMBEDDING_SCALE, col_of, exact_sum, product_sum, to_fixed, wide_sum
+from .blocks import block_stats, blocks_to_dims
 
 
 def _is_integral(df: DataFrame, c) -> bool:
@@ -51,23 +52,11 @@ def gradient_stats(df: DataFrame, vec: str, loss: Column | str, scale: int = EMB
     """The vector triple, one row per element: ``(dim, grad, loss, cnt)``.
 
     ``grad`` is the element's total in fixed point; ``loss`` (a double) and ``cnt`` are of
-    all rows, the same in each row of the result.  The loss travels as one more element in
-    front of the vector, so one aggregate merges gradient, loss and count together.
+    all rows, the same in each row of the result.  The merge is :func:`block_stats`: one
+    aggregate by block, whose one row of loss and count is joined back.
     """
-    fixed = F.transform(F.col(vec), lambda x: to_fixed(checked(x, on_invalid), scale))
-    if on_invalid == "error":
-        fixed = F.when(F.col(vec).isNotNull(), fixed).otherwise(F.raise_error(F.lit("vecreduce: null vector")))
-    first = F.array(to_fixed(checked(loss, on_invalid), loss_scale))
-    cells = df.select(F.posexplode(F.concat(first, F.coalesce(fixed, F.array().cast("array<bigint>"))))
-                      .alias("at", "g"))
-    merged = cells.groupBy("at").agg(exact_sum("g").alias("total"), F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()  # one row for each element
-    whole = merged.select(
-        (F.col("at") - 1).alias("dim"), F.col("total").alias("grad"),
-        (F.max(F.when(F.col("at") == 0, F.col("total"))).over(every).cast("double")
-         / F.lit(float(loss_scale))).alias("loss"),
-        F.max(F.when(F.col("at") == 0, F.col("n"))).over(every).alias("cnt"))
-    return whole.where("dim >= 0")
+    blocks = block_stats(df, vec, loss, scale=scale, loss_scale=loss_scale, on_invalid=on_invalid)
+    return blocks_to_dims(blocks, "grad", keep=("loss", "cnt")).select("dim", "grad", "loss", "cnt")
 
 
 def vector_stats(long: DataFrame, value: str = "g") -> DataFrame:

@@ -4,13 +4,12 @@
   the weights (the reference's setting).  Then ``w_k = w0 - lr * (sum of
   mean gradients up to k)``, which is one cumulative window: no driver loop.
 * :func:`ls_gradient` / :func:`ls_fit`: least-squares, where the gradient
-  does depend on ``w``.  One aggregate job per iteration; ``w`` is injected
-  as literals so the plan does not grow with the iteration count.
+  does depend on ``w``: one aggregate at given weights, or a whole fit on the
+  exact sums of products of one pass.
 """
 
 from __future__ import annotations
 
-import math
 import operator
 
 from collections.abc import Sequence
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.fixed_point import (CENTS, EMBEDDING_SCALE, checked, col_of, exact_sum, exact_sum_over, from_fixed,
                                      product_sum, to_fixed)
 from ..functions.ring import worker_of
+from .gram import descend_on_gram
 from .reduce import all_reduce
 
 
@@ -139,34 +139,8 @@ def ls_fit(df: DataFrame, vec: str, target: Column | str, lr: float, iterations:
            scale: int = 10_000) -> DataFrame:
     """Batch gradient descent on the mean squared error over all elements of ``vec``.
 
-    Returns the weights after every iteration, ``(iter, dim, w)``; they start at 0.
-    Features and weights are fixed point at ``scale``, sums are exact and weights are
-    rounded after each step, so the result depends neither on partitioning nor on the
-    engine.  An iteration is one aggregate by element; one number for each element comes
-    to the driver and goes back as a literal array, so the plan does not grow.  All
-    vectors must have the same length; null vectors, elements and targets fail.
+    Returns the weights after every iteration, ``(iter, dim, w)``; they start at 0.  All
+    vectors must have the same length; null vectors, elements and targets fail.  One pass
+    over the data, see :mod:`.gram`.
     """
-    fixed = F.transform(F.col(vec), lambda x: to_fixed(checked(x), scale))
-    data = df.select(
-        F.when(F.col(vec).isNotNull(), fixed).otherwise(F.raise_error(F.lit("vecreduce: null vector"))).alias("x"),
-        to_fixed(checked(target), scale * scale).alias("y")).persist()
-    try:
-        shape = data.agg(F.min(F.size("x")).alias("least"), F.max(F.size("x")).alias("most"),
-                         F.count(F.lit(1)).alias("n")).first()
-        if shape["least"] != shape["most"]:
-            raise ValueError(f"vectors of {shape['least']} to {shape['most']} elements")
-        w = [0] * (shape["most"] or 0)
-        steps = []
-        for it in range(1, iterations + 1 if w else 1):
-            weights = F.array(*[F.lit(v).cast("long") for v in w])
-            pred = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0).cast("long"),
-                               lambda s, v: s + v)
-            cells = data.select(F.posexplode("x").alias("dim", "x"), (pred - F.col("y")).alias("err"))
-            found = cells.groupBy("dim").agg(product_sum("x", "err").alias("g")).collect()
-            for r in found:
-                mean = float(r["g"]) / (float(shape["n"]) * float(scale) * float(scale))
-                w[r["dim"]] = math.floor(float(w[r["dim"]]) - lr * mean + 0.5)
-            steps += [(it, i, v / scale) for i, v in enumerate(w)]
-    finally:
-        data.unpersist()
-    return df.sparkSession.createDataFrame(steps, "iter int, dim int, w double")
+    return descend_on_gram(df, vec, target, lr, iterations, scale)

@@ -8,12 +8,16 @@ examples; on a cluster the application's own session is used unchanged.
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_OF_LOCAL: dict[str, str] = {}  # folders of local sessions without the setting, by application
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "vecreduce", extra: dict | None = None) -> SparkSession:
@@ -47,9 +51,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new, unique folder name under the shared folder in ``spark.checkpoint.dir``.
 
-    The setting is required: a folder of the driver's own is not visible to executors.
+    On a cluster the setting is required: a folder of the driver's own is not visible to
+    executors.  A ``local`` session, whose tasks run in the driver, gets one if it has none.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root and re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", None) or ""):
+        app = spark.conf.get("spark.app.id")
+        if app not in _OF_LOCAL:
+            _OF_LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="vecreduce-")
+        root = _OF_LOCAL[app]
     if not root:
         raise RuntimeError(f"{CHECKPOINT_KEY} is not set; point it at a folder every executor can reach")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
