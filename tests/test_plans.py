@@ -6,14 +6,15 @@ from conftest import SF01
 from vecreduce.plans import inspect
 from vecreduce.plans.catalogue import BY_NAME, CATALOGUE
 
-PYTHON_ALLOWED = {"map_partitions_sum"}
+PYTHON_ALLOWED = {"map_partitions_sum", "moments", "largest_values", "partition_function", "least_squares_fit"}
 # Static plan exchange budget for the headline queries.
 EXCHANGES = {
     "all_reduce_sum": 1, "keyed_sum": 1, "tree_stats": 1, "least_squares_gradient": 1,
     "vector_stats": 1, "gradient_stats": 2, "keyed_set": 1, "event_gradients": 1,
     "scatter_reduce": 2, "group_scatter_reduce": 2, "all_gather": 1, "cross_group_merge": 1,
     "group_all_gather": 2, "hierarchical_all_reduce": 2, "gd_trajectory": 2, "matrix_pivot": 2,
-    "map_partitions_sum": 1,
+    "map_partitions_sum": 1, "partition_function": 1, "block_all_reduce": 2, "block_stats": 4, "sparse_all_reduce": 1,
+    "gd_step_given": 4,
 }
 PLANNED = [q for q in CATALOGUE if q.name not in {"least_squares_fit", "mlp_fit_predict", "mlp_accuracy", "cache_count"}]
 

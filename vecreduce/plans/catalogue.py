@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import operators as op
 from .. import sources as src
-from ..functions import CENTS, EMBEDDING_SCALE, checked, exact_sum, from_fixed, to_fixed
+from ..functions import CENTS, EMBEDDING_SCALE, checked, exact_sum, exact_sum_over, from_fixed, to_fixed, worker_of
+from ..session import scratch_path
 
 # Fixed parameters of the catalogue (the reference's ring of 8 workers, two groups of 4,
 # learning rate 0.2, MLP with hidden layers 5 and 4 and three classes, split 80/20).
@@ -33,6 +34,10 @@ TRAIN_PERCENT = 80
 LS_LR = 20.0
 LS_ITERATIONS = 5
 LS_SCALE = 10_000
+BLOCK = 16
+LEVELS = (8,)  # salts of the first level of a tree-shaped merge
+SPLIT_BYTES = 1 << 16  # of the files that queries write and read, so that lines are cut
+SPLIT = {"train": 0.8, "check": 0.05, "test": 0.15}
 
 
 @dataclass(frozen=True)
@@ -212,10 +217,19 @@ def _mlp_frame(spark, sf):
     return op.hash_split(op.vector_features(emb, "embedding"), "vec_id", TRAIN_PERCENT)
 
 
+_PREDICTIONS: dict[tuple[str, str], str] = {}  # where a session has stored the model's predictions
+
+
 def _mlp_predictions(spark, sf):
-    data = _mlp_frame(spark, sf)
-    model = op.mlp_fit(data.where(F.col("split") == "train"), MLP_LAYERS)
-    return op.predict(model, data.where(F.col("split") == "test"))
+    """The fitted model's predictions of the test rows; fitted once a session and table."""
+    own = (spark.sparkContext.applicationId, sf)
+    if own not in _PREDICTIONS:
+        data = _mlp_frame(spark, sf)
+        model = op.mlp_fit(data.where(F.col("split") == "train"), MLP_LAYERS)
+        path = scratch_path(spark, "mlp-predictions")
+        op.predict(model, data.where(F.col("split") == "test")).select("vec_id", "label", "prediction").write.parquet(path)
+        _PREDICTIONS[own] = path
+    return spark.read.schema("vec_id long, label double, prediction double").parquet(_PREDICTIONS[own])
 
 
 def q_mlp_input(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,13 +237,121 @@ def q_mlp_input(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_mlp_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return _mlp_predictions(spark, sf).select("vec_id", "label", "prediction")
+    return _mlp_predictions(spark, sf)
 
 
 def q_mlp_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return op.accuracy(_mlp_predictions(spark, sf))
 
 
+def q_mlp_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """The forward pass of a network whose weights a rule gives, over all embeddings."""
+    sizes = enumerate(zip(MLP_LAYERS, MLP_LAYERS[1:]))
+    flat = [((31 * layer + 17 * u + 7 * i) % 23 - 11) / 10 for layer, (inputs, units) in sizes
+            for i in range(inputs + 1) for u in range(units)]
+    table = op.mlp_weights(spark, MLP_LAYERS, flat)
+    return op.mlp_forward(_emb(spark, sf), table, "embedding").select("vec_id", "prediction")
+
+
+def _blocks(spark, sf):
+    return op.to_blocks(_emb(spark, sf), "embedding", "vec_id", WORKERS, BLOCK)
+
+
+def q_block_all_reduce(spark: SparkSession, sf: str) -> DataFrame:
+    totals = op.block_all_reduce(_blocks(spark, sf), width=BLOCK, levels=LEVELS)
+    return op.blocks_to_dims(totals, "total", width=BLOCK)
+
+
+def q_block_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree-shaped triple over blocks, a row for each element."""
+    blocks = op.block_stats(_emb(spark, sf, ("label", "embedding")), "embedding", "label", BLOCK, loss_scale=1,
+                            levels=LEVELS)
+    return op.blocks_to_dims(blocks, "grad", width=BLOCK, keep=("loss", "cnt")).select("dim", "grad", "loss", "cnt")
+
+
+def _given_weights(spark, sf):
+    """The elements of the embedding of the least id."""
+    emb = _emb(spark, sf)
+    first = emb.agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return first.select(F.posexplode("embedding").alias("dim", "w")).select("dim", F.col("w").cast("double").alias("w"))
+
+
+def q_gd_step_given(spark: SparkSession, sf: str) -> DataFrame:
+    return op.gd_step(op.all_reduce(_long(spark, sf)), LR, WORKERS, EMBEDDING_SCALE, w0=_given_weights(spark, sf))
+
+
+def q_gd_weight_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Two iterations from given weights, as versions of a weight table joined by block."""
+    table = op.WeightTable(spark, width=BLOCK)
+    table.write_dims(0, _given_weights(spark, sf))
+    totals = op.block_all_reduce(_blocks(spark, sf), width=BLOCK)
+    op.descend(table, lambda version, weights: totals, LR, WORKERS, 2)
+    return table.history()
+
+
+def q_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact power sums of each user's cents, as a user-defined aggregate."""
+    found = op.aggregate_by_key(_cents(src.events(spark, sf, ["user_id", "value"])), "user_id", ["c"], op.Moments())
+    return found.select("user_id", "cnt", *[F.col(f"s{k}").cast("double").alias(f"s{k}") for k in range(1, 5)])
+
+
+def q_largest_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event type's three largest amounts and how often they occur, as a user-defined aggregate."""
+    cents = src.events(spark, sf, ["event_type", "value"]).select("event_type", to_fixed(checked("value"), CENTS).alias("c"))
+    found = op.aggregate_by_key(cents, "event_type", ["c"], op.Largest(3))
+    pairs = F.zip_with(F.col("largest").cast("array<string>"), F.col("times").cast("array<string>"),
+                       lambda v, n: F.concat(v, F.lit(":"), n))
+    return found.select("event_type", F.array_join(pairs, ",").alias("largest"))
+
+
+def q_partition_function(spark: SparkSession, sf: str) -> DataFrame:
+    """A partition function, its sum by worker and the join of both, on one exchange."""
+    rows = _emb(spark, sf).select("vec_id", worker_of("vec_id", WORKERS).alias("worker"), "embedding")
+    scored = op.with_function(rows, op.position_weighted(EMBEDDING_SCALE), ["embedding"], "long", "score")
+    laid_out = op.laid_out(scored.select("vec_id", "worker", "score"), ["worker"], WORKERS)
+    return op.with_totals(laid_out, ["worker"], {
+        "worker_total": lambda w: exact_sum_over("score", w), "worker_rows": lambda w: F.count(F.lit(1)).over(w)})
+
+
+def q_libsvm_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as a LibSVM file, read back by path in byte ranges."""
+    path = scratch_path(spark, "libsvm")
+    src.libsvm_lines(_emb(spark, sf, ("label", "embedding")), features="embedding").write.text(path)
+    back = src.load_files(spark, src.LibSVMSource, path, SPLIT_BYTES)
+    cells = back.select("label", F.posexplode_outer(F.arrays_zip("indices", "values")).alias("pos", "e"))
+    return cells.groupBy("label").agg(
+        F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("cnt"),  # a row's first entry, or none
+        F.coalesce(exact_sum(to_fixed("e.values")), F.lit(0)).alias("total"))
+
+
+def q_dense_text_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as a dense text matrix, read back by path in byte ranges."""
+    path = scratch_path(spark, "dense")
+    src.write_dense_text(_emb(spark, sf, ("embedding",)), path, "embedding")
+    back = src.load_files(spark, src.DenseSource, path, SPLIT_BYTES)
+    return op.all_reduce(back.select(F.posexplode("vec").alias("dim", "x")).select("dim", to_fixed("x").alias("g")))
+
+
+def q_sparse_all_reduce(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse ML vectors of the elements whose fixed point is a multiple of 3, read from a LibSVM file."""
+    thin = _emb(spark, sf, ("label", "embedding")).withColumn("embedding", F.transform(
+        F.col("embedding").cast("array<double>"), lambda x: F.when(F.pmod(to_fixed(x), F.lit(3)) == 0, x).otherwise(0.0)))
+    path = scratch_path(spark, "sparse")
+    src.libsvm_lines(thin, features="embedding").write.text(path)
+    return op.sparse_all_reduce(src.read_libsvm(spark, path, MLP_LAYERS[0]))
+
+
+def q_exact_split(spark: SparkSession, sf: str) -> DataFrame:
+    return op.exact_split(_emb(spark, sf, ("vec_id",)), "vec_id", SPLIT)
+
+
+def q_materialise(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells, stored with a manifest, taken again by a second call, and their digest."""
+    path = scratch_path(spark, "materialised")
+    op.materialise(_long(spark, sf), path)
+    return op.fingerprint(op.materialise(_long(spark, sf), path).df)
+
+
 def q_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     lab = src.labels(spark, sf, ["quality", "toxic"])
     return op.accuracy(lab.select(F.col("quality").alias("prediction"),
@@ -402,6 +524,71 @@ from labels""",
     "map_partitions_sum": SQL_TOTALS,
     "cache_count": "select count(*) as cnt from embeddings",
 }
+SQL["block_all_reduce"] = SQL["dense_text_file"] = SQL_TOTALS
+SQL["block_stats"] = SQL["gradient_stats"]
+SQL["libsvm_file"] = SQL["libsvm_source"]
+SQL["gd_step_given"] = BASE + """
+, w0 as (select cast(unnest(range(len(e))) as int) as dim, cast(unnest(e) as double) as w
+         from (select arg_min(embedding, vec_id) as e from embeddings))
+select dim, any_value(w) - 0.2::double * (cast(sum(g) as double) / 1e6) / 8.0::double as w
+from long join w0 using (dim) group by dim"""
+SQL["gd_weight_table"] = BASE + """
+, t as (select dim, cast(sum(g) as double) / 1e6 as t from long group by dim),
+v0 as (select cast(unnest(range(len(e))) as int) as dim, cast(unnest(e) as double) as w
+       from (select arg_min(embedding, vec_id) as e from embeddings)),
+v1 as (select dim, w - 0.2::double * t / 8.0::double as w from v0 join t using (dim)),
+v2 as (select dim, w - 0.2::double * t / 8.0::double as w from v1 join t using (dim))
+select cast(0 as int) as version, dim, w from v0 union all select 1, dim, w from v1 union all select 2, dim, w from v2"""
+SQL["moments"] = f"""
+select user_id, count(*) as cnt, cast(sum(c) as double) as s1, cast(sum(c * c) as double) as s2,
+       cast(sum(c * c * c) as double) as s3, cast(sum(c * c * c * c) as double) as s4
+from (select user_id, cast({SQL_CENTS} as hugeint) as c from events) group by user_id"""
+SQL["largest_values"] = f"""
+select event_type, string_agg(c || ':' || n, ',' order by c desc) as largest from (
+  select event_type, c, count(*) as n, row_number() over (partition by event_type order by c desc) as r
+  from (select event_type, {SQL_CENTS} as c from events) group by event_type, c)
+where r <= 3 group by event_type"""
+SQL["partition_function"] = """
+with s as (
+  select vec_id, cast(((vec_id % 8) + 8) % 8 as int) as worker,
+         cast(list_sum(list_transform(range(1, len(embedding) + 1), lambda i:
+              i * cast(floor(cast(embedding[i] as double) * 1e6 + 0.5) as bigint))) as bigint) as score
+  from embeddings)
+select vec_id, worker, score, cast(sum(score) over w as bigint) as worker_total, count(*) over w as worker_rows
+from s window w as (partition by worker)"""
+SQL["sparse_all_reduce"] = BASE + """
+, x as (select cast(unnest(range(len(embedding))) as int) as dim, cast(unnest(embedding) as double) as x from embeddings)
+select dim, cast(sum(cast(floor(x * 1e6 + 0.5) as bigint)) as bigint) as total, count(*) as support
+from x where x <> 0 and cast(floor(x * 1e6 + 0.5) as bigint) % 3 = 0 group by dim"""
+SQL["exact_split"] = """
+with h as (select vec_id, row_number() over (order by cast('0x' || substr(md5(cast(vec_id as varchar)), 1, 15) as bigint),
+                                             vec_id) as r, count(*) over () as n from embeddings)
+select vec_id, case when r <= floor(0.8::double / 1.0::double * n + 0.5) then 'train'
+                    when r <= floor((0.8::double + 0.05::double) / 1.0::double * n + 0.5) then 'check'
+                    else 'test' end as split
+from h"""
+SQL["materialise"] = BASE + """
+select count(*) as cnt, cast(sum(cast('0x' || substr(md5(worker || '|' || dim || '|' || g), 1, 15) as bigint)) as varchar)
+       as digest
+from long"""
+
+
+def _mlp_forward_sql() -> str:
+    """The layers written out: a weighted sum and its sigmoid for each unit, then the first largest."""
+    x = "list_transform(embedding, lambda v: cast(v as double))"
+    last = len(MLP_LAYERS) - 2
+    ctes = [f"with l0 as (select vec_id, {x} as x from embeddings)"]
+    for layer, (inputs, units) in enumerate(zip(MLP_LAYERS, MLP_LAYERS[1:])):
+        w = f"((31 * {layer} + 17 * u + 7 * (i - 1)) % 23 - 11) / 10.0::double"
+        z = (f"list_sum(list_transform(range(1, {inputs + 2}), lambda i: {w} * "
+             f"(case when i <= {inputs} then x[i] else 1.0::double end)))")
+        out = z if layer == last else f"1.0::double / (1.0::double + exp(-{z}))"
+        ctes.append(f"l{layer + 1} as (select vec_id, list_transform(range(0, {units}), lambda u: {out}) as x from l{layer})")
+    return (", ".join(ctes) + f" select vec_id, cast(list_position(x, list_max(x)) - 1 as double) as prediction "
+            f"from l{last + 1}")
+
+
+SQL["mlp_forward"] = _mlp_forward_sql()
 SQL["hierarchical_all_reduce_rollup"] = SQL["hierarchical_all_reduce"]
 
 
@@ -443,6 +630,19 @@ CATALOGUE: list[Query] = [
     Query("accuracy", q_accuracy, SQL["accuracy"], ("O32",)),
     Query("map_partitions_sum", q_map_partitions_sum, SQL["map_partitions_sum"], ("O33",)),
     Query("cache_count", q_cache_count, SQL["cache_count"], ("O36",)),
+    Query("block_all_reduce", q_block_all_reduce, SQL["block_all_reduce"], ("O14", "O20")),
+    Query("block_stats", q_block_stats, SQL["block_stats"], ("O14", "O25")),
+    Query("gd_step_given", q_gd_step_given, SQL["gd_step_given"], ("O15",)),
+    Query("gd_weight_table", q_gd_weight_table, SQL["gd_weight_table"], ("O15", "O27", "O28")),
+    Query("moments", q_moments, SQL["moments"], ("O37",)),
+    Query("largest_values", q_largest_values, SQL["largest_values"], ("O37",)),
+    Query("partition_function", q_partition_function, SQL["partition_function"], ("O33",)),
+    Query("libsvm_file", q_libsvm_file, SQL["libsvm_file"], ("O03",)),
+    Query("dense_text_file", q_dense_text_file, SQL["dense_text_file"], ("O04",)),
+    Query("sparse_all_reduce", q_sparse_all_reduce, SQL["sparse_all_reduce"], ("O03", "O20")),
+    Query("exact_split", q_exact_split, SQL["exact_split"], ("O29",)),
+    Query("materialise", q_materialise, SQL["materialise"], ("O36",)),
+    Query("mlp_forward", q_mlp_forward, SQL["mlp_forward"], ("O31",)),
 ]
 
 BY_NAME = {q.name: q for q in CATALOGUE}
