@@ -101,6 +101,28 @@ def test_odd_rows_empty_tables_and_clashing_names(spark):
         op.encoded(df, capacity=0)
 
 
+def test_words_in_a_row_are_the_whole_text():
+    from tokenizers import Tokenizer
+    path = tokenizer_file(op.VOCABULARY)
+    with open(path, "rb") as file:
+        encoder = op.Encoder(file.read())
+    encoder.words.most_bytes = encoder.plain_words.most_bytes = 20_000  # they forget on the way
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = random.Random(8)
+    odd = ["ΟΔΟΣ", "İ", "K", "é", "́", "ǰ", " ", " ", "\x1c", "\x1e", "\x85", "\u200b", "'s", "it's", "’ll", "ﬁ", "㎏", "각",
+           "각", "😀", "👩‍👩‍👧", "<|endoftext|>", "</w>", "Ġ", "12", "३", "a.b", "...", "\ufeff", "\x00"]
+    texts = ["".join(rng.choice(odd + [" ", "  ", "\n", "\t", "\r\n", "\x0b", "a", "B"]) for _ in range(rng.randint(0, 30)))
+             for _ in range(3000)] + ["".join(map(chr, range(i, i + 64))) for i in range(0, 0xD800, 64)]
+    latin = [*map(chr, range(9, 14)), *map(chr, range(32, 127)), *"ÀÖØßöøÿéÉçÇ", "'s", "'LL", "don't", "a.B", "12", "  "]
+    texts += ["".join(rng.choices(latin, k=rng.randint(0, 40))) for _ in range(5000)]
+    for i in range(0, len(texts), 100):
+        rng.shuffle(texts)
+        encoder.encode(texts[i:i + 100])
+    for text, raw in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_sequences_join_their_pieces(spark):
     df = h.docs(spark, [(i, "alpha beta " * (i % 9)) for i in range(60)]).repartition(4)
     pieces = op.packed(df, capacity=16).cache()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,3 +79,33 @@ def chunks(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.
         held += size
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+class Remembered:
+    """Values of pieces that recur, each computed once while it is remembered.
+
+    ``compute`` takes a list of pieces, texts or bytes, and returns their values.  A piece
+    and its value count as nine bytes a character and ``overhead``.  At half of
+    ``most_bytes`` what was not asked for since the last time is forgotten, so memory is
+    bounded by that and one call's pieces.
+    """
+
+    def __init__(self, compute: Callable[[list], list], most_bytes: int = 200_000_000, overhead: int = 180):
+        self.compute, self.most_bytes, self.overhead = compute, most_bytes, overhead
+        self.recent: dict[Hashable, object] = {}
+        self.older: dict[Hashable, object] = {}
+        self.held = 0
+
+    def of(self, pieces: list) -> Callable[[Hashable], object]:
+        """A lookup that knows every one of ``pieces``."""
+        needed = {p for p in pieces if p not in self.recent}
+        if needed and 2 * self.held > self.most_bytes:
+            self.older, self.recent, self.held = self.recent, {}, 0
+            needed = set(pieces)
+        missing = [p for p in needed if p not in self.older]
+        if missing:
+            self.recent.update(zip(missing, self.compute(missing)))
+        if len(missing) < len(needed):
+            self.recent.update((p, self.older[p]) for p in needed if p in self.older)
+        self.held += 9 * sum(map(len, needed)) + self.overhead * len(needed)
+        return self.recent.__getitem__

@@ -16,7 +16,13 @@ Memory: the plan has a few runs for each length, whatever the number of document
 sequence holds at most ``capacity / 2`` different lengths' sum, so runs stay under
 ``capacity ** 1.5`` times a small factor.  The running sum of one length has a row a task.
 A length that a third of all pieces share is spread over all tasks that made such pieces.
-Encoding holds about a megabyte of text at a time, or one longer text.
+Encoding holds about a megabyte of text at a time, or one longer text, and the ids of words
+it remembers, 200 MB.
+
+The tokenizer lower-cases, drops white space and merges within words only, so a text's ids
+are those of its words in a row.  Words recur, so each is encoded once while it is
+remembered.  In texts of ASCII and Latin-1 letters alone, words are cut further by the
+tokenizer's own pattern.
 
 Defined cases: null and empty texts are the end mark alone, one id.  Rows that repeat an id
 are documents of their own.  Documents without an id are packed too.  An empty table gives
@@ -27,7 +33,9 @@ the last of which may be shorter.  Extra columns, of any name, are not read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,26 +44,58 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import chunks, col, saved, tokenizer_file
+from .common import Remembered, chunks, col, saved, tokenizer_file
 
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 _CHUNK_BYTES = 1 << 20
+# The end of a word in this vocabulary, and its pattern for lower-cased ASCII and Latin-1 letters.
+_WORD_END = "</w>"
+_PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+_NOT_PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+_SPACE = re.compile("[\t-\r ]+")
 
-_TOKENIZERS: dict[bytes, object] = {}  # of this worker
 
+class Encoder:
+    """Encodes texts word by word."""
 
-def _tokenizer(vocabulary: bytes):
-    found = _TOKENIZERS.get(vocabulary)
-    if found is None:
+    def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        found = Tokenizer.from_str(vocabulary.decode())
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        _TOKENIZERS.clear()
-        _TOKENIZERS[vocabulary] = found
-    return found
+        self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.lower_case = Tokenizer.from_str(json.dumps(json.loads(vocabulary) | {"normalizer": None}))
+        for tokenizer in (self.tokenizer, self.lower_case):
+            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        ids = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(ids.values()) + 1, bool)
+        self.ends_word[[i for token, i in ids.items() if token.endswith(_WORD_END)]] = True
+        self.words = Remembered(self._encoded)
+        self.plain_words = Remembered(self._plainly_encoded)
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _plainly_encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of words that the pattern cuts no further, encoded in a row and told apart by their last tokens."""
+        ids = np.array(self.lower_case.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for _, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        words, plain = [], []
+        for text in texts:
+            plain.append(not text or not _NOT_PLAIN.search(text))
+            words.append(_PLAIN_WORD.findall(text.lower()) if text and plain[-1] else _SPACE.split(text) if text else [])
+        of = {True: self.plain_words.of([w for one, p in zip(words, plain) if p for w in one]),
+              False: self.words.of([w for one, p in zip(words, plain) if not p for w in one])}
+        return [b"".join(map(of[p], one)) for one, p in zip(words, plain)]
+
+
+_ENCODERS: dict[bytes, Encoder] = {}  # of this worker
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -75,18 +115,21 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap
         schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        encoder = _ENCODERS.get(shared.value)
+        if encoder is None:
+            _ENCODERS.clear()
+            encoder = _ENCODERS[shared.value] = Encoder(shared.value)
+        mark = np.array([end_id], dtype="<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             for rows in chunks(batch, 1, _CHUNK_BYTES):
-                texts = [t or "" for t in rows.column(1).to_pylist()]
                 of, piece, start, length, tokens, number = [], [], [], [], [], []
-                for i, found in enumerate(tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array(found.ids + [end_id], dtype="<u4")
-                    raw = ids.tobytes()
-                    for k, a in enumerate(range(0, len(ids), capacity)):
-                        size = min(capacity, len(ids) - a)
+                for i, ids in enumerate(encoder.encode(rows.column(1).to_pylist())):
+                    raw = ids + mark
+                    many = len(raw) // 4
+                    for k, a in enumerate(range(0, many, capacity)):
+                        size = min(capacity, many - a)
                         of.append(i)
                         piece.append(k)
                         start.append(a)
