@@ -67,6 +67,21 @@ def test_equals_brute_force(spark, tokenizers, heavy):
     assert any(t and not w[0] for t, w in zip(texts, want)) and any(w[0] for w in want)
 
 
+def test_parts_in_a_row_are_the_whole_text(tokenizers):
+    rng = random.Random(8)
+    odd = ["'s", "it's", " 's", "’ll", "ﬁ", "각", "😀", "<|endoftext|>", "<s>", "▁", "▁▁", "12", "३", "a.b", "...", "\ufeff",
+           " ", " ", "\u3000", "\x1c", "\x1e", "\x85", "\x00", "́", "a", "B", "the", "word", " ", "  ", "   ", "\n", "\t", "\r\n"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(5000)]
+    texts += [" ".join(map(chr, range(i, i + 64))) for i in range(0, 0xD800, 64)]
+    for text, (a, b) in zip(texts, tokenizers.encode(texts)):
+        whole_a, whole_b = tokenizers.a.encode(" " + text, add_special_tokens=False).ids, tokenizers.b.encode(text)
+        raw = (" " + text).encode()
+        if b"".join(tokenizers.b_bytes[i] for i in whole_b) != raw:
+            whole_a = whole_b = []
+        assert (a.tolist(), b.tolist()) == (whole_a, whole_b), repr(text)
+        assert " ".join(op.parts_of(text)) == text
+
+
 def test_odd_rows_empty_tables_and_clashing_names(spark, tokenizers):
     df = h.odd(spark)
     texts = [r.text for r in df.collect()]

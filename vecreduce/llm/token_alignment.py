@@ -13,7 +13,13 @@ and most are in a few, so the table of pairs is split by a count.  The ``heavy_p
 frequent, of bounded size, are sent to all tasks and looked up there.  Links of the other
 pairs are joined by shuffle, where no pair has more rows than the least frequent heavy one.
 
-Memory: a batch is aligned about half a megabyte of text at a time, or one longer text.
+Neither tokenizer merges over a space that follows a character other than white space and
+precedes one, so both encode the parts of a text between such spaces on their own.  Parts
+recur, so each is encoded once while it is remembered.  New parts are encoded together and
+told apart by their tokens' bytes.
+
+Memory: a batch is aligned about half a megabyte of text at a time, or one longer text;
+the ids of parts remembered are 200 MB.
 
 Defined cases: null and empty texts, and texts whose tokens' joined bytes differ from a
 space and the text, have no tokens, groups or links.  Rows that repeat an id, and rows
@@ -25,6 +31,7 @@ and aligned whole.  Extra columns, of any name, are not read.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, col, saved, tokenizer_file
+from .common import Remembered, chunks, col, saved, tokenizer_file
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -80,26 +87,78 @@ class Tokenizers:
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
         self.written = [f"{i}{mark}" for i in ids for mark in _MARKS]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+        self.parts = Remembered(self._encoded, overhead=320)
+
+    def _both(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides of each part, with a space before it."""
+        a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
+        return [e.ids for e in a], self.b.encode(parts, num_threads=1) if parts else []
+
+    def _encoded(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Each part's ids on both sides, and whether their bytes are a space and the part."""
+        plain = [p for p in parts if p and not (p[0].isspace() or p[-1].isspace() or "▁" in p)]
+        found = dict(zip(plain, self._joined(plain))) if plain else {}
+        others = [p for p in parts if p not in found]
+        for part, a, b in zip(others, *self._both(others)):
+            raw = b" " + part.encode()
+            same = (b"".join(map(self.a_bytes.__getitem__, a)) == raw
+                    and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
+            found[part] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
+        return [found[p] for p in parts]
+
+    def _joined(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """``_encoded`` of parts without white space at their ends; none if a token crosses two of them."""
+        whole = " ".join(parts)
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        cut = []
+        for ids, sizes, pieces in zip(self._both([whole]), (self.a_sizes, self.b_sizes), (self.a_bytes, self.b_bytes)):
+            flat = np.array(ids[0], np.int32)
+            token_ends = np.cumsum(sizes[flat])
+            at = np.searchsorted(token_ends, ends)
+            if (b"".join(map(pieces.__getitem__, ids[0])) != b" " + whole.encode()
+                    or not np.array_equal(token_ends[at], ends)):
+                return []
+            raw, at = flat.tobytes(), (4 * at + 4).tolist()
+            cut.append([raw[x:y] for x, y in zip([0, *at[:-1]], at)])
+        return [(a, b, True) for a, b in zip(*cut)]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of both sides of each text, none where the bytes differ from a space and the text."""
-        some = [t for t in texts if t]
-        a_ids = iter(self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False))
-        b_ids = iter(self.b.encode(some, num_threads=1) if some else [])
+        parts = [parts_of(t) if t else [] for t in texts]
+        of = self.parts.of([p for one in parts for p in one])
         found = []
-        for text in texts:
-            a, b = (next(a_ids).ids, next(b_ids)) if text else ([], [])
-            if text:
+        for text, one in zip(texts, parts):
+            a, b, same = zip(*map(of, one)) if one else ((), (), ())
+            a, b = (np.frombuffer(b"".join(raws), np.int32) for raws in (a, b))
+            if not all(same):
                 raw = b" " + text.encode()
                 if (b"".join(map(self.a_bytes.__getitem__, a)) != raw
                         or b"".join(map(self.b_bytes.__getitem__, b)) != raw):
-                    a, b = [], []
+                    a = b = a[:0]
             found.append((a, b))
         return found
 
 
-def _frame(ids: list[list[int]], sizes: np.ndarray, name: str) -> pd.DataFrame:
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+
+
+def parts_of(text: str) -> list[str]:
+    """``text`` cut at the spaces between two other characters; other white space stays inside a part."""
+    parts = text.split(" ")
+    if parts[0] and not _ODD_SPACE.search(text):
+        return parts
+    whole = [parts[0]]
+    for part in parts[1:]:
+        if part and not part[0].isspace() and whole[-1] and not whole[-1][-1].isspace():
+            whole.append(part)
+        else:
+            whole[-1] += " " + part
+    return whole
+
+
+def _frame(ids: list[np.ndarray], sizes: np.ndarray, name: str) -> pd.DataFrame:
     """The tokens of some documents laid end to end: their ``doc``, byte range and place."""
-    flat = np.fromiter((i for one in ids for i in one), dtype=np.int64, count=sum(map(len, ids)))
+    flat = np.concatenate([np.array([], np.int32), *ids]).astype(np.int64)
     ends = np.cumsum(sizes[flat])
     return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), list(map(len, ids))), "start": ends - sizes[flat],
                          "end": ends, name: np.arange(len(flat)), "token": flat})
@@ -121,8 +180,11 @@ def _groups(a: pd.DataFrame, b: pd.DataFrame, written: list[str]) -> tuple[np.nd
     The second is one string for each token, in the order group, side, place.
     """
     a_ends, b_ends = a["end"].to_numpy(), b["end"].to_numpy()
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    group = np.concatenate([np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)])
+    ended = np.zeros((2, a_ends[-1] + 1), bool)
+    ended[0, a_ends] = ended[1, b_ends] = True
+    both = ended[0] & ended[1]
+    before = np.cumsum(both) - both  # groups that end earlier
+    group = np.concatenate([before[a_ends], before[b_ends]])
     side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
     order = np.argsort(2 * group + side, kind="stable")
     group, side = group[order], side[order]
@@ -131,7 +193,7 @@ def _groups(a: pd.DataFrame, b: pd.DataFrame, written: list[str]) -> tuple[np.nd
     mark = np.full(len(order), _MARKS.index(""))
     same = group[1:] == group[:-1]
     mark[:-1] = np.where(doc[1:] != doc[:-1], 3, np.where(~same, 2, np.where(side[1:] != side[:-1], 1, 0)))
-    of_group = a["doc"].to_numpy()[np.searchsorted(a_ends, common)]
+    of_group = a["doc"].to_numpy()[both[a_ends]]
     return of_group, list(map(written.__getitem__, (len(_MARKS) * token + mark).tolist()))
 
 
