@@ -53,3 +53,14 @@ def test_no_rules_no_rows(spark):
             [(None, "", "", None, "block")] + 2 * [(1, "net", "/", None, "block")], key=str)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert op.verdicts(df.limit(0), rules).count() == 0
+
+
+@pytest.mark.parametrize("most_bytes", [op.MOST_BYTES, 0])
+def test_hosts_of_very_many_labels(spark, most_bytes):
+    import time
+    urls = ["http://" + "a." * 100_000 + "example.com/de/x", "http://" + "." * 100_000, "http://net/" + "/" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    start = time.perf_counter()
+    got = {r.id: tuple(r)[1:] for r in op.verdicts(df, rules, most_bytes=most_bytes).collect()}
+    assert got == {i: brute(u, RULES) for i, u in enumerate(urls)} and time.perf_counter() - start < 30

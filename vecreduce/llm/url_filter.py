@@ -15,7 +15,9 @@ are joined with the URLs' candidates by key and string instead (``verdicts_by_jo
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, and no rule
 fits it but one with an empty host and path.  Rules with a null host are left out; a null
-path is empty.  Of rules with the same host and path the blocking one counts.
+path is empty.  Of rules with the same host and path the blocking one counts.  A very long
+URL costs in proportion to its length: only suffixes of as many labels as some rule's are
+probed.  Empty tables give empty results; extra columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -50,16 +52,17 @@ def _key(host: str, path: str) -> int:
 
 
 def packed(rules: list[tuple[str, str, str]]) -> bytes:
-    """The file of ``(host, path, verdict)`` rules: counts, sorted keys, places, strings."""
+    """The file of ``(host, path, verdict)`` rules: counts, sizes that occur, sorted keys, places, strings."""
     unique: dict[tuple[str, str], str] = {}
     for host, path, verdict in rules:
         at = (host, path)
         unique[at] = "block" if "block" in (verdict, unique.get(at)) else verdict
     ordered = sorted((_key(*at), _SEPARATOR.join((*at, verdict)).encode()) for at, verdict in unique.items())
     lengths = sorted({len(path) for _, path in unique})
+    labels = sorted({host.count(".") + 1 for host, _ in unique})
     places = np.cumsum([0] + [len(text) for _, text in ordered], dtype="<u8")
-    return b"".join([np.array([len(ordered), len(lengths)], dtype="<u8").tobytes(),
-                     np.array(lengths, dtype="<u8").tobytes(),
+    return b"".join([np.array([len(ordered), len(lengths), len(labels)], dtype="<u8").tobytes(),
+                     np.array(lengths + labels, dtype="<u8").tobytes(),
                      np.array([key for key, _ in ordered], dtype="<u8").tobytes(),
                      places.tobytes(), b"".join(text for _, text in ordered)])
 
@@ -69,10 +72,12 @@ class Rules:
 
     def __init__(self, path: str):
         data = np.memmap(path, dtype=np.uint8, mode="r")
-        count, widths = data[:16].view("<u8").tolist()
-        at = 16
+        count, widths, depths = data[:24].view("<u8").tolist()
+        at = 24
         self.path_lengths = data[at:at + 8 * widths].view("<u8").tolist()
         at += 8 * widths
+        self.label_counts = data[at:at + 8 * depths].view("<u8").tolist()
+        at += 8 * depths
         self.keys = data[at:at + 8 * count].view("<u8")
         at += 8 * count
         self.places = data[at:at + 8 * (count + 1)].view("<u8")
@@ -90,7 +95,8 @@ class Rules:
 
     def __call__(self, urls: list[tuple[str, str]]) -> list[tuple[str, str] | None]:
         """``(rule, verdict)`` of each host and path, or None."""
-        candidates = [(i, host, path) for i, at in enumerate(urls) for host, path in _candidates(*at, self.path_lengths)]
+        candidates = [(i, host, path) for i, at in enumerate(urls) for host, path in _candidates(
+            *at, self.path_lengths, self.label_counts)]
         keys = np.array([_key(host, path) for _, host, path in candidates], dtype="<u8")
         places = np.searchsorted(self.keys, keys)
         inside = places < len(self.keys)
@@ -105,11 +111,13 @@ class Rules:
         return [None if b is None else b[1:] for b in best]
 
 
-def _candidates(host: str, path: str, path_lengths: list[int]) -> Iterator[tuple[str, str]]:
-    """Every suffix of the host at a label with every prefix of the path as long as some rule's."""
+def _candidates(host: str, path: str, path_lengths: list[int], label_counts: list[int]) -> Iterator[tuple[str, str]]:
+    """Every suffix of the host of as many labels as some rule's, with every prefix of the path as long as some rule's."""
     labels = host.split(".")
-    for i in range(len(labels)):
-        suffix = ".".join(labels[i:])
+    for many in label_counts:
+        if many > len(labels):
+            break
+        suffix = ".".join(labels[-many:])
         for length in path_lengths:
             if length > len(path):
                 break
@@ -169,10 +177,13 @@ def verdicts_by_join(urls: DataFrame, rules: DataFrame, id_col: str = "page_id",
     """The same for rules of any number: candidates meet rules by host and path in a shuffled join.
 
     Distinct hosts and paths are matched once, however many rows share them.  The lengths of
-    the rules' paths come to the driver: no more numbers than the longest path has characters.
+    the rules' paths and the label counts of their hosts come to the driver: no more numbers
+    than the longest path and host have characters.
     """
     rules = _rule_table(rules).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     lengths = sorted(r.n for r in rules.select(F.char_length("path").alias("n")).distinct().collect())
+    counts = sorted(r.n for r in rules.select(F.size(F.split("host", "[.]")).alias("n")).distinct().collect())
+    deep = "filter(array({}), k -> k <= size(labels))".format(", ".join(map(str, counts)) or "cast(null as int)")
     fitting = "filter(array({}), x -> x <= char_length(path))".format(", ".join(map(str, lengths)) or "cast(null as int)")
     given = urls.select(
         col(id_col).alias("id"), F.expr("coalesce(regexp_extract(`{0}`, '(?s)://([^/?#]*)', 1), '')".format(
@@ -183,7 +194,7 @@ def verdicts_by_join(urls: DataFrame, rules: DataFrame, id_col: str = "page_id",
     candidates = (
         distinct.withColumn("labels", F.split("host", "[.]"))
         .select("host", "path", F.explode(F.expr(
-            "transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")).alias("suffix"))
+            f"transform({deep}, k -> array_join(slice(labels, -k, k), '.'))")).alias("suffix"))
         .select("host", "path", "suffix", F.explode(F.expr(fitting)).alias("n"))
         .select("host", "path", "suffix", F.expr("left(path, n)").alias("prefix")))
     named = rules.select(F.col("host").alias("suffix"), F.col("path").alias("prefix"), "verdict")
