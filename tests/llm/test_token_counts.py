@@ -55,3 +55,24 @@ def test_whole_fields_and_odd_rows(spark, encoder):
     assert none.n_tokens == 0 and [tuple(s) for s in none.sections] == [(0, 0, 0, 0)]
     with pytest.raises(ValueError):
         op.counted(df, rule="other")
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\t \u3000", "\r\n  ", "\x85\xa0"])
+@pytest.mark.parametrize("around", [("", ""), ("a", "b"), ("a.", " b"), ("", "\x1c1"), ("x", "\n")])
+def test_long_white_space_equals_the_whole_text(encoder, run, around):
+    text = around[0] + run * (24_000 // len(run)) + around[1]
+    both = text + "the end" + text
+    for t in (text, both):
+        assert encoder.ids(t) == encoder.encoding.encode_ordinary(t)
+
+
+def test_millions_of_white_space_characters_do_no_harm(spark, encoder):
+    texts = [" " * 2_000_000 + "x", "\n" * 2_000_000, "a" + " \n\t" * 700_000 + " b"]
+    got = {r.id: r for r in op.counted(h.docs(spark, list(enumerate(texts))), by_line=False).collect()}
+    for i, text in enumerate(texts):
+        run = [c for c in text if c.isspace()]
+        whole = len(run) - (i != 1)  # but for the last one where something follows
+        first = encoder.runs.encode_ordinary("".join(run[:whole]))
+        rest = {0: 2, 1: 0, 2: 2}[i]  # the last space and x are two pieces of a word, or one; counted below
+        assert b"".join(map(encoder.encoding.decode_single_token_bytes, encoder.ids(text))).decode() == text
+        assert got[i].n_tokens == len(encoder.ids(text)) and len(first) <= got[i].n_tokens <= len(first) + rest

@@ -15,12 +15,15 @@ So the sections' counts always add up to the document's.  Documents never meet:
 is shuffled.  The vocabulary is a file of bounded size that the driver reads and sends out.
 
 Defined cases: null fields count as empty.  An empty document has no tokens and one empty
-section for each field.  Repeated rows give repeated results.
+section for each field.  Repeated rows give repeated results.  Very long texts are encoded
+whole, also those of white space only.  An empty table gives an empty result; extra
+columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,9 @@ from .common import col
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this vocabulary's encoder cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the characters that the pattern's \s stands for.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"[{_SPACE}]{{10000,}}")
 RULES = ("start", "end", "most")
 _SECTIONS = pa.list_(pa.struct([("field", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
                                 ("tokens", pa.int64())]))
@@ -48,10 +54,28 @@ class Encoder:
         for piece, rank in ranks.items():
             self.lengths[rank] = len(piece)
         self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.runs = None
+        if pattern == PATTERN:
+            self.runs = tiktoken.Encoding("runs", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        """The ids of a text.
+
+        The encoder's matcher recurses over white space and fails on very long runs.  By the
+        pattern such a run is one piece but for its last character, which goes with what
+        follows it; so it is merged on its own, and the text is encoded from there on.
+        """
+        found, at = [], 0
+        for run in _LONG_RUN.finditer(text) if self.runs else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            found += self.encoding.encode_ordinary(text[at:run.start()])
+            found += self.runs.encode_ordinary(text[run.start():end])
+            at = end
+        return found + self.encoding.encode_ordinary(text[at:])
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The first and last character of each token; tokens that share a character both have it."""
-        ids = np.array(self.encoding.encode_ordinary(text), dtype=np.int64)
+        ids = np.array(self.ids(text), dtype=np.int64)
         ends = np.cumsum(self.lengths[ids])
         starts = ends - self.lengths[ids]
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -123,15 +147,19 @@ def counted(docs: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = (
             _ENCODERS.clear()
             encoder = _ENCODERS[key] = Encoder(*key)
         for batch in batches:
-            totals, sections = [], []
+            totals, parts, bounds = [], [], [0]
             for i in range(batch.num_rows):
                 text, starts, numbers = sections_of([c[i].as_py() for c in batch.columns[1:]], by_line)
                 counts = attributed(*encoder.spans(text), starts, len(text), rule)
                 ends = np.append(starts[1:], len(text))
                 totals.append(int(counts.sum()))
-                sections.append([{"field": f, "start": a, "end": b, "tokens": n} for f, a, b, n in
-                                 zip(numbers.tolist(), starts.tolist(), ends.tolist(), counts.tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()),
-                                              pa.array(sections, _SECTIONS)], names=schema.names)
+                parts.append((numbers, starts, ends, counts))
+                bounds.append(bounds[-1] + len(starts))
+            columns = [np.concatenate(c) for c in zip(*parts)] if parts else [[]] * 4
+            sections = pa.StructArray.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(columns, _SECTIONS.value_type)], fields=list(_SECTIONS.value_type))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(totals, pa.int64()),
+                 pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), sections)], names=schema.names)
 
     return given.mapInArrow(run, schema)
