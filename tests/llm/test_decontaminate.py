@@ -79,3 +79,20 @@ def test_odd_rows_and_empty_tables(spark):
     found = {r.id: r for r in op.matched(df, bench).collect()}
     assert found[4].n_hit == 3 * 20_000 and found[4]["items"] == ["a,b"] and found[5].n_hit == found[4].n_hit
     assert op.matched(h.docs(spark, []), bench).count() == 0
+
+
+def test_one_repeated_word_takes_time_in_proportion():
+    import time
+    start = time.perf_counter()
+    many = [b"same"] * 200_000
+    automaton = op.SuffixAutomaton([("1", many), ("2", [b"same"] * 3), ("3", [b"same", b"other"])])
+    spans, items = automaton.matches(many)
+    assert spans == [(0, 200_000)] and items == {"1", "2"} and time.perf_counter() - start < 20
+
+
+def test_short_items_inside_longer_runs():
+    items = [("a", [b"x"]), ("b", [b"y", b"x"]), ("c", [b"z", b"y", b"x", b"w"]), ("d", [b"x", b"w"] * 6)]
+    automaton = op.SuffixAutomaton(items)
+    for words, spans, found in [([b"x"], [(0, 1)], {"a"}), ([b"q", b"y", b"x"], [(1, 3)], {"a", "b"}),
+                                ([b"y", b"y"], [], set()), ([b"z", b"y", b"x", b"w"], [(0, 4)], {"a", "b", "c"})]:
+        assert automaton.matches(words) == (spans, found)

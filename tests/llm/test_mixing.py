@@ -98,3 +98,12 @@ def test_odd_rows_and_empty_tables(spark):
     assert op.copied(h.docs(spark, [])).count() == 0
     assert [r.taken for r in op.mixed(h.docs(spark, [(1, ""), (2, None)])).collect()] == [0, 0]
     assert op.copied(df).where("doc_id is null").count() <= 4
+
+
+def test_a_column_named_copy_stays(spark):
+    df = h.docs(spark, [(i, "w " * (i % 5 + 1), "ab"[i % 2]) for i in range(40)])
+    given = op.copied(df)
+    clash = op.copied(df.selectExpr("*", "'mine' as Copy", "1 as copy_"))
+    assert clash.columns[-3:] == ["Copy", "copy_", "copy__"]
+    assert sorted((r.doc_id, r["copy__"]) for r in clash.collect()) == sorted((r.doc_id, r["copy"]) for r in given.collect())
+    assert {r["Copy"] for r in clash.collect()} == {"mine"}

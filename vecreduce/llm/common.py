@@ -6,7 +6,6 @@ columns it needs under names of its own, so extra columns of any name do no harm
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 
@@ -14,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+from ..session import scratch_path
 
-_OWN_FOLDER: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def col(name: str) -> Column:
@@ -40,14 +39,8 @@ def salt_of(key: Column, salts: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a session without one (tests) gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _OWN_FOLDER.get(app)
-        if root is None:
-            root = _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="vecreduce-llm-")
-    return root.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``; only a ``local`` session without one gets its own."""
+    return scratch_path(spark, "llm").rpartition("/")[0]
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

@@ -12,6 +12,9 @@ The benchmark's size is measured first, and its items are taken in blocks of abo
 run over all documents; with several blocks the spans found so far are saved with the
 documents between passes.  Documents never meet, so nothing is shuffled.
 
+States know their window and the short items that end with them, so texts and items of one
+repeated word take time in proportion to their length.
+
 Defined cases: null and wordless texts have no words and no hits.  Items without words
 match nothing.  Items with a null id hit words but are not listed.  Items that share an id
 are one item.  An empty benchmark hits nothing.  Repeated documents are judged alike.
@@ -64,13 +67,21 @@ class SuffixAutomaton:
             if words:
                 shortest = min(shortest, len(words))
         self.shortest = shortest
+        #: The state of each state's last ``window`` words, and the nearest that ends a whole short item; 0 is none.
+        self.window_state, self.short_state = [0] * len(self.step), [0] * len(self.step)
+        short_ends = {v for v, _, short in ends if short}
+        for v in sorted(range(1, len(self.step)), key=self.longest.__getitem__):  # links lead to shorter ones
+            up = self.link[v]
+            if self.longest[v] >= window:
+                self.window_state[v] = self.window_state[up] or v
+            self.short_state[v] = v if v in short_ends else self.short_state[up]
         self.items_of_window: dict[int, set[str]] = {}
         self.short_items: dict[int, set[str]] = {}
         for v, item, short in ends:
             if short:
                 self.short_items.setdefault(v, set()).update([] if item is None else [item])
             else:
-                self.items_of_window.setdefault(self._window_state(v), set()).update([] if item is None else [item])
+                self.items_of_window.setdefault(self.window_state[v], set()).update([] if item is None else [item])
 
     def _state(self, longest: int, link: int, step: dict[bytes, int]) -> int:
         self.longest.append(longest)
@@ -102,17 +113,12 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, self.step[p][word], word)
         return new
 
-    def _window_state(self, v: int) -> int:
-        while self.longest[self.link[v]] >= self.window:
-            v = self.link[v]
-        return v
-
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """The hit spans ``[first, last)`` of a document's words, in order, and the items that hit them."""
         step, link, longest, shortest, window = self.step, self.link, self.longest, self.shortest, self.window
-        short_items = self.short_items
+        short_items, window_state, short_state = self.short_items, self.window_state, self.short_state
         spans: list[tuple[int, int]] = []
-        states, items = set(), set()
+        states, items, ended = set(), set(), set()
         v = length = 0
         for i, word in enumerate(words, 1):
             t = step[v].get(word)
@@ -129,14 +135,14 @@ class SuffixAutomaton:
             found = 0
             if length >= window:
                 found = window
-                states.add(self._window_state(v))
+                states.add(window_state[v])
             if short_items:
-                u = v
-                while u > 0:
-                    if u in short_items and length >= longest[u]:
-                        found = max(found, longest[u])
-                        items |= short_items[u]
-                    u = link[u]
+                u = short_state[v]
+                if u and length < longest[u]:  # of this state a longer run than the match is an item
+                    u = short_state[link[u]]
+                if u:
+                    found = max(found, longest[u])
+                    ended.add(u)
             if found:
                 first = i - found
                 while spans and spans[-1][1] >= first:
@@ -144,6 +150,10 @@ class SuffixAutomaton:
                 spans.append((first, i))
         for state in states:
             items |= self.items_of_window[state]
+        for u in ended:  # and the shorter items that end with it, of fewer words each
+            while u:
+                items |= short_items[u]
+                u = short_state[link[u]]
         return spans, items
 
 

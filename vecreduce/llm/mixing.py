@@ -197,7 +197,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def copied(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
            copy_col: str = "copy", weights: Sequence[float] = WEIGHTS, share: float = SHARE,
            most: float = MOST) -> DataFrame:
-    """The mix itself: each row as often as it is taken, numbered from 1 in ``copy_col``."""
+    """The mix itself: each row as often as it is taken, numbered from 1 in ``copy_col``.
+
+    If ``docs`` has such a column, underscores are put behind the new one's name until it is free.
+    """
+    while copy_col.lower() in {c.lower() for c in docs.columns}:
+        copy_col += "_"
     def sized(*more):
         return docs.select(col(id_col).alias("id"), col(source_col).alias("source"),
                            size_of(col(text_col)).alias("size"), *more)
