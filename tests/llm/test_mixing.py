@@ -4,6 +4,7 @@ import re
 import helpers as h
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from vecreduce.llm import mixing as op
 
 WEIGHTS = [5, 2, 1]
@@ -107,3 +108,23 @@ def test_a_column_named_copy_stays(spark):
     assert clash.columns[-3:] == ["Copy", "copy_", "copy__"]
     assert sorted((r.doc_id, r["copy__"]) for r in clash.collect()) == sorted((r.doc_id, r["copy"]) for r in given.collect())
     assert {r["Copy"] for r in clash.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("words", [400, 1])
+def test_equal_documents_miss_the_target_by_one_at_most(spark, words):
+    rows = [(i + 1000 * s, "w " * words, f"s{s}") for s in range(4) for i in range(50)]
+    for start in (0, 7_000_000):
+        got = op.mixed(h.docs(spark, [(i + start, t, s) for i, t, s in rows]).withColumnRenamed("source", "src"),
+                       source_col="src").join(
+            h.docs(spark, [(i + start, t, s) for i, t, s in rows]).select(F.col("doc_id").alias("id"), "source"), "id")
+        for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= words
+
+
+def test_mixed_sizes_come_nearer_than_the_longest_document(spark):
+    rng = random.Random(11)
+    rows = [(i, "w " * rng.choice([1, 3, 20, 90, 300]), f"s{i % 5}") for i in range(400)]
+    got = op.mixed(h.docs(spark, rows)).join(h.docs(spark, rows).select(F.col("doc_id").alias("id"), "source"), "id")
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 150
+    assert {r.copies for r in got.select("copies").distinct().collect()} <= {0, 1, 2}

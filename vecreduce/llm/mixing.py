@@ -11,8 +11,10 @@ distributed aggregate over the table of (source, size, documents), guarded by bi
 
 Rates are rounded to whole copies by a hash of the document id, from the longest documents
 to the shortest: after each class of sizes, the rates of the smaller documents are scaled
-so that they make up for what rounding gave or took.  So a source misses its target by
-about the size of its shortest documents.
+so that they make up for what rounding gave or took.  What is still missing then is made up by
+moving a source's hashes: of all documents those whose hash lies nearest to their fraction
+change by one copy, as many as bring the source nearest to its target.  So a source misses
+its target by about half of one document.
 
 Tables of sources have one row for each source.  The sources are counted once; documents
 meet them in a join that broadcasts a table of at most ``MOST_SOURCES`` rows and is left to
@@ -20,7 +22,8 @@ Spark beyond that.  Documents of one source never meet in a task.
 
 Defined cases: null texts have size 0 and are taken 0 times, as all empty ones.  A null
 source is a source, the last in order.  A source without words has target 0.  Rows that
-repeat an id are rounded alike.  Reruns agree.
+repeat an id are rounded alike.  Reruns agree.  Very long texts count all their words.  An
+empty table gives an empty result; extra columns stay in the mix and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 10_000
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
+_SHIFT_POINTS = 32
+_SHIFT_ROUNDS = 5
 _BASE = 4  # documents are rounded in classes of sizes [4^c, 4^(c + 1))
 
 
@@ -134,12 +139,14 @@ def _class(size: str = "size") -> Column:
     return F.expr(f"size(filter(transform(sequence(1, 31), c -> shiftleft(1L, 2 * c)), b -> b <= {size}))")
 
 
-def _copies(most: float) -> Column:
-    """Whole copies: the scaled rate, rounded up where the id's hash falls below its fraction."""
+def _copies(most: float, shift: Column | None = None) -> Column:
+    """Whole copies: the scaled rate, rounded up where the id's hash falls below its fraction and the ``shift``."""
     scale = F.coalesce(F.get("scales", F.col("class")), F.lit(0.0))
     rate = F.least(F.lit(most), F.greatest(F.lit(0.0), _rate(most) * scale))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("copies")), 11) / F.lit(float(1 << 53))
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+    part = rate - F.floor(rate)
+    copies = F.floor(rate) + F.when(draw < (part if shift is None else part + shift), 1).otherwise(0)
+    return (copies if shift is None else F.least(F.lit(math.ceil(most)), copies)).cast("long")
 
 
 def rounded(sizes: DataFrame, counts: DataFrame, state: DataFrame, by_source: BySource,
@@ -169,6 +176,32 @@ def rounded(sizes: DataFrame, counts: DataFrame, state: DataFrame, by_source: By
     return state.select("source", "mean", "tilt", "scales")
 
 
+def settled(sizes: DataFrame, scales: DataFrame, wanted: DataFrame, by_source: BySource,
+            most: float = MOST) -> DataFrame:
+    """``scales`` with ``shift``: how far a source's hashes move so that it comes nearest to its target.
+
+    The words taken grow with the shift.  A round takes them at points between two shifts
+    that enclose the target, and goes on between the two next to it.
+    """
+    members = sizes.where("size > 0").withColumn("class", _class())
+    state = by_source(scales, wanted.select("source", "target")).withColumns(
+        {"low": F.lit(-1.0), "high": F.lit(1.0), "taken_low": F.lit(0).cast("long"), "taken_high": F.lit(0).cast("long")})
+    names = state.columns
+    step = (F.col("high") - F.col("low")) / _SHIFT_POINTS
+    for _ in range(_SHIFT_ROUNDS):
+        sums = by_source(members, state.drop("target", "taken_low", "taken_high")).groupBy("source").agg(F.array(*[
+            F.sum(F.col("size") * _copies(most, F.col("low") + step * k)) for k in range(_SHIFT_POINTS + 1)]).alias("taken"))
+        at = by_source(state, sums)
+        below = F.size(F.filter("taken", lambda t: t <= F.col("target")))
+        first, last = F.greatest(below - 1, F.lit(0)), F.least(below, F.lit(_SHIFT_POINTS))
+        state = saved(at.withColumns({
+            "taken_low": F.get("taken", first), "taken_high": F.get("taken", last),
+            "low": F.col("low") + step * first, "high": F.col("low") + step * last}).select(*names), "mixing-shifts")
+    nearer = F.abs(F.col("taken_low") - F.col("target")) <= F.abs(F.col("taken_high") - F.col("target"))
+    return state.withColumn("shift", F.when(nearer, F.col("low")).otherwise(F.col("high"))).select(
+        "source", "mean", "tilt", "scales", "shift")
+
+
 def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, BySource]:
     """Each source's size and target, and for sources with words the tilt and the scales."""
     wanted = saved(targets(sizes, weights, share, most), "mixing-targets")
@@ -176,13 +209,14 @@ def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float)
     counts = saved(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("documents")),
                    "mixing-counts")
     scales = rounded(sizes, counts, tilts(counts, wanted, by_source, most), by_source, most)
-    return saved(by_source(wanted, scales, "left"), "mixing-plan"), by_source
+    shifts = settled(sizes, saved(scales, "mixing-scales"), wanted, by_source, most)
+    return saved(by_source(wanted, shifts, "left"), "mixing-plan"), by_source
 
 
 def _with_copies(sized: DataFrame, plan: DataFrame, by_source: BySource, most: float) -> DataFrame:
     """``sized`` (``id, source, size, ...``) with ``source_size, target, copies``."""
     return (by_source(sized, plan).withColumn("class", _class())
-            .withColumn("copies", F.when(F.col("size") > 0, _copies(most)).otherwise(0).cast("long")))
+            .withColumn("copies", F.when(F.col("size") > 0, _copies(most, F.col("shift"))).otherwise(0).cast("long")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
