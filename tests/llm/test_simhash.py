@@ -114,3 +114,9 @@ def test_odd_rows_and_empty_table(spark):
     assert op.one_of_each_component(df).where("doc_id is null").count() == 2
     assert op.near_duplicate_classes(h.docs(spark, [])).count() == 0
     assert op.one_of_each_component(h.docs(spark, [])).count() == 0
+
+
+def test_columns_named_like_the_added_one(spark):
+    df = h.docs(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, "other words here now")])
+    got = op.one_of_each_component(df.selectExpr("*", "7 as Kept_ID", "8 as kept_id_", "9 as __kept_id"))
+    assert sorted((r.doc_id, r["Kept_ID"], r["kept_id_"], r["__kept_id"]) for r in got.collect()) == [(1, 7, 8, 9), (3, 7, 8, 9)]

@@ -13,6 +13,8 @@ Defined cases: a null text counts as the empty text, so null and empty texts are
 group.  A null id is smaller than any other.  Tables without rows give no rows.  Rows that
 repeat the winner's id: ``surviving_rows`` returns one of them, ``duplicate_classes`` marks
 all of them as kept, as they are the same document.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ Each page is parsed alone and in linear time; nothing is shuffled.
 Defined cases: null and empty pages, and pages without any text, give the empty text.  A
 page whose blocks all stay undecided keeps them.  Broken markup never raises: unclosed
 elements end with the element around them, however many they are, or where HTML implies it, and what follows an unclosed script is code.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ Scoring reads every whole text once and shuffles nothing.  A worker remembers up
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is
 everything when there is no labelled row to learn from.  Of languages equally likely the
 first in string order is taken.  Rows without a language are not learned from.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations

@@ -21,6 +21,8 @@ more than linear time.  No row meets another: there is no shuffle.
 
 Defined cases: null and empty texts have no spans.  Spans of different kinds may overlap.
 Repeated rows give repeated results.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations

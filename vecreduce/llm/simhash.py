@@ -17,6 +17,8 @@ large component are read by many tasks, as every lookup salts its keys.
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other.
 Texts with fewer words than the shingle length have one shingle, all their words.
 Components take the smallest non-null id; rows that repeat an id all get its component.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations
@@ -174,7 +176,9 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Only ids are compared with ids: the texts move once, in the join that keeps rows.
     """
     found = near_duplicate_classes(docs, id_col, text_col, **options)
-    kept = found.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct()
-    named = docs.where(col(id_col).isNotNull()).join(
-        kept, col(id_col) == F.col("__kept_id"), "left_semi")
+    free = "kept_id"
+    while free.lower() in {c.lower() for c in docs.columns}:
+        free += "_"
+    kept = found.where("id = component_id").select(F.col("id").alias(free)).distinct()
+    named = docs.where(col(id_col).isNotNull()).join(kept, col(id_col) == col(free), "left_semi")
     return named.unionByName(docs.where(col(id_col).isNull()))

@@ -15,6 +15,8 @@ Defined cases: null and empty texts have no features and score the intercept's
 probability.  Rows without a label or with one other than 0 and 1 are not learned from; of
 several labels of an id the larger counts.  Without any labelled row, or with one label
 only, the score is the smoothed share of toxic labels.
+Very long texts are read whole.  An empty table gives an empty result.  Extra columns, of
+any name, do no harm.
 """
 
 from __future__ import annotations
