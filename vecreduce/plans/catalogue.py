@@ -220,7 +220,7 @@ def _mlp_frame(spark, sf):
 _PREDICTIONS: dict[tuple[str, str], str] = {}  # where a session last stored the model's predictions
 
 
-def _mlp_predictions(spark, sf, fit: bool):
+def _mlp_predictions(spark, sf, fit: bool = True):
     """The fitted model's predictions of the test rows; without ``fit`` those that the session has, if any."""
     own = (spark.sparkContext.applicationId, sf)
     if fit or own not in _PREDICTIONS:
