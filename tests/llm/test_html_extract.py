@@ -1,3 +1,5 @@
+import re
+
 import helpers as h
 from hypothesis import given, settings, strategies as st
 from vecreduce.llm import html_extract as op
@@ -98,3 +100,92 @@ def test_pages_table(spark):
     assert got.columns == ["id", "text", "url"]
     assert sorted(h.rows(got), key=str) == sorted([(1, "", "u"), (2, "", None), (None, GOOD, "v"), (None, GOOD, "v")], key=str)
     assert op.extracted(df.limit(0)).count() == 0
+
+
+def in_article(snippet):
+    return op.main_text(f"<nav>x</nav><article><p>{GOOD}</p>{snippet}<p>{GOOD}</p></article><footer>y</footer>")
+
+
+def test_an_article_keeps_its_own_words():
+    for snippet, text in (
+            ("<p>The mark © was used first by them.</p>", "The mark © was used first by them."),
+            ('<p class="promo-code">Use the code SAVE.</p>', "Use the code SAVE."),
+            ('<p class="social-history">Towns grew.</p>', "Towns grew."),
+            ('<h2 id="notice-period">Notice period</h2>', "Notice period"), ('<h2 id="comments">Comments</h2>', "Comments"),
+            ('<header class="article-header"><h2>Sub</h2></header>', "Sub"), ('<div class="header">Sub</div>', "Sub"),
+            ("<p><label>Population</label> 5 million</p>", "Population 5 million"),
+            ("<p>See <a href=x>the long report of the whole commission</a>.</p>",
+             "See the long report of the whole commission."),
+            (f'<p class="legal">{GOOD} {GOOD}</p>', f"{GOOD} {GOOD}"), ("<p>a<span class=legal>b</span></p>", "ab"),
+            ("<pre>x = f(y); z = g(x); w = h(z); return w + x * y - z / 2; // qwy tpl mnb grd klo vbn rty</pre>",
+             "x = f(y); z = g(x); w = h(z); return w + x * y - z / 2; // qwy tpl mnb grd klo vbn rty")):
+        assert in_article(snippet) == f"{GOOD} {text} {GOOD}", snippet
+
+
+def test_an_article_loses_what_is_about_the_page():
+    for snippet in ('<div class="ad">%s</div>', '<div id="ad-1">%s</div>', '<div class="newsletter-signup">%s</div>',
+                    '<div class="cookie-notice"><p>%s</p></div>', '<div class="notice">%s</div>', "<aside>%s</aside>",
+                    '<section class="comments"><p>%s</p></section>', '<div class="comment-list">%s</div>',
+                    "<p class=legal>%s</p>", "<form><label>%s</label></form>", "<p><a href=x>%s</a> <a>More</a></p>",
+                    "<p>Read more: <a href=x>%s</a> here</p>", '<div class="related-posts">%s</div>'):
+        assert in_article(snippet % GOOD) == f"{GOOD} {GOOD}", snippet
+
+
+def test_code_and_tables_stay_beside_good_paragraphs():
+    code = "x = f(y); z = g(x); w = h(z); return w + x * y - z / 2; // qwy tpl mnb grd klo vbn rty qwz"
+    page = f"<nav>m</nav><p>{GOOD} {GOOD}</p>%s<p>{GOOD} {GOOD}</p><div><a href=x>links and links</a></div><footer>f</footer>"
+    for markup in ("<pre>%s</pre>", "<table><tr><td>%s</table>", "<table><tr><th>%s</th></tr></table>"):
+        assert op.main_text(page % (markup % code)) == f"{GOOD} {GOOD} {code} {GOOD} {GOOD}"
+    assert op.main_text(page % f"<div>{code}</div>") == f"{GOOD} {GOOD} {GOOD} {GOOD}"
+
+
+def plain_labels(found, rules):
+    """Both passes written plainly: a rule a line, and the nearest neighbour by looking at all."""
+    def stops(text):
+        words = re.findall(r"\w+", text.lower())
+        return sum(w in op.STOP_WORDS for w in words) / max(1, len(words))
+    def by_place(b, t):
+        dense = b.linked > rules.link_density * len(t)
+        words_outside = re.findall(r"\w+", " ".join(p for i, p in enumerate(b.pieces) if i in b.loose))
+        if b.level > 1 or (dense and not (b.region and b.level == 0 and words_outside and re.search(r"[.!?]\Z", t))):
+            return False
+        if not dense and not b.region and "©" in t and len(t) < rules.long:
+            return False
+        if not dense and b.level == 1 and not (len(t) >= rules.long and stops(t) >= rules.stop_high):
+            return False
+        return "open" if dense or b.level else "words"
+    first = [by_place(b, t) for b, t in found]
+    covered = any(f == "words" and len(t) >= rules.short and stops(t) >= rules.stop_low for f, (b, t) in zip(first, found))
+    labels = []
+    for f, (b, t) in zip(first, found):
+        if f != "words" or len(t) < rules.short:
+            labels.append(None if f else False)
+        elif not covered or stops(t) >= rules.stop_high or (stops(t) >= rules.stop_low and len(t) >= rules.long):
+            labels.append(True)
+        else:
+            labels.append(False if stops(t) < rules.stop_low and not b.region and not b.listing else None)
+    out = []
+    for i, (b, _) in enumerate(found):
+        peers = [j for j, (o, _) in enumerate(found) if o.region == b.region and (not o.region or o.level == 0 or labels[j] is not False)]
+        decided = [j for j in peers if labels[j] is not None]
+        if labels[i] is not None or not decided:
+            out.append(labels[i] is not False)
+        else:
+            out.append(labels[min(decided, key=lambda j: (abs(peers.index(j) - peers.index(i)), j))])
+    return out
+
+
+PARTS = [f"<p>{GOOD}</p>", f"<p>{GOOD} {GOOD}</p>", "<p>Short.</p>", "<h2>Head</h2>", "<p>© A note of ours</p>", "<div class=ad>Buy</div>",
+         "<p class=legal>Small print</p>", f"<p class=legal>{GOOD} {GOOD}</p>", "<li><a href=x>A link</a>", "<p>See <a>the long report of it</a>.</p>",
+         "<p>" + "zxv qwy tpl mnb " * 8 + "</p>", "<pre>" + "zxv = qwy; " * 9 + "</pre>", "<aside>Aside</aside>", "<article>", "</article>",
+         "<p>" + "zxv qwy tpl the " * 8 + "</p>", "<table><tr><td>1<td>2</table>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14))
+def test_labels_equal_the_plain_rules(parts):
+    found = [(b, " ".join("".join(b.pieces).split())) for b in op._Page("".join(parts)).blocks]
+    found = [(b, t) for b, t in found if t]
+    rules = op.Rules()
+    want = " ".join(t for (_, t), keep in zip(found, plain_labels(found, rules)) if keep)
+    assert op.main_text("".join(parts)) == want

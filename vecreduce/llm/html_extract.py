@@ -6,6 +6,12 @@ and share of stop words.  Blocks that these rules leave open, mostly short ones,
 label of the nearest decided neighbour in the second pass: neighbours of the same region,
 which is the article for blocks inside one and the rest of the page for others.
 
+Inside an article a class name or id counts only if all its words speak of the page
+(``promo-box``, not ``promo-code``).  Names of adverts, menus and notices decide; those that
+a passage may have too, as ``legal`` or ``related``, give way to length, stop words and
+neighbours.  A sentence that is mostly a link stays open there, a list of links does not.
+Code and table cells are not decided by their lack of stop words but by their neighbours.
+
 Stop words are those of English, German, French and Spanish.  A page on which no block has
 enough of them is decided by place, link density and length alone.
 
@@ -52,7 +58,7 @@ _BLOCK = frozenset((
     "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table "
     "tbody td tfoot th thead title tr ul").split())
 _BOILERPLATE = frozenset(
-    "nav footer aside form menu dialog button select textarea input label fieldset option datalist".split())
+    "nav footer aside form menu dialog button select textarea input fieldset option datalist".split())
 _REGION = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu".split())
 
@@ -66,8 +72,18 @@ _HINTS = _COMMENTS | frozenset((
     "breadcrumbs footer header masthead topbar toolbar pager pagination popup modal overlay copyright disclaimer "
     "legal skip hidden").split())
 _ABOUT_THE_PAGE = frozenset("has with without no".split())  # has-sidebar is not a sidebar
-
-_WEAK, _STRONG = 1, 2  # boilerplate by a class name, which an article inside undoes; by anything else
+# Inside an article: words that decide nothing against its own passages, words that say nothing of
+# themselves beside a hint, and one that is no hint there, as is the element of this name.
+_SOFT_HINTS = frozenset("social related recommended recommendations legal footer copyright disclaimer side widget widgets".split())
+_FILLERS = frozenset((
+    "area bar block box button buttons container content count form group inner item items link links list panel post "
+    "posts row section slot text thread title top bottom left right unit wrap wrapper").split())
+_NO_HINT = frozenset(("header",))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTINGS = ("pre", "code", "td", "th")
+
+# Boilerplate by a class name that density may overrule; by one that only an article inside undoes; by anything else.
+_SOFT, _WEAK, _STRONG = 1, 2, 3
 
 # End tags that HTML lets a page leave out.  A start tag ends the open elements
 # named first, unless one of those named second was opened inside them.
@@ -97,20 +113,50 @@ _NOTABLE = re.compile(
 
 @dataclass
 class Block:
-    boilerplate: bool
+    """``level``: how strongly its place marks it; ``listing``: code or a table cell; ``linked``: characters in
+    links; ``loose``: places of the pieces outside links."""
+
+    level: int
     region: int
+    listing: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    loose: list[int] = field(default_factory=list)
+
+    @property
+    def boilerplate(self) -> bool:
+        return self.level > _SOFT
+
+
+def _hint_inside(tag: str, name: str, value: str) -> int:
+    """The same for a class or id inside an article: a name counts if all its words speak of the page."""
+    level = 0
+    if tag in _HEADINGS and name == "id":  # made from the heading's own words
+        return level
+    for part in value.split():
+        words = set(re.split(r"[^a-z]+", part)) - {""} - _NO_HINT
+        hints = words & _HINTS
+        if not hints or not words <= _HINTS | _FILLERS:
+            continue
+        if not hints.isdisjoint(_COMMENTS):
+            return _STRONG
+        if hints - _SOFT_HINTS:
+            level = _WEAK
+        elif tag in _BLOCK:
+            level = max(level, _SOFT)
+    return level
 
 
-def _hint(tag: str, attributes: str) -> int:
-    """How strongly an element's attributes mark it as boilerplate: 0, weakly or strongly."""
+def _hint(tag: str, attributes: str, region: int) -> int:
+    """How strongly an element's attributes mark it as boilerplate: 0, or one of the levels."""
     if tag in ("html", "body"):
         return 0
     level = 0
     for name, value in _NOTABLE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id"):
+        if name in ("class", "id") and region and tag not in _REGION:
+            level = max(level, _hint_inside(tag, name, value))
+        elif name in ("class", "id"):
             for words in (set(re.split(r"[^a-z]+", part)) for part in value.split()):
                 if not _COMMENTS.isdisjoint(words):
                     return _STRONG
@@ -171,7 +217,7 @@ class _Page:
         if tag in _BOILERPLATE or (tag == "header" and not region):
             level = _STRONG
         elif attributes:
-            level = max(level, _hint(tag, attributes))
+            level = max(level, _hint(tag, attributes, region))
         at = len(self.open)
         self.places.setdefault(tag, []).append(at)
         if tag in _BLOCK:
@@ -204,20 +250,23 @@ class _Page:
         _, level, code, link, region = self.open[-1]
         if code:
             return
-        block, boilerplate = self.block, level > 0
-        if block is None or block.boilerplate != boilerplate:
+        block, level = self.block, min(level, _WEAK)
+        if block is None or block.level != level:
             if not data or data.isspace():
                 return
-            block = self.block = Block(boilerplate, region)
+            block = self.block = Block(level, region, any(map(self._last, _LISTINGS)))
             self.blocks.append(block)
         if "&" in data:
             data = unescape(data)
-        block.pieces.append(data)
         if link:
             block.linked += len(data.strip())
+        else:
+            block.loose.append(len(block.pieces))
+        block.pieces.append(data)
 
 
 _WORD = re.compile(r"\w+")
+_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)]*\Z")
 
 
 @dataclass(frozen=True)
@@ -238,16 +287,29 @@ def _stops(text: str) -> float:
     return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
 
 
+def _sentence_around_links(block: Block, text: str) -> bool:
+    """Whether the text ends like a sentence and has a word outside its links."""
+    if not _SENTENCE_END.search(text):
+        return False
+    return any(_WORD.search(block.pieces[i]) for i in block.loose)
+
+
 def _first_labels(found: list[tuple[Block, str]], rules: Rules) -> list[bool | None]:
     """If no block of the page has enough stop words, as in a language that they do not cover, those left for
     their words are good."""
     labels: list[bool | None] = []
     worded: list[tuple[int, float]] = []
     for i, (block, text) in enumerate(found):
-        if block.boilerplate or block.linked > rules.link_density * len(text):
+        if block.boilerplate:
             labels.append(False)
-        elif "©" in text and len(text) < rules.long:
+        elif block.linked > rules.link_density * len(text):
+            sentence = block.region and not block.level and _sentence_around_links(block, text)
+            labels.append(None if sentence else False)
+        elif "©" in text and len(text) < rules.long and not block.region:
             labels.append(False)
+        elif block.level:
+            prose = len(text) >= rules.long and _stops(text) >= rules.stop_high
+            labels.append(None if prose else False)
         else:
             labels.append(None)
             if len(text) >= rules.short:
@@ -257,19 +319,19 @@ def _first_labels(found: list[tuple[Block, str]], rules: Rules) -> list[bool | N
         block, text = found[i]
         if not covered or stops >= rules.stop_high or (stops >= rules.stop_low and len(text) >= rules.long):
             labels[i] = True
-        elif stops < rules.stop_low and not block.region:
+        elif stops < rules.stop_low and not block.region and not block.listing:
             labels[i] = False
     return labels
 
 
 def _second_labels(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Open blocks take the label of the nearest decided block of their region; the earlier one
-    of two as near, and good if there is none.  Boilerplate by place decides nothing about an
-    article around it."""
+    of two as near, and good if there is none.  Boilerplate by place or name decides nothing
+    about an article around it."""
     out: list[bool] = [bool(x) for x in labels]
     by_region: dict[int, list[int]] = {}
     for i, block in enumerate(blocks):
-        if not (block.region and block.boilerplate):
+        if not (block.region and block.level and labels[i] is False):
             by_region.setdefault(block.region, []).append(i)
     for members in by_region.values():
         near: dict[int, tuple[int, bool]] = {}
