@@ -85,3 +85,34 @@ def test_odd_rows_and_empty_table(spark):
     df = h.odd(spark)
     assert op.spans(h.with_clashing_columns(df)).count() == df.count()
     assert op.spans(h.docs(spark, [])).count() == 0
+
+
+def test_credentials(spark):
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\n-----END RSA PRIVATE KEY-----"
+    aws, github = "AKIA" + "J4Q2" * 4, "ghp_" + "a1B2" * 9
+    texts = [f'token = "{hexes}"', f"commit {hexes}", f"api key: {hexes}, {hexes}", f"é😀 {aws} and", f"x{aws}", f"{github}.",
+             f"a {block} b", "-----BEGIN PRIVATE KEY-----", "password " + "a" * 30, "token " + "a1b2c3d4" * 26, "sk-" + "aB3_" * 9,
+             "BEGIN PRIVATE KEY", "secret " + "x1" * 100_000]
+    got = {r.id: [(s.kind, s.start, s.end, s.score) for s in r.key + r.secret]
+           for r in op.spans(h.docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: [("secret", 9, 49, 0.7)], 1: [], 2: [("secret", 9, 49, 0.7)],  # the second is out of its reach
+                  
+                   3: [("key", 3, 23, 0.8)], 4: [], 5: [("key", 0, 40, 0.8)], 6: [("key", 2, 2 + len(block), 0.8)],
+                   7: [("key", 0, 27, 0.8)], 8: [], 9: [], 10: [("key", 0, 39, 0.8)], 11: [], 12: []}
+
+
+def test_query_equals_its_sql_on_lists_and_credentials(spark, tmp_path):
+    import duckdb
+    from vecreduce.llm import queries
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [None, "", "SSN: 123-45-6789, 234-56-7890", "123-45-6789, 234-56-7890 ssn", f"token: {hexes} {hexes}", f"sum {hexes}",
+             "é😀 AKIA" + "J4Q2" * 4 + " ghp_" + "a1B2" * 9, "x -----BEGIN EC PRIVATE KEY-----\nab\n-----END EC PRIVATE KEY----- y",
+             "mail a@b.c and +1 (017) 555-7713 call, host 1.2.3.4; card 4111 1111 1111 1111", "IBAN DE89 3704 0044 0532 0130 00"]
+    df = h.docs(spark, list(enumerate(texts)))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_pii(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op4_pii']})").fetchall()
+    assert sorted(h.rows(got)) == sorted(want)

@@ -3,8 +3,10 @@
 A kind's pattern proposes leftmost non-overlapping matches.  A validator confirms them:
 Luhn for card numbers, mod 97 for account numbers, ranges and digit counts for the rest.
 Words near a match raise its score.  Spans of the base kinds (email, ip, card, phone) are
-reported once validated; spans of the added kinds (iban, ssn) need a score of
-``threshold`` too.
+reported once validated; spans of the added kinds (iban, ssn, key, secret) need a score of
+``threshold`` too.  A ``key`` has a published credential format or is a private-key block; a
+``secret`` is any mixed run of 20 to 200 letters, digits and underscores that stands near a
+word for a credential.
 
 The base patterns are possessive and start only where a run of their characters starts, so
 no text makes them backtrack; they match what the plain patterns below match, less
@@ -60,6 +62,8 @@ _MOD97 = ("aggregate(transform(sequence(1, length(a)), i -> ascii(substr(a, i, 1
           "if(c < 58, (r * 10 + c - 48) % 97, (r * 100 + c - 55) % 97)) = 1")
 _IBAN = "concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))"
 
+_CREDENTIAL = "token|secret|passw|credential|bearer|authori|[ _-]key|key ?[:=]"
+
 KINDS = (
     Kind("email", "@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
          "true", "mail|contact|write to", 0.8, 0.2),
@@ -76,6 +80,14 @@ KINDS = (
     Kind("ssn", "[0-9]-[0-9]", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
          "substr(m, 1, 3) not in ('000', '666') and substr(m, 5, 2) <> '00' and substr(m, 8) <> '0000'",
          "ssn|social security", 0.3, 0.4, base=False),
+    Kind("key", "PRIVATE KEY-----|A[KS]IA[A-Z0-9]|gh[pousr]_|xox[abprs]-|AIza|sk-[A-Za-z0-9]",
+         r"(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9_])|gh[pousr]_[A-Za-z0-9]{36,200}+"
+         r"|xox[abprs]-[A-Za-z0-9-]{10,200}+|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,200}+)"
+         r"|-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----[^-]*+(?:-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----)?",
+         "m rlike '[0-9]|PRIVATE KEY'", _CREDENTIAL, 0.8, 0.2, base=False),
+    Kind("secret", "[A-Za-z0-9_]{20}", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,200}+(?![A-Za-z0-9_])",
+         "m rlike '[0-9]' and m rlike '[A-Za-z]' and size(array_distinct(regexp_extract_all(m, '.', 0))) >= 8",
+         _CREDENTIAL, 0.3, 0.4, base=False),
 )
 
 

@@ -36,10 +36,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
+    every = F.concat(*[F.col(k.name) for k in pii.KINDS])
     return found.select(F.col("id").alias("doc_id"),
                         *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
                         F.sha2(pii.listed(*map(F.col, base)), 256).alias("base_sha256"),
-                        pii.listed(*[F.col(k.name) for k in pii.KINDS]).alias("spans"))
+                        pii.listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"),
+                        F.array_max(F.transform(every, lambda s: s.score)).alias("top_score"))
 
 
 def _remainder(key: str, of: int):
@@ -121,38 +123,53 @@ def _pii_sql() -> str:
     account = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
     mod97 = (f"list_reduce(list_concat([0], list_transform(range(1, len({account}) + 1), lambda i: ord(substr({account}, i, 1)))), "
              "lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END) = 1")
+    credential = "token|secret|passw|credential|bearer|authori|[ _-]key|key ?[:=]"
     kinds = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "mail|contact|write to", 0.8, 0.2, 0),
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
          "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 "
-         "AND CAST('0' || right(p, 3) AS INT) <= 255))"),
-        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
-        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod97),
+         "AND CAST('0' || right(p, 3) AS INT) <= 255))", "host|server|address|login", 0.6, 0.3, 0),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
+         "card|visa|credit|payment", 0.7, 0.3, 0),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15",
+         "phone|tel|call|mobile|fax", 0.6, 0.3, 0),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod97, "iban|account|bank", 0.8, 0.2, 0.5),
         ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-         "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000' "
-         "AND regexp_matches(lower(right(before, 40) || ' ' || left(after, 20)), 'ssn|social security')")]
+         "substr(m, 1, 3) NOT IN ('000', '666') AND substr(m, 5, 2) <> '00' "
+         "AND substr(m, 8) <> '0000'", "ssn|social security", 0.3, 0.4, 0.5),
+        ("key", r"\b(?:A[KS]IA[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{36,200}|xox[abprs]-[A-Za-z0-9-]{10,200}"
+         r"|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,200})"
+         r"|-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----)?",
+         "regexp_matches(m, '[0-9]|PRIVATE KEY')", credential, 0.8, 0.2, 0.5),
+        ("secret", r"\b[A-Za-z0-9_]{20,200}\b",
+         "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') "
+         "AND len(list_distinct(regexp_extract_all(m, '.'))) >= 8", credential, 0.3, 0.4, 0.5)]
     parts = ["WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"]
-    for name, pattern, check in kinds:
+    near = "substr(text, greatest(s - 40, 0) + 1, least(s, 40)) || ' ' || substr(text, s + length(m) + 1, 20)"
+    for name, pattern, check, context, prior, boost, least in kinds:
         parts.append(f"""
-        {name}_m AS (SELECT doc_id, found, pieces, unnest(range(1, len(found) + 1)) AS k
-                  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS found,
+        {name}_m AS (SELECT doc_id, text, found, pieces, unnest(range(1, len(found) + 1)) AS k
+                  FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS found,
                                string_split_regex(text, '{pattern}') AS pieces FROM d) WHERE len(found) > 0),
-        {name}_s AS (SELECT doc_id, '{name}' AS kind, s, s + length(m) AS e
-                  FROM (SELECT doc_id, found[k] AS m, pieces[k] AS before, pieces[k + 1] AS after,
+        {name}_s AS (SELECT doc_id, '{name}' AS kind, s, s + length(m) AS e,
+                         round(CAST({prior} AS DOUBLE) + CASE WHEN regexp_matches(lower({near}), '{context}')
+                               THEN CAST({boost} AS DOUBLE) ELSE 0 END, 2) AS score
+                  FROM (SELECT doc_id, text, found[k] AS m,
                                CAST(list_sum(list_transform(pieces[1:k], lambda x: length(x)))
                                     + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS s
-                        FROM {name}_m) WHERE {check})""")
-    every = " UNION ALL ".join(f"SELECT *, {i} AS o FROM {name}_s" for i, (name, _, _) in enumerate(kinds))
+                        FROM {name}_m) WHERE {check} AND score >= {least})""")
+    every = " UNION ALL ".join(f"SELECT *, {i} AS o FROM {name}_s" for i, (name, *_) in enumerate(kinds))
     parts.append(f"""
-        spans AS (SELECT doc_id, o, s, kind, kind || ':' || s || ':' || e AS span FROM ({every})),
+        spans AS (SELECT doc_id, o, s, kind, kind || ':' || s || ':' || e AS span, score FROM ({every})),
         listed AS (SELECT doc_id, string_agg(span, ',' ORDER BY o, s) AS spans,
                           string_agg(span, ',' ORDER BY o, s) FILTER (o < 4) AS base,
-                          {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, _, _ in kinds[:4])}
+                          {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in kinds[:4])}
+                   , count(*) AS n_spans, max(score) AS top_score
                    FROM spans GROUP BY doc_id)""")
     return ",".join(parts) + f"""
-        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, _, _ in kinds[:4])},
-               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in kinds[:4])},
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_spans, 0) AS n_spans, top_score
         FROM d LEFT JOIN listed USING (doc_id)"""
 
 
