@@ -23,7 +23,15 @@ def segmentations(word, pieces):
 
 def model_of(pieces, seed=0):
     rng = np.random.default_rng(seed)
-    return np.stack([np.append(p / p.sum(), [op.UNKNOWN, 0]) for p in rng.random((3, len(pieces)))], axis=1)
+    return np.stack([np.concatenate([p / p.sum(), b / b.sum(), [0]])
+                     for p, b in zip(rng.random((3, len(pieces))), rng.random((3, op.BYTES)))], axis=1)
+
+
+def probability(lattice, part, of_piece):
+    """Of one piece, or of the bytes of one letter that is none."""
+    if part in lattice.ids:
+        return of_piece[lattice.ids[part]]
+    return op.UNKNOWN * np.prod([of_piece[lattice.byte + b] for b in part.encode()], axis=0)
 
 
 def test_forward_sums_all_segmentations():
@@ -31,7 +39,7 @@ def test_forward_sums_all_segmentations():
     words = ["a", "ab", "bab", "abab", "xa", "babbab", "é"]
     got = lattice.log_probabilities(words, of_piece)
     for word, row in zip(words, got):
-        want = sum(np.prod([of_piece[lattice.ids.get(p, lattice.unknown)] for p in parts], axis=0)
+        want = sum(np.prod([probability(lattice, p, of_piece) for p in parts], axis=0)
                    for parts in segmentations(word, PIECES))
         assert np.allclose(row, np.log(want))
 
@@ -39,19 +47,20 @@ def test_forward_sums_all_segmentations():
 def test_long_words_keep_their_scale():
     lattice, of_piece = op.Lattice(PIECES), model_of(PIECES)
     one, long = lattice.log_probabilities(["x" * 10, "x" * 5000], of_piece)
-    assert np.allclose(long - one, 4990 * math.log(op.UNKNOWN))
+    assert np.allclose(long - one, 4990 * np.log(probability(lattice, "x", of_piece)))
 
 
 def test_expected_counts_equal_enumeration():
     lattice, of_piece = op.Lattice(PIECES), model_of(PIECES)[:, 1]
     words, weights = ["abab", "ba", "xab"], np.array([2.0, 1.0, 3.0])
-    want = np.zeros(len(PIECES) + 2)
+    want = np.zeros(lattice.none + 1)
     for word, n in zip(words, weights):
         parts = list(segmentations(word, PIECES))
-        p = np.array([np.prod([of_piece[lattice.ids.get(x, lattice.unknown)] for x in s]) for s in parts])
+        p = np.array([np.prod([probability(lattice, x, of_piece) for x in s]) for s in parts])
         for s, share in zip(parts, p / p.sum()):
             for x in s:
-                want[lattice.ids.get(x, lattice.unknown)] += n * share
+                for at in [lattice.ids[x]] if x in lattice.ids else [lattice.byte + b for b in x.encode()]:
+                    want[at] += n * share
     assert np.allclose(lattice.expected_counts(words, weights, of_piece), want)
 
 
@@ -60,11 +69,11 @@ def counts_in_log_space(lattice, word, of_piece):
     marked = "▁" + word
     n, wide = len(marked), lattice.widest
     def piece(i, j):
-        return lattice.ids.get(marked[i:j], lattice.unknown if j == i + 1 else None)
+        return marked[i:j] if marked[i:j] in lattice.ids or j == i + 1 else None
     def total(logs):
         top = max(logs)
         return top + math.log(math.fsum(math.exp(x - top) for x in logs))
-    log_p = [math.log(p) if p else None for p in of_piece.tolist()]
+    log_p = {x: math.log(probability(lattice, x, of_piece)) for x in {*lattice.ids, *marked}}
     uses = [(i, j, piece(i, j)) for i in range(n) for j in range(i + 1, min(n, i + wide) + 1) if piece(i, j) is not None]
     into, out = {}, {}
     for i, j, k in uses:
@@ -77,7 +86,9 @@ def counts_in_log_space(lattice, word, of_piece):
         end[i] = total([end[j] + log_p[k] for j, k in out[i]])
     counts = np.zeros(lattice.none + 1)
     for i, j, k in uses:
-        counts[k] += math.exp(start[i] + log_p[k] + end[j] - start[n])
+        use = math.exp(start[i] + log_p[k] + end[j] - start[n])
+        for at in [lattice.ids[k]] if k in lattice.ids else [lattice.byte + b for b in k.encode()]:
+            counts[at] += use
     return start[n], counts
 
 
@@ -97,7 +108,7 @@ def test_runs_of_every_length_are_counted(word):
 
 
 def test_languages_far_apart_on_a_long_word_keep_their_distance():
-    of_piece = np.array([[0.5, 1e-4], [0.5, 1e-4], [op.UNKNOWN] * 2, [0, 0]])  # the mark, then "a"
+    of_piece = np.array([[0.5, 1e-4]] * 2 + [[1 / op.BYTES] * 2] * op.BYTES + [[0, 0]])  # the mark, "a", bytes, none
     near, far = op.Lattice(["a", "▁"]).log_probabilities(["a" * 3_000], of_piece)[0]
     assert math.isclose(near - far, 3_001 * math.log(0.5 / 1e-4), rel_tol=1e-9)
 
@@ -148,3 +159,42 @@ def test_nothing_to_learn_from(spark):
     model = op.fit(empty)
     assert [tuple(r)[1:] for r in op.predicted(h.docs(spark, [(1, "some text")]), model).drop("row").collect()] == [("und", 0.0)]
     assert op.predicted(empty, model).count() == 0
+
+
+def test_scripts_without_letter_pieces_are_told_apart(spark):
+    rng = random.Random(8)
+    scripts = {"sat": (0x1C5A, 30), "mni": (0xABC0, 27), "en": (ord("a"), 26)}
+    rows = []
+    for i in range(180):
+        lang = sorted(scripts)[i % 3]
+        first, n = scripts[lang]
+        rows.append((i, " ".join("".join(chr(first + rng.randrange(n)) for _ in range(5)) for _ in range(20)), "s", lang))
+    df = h.docs(spark, rows)
+    model = op.fit(df, learn_from=F.pmod(F.col("id"), F.lit(5)) != 0)
+    got = {r.id: (r.lang_pred, r.score) for r in op.predicted(df, model).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.9 for i, _, _, lang in rows)
+    # letters that no language saw tell nothing
+    model = op.fit(df.where("lang <> 'mni'").withColumn("text", F.when(F.col("lang") == "sat", F.lit("abc")).otherwise(F.lit("the"))))
+    score = op.Scorer(model)(["\uabc0\uabc1 \uabc2"])[0][1]
+    assert abs(score - 0.5) < 0.2
+
+
+def test_blocks_of_languages_give_the_same(spark, model_and_docs, monkeypatch):
+    df, model = model_and_docs
+    want = {r.id: (r.lang_pred, r.score, r.row) for r in op.predicted(df, model, keep=("text",)).collect()}
+    monkeypatch.setattr(op, "LANGUAGES", 1)
+    several = op.fit(df, learn_from=F.pmod(F.col("id"), F.lit(5)) != 0)
+    assert several.languages == ["xx"] and [o.value.languages for o in several.others] == [["yy"], ["zz"]]
+    mixed = h.with_clashing_columns(df).withColumn("best", F.lit("x"))
+    got = {r.id: (r.lang_pred, r.score, r.row) for r in op.predicted(mixed, several, keep=("text",)).collect()}
+    assert {i: (a, c) for i, (a, _, c) in got.items()} == {i: (a, c) for i, (a, _, c) in want.items()}
+    assert all(math.isclose(got[i][1], want[i][1], rel_tol=1e-9) for i in want)
+    odd = h.docs(spark, [(1, None), (2, ""), (3, "12 !")])
+    assert [tuple(r)[1:3] for r in op.predicted(odd, several).collect()] == [("und", 0.0)] * 3
+    assert op.predicted(h.docs(spark, []), several).count() == 0
+
+
+def test_many_languages_are_not_refused(spark):
+    df = h.docs(spark, [(i, f"word {i}", "s", f"l{i:04}") for i in range(300)])
+    model = op.fit(df, rounds=1)
+    assert len(model.languages) == 128 and [len(o.value.languages) for o in model.others] == [128, 44]

@@ -3,17 +3,20 @@
 A text's words are its runs of letters, lower-cased, each with the vocabulary's word mark
 in front.  Every language has a probability for each piece of a fixed public vocabulary.
 The probability of a word is the sum over all its segmentations into pieces, which the
-forward algorithm adds up; a letter outside the vocabulary is a piece of its own with a
-small fixed probability.  A text's log probability is the sum over its words, and its
+forward algorithm adds up.  A letter outside the vocabulary is a small fixed probability
+times those of the vocabulary's byte pieces that spell it, which every language has of its
+own; where no language saw such letters they tell nothing.  A text's log probability is the sum over its words, and its
 score the posterior of the best language under equal priors.
 
 The piece probabilities are learned by expectation maximisation.  Spark counts the words of
 at most about ``fit_rows`` labelled rows of each language; each round sums expected piece
 counts over all segmentations of those words.  What comes to the driver is one number for
-each language and piece.
+each piece and language of a block of ``LANGUAGES``; further blocks are fitted in turn and
+live in broadcast files.
 
-Scoring reads every whole text once and shuffles nothing.  A worker remembers up to
-``REMEMBERED`` words.
+Scoring reads every whole text once and shuffles nothing; with more than one block of
+languages, once for each, and the documents are saved between.  A worker remembers words
+up to ``REMEMBERED`` and ``REMEMBERED_CELLS`` numbers.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is
 everything when there is no labelled row to learn from.  Of languages equally likely the
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -40,9 +44,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 1_000
 ROUNDS = 3
 SMOOTHING = 0.01
+BYTE_SMOOTHING = 1.0
 UNKNOWN = 1e-7
-MAX_LANGUAGES = 1_000
+LANGUAGES = 128
 REMEMBERED = 400_000
+REMEMBERED_CELLS = 16_000_000
+BYTES = 256
 UNDETERMINED = "und"
 _MARK = "▁"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -68,7 +75,8 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """The segmentations of words into pieces.  Piece ids end with one for unknown letters.
+    """The segmentations of words into pieces.  After the pieces' ids come those of the byte pieces, then
+    ``none``, then the letters without a piece that the words at hand have.
 
     Pieces are looked up in a trie whose edges are a sorted array, for all positions of
     many words at once; a position is followed only as long as some piece goes on.
@@ -76,7 +84,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.ids = {p: i for i, p in enumerate(pieces)}
-        self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.byte, self.none = len(pieces), len(pieces) + BYTES
+        self.single = np.array(sorted(ord(p) for p in pieces if len(p) == 1), dtype="<u4")
         self.widest = max(map(len, pieces), default=1)
         self.alphabet = np.array(sorted({_MARK, *"".join(pieces)}, key=ord), dtype="<U1").view("<u4")
         symbol = {chr(c): i for i, c in enumerate(self.alphabet.tolist(), 1)}
@@ -90,13 +99,31 @@ class Lattice:
         self.targets = np.array([t for _, t in edges] or [0], dtype=np.int64)
         self.piece_at = np.array([self.ids.get(n, self.none) for n in nodes], dtype=np.int32)
 
-    def _symbols(self, words: list[str]) -> np.ndarray:
-        """The marked words, all of one length, as numbers of characters."""
-        codes = np.frombuffer("".join(_MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        return np.frombuffer("".join(_MARK + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """The distinct letters of the words, and the mark, that have no piece, as sorted code points."""
+        return np.setdiff1d(self._codes(words), self.single)
+
+    @staticmethod
+    def bytes_of(letters: np.ndarray) -> list[np.ndarray]:
+        return [np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), dtype=np.uint8) for c in letters.tolist()]
+
+    def with_letters(self, of_piece: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """``of_piece`` and a row for each letter: ``UNKNOWN`` times the product of its bytes."""
+        if not len(letters):
+            return of_piece
+        rows = [UNKNOWN * of_piece[self.byte + b.astype(int)].prod(axis=0) for b in self.bytes_of(letters)]
+        return np.concatenate([of_piece, np.array(rows).reshape(len(rows), *of_piece.shape[1:])])
+
+    def _symbols(self, codes: np.ndarray, count: int) -> np.ndarray:
+        """Marked words of one length as numbers of characters."""
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == codes, at + 1, 0).reshape(len(words), -1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0).reshape(count, -1)
 
-    def blocks(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(self, words: list[str], letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of words of one length, and the id of the piece of each width that ends at each position.
 
         ``ids[n, j, w]`` is the piece of word n from j - w to j + 1, or ``none``.
@@ -109,7 +136,8 @@ class Lattice:
             most = max(1, _CELLS // (length * widest))
             for first in range(0, len(places), most):
                 part = places[first:first + most]
-                symbols = self._symbols([words[p] for p in part])
+                codes = self._codes([words[p] for p in part])
+                symbols = self._symbols(codes, len(part))
                 ids = np.full((len(part), length, widest), self.none, dtype=np.int32)
                 row, at = (x.ravel() for x in np.indices(symbols.shape))
                 node = np.zeros(len(row), dtype=np.int64)
@@ -122,7 +150,8 @@ class Lattice:
                     inside = at + w + 1 < length
                     row, at, node = row[inside], at[inside], node[inside]
                 single = ids[:, :, 0]
-                single[single == self.none] = self.unknown
+                alone = single == self.none
+                single[alone] = self.none + 1 + np.searchsorted(letters, codes.reshape(single.shape)[alone])
                 yield np.array(part), ids
 
     @staticmethod
@@ -149,7 +178,9 @@ class Lattice:
     def log_probabilities(self, words: list[str], of_piece: np.ndarray) -> np.ndarray:
         """For each word and language, the log probability summed over all segmentations."""
         out = np.zeros((len(words), of_piece.shape[1]))
-        for places, ids in self.blocks(words):
+        letters = self.spelled(words)
+        of_piece = self.with_letters(of_piece, letters)
+        for places, ids in self.blocks(words, letters):
             sums, scales = self.forward(ids, of_piece)
             out[places] = np.log(sums[-1]) + scales[-1] * np.log(_SMALL)
         return out
@@ -163,9 +194,11 @@ class Lattice:
 
     def expected_counts(self, words: list[str], weights: np.ndarray, of_piece: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in all segmentations; ``of_piece`` is one language's column."""
-        counts = np.zeros(self.none + 1)
+        letters = self.spelled(words)
+        of_piece = self.with_letters(of_piece, letters)
+        counts = np.zeros(len(of_piece))
         p = of_piece[:, None]
-        for places, ids in self.blocks(words):
+        for places, ids in self.blocks(words, letters):
             length, widest = ids.shape[1:]
             sums, scales = (x[:, :, 0] for x in self.forward(ids, p))
             ends, end_scales = (x[::-1, :, 0] for x in self.forward(self._mirrored(ids), p))
@@ -177,20 +210,24 @@ class Lattice:
                            - np.log(sums[length]) + scale * np.log(_SMALL))
                 use = np.exp(use) * weights[places]
                 counts += np.bincount(piece.ravel(), weights=use.ravel(), minlength=len(counts))
-        return counts
+        for n, spelling in zip(counts[self.none + 1:], self.bytes_of(letters)):
+            np.add.at(counts, self.byte + spelling.astype(int), n)
+        return counts[:self.none + 1]
 
 
 class Model:
-    """``of_piece[i, l]``: the probability of piece i in language l."""
+    """``of_piece[i, l]``: the probability of piece i in language l.  ``others``: broadcasts of the same for
+    further languages, later in string order."""
 
     def __init__(self, pieces: list[str], languages: list[str], of_piece: np.ndarray):
         self.pieces, self.languages, self.of_piece = pieces, languages, of_piece
+        self.others: list[Broadcast] = []
 
 
 def _probabilities(counts: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed probabilities of the pieces, then the fixed one of unknown letters and 0 for none."""
-    own = counts[:size] + SMOOTHING
-    return np.append(own / own.sum(), [UNKNOWN, 0.0])
+    """Smoothed probabilities of the pieces, then those of bytes within letters without a piece, and 0 for none."""
+    own, spelled = counts[:size] + SMOOTHING, counts[size:size + BYTES] + BYTE_SMOOTHING
+    return np.concatenate([own / own.sum(), spelled / spelled.sum(), [0.0]])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from=None,
@@ -205,13 +242,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     given = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"),
                         col(text_col).alias("text")).where("lang is not null")
     given = given if learn_from is None else given.where(learn_from)
-    sizes = given.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang_col!r}")
-    languages = sorted(r["lang"] for r in sizes)
-    if not languages:
-        return Model(pieces, [], np.zeros((len(pieces) + 2, 0)))
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, fit_rows / r["count"]))])
+    sizes = sorted((r["lang"], r["count"]) for r in given.groupBy("lang").count().collect())
+    if not sizes:
+        return Model(pieces, [], np.zeros((len(pieces) + BYTES + 1, 0)))
+    blocks = [sizes[i:i + LANGUAGES] for i in range(0, len(sizes), LANGUAGES)]
+    first, *rest = blocks
+    model = _fit_block(given, pieces, first, len(blocks) > 1, fit_rows, rounds)
+    for block in rest:
+        model.others.append(spark.sparkContext.broadcast(_fit_block(given, pieces, block, True, fit_rows, rounds)))
+    return model
+
+
+def _fit_block(given: DataFrame, pieces: list[str], sizes: list[tuple[str, int]], chosen: bool, fit_rows: int,
+               rounds: int) -> Model:
+    """The model of the languages in ``sizes``, with their numbers of rows in ``given``: id, lang, text."""
+    spark = given.sparkSession
+    languages = [lang for lang, _ in sizes]
+    if chosen:
+        given = given.where(F.col("lang").isin(languages))
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, fit_rows / n))])
     draw = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +276,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
              .mapInArrow(counted, "lang string, word string, n long")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     words = saved(words, "language-words")
-    of_piece = np.stack([_probabilities(np.ones(len(pieces)), len(pieces))] * len(languages), axis=1)
+    even = np.append(np.ones(len(pieces)), np.zeros(BYTES))
+    of_piece = np.stack([_probabilities(even, len(pieces))] * len(languages), axis=1)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((pieces, languages, of_piece))
 
         def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, languages, of_piece = shared.value
             lattice = Lattice(pieces)
-            sums = np.zeros((len(pieces) + 2, len(languages)))
+            sums = np.zeros((len(pieces) + BYTES + 1, len(languages)))
             for batch in batches:
                 langs = np.array(batch.column(0).to_pylist(), dtype=object)
                 texts, n = batch.column(1).to_pylist(), batch.column(2).to_numpy().astype(float)
@@ -249,7 +299,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         # rounded before they are summed, so that the order of tasks changes nothing
         counts = (words.mapInArrow(expected, "piece int, at int, n double")
                   .groupBy("piece", "at").agg(F.sum(F.round(F.col("n") * 1e6).cast("long")).alias("n")).toPandas())
-        sums = np.zeros((len(pieces) + 2, len(languages)))
+        sums = np.zeros((len(pieces) + BYTES + 1, len(languages)))
         sums[counts.piece, counts["at"]] = counts.n / 1e6
         of_piece = np.stack([_probabilities(c, len(pieces)) for c in sums.T], axis=1)
         shared.unpersist()
@@ -261,6 +311,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.lattice = model, Lattice(model.pieces)
+        self.most = min(REMEMBERED, REMEMBERED_CELLS // max(1, len(model.languages)))
         self._forget()
 
     def _forget(self) -> None:
@@ -276,12 +327,13 @@ class Scorer:
         self.logs[start:start + len(words)] = self.lattice.log_probabilities(words, self.model.of_piece)
         self.place.update(zip(words, range(start, start + len(words))))
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """``(language, score)`` of each text."""
+    def best(self, texts: list[str | None]) -> list[Best]:
+        """For each text its likeliest language, the log probability of that one, and the sum of all languages'
+        probabilities relative to it."""
         if not self.model.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+            return [NOTHING] * len(texts)
         split = [words_of(t) for t in texts]
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.most:
             self._forget()
         new = sorted(w for w in set().union(*split) if w not in self.place) if split else []
         if new:
@@ -289,15 +341,36 @@ class Scorer:
         out = []
         for words in split:
             if not any(map(has_letter, words)):
-                out.append((UNDETERMINED, 0.0))
+                out.append(NOTHING)
                 continue
             rows = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
             logs = self.logs[rows].sum(axis=0)
-            best = int(logs.argmax())
-            out.append((self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())))
+            top = int(logs.argmax())
+            out.append((self.model.languages[top], float(logs[top]), float(np.exp(logs - logs[top]).sum())))
         return out
 
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """``(language, score)`` of each text."""
+        return [(language, score_of(total)) for language, _, total in self.best(texts)]
+
+
+Best = tuple[str, float, float]
+NOTHING: Best = (UNDETERMINED, 0.0, 0.0)
 
+
+def score_of(total: float) -> float:
+    return 1 / total if total else 0.0
+
+
+def better(a: Best, b: Best) -> Best:
+    """The best over both blocks of languages; of equally likely ones that of ``a``, which come first."""
+    if not a[2] or not b[2]:
+        return a if a[2] else b
+    high, low = (a, b) if a[1] >= b[1] else (b, a)
+    return high[0], high[1], high[2] + low[2] * float(np.exp(low[1] - high[1]))
+
+
+BEST = StructType().add("lang", "string").add("top", "double").add("total", "double")
 _SCORERS: dict[str, Scorer] = {}  # of this worker, by the model's number
 _TEXT = 1 << 21
 
@@ -315,12 +388,30 @@ def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
               keep: tuple[str, ...] = ()) -> DataFrame:
     """``id, lang_pred, score`` of every row, and ``row``, a struct of the columns named in ``keep``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    number = uuid.uuid4().hex
     given = docs.select(col(id_col).alias("id"), col(text_col).alias("text"),
                         F.struct(*[col(c) for c in keep] or [F.lit(None).cast("int").alias("none")]).alias("row"))
-    schema = (StructType().add(given.schema["id"]).add("lang_pred", "string").add("score", "double")
-              .add(given.schema["row"]))
+    others, model = model.others, Model(model.pieces, model.languages, model.of_piece)
+    if not others:
+        return _with_best(given, docs.sparkSession.sparkContext.broadcast(model)).select(
+            "id", "lang_pred", "score", "row")
+    found = given.select("*", F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("top"),
+                                       F.lit(0.0).alias("total")).alias("best"))
+    shared = [docs.sparkSession.sparkContext.broadcast(model), *others]
+    for block in shared[:-1]:
+        found = saved(_with_best(found, block).select("id", "text", "row", "best"), "language-scores")
+    return _with_best(found, shared[-1]).select("id", "lang_pred", "score", "row")
+
+
+def _with_best(given: DataFrame, shared: Broadcast) -> DataFrame:
+    """``given`` scored by one block of languages, and by those before if it has a column ``best``.
+
+    Of ``text`` only what a further block needs is returned.
+    """
+    number = uuid.uuid4().hex
+    several = "best" in given.columns
+    schema = StructType().add(given.schema["id"]).add(given.schema["row"]).add("lang_pred", "string").add("score", "double")
+    if several:
+        schema = schema.add(given.schema["text"]).add("best", BEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _SCORERS.get(number)
@@ -328,9 +419,16 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             _SCORERS.clear()
             scorer = _SCORERS[number] = Scorer(shared.value)
         for batch in batches:
-            found = [x for part in _portions(batch.column(1).to_pylist()) for x in scorer(part)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64()), batch.column(2)], names=schema.names)
+            best = [x for part in _portions(batch.column(1).to_pylist()) for x in scorer.best(part)]
+            if several:
+                before = batch.column(3).to_pylist()
+                best = [better((b["lang"], b["top"], b["total"]), x) for b, x in zip(before, best)]
+            columns = [batch.column(0), batch.column(2), pa.array([x[0] for x in best], pa.string()),
+                       pa.array([score_of(x[2]) for x in best], pa.float64())]
+            if several:
+                columns += [batch.column(1), pa.array([dict(zip(("lang", "top", "total"), x)) for x in best],
+                                                      pa.struct([("lang", pa.string()), ("top", pa.float64()),
+                                                                 ("total", pa.float64())]))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(run, schema)
