@@ -128,3 +128,26 @@ def test_mixed_sizes_come_nearer_than_the_longest_document(spark):
     for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r.taken - r.target) <= 150
     assert {r.copies for r in got.select("copies").distinct().collect()} <= {0, 1, 2}
+
+
+def test_more_sources_than_are_broadcast(spark, corpus, monkeypatch):
+    df, _ = corpus
+    many = df.withColumn("source", F.when(F.col("source") == "s1", F.concat(F.lit("t"), F.col("doc_id") % 60))
+                         .otherwise(F.col("source"))).withColumn("salt", F.lit("x"))
+    odd = many.unionByName(many.where("doc_id < 5").withColumn("doc_id", F.lit(None).cast("long")))
+    sizes = odd.select(F.col("doc_id").alias("id"), "source", op.size_of(F.col("text")).alias("size"))
+    plan, by_source = op._plan(op.saved(sizes, "test-sizes"), op.WEIGHTS, op.SHARE, op.MOST)
+    want = sorted(map(tuple, op._with_copies(sizes, plan, by_source, op.MOST).collect()), key=str)
+    monkeypatch.setattr(op, "MOST_SOURCES", 2)
+    by_source = op.BySource(plan)
+    assert not by_source.small and len(want) == odd.count()
+    assert sorted(map(tuple, op._with_copies(sizes, plan, by_source, op.MOST).collect()), key=str) == want
+    monkeypatch.setattr(op, "SALTS", 3)
+    rows = odd.select(F.col("doc_id").alias("id"), "source", F.length("text").alias("size"))
+    table = op.targets(rows).where("source <> 's2'")
+    for how in ("inner", "left"):
+        got = op.BySource(table)(rows, table, how)
+        plan = got._jdf.queryExecution().toString()
+        assert got.columns == ["id", "source", "size", "source_size", "target"] and "salt" in plan
+        small = rows.join(table.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), how).drop("s")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)

@@ -17,8 +17,9 @@ change by one copy, as many as bring the source nearest to its target.  So a sou
 its target by about half of one document.
 
 Tables of sources have one row for each source.  The sources are counted once; documents
-meet them in a join that broadcasts a table of at most ``MOST_SOURCES`` rows and is left to
-Spark beyond that.  Documents of one source never meet in a task.
+meet them in a join that broadcasts a table of at most ``MOST_SOURCES`` rows.  Beyond that
+they are shuffled, and a source's documents are split among ``SALTS`` salts.  Only the table of
+sources itself is ranked in one task.
 
 Defined cases: null texts have size 0 and are taken 0 times, as all empty ones.  A null
 source is a source, the last in order.  A source without words has target 0.  Rows that
@@ -40,6 +41,7 @@ SHARE = 1.5
 MOST = 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 10_000
+SALTS = 64
 TOLERANCE = 1e-6
 MAX_ROUNDS = 60
 _SHIFT_POINTS = 32
@@ -81,15 +83,25 @@ def _rate(most: float) -> Column:
 
 
 class BySource:
-    """Joins with tables of one row for each source; null is a source."""
+    """Joins with tables of one row for each source; null is a source.
+
+    A table too long to broadcast is joined by shuffle.  Documents, the rows with an ``id``, are then
+    salted by id and size, and each (source, salt) that occurs gets a copy of its source's row.
+    """
 
     def __init__(self, sources: DataFrame):
         self.small = sources.count() <= MOST_SOURCES
 
     def __call__(self, left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         named = right.withColumnRenamed("source", "of_source")
-        return left.join(F.broadcast(named) if self.small else named,
-                         F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
+        same = F.col("source").eqNullSafe(F.col("of_source"))
+        if self.small or "id" not in left.columns:
+            return left.join(F.broadcast(named) if self.small else named, same, how).drop("of_source")
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("id", "size"), F.lit(SALTS)).cast("int"))
+        copies = (salted.select("source", "salt").distinct().join(named, same)
+                  .drop("source").withColumnRenamed("salt", "of_salt"))
+        return (salted.join(copies, same & (F.col("salt") == F.col("of_salt")), how)
+                .drop("of_source", "of_salt", "salt"))
 
 
 def tilts(counts: DataFrame, wanted: DataFrame, by_source: BySource, most: float = MOST, tolerance: float = TOLERANCE,
