@@ -96,3 +96,39 @@ def test_short_items_inside_longer_runs():
     for words, spans, found in [([b"x"], [(0, 1)], {"a"}), ([b"q", b"y", b"x"], [(1, 3)], {"a", "b"}),
                                 ([b"y", b"y"], [], set()), ([b"z", b"y", b"x", b"w"], [(0, 4)], {"a", "b", "c"})]:
         assert automaton.matches(words) == (spans, found)
+
+
+def test_blocks_save_hits_only_and_cut_alike(spark, case, monkeypatch):
+    items, texts = case
+    long = " ".join(f"u{i % 97}x{i % 89}" for i in range(3_000))
+    bench = spark.createDataFrame(items + [(300, long)], "item_id long, text string")
+    inside = " ".join(long.split()[700:760])
+    rows = list(enumerate(texts)) + [(1000 + i, f"before {inside} after") for i in range(50)] + [
+        (None, f"{long} and a clean end"), (2000, long)]
+    df = h.with_clashing_columns(h.docs(spark, rows)).repartition(4)
+    saved, tables = op.saved, []
+
+    def kept(table, name):
+        tables.append((name, saved(table, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(op, "saved", kept)
+    one = op.remove_spans(df, bench, length_col="n_chars").collect()
+    assert not tables
+    several = op.remove_spans(df, bench, length_col="n_chars", block_bytes=2_000).collect()
+    assert sorted(map(str, several)) == sorted(map(str, one))
+    hits = [t for name, t in tables if name == "decontaminate-hits"]
+    assert len(hits) > 5 and all(t.columns == ["digest", "spans", "items"] for t in hits)
+    assert all(t.count() == t.select("digest").distinct().count() <= len(set(texts)) + 3 for t in hits)
+    parts = [t for name, t in tables if name == "decontaminate-items"][0]
+    assert parts.where("item = '300'").count() > 50
+    assert op.matched(df, bench, block_bytes=2_000).where("id = 2000").first()["items"] == ["300"]
+
+
+def test_a_column_of_dots_and_spaces_holds_the_text(spark):
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(40)], "item_id long, text string")
+    df = h.docs(spark, [(1, "x a7 b7 c7 y"), (2, "a1 b2 c3")]).withColumnRenamed("text", "my.text here")
+    for block_bytes in (1 << 20, 100):
+        found = {r.id: (r.n_hit, r["items"]) for r in op.matched(df, bench, text_col="my.text here",
+                                                                  block_bytes=block_bytes).collect()}
+        assert found == {1: (3, ["7"]), 2: (0, [])}

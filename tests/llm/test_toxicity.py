@@ -99,3 +99,45 @@ def test_odd_rows_one_class_and_empty_tables(spark):
     found = op.scored(df, op.fit(df, both, settings=SMALL)).collect()
     assert len(found) == df.count() and all(0 <= r.score <= 1 for r in found)
     assert op.scored(h.docs(spark, []), model).count() == 0
+
+
+def test_ratios_and_fit_equal_plain_ones():
+    """Ratios counted by hand, and weights at which the plainly written loss has its least value."""
+    settings = op.Settings(bits=6, least_count=2, least_ratio=0.1, penalty=1e-2, rounds=3000)
+    rng = random.Random(7)
+    features = [np.array(sorted(rng.sample(range(64), rng.randint(1, 12))), dtype=np.int32) for _ in range(40)]
+    features += [np.empty(0, dtype=np.int32)]
+    labels = np.array([int(rng.random() < (.8 if 5 in f or 9 in f else .2)) for f in features])
+    model = op.fitted(settings, features, labels)
+
+    n = [int((labels == y).sum()) for y in (0, 1)]
+    ratios = np.zeros(64)
+    for k in range(64):
+        have = [sum(1 for f, y in zip(features, labels) if y == want and k in f) for want in (0, 1)]
+        ratio = np.log((have[1] + 1) / (n[1] + 2)) - np.log((have[0] + 1) / (n[0] + 2))
+        ratios[k] = ratio if sum(have) >= 2 and abs(ratio) >= .1 else 0
+    assert np.allclose(model.squares, ratios ** 2, atol=1e-5)
+    own = ratios != 0
+    weights = np.divide(model.products, ratios, out=np.zeros(64), where=own)
+
+    x = np.zeros((len(features), 64))
+    for row, f in zip(x, features):
+        row[f] = ratios[f]
+        row /= np.linalg.norm(row) or 1
+    used = x.any(axis=1)  # texts without features take no part in the fit
+
+    def loss(w, b):
+        z = x[used] @ w + b
+        return np.mean(np.log1p(np.exp(z)) - labels[used] * z) + .5 * settings.penalty * w @ w
+
+    least = loss(weights, model.intercept)
+    for k in [*np.flatnonzero(own), -1]:
+        for by in (.05, -.05):
+            w, b = weights.copy(), model.intercept
+            if k < 0:
+                b += by
+            else:
+                w[k] += by
+            assert loss(w, b) > least
+    for f, row in zip(features, x):
+        assert abs(model.score(f) - 1 / (1 + np.exp(-(row @ weights + model.intercept)))) < 1e-5

@@ -8,9 +8,12 @@ window ends), the words of the match are hit.  Hit words join to spans, and
 much of it.
 
 The benchmark's size is measured first, and its items are taken in blocks of about
-``block_bytes`` of text at most.  Each block's automaton is built, sent to the executors and
-run over all documents; with several blocks the spans found so far are saved with the
-documents between passes.  Documents never meet, so nothing is shuffled.
+``block_bytes`` of text; longer items are cut into parts that share ``window - 1`` words, so
+that every window lies in one part.  Each block's automaton is built, sent to the executors
+and run over all documents.  With one block nothing is shuffled.  With several, a pass saves
+what its block hits in each distinct text, by the text's SHA-256: no text is written between
+passes.  The last pass reads this back by digest and a salt of the document's id, in a join
+that moves the texts once where the hits are too many for Spark to broadcast.
 
 States know their window and the short items that end with them, so texts and items of one
 repeated word take time in proportion to their length.
@@ -24,6 +27,7 @@ any name, do no harm.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import col, saved
+from .common import col, salt_of, saved
 
 WINDOW = 10
 MAX_COVERAGE = 0.5
 BLOCK_BYTES = 1_000_000
+SALTS = 16
+_PARTS = 64  # a part of an item has a block's bytes over this in words, about a tenth of a block
 
 #: Words are runs of digits, letters and all non-ASCII characters; A-Z are lower-cased.
 _WORD_BYTE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -169,13 +175,33 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
+def _item_parts(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> DataFrame:
+    """``item, part, text``: the items' words; of more than ``most`` windows, in parts of as many."""
+    items = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                words = words_of(text.as_py())
+                starts = range(0, max(1, len(words) - window + 1), most) if words else ()
+                for part, at in enumerate(starts):
+                    run_of = b" ".join(words[at:at + most + window - 1]).decode()
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item.as_py()], pa.string()),
+                                                      "part": pa.array([part], pa.int32()), "text": [run_of]})
+
+    return items.mapInArrow(run, "item string, part int, text string")
+
+
 def _automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
     """``(automaton, whether it is the last)`` of the benchmark's blocks, one at a time."""
-    items = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = benchmark.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    items = benchmark.select(col(item_col).cast("string").alias("item"), col(text_col).alias("text"))
+    if blocks > 1:
+        items = saved(_item_parts(benchmark, item_col, text_col, window, max(window, block_bytes // _PARTS)),
+                      "decontaminate-items")
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        part = items.where(F.pmod(F.xxhash64("item", "part", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         yield SuffixAutomaton([(r.item, words_of(r.text)) for r in part.collect()], window), b + 1 == blocks
 
 
@@ -213,7 +239,7 @@ def _with_cut_texts(rows: pa.StructArray, text_at: int, length_at: int | None, s
 
 
 def _pass(found: DataFrame, automaton, text_col: str, cut: bool, length_col: str | None) -> DataFrame:
-    """One block's automaton over all rows: what it finds is joined to what is known so far."""
+    """The last block's automaton over all rows: what it finds is joined to what is known of the others."""
     names = found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +268,41 @@ def _pass(found: DataFrame, automaton, text_col: str, cut: bool, length_col: str
     return found.mapInArrow(run, found.schema)
 
 
+def _hits(docs: DataFrame, automaton, text_col: str) -> DataFrame:
+    """``digest, spans, items`` of the distinct texts that one block's automaton hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, spans, items = [], [], []
+            for text in batch.column(0).to_pylist():
+                new, ids = automaton.value.matches(words_of(text))
+                if new:
+                    digests.append(hashlib.sha256(text.encode()).hexdigest())
+                    spans.append([{"first": a, "last": b} for a, b in new])
+                    items.append(sorted(ids))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.string()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                names=["digest", "spans", "items"])
+
+    found = docs.select(col(text_col).alias("text")).where("text is not null").mapInArrow(
+        run, "digest string, spans array<struct<first: int, last: int>>, items array<string>")
+    return found.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))  # all equal
+
+
+def _with_known(found: DataFrame, hits: list[DataFrame], digest) -> DataFrame:
+    """``found`` with the spans and items of earlier blocks, by the digest of a row's text and a salt of its id."""
+    known = hits[0]
+    for more in hits[1:]:
+        known = known.unionByName(more)
+    known = (known.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("known_spans"),
+                                         F.flatten(F.collect_list("items")).alias("known_items"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    rows = found.withColumns({"digest": digest, "salt": salt_of(F.col("id"), SALTS)})
+    return rows.join(known, ["digest", "salt"], "left").select(
+        "id", "n_words", "n_hit", F.coalesce("known_spans", "spans").alias("spans"),
+        F.coalesce("known_items", "items").alias("items"), "row")
+
+
 def _found(docs: DataFrame, row, benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
            item_text_col: str, window: int, block_bytes: int, cut: bool = False,
            length_col: str | None = None) -> DataFrame:
@@ -249,11 +310,15 @@ def _found(docs: DataFrame, row, benchmark: DataFrame, id_col: str, text_col: st
     found = docs.select(col(id_col).alias("id"),
                         *[(F.array() if f.dataType.typeName() == "array" else F.lit(0)).cast(f.dataType).alias(f.name)
                           for f in empty], row.alias("row"))
+    hits = []
     for automaton, last in _automata(benchmark, item_col, item_text_col, window, block_bytes):
-        found = _pass(found, docs.sparkSession.sparkContext.broadcast(automaton), text_col, cut and last, length_col)
+        shared = docs.sparkSession.sparkContext.broadcast(automaton)
         if not last:
-            found = saved(found, "decontaminate")
-    return found
+            hits.append(saved(_hits(docs, shared, text_col), "decontaminate-hits"))
+            shared.destroy()
+    if hits:
+        found = _with_known(found, hits, F.sha2(F.col("row").getField(text_col).cast("binary"), 256))
+    return _pass(found, shared, text_col, cut, length_col)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
