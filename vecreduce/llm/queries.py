@@ -24,6 +24,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's size and target in words: the part of the mix that SQL can express."""
+    sizes = table(spark, sf_dir, "documents").select("source", mixing.size_of(F.col("text")).alias("size"))
+    return mixing.targets(sizes)
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow")]
 
@@ -177,7 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_mix_sources, op3_url_filter, op4_pii, op5_toxicity, op6_token_counts, op7_html_extract,
         op8_language_id, op9_decontaminate, op10_simhash_dedup, op11_lexical_search, op12_best_fit_packing,
-        op13_token_alignment)}
+        op13_token_alignment, mixing_targets)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
@@ -186,6 +192,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)""",
+    "mixing_targets": r"""
+        WITH RECURSIVE d AS (
+            SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS bound,
+                     [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+              FROM d GROUP BY source),
+        shared AS (
+            SELECT 0 AS step, *, false AS stopped, 1.5::DOUBLE * sum(source_size) OVER () / sum(weight) OVER () AS level
+            FROM s
+            UNION ALL
+            SELECT step + 1, source, source_size, bound, weight, above,
+                   (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) FILTER (above) OVER (), 0))
+                   / sum(weight) FILTER (NOT above) OVER ()
+            FROM (SELECT *, stopped OR weight * level > bound AS above FROM shared)
+            WHERE step < (SELECT count(*) FROM s))
+        SELECT source, source_size, CASE WHEN stopped THEN bound ELSE weight * level END AS target
+        FROM shared WHERE step = (SELECT max(step) FROM shared)""",
     "op3_url_filter": """
         WITH u AS (SELECT page_id,
                           translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
