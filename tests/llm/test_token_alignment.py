@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import helpers as h
+import pyarrow as pa
 import pytest
 from vecreduce.llm import token_alignment as op
-from vecreduce.llm.common import saved, tokenizer_file
+from vecreduce.llm.common import Remembered, saved, tokenizer_file
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +110,33 @@ def test_query_on_whole_documents(spark, tokenizers):
         w = want[r.doc_id]
         digest = hashlib.sha256(w[4].encode()).hexdigest() if w[0] else ""
         assert (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) == (*w[:4], digest, *w[5:])
+
+
+def test_each_part_is_aligned_once(tokenizers, monkeypatch):
+    rng = random.Random(3)
+    words = [f"{rng.choice(['re', 'vor', 'été'])}{i}ung" for i in range(300)] + ["a\nb", "x  y"]
+    texts = [" ".join(rng.choices(words, k=200)) for _ in range(50)] + ["▁ ▁a 12", None, "", " vor1ung", words[0] + " "]
+    aligned, overlaps = [], op.overlaps
+    monkeypatch.setattr(op, "overlaps", lambda a, b: aligned.append(len(a)) or overlaps(a, b))
+    fresh = op.Tokenizers(*(open(tokenizer_file(f), "rb").read() for f in (op.BYTE_VOCABULARY, op.PIECE_VOCABULARY)))
+    parts = {p for t in texts if t for p in op.parts_of(t)}
+    assert len(parts) < 320
+    for _ in range(2):  # the second time all parts are known
+        found = op.align(fresh, pa.array(texts)).to_pylist()
+        for text, row in zip(texts, found):
+            a, b, groups, links = brute(tokenizers, text)
+            assert (row["n_a"], row["n_b"], row["n_groups"], row["n_links"], row["groups"]) == (
+                len(a), len(b), groups.count(";") + bool(groups), len(links), groups), text
+            assert {(k["a"], k["b"]): k["n"] for k in row["links"]} == Counter(links), text
+            assert len(row["links"]) == len(set(links))
+        assert sum(aligned) <= sum(len(brute(tokenizers, p)[0]) + 2 for p in parts)
+
+
+def test_remembered_values_count_by_their_size():
+    seen = []
+    known = Remembered(lambda pieces: seen.extend(pieces) or [p * 1000 for p in pieces], most_bytes=20_000, overhead=10,
+                       value_bytes=len)
+    for i in range(100):
+        assert known.of([f"{i:03}", "abc"])(f"{i:03}") == f"{i:03}" * 1000
+        assert len(known.recent) + len(known.older) <= 12
+    assert seen.count("abc") == 1 and known.of(["001"])("001") == "001" * 1000 and seen.count("001") == 2

@@ -78,13 +78,15 @@ class Remembered:
     """Values of pieces that recur, each computed once while it is remembered.
 
     ``compute`` takes a list of pieces, texts or bytes, and returns their values.  A piece
-    and its value count as nine bytes a character and ``overhead``.  At half of
+    and its value count as nine bytes a character, ``overhead`` and the value's own
+    ``value_bytes``, where its size varies by more than that.  At half of
     ``most_bytes`` what was not asked for since the last time is forgotten, so memory is
     bounded by that and one call's pieces.
     """
 
-    def __init__(self, compute: Callable[[list], list], most_bytes: int = 200_000_000, overhead: int = 180):
-        self.compute, self.most_bytes, self.overhead = compute, most_bytes, overhead
+    def __init__(self, compute: Callable[[list], list], most_bytes: int = 200_000_000, overhead: int = 180,
+                 value_bytes: Callable[[object], int] | None = None):
+        self.compute, self.most_bytes, self.overhead, self.value_bytes = compute, most_bytes, overhead, value_bytes
         self.recent: dict[Hashable, object] = {}
         self.older: dict[Hashable, object] = {}
         self.held = 0
@@ -101,4 +103,6 @@ class Remembered:
         if len(missing) < len(needed):
             self.recent.update((p, self.older[p]) for p in needed if p in self.older)
         self.held += 9 * sum(map(len, needed)) + self.overhead * len(needed)
+        if self.value_bytes:
+            self.held += sum(map(self.value_bytes, map(self.recent.__getitem__, needed)))
         return self.recent.__getitem__

@@ -2,10 +2,10 @@
 
 Tokenizer A is a byte-level BPE, B a sentence-piece BPE that puts a space before a text, so
 A encodes the text with a space before it.  Each token has its bytes, and the running sums
-of their lengths give its byte range.  Per batch, ``pandas.merge_asof`` keyed by document
+of their lengths give its byte range.  Per batch, ``pandas.merge_asof`` keyed by text
 gives each token start the other side's token that covers it.  The union of both
 directions is the overlaps: of two overlapping tokens the later start lies in the other.
-Byte offsets at which tokens of both sides end cut a document into groups.
+Byte offsets at which tokens of both sides end cut a text into groups.
 
 ``aligned`` does this for each document on its own.  ``with_pair_counts`` counts every id
 pair over the corpus and brings the counts back.  A few pairs are in almost all documents
@@ -14,12 +14,14 @@ frequent, of bounded size, are sent to all tasks and looked up there.  Links of
 pairs are joined by shuffle, where no pair has more rows than the least frequent heavy one.
 
 Neither tokenizer merges over a space that follows a character other than white space and
-precedes one, so both encode the parts of a text between such spaces on their own.  Parts
-recur, so each is encoded once while it is remembered.  New parts are encoded together and
-told apart by their tokens' bytes.
+precedes one, so both encode the parts of a text between such spaces on their own, and
+tokens of both sides end where a part ends.  A text's groups are those of its parts in a row
+and its links those of them all.  Parts recur, so each is encoded and aligned once while it
+is remembered.  New parts are encoded some together, told apart by their tokens' bytes, and
+aligned in one batch.
 
-Memory: a batch is aligned about half a megabyte of text at a time, or one longer text;
-the ids of parts remembered are 200 MB.
+Memory: a batch is aligned about half a megabyte of text at a time, or one longer text; the
+alignments of parts remembered are 200 MB.
 
 Defined cases: null and empty texts, and texts whose tokens' joined bytes differ from a
 space and the text, have no tokens, groups or links.  Rows that repeat an id, and rows
@@ -33,10 +35,12 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
@@ -47,11 +51,19 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 HEAVY_PAIRS = 1_000_000
 _CHUNK_BYTES = 1 << 19
+#: New parts encoded together; the encoders take longer for a part alone and in a long row.
+_TOGETHER = 64
 _COLUMNS = ("n_a long, n_b long, n_groups long, n_links long, groups string, "
             "links array<struct<a: int, b: int, n: int>>")
 _LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
 #: What stands behind a token's id in the text of groups: another of its side, the other side, the next group, the end.
-_MARKS = (",", "|", ";", "")
+_MARKS = (",", "|", ";", "\n")
+#: What stands before the id pairs in a part's alignment: how many tokens of A, of B, and groups it has.
+_COUNTS = 3
+#: The ids of some texts laid end to end, and how many each has.
+Ids = tuple[np.ndarray, np.ndarray]
+#: Of one text: ``_COUNTS`` numbers and the id pairs of its links, as 64-bit integers, and the text of its groups.
+Alignment = tuple[bytes, str]
 
 
 def byte_characters() -> dict[str, int]:
@@ -87,58 +99,65 @@ class Tokenizers:
         ids = range(max(len(self.a_bytes), len(self.b_bytes)))
         self.written = [f"{i}{mark}" for i in ids for mark in _MARKS]
 
-        self.parts = Remembered(self._encoded, overhead=320)
+        self.parts = Remembered(self._aligned, overhead=250, value_bytes=lambda v: len(v[0]) + len(v[1]))
 
-    def _both(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both sides of each part, with a space before it."""
-        a = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(parts, num_threads=1) if parts else []
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both sides of each text, with a space before it."""
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [e.ids for e in a], self.b.encode(texts, num_threads=1) if texts else []
 
-    def _encoded(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Each part's ids on both sides, and whether their bytes are a space and the part."""
-        plain = [p for p in parts if p and not (p[0].isspace() or p[-1].isspace() or "▁" in p)]
-        found = dict(zip(plain, self._joined(plain))) if plain else {}
-        others = [p for p in parts if p not in found]
-        for part, a, b in zip(others, *self._both(others)):
-            raw = b" " + part.encode()
-            same = (b"".join(map(self.a_bytes.__getitem__, a)) == raw
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
-            found[part] = np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same
-        return [found[p] for p in parts]
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the ids' bytes are a space and the text, on both sides."""
+        raw = b" " + text.encode()
+        return (b"".join(map(self.a_bytes.__getitem__, a)) == raw
+                and b"".join(map(self.b_bytes.__getitem__, b)) == raw)
 
-    def _joined(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """``_encoded`` of parts without white space at their ends; none if a token crosses two of them."""
-        whole = " ".join(parts)
+    def _joined(self, parts: list[str]) -> tuple[Ids, Ids] | None:
+        """The ids of parts without white space at their ends; none if a token crosses two of them."""
+        raw = b" " + " ".join(parts).encode()
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
-        cut = []
-        for ids, sizes, pieces in zip(self._both([whole]), (self.a_sizes, self.b_sizes), (self.a_bytes, self.b_bytes)):
-            flat = np.array(ids[0], np.int32)
+        rows = self._both([" ".join(parts[i:i + _TOGETHER]) for i in range(0, len(parts), _TOGETHER)])
+        found = []
+        for ids, sizes, pieces in zip(rows, (self.a_sizes, self.b_sizes), (self.a_bytes, self.b_bytes)):
+            ids = list(chain.from_iterable(ids))
+            flat = np.array(ids, np.int64)
             token_ends = np.cumsum(sizes[flat])
+            if b"".join(map(pieces.__getitem__, ids)) != raw:
+                return None
             at = np.searchsorted(token_ends, ends)
-            if (b"".join(map(pieces.__getitem__, ids[0])) != b" " + whole.encode()
-                    or not np.array_equal(token_ends[at], ends)):
-                return []
-            raw, at = flat.tobytes(), (4 * at + 4).tolist()
-            cut.append([raw[x:y] for x, y in zip([0, *at[:-1]], at)])
-        return [(a, b, True) for a, b in zip(*cut)]
+            if not np.array_equal(token_ends[at], ends):
+                return None
+            found.append((flat, np.diff(at + 1, prepend=0)))
+        return tuple(found)
+
+    def _aligned(self, parts: list[str]) -> list[Alignment]:
+        """Each part's alignment, one without tokens where its bytes are not a space and the part."""
+        plain = [p for p in parts if p and not (p[0].isspace() or p[-1].isspace() or "▁" in p)]
+        joined = self._joined(plain) if plain else None
+        found = dict(zip(plain, alignments(self, *joined))) if joined else {}
+        others = [p for p in parts if p not in found]
+        if others:
+            found.update(zip(others, alignments(self, *map(laid, zip(*[
+                (a, b) if self._same(p, a, b) else ([], []) for p, a, b in zip(others, *self._both(others))])))))
+        return [found[p] for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of both sides of each text, none where the bytes differ from a space and the text."""
-        parts = [parts_of(t) if t else [] for t in texts]
-        of = self.parts.of([p for one in parts for p in one])
         found = []
-        for text, one in zip(texts, parts):
-            a, b, same = zip(*map(of, one)) if one else ((), (), ())
-            a, b = (np.frombuffer(b"".join(raws), np.int32) for raws in (a, b))
-            if not all(same):
-                raw = b" " + text.encode()
-                if (b"".join(map(self.a_bytes.__getitem__, a)) != raw
-                        or b"".join(map(self.b_bytes.__getitem__, b)) != raw):
-                    a = b = a[:0]
-            found.append((a, b))
+        for text in texts:
+            parts = parts_of(text) if text else []
+            a, b = (list(chain.from_iterable(ids)) for ids in self._both(parts))
+            if not parts or not self._same(text, a, b):
+                a = b = []
+            found.append((np.array(a, np.int64), np.array(b, np.int64)))
         return found
 
 
+def laid(ids: list) -> Ids:
+    return (np.concatenate([np.array([], np.int64), *(np.asarray(x, np.int64) for x in ids)]),
+            np.array(list(map(len, ids)), np.int64))
+
+
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -156,11 +175,24 @@ def parts_of(text: str) -> list[str]:
     return whole
 
 
-def _frame(ids: list[np.ndarray], sizes: np.ndarray, name: str) -> pd.DataFrame:
-    """The tokens of some documents laid end to end: their ``doc``, byte range and place."""
-    flat = np.concatenate([np.array([], np.int32), *ids]).astype(np.int64)
+def texts_parts(texts: pa.StringArray) -> pa.ListArray:
+    """``parts_of`` each text; null and empty texts have none."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = [i for i, t in enumerate(texts.to_pylist()) if not t or t[0] == " " or _ODD_SPACE.search(t)]
+    parts = pc.split_pattern(texts, " ")
+    if not odd:
+        return parts
+    place = np.arange(len(texts))
+    place[odd] = len(texts) + np.arange(len(odd))
+    others = [parts_of(t) if t else [] for t in texts.take(odd).to_pylist()]
+    return pa.concat_arrays([parts, pa.array(others, parts.type)]).take(pa.array(place))
+
+
+def _frame(ids: Ids, sizes: np.ndarray, name: str) -> pd.DataFrame:
+    """The tokens of some texts laid end to end: their ``doc``, byte range and place."""
+    flat, many = ids
     ends = np.cumsum(sizes[flat])
-    return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), list(map(len, ids))), "start": ends - sizes[flat],
+    return pd.DataFrame({"doc": np.repeat(np.arange(len(many)), many), "start": ends - sizes[flat],
                          "end": ends, name: np.arange(len(flat)), "token": flat})
 
 
@@ -175,10 +207,7 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(a: pd.DataFrame, b: pd.DataFrame, written: list[str]) -> tuple[np.ndarray, list[str]]:
-    """How many groups the documents have in order, with the text of them all.
-
-    The second is one string for each token, in the order group, side, place.
-    """
+    """The ``doc`` of every group, and the text of groups of each text that has any."""
     a_ends, b_ends = a["end"].to_numpy(), b["end"].to_numpy()
     ended = np.zeros((2, a_ends[-1] + 1), bool)
     ended[0, a_ends] = ended[1, b_ends] = True
@@ -190,44 +219,90 @@ def _groups(a: pd.DataFrame, b: pd.DataFrame, written: list[str]) -> tuple[np.nd
     group, side = group[order], side[order]
     doc = np.concatenate([a["doc"].to_numpy(), b["doc"].to_numpy()])[order]
     token = np.concatenate([a["token"].to_numpy(), b["token"].to_numpy()])[order]
-    mark = np.full(len(order), _MARKS.index(""))
+    mark = np.full(len(order), 3)
     same = group[1:] == group[:-1]
     mark[:-1] = np.where(doc[1:] != doc[:-1], 3, np.where(~same, 2, np.where(side[1:] != side[:-1], 1, 0)))
     of_group = a["doc"].to_numpy()[both[a_ends]]
-    return of_group, list(map(written.__getitem__, (len(_MARKS) * token + mark).tolist()))
-
-
-def align(tokenizers: Tokenizers, texts: list[str | None]) -> pa.RecordBatch:
-    """The columns of ``aligned`` but the id for some texts."""
-    ids = tokenizers.encode(texts)
-    size = len(texts)
-    a = _frame([x for x, _ in ids], tokenizers.a_sizes, "a")
-    b = _frame([x for _, x in ids], tokenizers.b_sizes, "b")
-    n_a, n_b = (np.bincount(t["doc"], minlength=size) for t in (a, b))
-    if not len(a):
-        zero = pa.array(np.zeros(size, np.int64))
-        return pa.RecordBatch.from_arrays(
-            [zero, zero, zero, zero, pa.array([""] * size), pa.array([[]] * size, pa.list_(_LINK))],
-            names=["n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+    strings = "".join(map(written.__getitem__, (len(_MARKS) * token + mark).tolist()))
+    return of_group, strings.split(_MARKS[3])[:-1]
+
+
+def alignments(tokenizers: Tokenizers, a_ids: Ids, b_ids: Ids) -> list[Alignment]:
+    """The alignment of some texts that have tokens on both sides or none at all."""
+    (a_flat, n_a), (b_flat, n_b) = a_ids, b_ids
+    size = len(n_a)
+    out = np.zeros((size, _COUNTS), np.int64)
+    out[:, 0], out[:, 1] = n_a, n_b
+    if not len(a_flat):
+        return [(row.tobytes(), "") for row in out]
+    a, b = _frame(a_ids, tokenizers.a_sizes, "a"), _frame(b_ids, tokenizers.b_sizes, "b")
     at_a, at_b = overlaps(a, b)
     doc = a["doc"].to_numpy()[at_a]
-    of_group, strings = _groups(a, b, tokenizers.written)
-    bounds = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-    wide = len(tokenizers.b_bytes)
-    pair = a["token"].to_numpy()[at_a] * wide + b["token"].to_numpy()[at_b]
-    order = np.lexsort((pair, doc))
-    doc_of, pair = doc[order], pair[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc_of[1:] != doc_of[:-1]) | (pair[1:] != pair[:-1])]))
-    times = np.diff(np.append(first, len(pair)))
-    links = pa.StructArray.from_arrays(
-        [pa.array((pair[first] // wide).astype(np.int32)), pa.array((pair[first] % wide).astype(np.int32)),
-         pa.array(times.astype(np.int32))], fields=list(_LINK))
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc_of[first], minlength=size))]).astype(np.int32)
+    order = np.argsort(doc, kind="stable")
+    of_group, found = _groups(a, b, tokenizers.written)
+    out[:, 2] = np.bincount(of_group, minlength=size)
+    links = np.bincount(doc, minlength=size)
+    ends = np.cumsum(_COUNTS + links)
+    starts = ends - links - _COUNTS
+    numbers = np.empty(ends[-1], np.int64)
+    pairs = np.ones(len(numbers), bool)
+    for k in range(_COUNTS):
+        numbers[starts + k] = out[:, k]
+        pairs[starts + k] = False
+    numbers[pairs] = (a_flat[at_a] * len(tokenizers.b_bytes) + b_flat[at_b])[order]
+    raw, texts = numbers.tobytes(), [""] * size
+    for i, text in zip(np.flatnonzero(n_a).tolist(), found):
+        texts[i] = text
+    return [(raw[x:y], text) for x, y, text in zip((8 * starts).tolist(), (8 * ends).tolist(), texts)]
+
+
+def numbers_of(values: list[Alignment]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all alignments in a row, and where each begins."""
+    lengths = np.array([len(v[0]) // 8 for v in values], np.int64)
+    return np.frombuffer(b"".join([v[0] for v in values]), np.int64), np.cumsum(lengths) - lengths
+
+
+def align(tokenizers: Tokenizers, texts: pa.StringArray) -> pa.RecordBatch:
+    """The columns of ``aligned`` but the id for some texts."""
+    size, wide = len(texts), len(tokenizers.b_bytes)
+    lists = texts_parts(texts)
+    doc = np.repeat(np.arange(size), lists.value_lengths().to_numpy())
+    parts = lists.flatten().dictionary_encode()
+    part = parts.indices.to_numpy()
+    distinct = parts.dictionary.to_pylist()
+    values = list(map(tokenizers.parts.of(distinct), distinct))
+    numbers, at = numbers_of(values)
+    without = numbers[at] == 0
+    if without.any():  # these texts are parts of their own
+        others = np.unique(doc[without[part]])
+        values += alignments(tokenizers, *map(laid, zip(*tokenizers.encode(texts.take(pa.array(others)).to_pylist()))))
+        kept = ~np.isin(doc, others)
+        doc = np.concatenate([doc[kept], others])
+        order = np.argsort(doc, kind="stable")
+        doc, part = doc[order], np.concatenate([part[kept], len(distinct) + np.arange(len(others))])[order]
+        numbers, at = numbers_of(values)
+    bounds = np.searchsorted(doc, np.arange(size + 1))
+    linked = np.diff(np.append(at, len(numbers))) - _COUNTS
+
+    def sums(of_part: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate([[0], np.cumsum(of_part[part])])[bounds])
+
+    links = linked[part]
+    ends = np.cumsum(links)
+    place = np.arange(links.sum()) + np.repeat(at[part] + _COUNTS - ends + links, links)
+    pairs = np.int64(len(tokenizers.a_bytes) * wide)
+    keys = np.sort(np.repeat(doc, links) * pairs + numbers[place])
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(first, len(keys)))
+    doc_of, pair = np.divmod(keys[first], pairs)
+    distinct_links = pa.StructArray.from_arrays(
+        [pa.array(v.astype(np.int32)) for v in (pair // wide, pair % wide, times)], fields=list(_LINK))
+    groups = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)),
+                                      pa.array([v[1] for v in values], pa.string()).take(pa.array(part)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(n_a), pa.array(n_b), pa.array(np.bincount(of_group, minlength=size)),
-         pa.array(np.bincount(doc, minlength=size)),
-         pa.array(["".join(strings[x:y]) for x, y in zip(bounds, bounds[1:])], pa.string()),
-         pa.ListArray.from_arrays(pa.array(offsets), links)],
+        [*(pa.array(sums(numbers[at + k])) for k in range(_COUNTS)), pa.array(sums(linked)),
+         pc.binary_join(groups, _MARKS[2]),
+         pa.ListArray.from_arrays(pa.array(np.searchsorted(doc_of, np.arange(size + 1)).astype(np.int32)), distinct_links)],
         names=["n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
 
@@ -260,7 +335,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byt
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for rows in chunks(batch, 1, _CHUNK_BYTES):
-                found = align(tokenizers, rows.column(1).to_pylist())
+                found = align(tokenizers, rows.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + rows.num_rows)), rows.column(0), *found.columns],
                     names=schema.names)
